@@ -25,19 +25,23 @@ def compose(final: str) -> str:
                     order.append(name)
 
     visit(final, ())
+    final = final.strip()
     if not order:
-        return final.strip()
+        return final
     body = ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in order)
-    return f"WITH {body}\n{final.strip()}"
+    if final.upper().startswith("WITH "):
+        return f"WITH {body},\n{final[5:]}"
+    return f"WITH {body}\n{final}"
 
 
 cte(
     "px",
     """
 SELECT 'A' || CAST(l_linenumber AS VARCHAR) AS asset, CAST(l_shipdate AS DATE) AS trade_date,
-       arg_min(l_extendedprice, row(l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS open,
+       arg_min(l_extendedprice, row(l_orderkey, l_extendedprice)) AS open,
        max(l_extendedprice) AS high, min(l_extendedprice) AS low,
-       round(avg(l_extendedprice), 6) AS close, round(avg(l_extendedprice), 6) AS adj_close,
+       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / nullif(count(l_extendedprice) * 100.0::DOUBLE, 0) AS close,
+       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / nullif(count(l_extendedprice) * 100.0::DOUBLE, 0) AS adj_close,
        CAST(sum(l_quantity) AS BIGINT) AS volume
 FROM lineitem GROUP BY 1, 2
 """,
@@ -72,18 +76,18 @@ cte(
     "dobs",
     """
 SELECT 'D_' || o_orderstatus AS series, CAST(o_orderdate AS DATE) AS observation_date,
-       round(avg(o_totalprice), 6) / 1e5 AS value
+       CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / nullif(count(o_totalprice) * 100.0::DOUBLE, 0) / 99991 AS value
 FROM orders GROUP BY 1, 2
 UNION ALL
-SELECT 'D_ALL', CAST(o_orderdate AS DATE), round(avg(o_totalprice), 6) / 1e5 FROM orders GROUP BY 1, 2
+SELECT 'D_ALL', CAST(o_orderdate AS DATE), CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / nullif(count(o_totalprice) * 100.0::DOUBLE, 0) / 99991 FROM orders GROUP BY 1, 2
 """,
 )
 cte(
     "mbase",
     """
 SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS observation_date,
-       round(avg(CASE WHEN day(o_orderdate) <= 15 THEN o_totalprice END), 6) AS v1,
-       round(avg(o_totalprice), 6) AS v2
+       CAST(sum(CAST(round((CASE WHEN day(o_orderdate) <= 15 THEN o_totalprice END) * 100) AS BIGINT)) AS DOUBLE) / nullif(count((CASE WHEN day(o_orderdate) <= 15 THEN o_totalprice END)) * 100.0::DOUBLE, 0) AS v1,
+       CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / nullif(count(o_totalprice) * 100.0::DOUBLE, 0) AS v2
 FROM orders GROUP BY 1, 2
 """,
 )
@@ -225,7 +229,7 @@ SELECT trade_date, avg(rho) AS sector_avgcorr_21d FROM c GROUP BY 1 HAVING count
 cte(
     "mkt",
     """
-SELECT d.as_of_date AS trade_date, v.close / 1000 AS vix, CAST(q.volume AS DOUBLE) AS mkt_volume,
+SELECT d.as_of_date AS trade_date, v.close / 997 AS vix, CAST(q.volume AS DOUBLE) AS mkt_volume,
        ln(h.adj_close / l.adj_close) AS credit
 FROM days d
 LEFT JOIN px v ON v.asset = 'A7' AND v.trade_date = d.as_of_date

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .ctes import compose
+from .ctes import compose, cte
 
 FEATURES = (
     "ret_1d ret_5d ret_21d ret_63d rv_5d rv_21d rv_63d semidev_21d drawdown_252d parkinson_21d garman_klass_21d "
@@ -160,6 +160,162 @@ sql(
     + " FROM feats",
 )
 
+# ---- data quality --------------------------------------------------------------------------------
+
+
+def dates10(cond: str, date: str = "trade_date") -> str:
+    return (
+        f"coalesce(array_to_string(list_transform(list_sort(list(DISTINCT {date}) FILTER (WHERE {cond}))[1:10], "
+        "lambda d: strftime(d, '%Y-%m-%d')), ','), '')"
+    )
+
+
+def basic(table: str) -> str:
+    return f"""
+SELECT asset AS entity, u.check_name, u.severity, u.n = 0 AS passed, CAST(u.n AS BIGINT) AS n, u.sample FROM (
+  SELECT asset, [
+    {{'check_name': 'duplicate_dates', 'severity': 'error', 'n': count(*) - count(DISTINCT trade_date), 'sample': ''}},
+    {{'check_name': 'null_close', 'severity': 'error', 'n': count(*) - count(close), 'sample': ''}},
+    {{'check_name': 'non_positive_price', 'severity': 'error', 'n': count(*) FILTER (WHERE open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 OR adj_close <= 0), 'sample': ''}},
+    {{'check_name': 'high_below_low', 'severity': 'error', 'n': count(*) FILTER (WHERE high < low), 'sample': ''}},
+    {{'check_name': 'close_outside_range', 'severity': 'warn', 'n': count(*) FILTER (WHERE close > high * (1 + 1e-6) OR close < low * (1 - 1e-6)),
+      'sample': {dates10("close > high * (1 + 1e-6) OR close < low * (1 - 1e-6)")}}}] AS l
+  FROM {table} GROUP BY asset), unnest(l) AS t(u)"""
+
+
+NO_ROWS = "SELECT 'A9' AS entity, 'no_rows' AS check_name, 'error' AS severity, false AS passed, CAST(0 AS BIGINT) AS n, '' AS sample"
+
+
+def calendar_sql(table: str) -> str:
+    return f"""
+SELECT * FROM (
+  WITH s AS (SELECT asset, min(trade_date) AS lo, max(trade_date) AS hi FROM {table} GROUP BY 1),
+  e AS (SELECT s.asset, c.trade_date FROM s JOIN cal c ON c.trade_date BETWEEN s.lo AND s.hi),
+  m AS (SELECT e.asset, count(*) AS n_exp,
+          count(*) FILTER (WHERE p.asset IS NULL) AS n, {dates10("p.asset IS NULL", "e.trade_date")} AS sample
+        FROM e LEFT JOIN (SELECT DISTINCT asset, trade_date FROM {table}) p ON p.asset = e.asset AND p.trade_date = e.trade_date GROUP BY 1)
+  SELECT asset AS entity, 'missing_trading_days' AS check_name, CASE WHEN n * 1.0 / greatest(n_exp, 1) > 0.005 THEN 'error' ELSE 'warn' END AS severity,
+     n = 0 AS passed, n, sample FROM m
+  UNION ALL
+  SELECT asset, 'non_trading_dates', 'error', count(*) FILTER (WHERE off) = 0, count(DISTINCT trade_date) FILTER (WHERE off), {dates10("off")}
+  FROM (SELECT *, trade_date NOT IN (SELECT trade_date FROM cal) AS off FROM {table}) GROUP BY 1)"""
+
+
+def stale_sql(table: str) -> str:
+    return f"""
+SELECT * FROM (
+  WITH d AS (SELECT asset, trade_date, close, CASE WHEN close = lag(close) OVER w THEN 0 ELSE 1 END AS chg FROM {table} WINDOW w AS (PARTITION BY asset ORDER BY trade_date, close)),
+  g AS (SELECT asset, sum(chg) OVER (PARTITION BY asset ORDER BY trade_date, close ROWS UNBOUNDED PRECEDING) AS isl FROM d),
+  r AS (SELECT asset, isl, count(*) AS len FROM g GROUP BY 1, 2)
+  SELECT asset AS entity, 'stale_prices' AS check_name, 'warn' AS severity, max(len) < 5 AS passed, max(len) AS n, '' AS sample FROM r GROUP BY 1)"""
+
+
+def outlier_sql(table: str) -> str:
+    return f"""
+SELECT asset AS entity, 'return_outliers' AS check_name, 'warn' AS severity, count(*) FILTER (WHERE big) = 0 AS passed,
+       count(*) FILTER (WHERE big) AS n, {dates10("big")} AS sample
+FROM (SELECT asset, trade_date, coalesce(abs(ln(close) - ln(lag(close) OVER (PARTITION BY asset ORDER BY trade_date, close))) > 0.15, false) AS big
+      FROM {table} WHERE asset <> 'A7') GROUP BY 1"""
+
+
+sql("dq_basic", basic("feed") + " UNION ALL " + NO_ROWS)
+sql("dq_calendar", calendar_sql("feed"))
+sql("dq_outliers", outlier_sql("px"))
+sql("dq_outliers_feed", outlier_sql("feed"))
+cte("coarse", "SELECT * REPLACE (floor(close / 20000) * 20000 + 10000 AS close) FROM px")
+sql("dq_stale", stale_sql("coarse"))
+sql(
+    "dq_drop_offcal",
+    f"""
+WITH t AS (
+  SELECT asset, count(*) AS total, count(*) FILTER (WHERE off) AS n_off, count(*) FILTER (WHERE late) AS n_late,
+    {dates10("off")} AS off_days, {dates10("late")} AS late_days
+  FROM (SELECT *, trade_date NOT IN (SELECT trade_date FROM cal) AS off, trade_date > (SELECT max(trade_date) FROM cal) AS late FROM px) GROUP BY 1),
+k AS (SELECT *, n_late = 0 AND n_off > 0 AND n_off * 1.0 / total <= 0.001 AS dropped FROM t)
+SELECT asset AS entity, CASE WHEN dropped THEN total - n_off ELSE total END AS kept,
+  CASE WHEN n_late > 0 THEN 'calendar_stale' WHEN dropped THEN 'non_trading_rows_dropped' END AS check_name,
+  CASE WHEN n_late > 0 THEN 'error' WHEN dropped THEN 'warn' END AS severity,
+  CASE WHEN n_late > 0 OR dropped THEN false END AS passed,
+  CASE WHEN n_late > 0 THEN n_late WHEN dropped THEN n_off END AS n,
+  CASE WHEN n_late > 0 THEN late_days WHEN dropped THEN off_days END AS sample
+FROM k
+""",
+)
+sql(
+    "dq_revision",
+    f"""
+SELECT asset AS entity, 'vendor_revision_close' AS check_name, 'warn' AS severity, count(*) FILTER (WHERE volume % 97 = 0) = 0 AS passed,
+       count(*) FILTER (WHERE volume % 97 = 0) AS n, {dates10("volume % 97 = 0")} AS sample
+FROM px GROUP BY 1
+""",
+)
+sql(
+    "dq_macro",
+    f"""
+WITH v AS (SELECT *, 'daily' AS frequency FROM dvint UNION ALL SELECT *, 'monthly' FROM mvint),
+f AS (SELECT series, frequency, observation_date, min(valid_from) AS first_known FROM v GROUP BY 1, 2, 3),
+g AS (SELECT *, date_diff('day', observation_date, first_known) NOT BETWEEN 20 AND 90 AS odd FROM f)
+SELECT series AS entity, 'first_vintage_lag' AS check_name, 'warn' AS severity, count(*) FILTER (WHERE odd) = 0 AS passed, count(*) FILTER (WHERE odd) AS n,
+  {dates10("odd", "observation_date")} AS sample FROM g WHERE frequency = 'monthly' GROUP BY 1
+UNION ALL
+SELECT series, 'staleness', 'warn', date_diff('day', max(observation_date), DATE '2001-12-31') <= CASE frequency WHEN 'daily' THEN 10 ELSE 75 END,
+  date_diff('day', max(observation_date), DATE '2001-12-31'), strftime(max(observation_date), '%Y-%m-%d') FROM g GROUP BY series, frequency
+""",
+)
+sql(
+    "dq_overlap",
+    """
+WITH v AS (SELECT * REPLACE (CASE WHEN valid_to < DATE '9999-12-31' AND month(observation_date) = 3 THEN valid_to + 5 ELSE valid_to END AS valid_to) FROM mvint)
+SELECT b.series, b.observation_date, b.valid_from, max(a.valid_to) AS covered_to
+FROM v a JOIN v b ON a.series = b.series AND a.observation_date = b.observation_date AND a.valid_from < b.valid_from AND a.valid_to >= b.valid_from
+GROUP BY 1, 2, 3
+""",
+)
+sql(
+    "dq_constraints",
+    """
+SELECT 'close_present' AS rule, count(*) FILTER (WHERE close IS NULL) AS violations FROM feed
+UNION ALL SELECT 'close_positive', count(*) FILTER (WHERE close <= 0) FROM feed
+UNION ALL SELECT 'open_positive', count(*) FILTER (WHERE open <= 0) FROM feed
+UNION ALL SELECT 'adj_close_positive', count(*) FILTER (WHERE adj_close <= 0) FROM feed
+UNION ALL SELECT 'high_not_below_low', count(*) FILTER (WHERE high < low) FROM feed
+UNION ALL SELECT 'volume_not_negative', count(*) FILTER (WHERE volume < 0) FROM feed
+UNION ALL SELECT 'label_binary', count(*) FILTER (WHERE y NOT IN (0, 1)) FROM lab
+UNION ALL SELECT 'label_and_known_date_together', count(*) FILTER (WHERE (y IS NULL) <> (label_known_date IS NULL)) FROM lab
+UNION ALL SELECT 'known_after_as_of', count(*) FILTER (WHERE label_known_date <= as_of_date) FROM lab
+UNION ALL SELECT 'asset_type_known', 0
+UNION ALL SELECT 'price_key_unique', count(*) FROM (SELECT 1 FROM feed GROUP BY asset, trade_date HAVING count(*) > 1)
+UNION ALL SELECT 'price_date_in_calendar', count(*) FROM feed WHERE trade_date NOT IN (SELECT trade_date FROM cal)
+""",
+)
+sql(
+    "dq_results",
+    f"""
+WITH c AS ({basic("px")} UNION ALL {calendar_sql("px")} UNION ALL {stale_sql("px")} UNION ALL {NO_ROWS}),
+b AS (SELECT entity, string_agg(check_name, ', ' ORDER BY check_name) AS blocked_by FROM c WHERE NOT passed AND severity = 'error' GROUP BY 1)
+SELECT c.entity, check_name, CASE WHEN passed THEN 'info' ELSE severity END AS severity, passed,
+  '{{"count":' || n || ',"sample":""}}' AS details, blocked_by
+FROM c LEFT JOIN b ON b.entity = c.entity
+""",
+)
+sql(
+    "run_ledger",
+    """
+WITH r AS (SELECT user_id, ts, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'succeeded' ELSE 'running' END AS status FROM events),
+s AS (SELECT user_id, min(ts) AS st, max(ts) FILTER (WHERE status <> 'running') AS fin, arg_max(status, ts) AS status FROM r GROUP BY 1)
+SELECT 'load_prices' AS pipeline, status, count(*) AS runs, CAST(min(st) AS DATE) AS first_start, CAST(max(fin) AS DATE) AS last_finish,
+  (SELECT count(*) FROM s WHERE status = 'succeeded') AS succeeded
+FROM s GROUP BY status
+""",
+)
+sql(
+    "snapshot_diff",
+    """
+SELECT asset, trade_date, CASE WHEN year(trade_date) < 1996 THEN 'removed' WHEN year(trade_date) > 2000 THEN 'added' ELSE 'modified' END AS change
+FROM px WHERE year(trade_date) < 1996 OR year(trade_date) > 2000 OR volume % 97 = 0
+""",
+)
+
 
 def oracle() -> dict[str, str]:
     return {name: compose(text) for name, text in SQL.items()}

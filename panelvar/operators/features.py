@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import by_asset, clip, finite, full, ln, ratio, trailing
+from ..session import pin
 from ..settings import LOG_FEATURES, LOG_FLOOR, TRADING_DAYS, PanelRoles
 from .pit import asof_daily, pit_lagged
 
@@ -135,23 +136,15 @@ def price_features(prices: DataFrame) -> DataFrame:
     ).drop("lc", "lrange", "lbody")
 
 
-def member_returns(prices: DataFrame, market: str, members: tuple[str, ...]) -> DataFrame:
+def member_returns(market: DataFrame, members: tuple[str, ...]) -> DataFrame:
     """Log returns of the members on the market's own dates; a gap in a member leaves a NULL.
 
     Returns (trade_date, asset, r) with one row per market date and member.
     """
-    # One scan delivers the market's dates and the member prices.
-    used = prices.where(F.col("asset").isin(market, *members)).select("asset", "trade_date", "adj_close")
-    by_date = used.groupBy("trade_date").agg(
-        F.max(F.when(F.col("asset") == market, 1)).alias("on_market"),
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("asset").isin(*members), F.struct("asset", "adj_close")))
-        ).alias("levels"),
-    )
-    spine = by_date.where(F.col("on_market") == 1).select(
+    spine = market.where(F.col("on_market") == 1).select(
         "trade_date", "levels", F.explode(F.array(*[F.lit(m) for m in members])).alias("asset")
     )
-    level = ln(F.col("levels")[F.col("asset")])
+    level = ln(F.try_element_at("levels", F.col("asset")))
     return spine.select("trade_date", "asset", level.alias("lc")).select(
         "trade_date", "asset", (F.col("lc") - F.lag("lc").over(by_asset())).alias("r")
     )
@@ -193,15 +186,21 @@ def average_pair_correlation(returns: DataFrame, n_members: int, window: int = 2
 
 
 def market_series(prices: DataFrame, roles: PanelRoles, implied_scale: float = 1.0) -> DataFrame:
-    """One row per date with the price series that serve every asset."""
+    """One row per date with every price series that serves all assets, from one scan of the prices.
+
+    ``levels`` maps each sector member to its adjusted close (as many entries as configured members).
+    """
 
     def pick(asset: str, col: str) -> Column:
         return F.max(F.when(F.col("asset") == asset, F.col(col)))
 
+    member = F.when(F.col("asset").isin(*roles.sector), F.struct("asset", "adj_close"))
     return prices.groupBy("trade_date").agg(
+        F.max(F.when(F.col("asset") == roles.market, 1)).alias("on_market"),
         (pick(roles.implied_vol, "close") / implied_scale).alias("vix"),
         pick(roles.volume, "volume").cast("double").alias("mkt_volume"),
         ln(ratio(pick(roles.credit[0], "adj_close"), pick(roles.credit[1], "adj_close"))).alias("credit"),
+        F.map_from_entries(F.collect_list(member)).alias("levels"),
     )
 
 
@@ -213,13 +212,16 @@ def macro_series(daily: DataFrame, monthly: DataFrame, dates: DataFrame, roles:
         .groupBy("as_of_date")
         .agg(*[F.max(F.when(F.col("series") == s, F.col("value"))).alias(c) for c, s in levels.items()])
     )
-    job = pit_lagged(monthly.where(F.col("series") == roles.unemployment), dates, 1).select(
-        "as_of_date", (F.col("latest") - F.col("lagged")).alias("unrate_chg_1m")
-    )
-    index = pit_lagged(monthly.where(F.col("series") == roles.price_index), dates, 12).select(
-        "as_of_date", (ratio(F.col("latest"), F.col("lagged")) - 1).alias("cpi_yoy")
+    job, index = F.col("series") == roles.unemployment, F.col("series") == roles.price_index
+    snapshot = (
+        pit_lagged(monthly, dates, {roles.unemployment: 1, roles.price_index: 12})
+        .groupBy("as_of_date")
+        .agg(
+            F.max(F.when(job, F.col("latest") - F.col("lagged"))).alias("unrate_chg_1m"),
+            F.max(F.when(index, ratio(F.col("latest"), F.col("lagged")) - 1)).alias("cpi_yoy"),
+        )
     )
-    return known.join(job, "as_of_date", "full_outer").join(index, "as_of_date", "full_outer")
+    return known.join(snapshot, "as_of_date", "full_outer")
 
 
 def compute_features(
@@ -230,13 +232,15 @@ def compute_features(
     implied_scale: float = 1.0,
 ) -> DataFrame:
     """(asset, as_of_date, 26 features) for every asset of the panel."""
-    market = market_series(prices, roles, implied_scale)
+    # Calendar-sized and read by five branches below, so it is written once and read back.
+    market = pin(market_series(prices, roles, implied_scale))
     dates = market.select(F.col("trade_date").alias("as_of_date"))
     macro = macro_series(daily, monthly, dates, roles).withColumnRenamed("as_of_date", "trade_date")
-    members = member_returns(prices, roles.market, roles.sector)
+    members = member_returns(market, roles.sector)
     k = len(roles.sector)
     shared = (
-        market.join(macro, "trade_date", "left")
+        market.drop("on_market", "levels")
+        .join(macro, "trade_date", "left")
         .join(sector_dispersion(members, k), "trade_date", "left")
         .join(average_pair_correlation(members, k), "trade_date", "left")
     )
@@ -275,21 +279,3 @@ def design_matrix(frame: DataFrame, features: tuple[str, ...] | list[str]) -> Da
         {c: F.log(clip(F.col(c), low=LOG_FLOOR)) for c in features if c in LOG_FEATURES}
     )
 
-
-__all__ = [
-    "ALL_FEATURES",
-    "BASE_FEATURES",
-    "PRICE_FEATURES",
-    "REGISTRY",
-    "Window",
-    "average_pair_correlation",
-    "compute_features",
-    "design_matrix",
-    "feature_sets",
-    "market_series",
-    "member_returns",
-    "modeling_frame",
-    "price_features",
-    "registry_frame",
-    "sector_dispersion",
-]

@@ -26,18 +26,14 @@ def asof_daily(vintages: DataFrame, dates: DataFrame) -> DataFrame:
         .groupBy("series", "valid_from")
         .agg(F.max_by("value", "observation_date").alias("value"))
     )
-    spine = dates.select(F.col("as_of_date")).distinct()
+    spine = dates.select("as_of_date").distinct()
     last = spine.select(F.max("as_of_date")).scalar()
-    first = spine.select(F.min("as_of_date")).scalar()
     nxt = F.lead("valid_from").over(Window.partitionBy("series").orderBy("valid_from"))
-    begin, end = F.greatest("valid_from", "lo"), F.least(F.date_sub("next_from", 1), "hi")
     days = (
         releases.withColumn("next_from", nxt)
-        .withColumn("lo", first)
-        .withColumn("hi", last)
-        .select("series", "value", begin.alias("begin"), F.coalesce(end, F.col("hi")).alias("end"))
-        .where(F.col("begin") <= F.col("end"))
-        .select("series", "value", F.explode(F.sequence("begin", "end")).alias("as_of_date"))
+        .select("series", "value", "valid_from", F.coalesce(F.date_sub("next_from", 1), last).alias("until"))
+        .where(F.col("valid_from") <= F.col("until"))
+        .select("series", "value", F.explode(F.sequence("valid_from", "until")).alias("as_of_date"))
     )
     return days.join(spine, "as_of_date", "left_semi").select("series", "as_of_date", "value")
 
@@ -46,26 +42,40 @@ def _month(col: str) -> Column:
     return F.year(col) * 12 + F.month(col)
 
 
+# Day numbers count from 0001-01-01, and 22 doublings of a day reach past 9999-12-31.
+_DAY_ZERO = 719_162
+_LEVELS = 22
+
+
 def _day(col: Column | str) -> Column:
-    return F.unix_date(col)
+    return F.unix_date(col) + F.lit(_DAY_ZERO)
+
 
+def _halve(day: Column, times: Column) -> Column:
+    return F.call_function("shiftright", day, times)
+
+
+def _cover_blocks(first_day: str, last_day: str) -> Column:
+    """Aligned power-of-two day blocks that together cover [first_day, last_day] exactly.
+
+    The block of level k that starts at day n * 2^k has the id n * 32 + k.
+    """
 
-def _cover_nodes(first_day: Column, last_day: Column, levels: int) -> Column:
-    """Aligned power-of-two day blocks that together cover [first_day, last_day] exactly."""
-    blocks = []
-    for level in range(levels):
-        size = 1 << level
-        low = F.ceil(first_day / F.lit(size)).cast("bigint")
-        high = F.floor((last_day + 1) / F.lit(size)).cast("bigint")
-        inside = low < high
-        blocks.append(F.when(inside & (low % 2 == 1), F.struct(F.lit(level).alias("level"), low.alias("node"))))
-        blocks.append(
-            F.when(inside & (high % 2 == 1), F.struct(F.lit(level).alias("level"), (high - 1).alias("node")))
-        )
-    return F.array_compact(F.array(*blocks))
+    def blocks(level: Column) -> Column:
+        low = _halve(F.col(first_day) + F.call_function("shiftleft", F.lit(1), level) - 1, level)
+        high = _halve(F.col(last_day) + 1, level)
+        left = F.when((low < high) & (low % 2 == 1), low * 32 + level)
+        right = F.when((low < high) & (high % 2 == 1), (high - 1) * 32 + level)
+        return F.array(left, right)
 
+    return F.array_compact(F.flatten(F.transform(_levels(), blocks)))
 
-def pit_latest(vintages: DataFrame, dates: DataFrame, span_days: int = 1 << 16) -> DataFrame:
+
+def _levels() -> Column:
+    return F.sequence(F.lit(0), F.lit(_LEVELS))
+
+
+def pit_latest(vintages: DataFrame, dates: DataFrame) -> DataFrame:
     """Newest observation known on each date, from rows with valid_from <= date <= valid_to.
 
     Each validity interval is cut into aligned power-of-two blocks of days and each date looks up
@@ -73,60 +83,43 @@ def pit_latest(vintages: DataFrame, dates: DataFrame, span_days: int = 1 << 16)
     the join, so a long-lived vintage costs a handful of rows, never one per day.
     Returns (series, as_of_date, observation_date, value); dates with nothing known are absent.
     """
-    levels = span_days.bit_length()
-    spine = dates.select("as_of_date").distinct()
-    first = spine.select(F.min(_day("as_of_date"))).scalar()
-    last = spine.select(F.max(_day("as_of_date"))).scalar()
-    offset = (
+    newest = F.max(F.struct("observation_date", F.negate(F.col("a")).alias("k"), "value"))
+    blocks = (
         vintages.where(F.col("value").isNotNull())
-        .withColumn("lo", first)
-        .withColumn("hi", last)
-        .withColumn("a", F.greatest(_day("valid_from"), F.col("lo")) - F.col("lo"))
-        .withColumn("b", F.least(_day("valid_to"), F.col("hi")) - F.col("lo"))
+        .select("series", "observation_date", "value", _day("valid_from").alias("a"), _day("valid_to").alias("b"))
         .where(F.col("a") <= F.col("b"))
-    )
-    newest = F.max(F.struct("observation_date", F.negate(_day("valid_from")).alias("k"), "value"))
-    nodes = (
-        offset.select(
-            "series",
-            "observation_date",
-            "valid_from",
-            "value",
-            F.explode(_cover_nodes(F.col("a"), F.col("b"), levels)).alias("n"),
-        )
-        .groupBy("series", "n.level", "n.node")
+        .withColumn("block", F.explode(_cover_blocks("a", "b")))
+        .groupBy("series", "block")
         .agg(newest.alias("best"))
     )
-    position = _day("as_of_date") - F.col("lo")
-    lookups = spine.withColumn("lo", first).select(
-        "as_of_date",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(level).alias("level"),
-                        F.floor(position / F.lit(1 << level)).cast("bigint").alias("node"),
-                    )
-                    for level in range(levels)
-                ]
-            )
-        ).alias("n"),
-    ).select("as_of_date", "n.level", "n.node")
+    day = _day("as_of_date")
+    lookups = (
+        dates.select("as_of_date")
+        .distinct()
+        .select("as_of_date", F.explode(F.transform(_levels(), lambda k: _halve(day, k) * 32 + k)).alias("block"))
+    )
     return (
-        nodes.join(lookups, ["level", "node"])
+        blocks.join(lookups, "block")
         .groupBy("series", "as_of_date")
         .agg(F.max("best").alias("best"))
         .select("series", "as_of_date", "best.observation_date", "best.value")
     )
 
 
-def pit_lagged(vintages: DataFrame, dates: DataFrame, lag_months: int) -> DataFrame:
+def pit_lagged(vintages: DataFrame, dates: DataFrame, lag_months: int | dict[str, int]) -> DataFrame:
     """Latest value and the value ``lag_months`` before it, both from the same snapshot.
 
-    The lagged month is matched on (series, month), so only the few revisions of that one month are
-    tested against the date. Returns (series, as_of_date, latest, lagged).
+    The lag is one number, or one per series. The lagged month is matched on (series, month), so
+    only the few revisions of that one month are tested against the date.
+    Returns (series, as_of_date, latest, lagged).
     """
-    latest = pit_latest(vintages, dates).withColumn("month", _month("observation_date") - lag_months)
+    if isinstance(lag_months, dict):
+        vintages = vintages.where(F.col("series").isin(*lag_months))
+        pairs = [F.lit(x) for item in lag_months.items() for x in item]
+        lag = F.element_at(F.create_map(*pairs), F.col("series"))
+    else:
+        lag = F.lit(lag_months)
+    latest = pit_latest(vintages, dates).withColumn("month", _month("observation_date") - lag)
     known = vintages.where(F.col("value").isNotNull()).select(
         "series",
         _month("observation_date").alias("month"),

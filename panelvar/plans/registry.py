@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import by_asset, rounded
 from ..operators import features as ft
 from ..operators import labels as lb
-from ..operators import pit
+from ..operators import ledger, pit
+from ..operators import quality as dq
+from ..session import pin
 from ..settings import OPEN_END, Target
 from ..sources import panel, readers, sinks
 
@@ -43,7 +45,8 @@ class Panel:
 
     @cached_property
     def dates(self) -> DataFrame:
-        return self.prices.select(F.col("trade_date").alias("as_of_date")).distinct()
+        """Every date of the panel: calendar-sized, read by several branches of a lookup."""
+        return pin(self.prices.select(F.col("trade_date").alias("as_of_date")).distinct())
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -277,13 +280,13 @@ for _key, _query in {
 
 @register
 def sector_dispersion(p: Panel) -> DataFrame:
-    members = ft.member_returns(p.prices, panel.ROLES.market, panel.ROLES.sector)
+    members = ft.member_returns(ft.market_series(p.prices, panel.ROLES), panel.ROLES.sector)
     return tidy(ft.sector_dispersion(members, len(panel.ROLES.sector)), "sector_dispersion_1d")
 
 
 @register
 def avg_pair_corr(p: Panel) -> DataFrame:
-    members = ft.member_returns(p.prices, panel.ROLES.market, panel.ROLES.sector)
+    members = ft.member_returns(ft.market_series(p.prices, panel.ROLES), panel.ROLES.sector)
     return tidy(ft.average_pair_correlation(members, len(panel.ROLES.sector)), "sector_avgcorr_21d")
 
 
@@ -305,3 +308,159 @@ MODEL_FEATURES = (*ft.PRICE_FEATURES, "vix_level", "t10y2y_level")
 def design_matrix(p: Panel) -> DataFrame:
     out = ft.design_matrix(p.features, MODEL_FEATURES).select("asset", "as_of_date", *MODEL_FEATURES)
     return tidy(out, *MODEL_FEATURES)
+
+
+# ---- data quality --------------------------------------------------------------------------------
+
+
+def _wanted(p: Panel) -> DataFrame:
+    """Requested tickers: the known assets and one that has no rows."""
+    extra = p.assets.where(F.col("asset") == "A1").select(F.lit("A9").alias("asset"))
+    return p.assets.select("asset").unionByName(extra)
+
+
+def _today() -> Column:
+    return F.lit("2001-12-31").cast("date")
+
+
+def _series_dim(p: Panel) -> DataFrame:
+    daily = p.daily.select("series", F.lit("daily").alias("frequency"), F.lit("rule_lag").alias("method"))
+    monthly = p.monthly.select("series", F.lit("monthly").alias("frequency"), F.lit("alfred_vintage").alias("method"))
+    return daily.unionByName(monthly).distinct()
+
+
+def _coarse(p: Panel) -> DataFrame:
+    """Prices on a coarse tick, where identical consecutive closes do occur."""
+    return p.prices.withColumn("close", F.floor(F.col("close") / 20_000) * 20_000.0 + 10_000.0)
+
+
+def _refreshed(p: Panel) -> DataFrame:
+    """A later pull: one trading volume in 97 comes with a restated close."""
+    restated = F.when(F.col("volume") % 97 == 0, F.col("close") * 1.0001).otherwise(F.col("close"))
+    return p.prices.withColumn("close", restated)
+
+
+@register
+def dq_basic(p: Panel) -> DataFrame:
+    return dq.basic_checks(p.feed).unionByName(dq.no_rows(p.feed, _wanted(p)))
+
+
+@register
+def dq_calendar(p: Panel) -> DataFrame:
+    return dq.calendar_checks(p.feed, p.calendar)
+
+
+@register
+def dq_outliers(p: Panel) -> DataFrame:
+    return dq.outlier_checks(p.prices, p.assets)
+
+
+@register
+def dq_outliers_feed(p: Panel) -> DataFrame:
+    """Same check on the raw feed, where one date repeats many times."""
+    return dq.outlier_checks(p.feed, p.assets)
+
+
+@register
+def dq_stale(p: Panel) -> DataFrame:
+    return dq.stale_checks(_coarse(p))
+
+
+@register
+def dq_drop_offcal(p: Panel) -> DataFrame:
+    kept, report = dq.drop_off_calendar(p.prices, p.calendar)
+    left = kept.groupBy(F.col("asset").alias("entity")).agg(F.count("*").alias("kept"))
+    return left.join(report, "entity", "left")
+
+
+@register
+def dq_revision(p: Panel) -> DataFrame:
+    return dq.revision_checks(p.prices, _refreshed(p))
+
+
+@register
+def dq_macro(p: Panel) -> DataFrame:
+    return dq.macro_checks(p.daily.unionByName(p.monthly), _series_dim(p), _today())
+
+
+@register
+def dq_overlap(p: Panel) -> DataFrame:
+    """March observations get a validity that runs into their revision."""
+    longer = F.when(F.month("observation_date") == 3, F.date_add("valid_to", 5)).otherwise(F.col("valid_to"))
+    held = F.when(F.col("valid_to") == F.lit(OPEN_END), F.col("valid_to")).otherwise(longer)
+    return dq.overlapping_vintages(p.monthly.withColumn("valid_to", held)).select(
+        "series", "observation_date", "valid_from", "covered_to"
+    )
+
+
+@register
+def dq_constraints(p: Panel) -> DataFrame:
+    parts = [
+        dq.rule_violations(p.feed, dq.price_rules()),
+        dq.rule_violations(p.labels, dq.label_rules()),
+        dq.rule_violations(
+            p.assets, dq.enum_rule("asset_type_known", "asset_type", ("index", "volatility_index", "etf", "equity"))
+        ),
+        dq.duplicate_keys(p.feed, "asset", "trade_date").agg(
+            F.lit("price_key_unique").alias("rule"), F.count("*").alias("violations")
+        ),
+        dq.orphan_keys(p.feed, p.calendar, "trade_date").agg(
+            F.lit("price_date_in_calendar").alias("rule"), F.sum("rows").alias("violations")
+        ),
+    ]
+    return readers.union_frames(parts)
+
+
+@register
+def dq_results(p: Panel) -> DataFrame:
+    """Audit rows of one load, with the entities that its failed checks block."""
+    checks = readers.union_frames(
+        [
+            dq.basic_checks(p.prices),
+            dq.calendar_checks(p.prices, p.calendar),
+            dq.stale_checks(p.prices),
+            dq.no_rows(p.prices, _wanted(p)),
+        ]
+    ).withColumn("sample", F.lit(""))
+    return dq.stored_results(checks).join(dq.blocked_entities(checks), "entity", "left")
+
+
+@register
+def run_ledger(p: Panel) -> DataFrame:
+    """Runs read from the events table: a start and, except for errors in flight, a finish."""
+    events = panel.table(p.spark, p.sf_dir, "events")
+    runs = events.select(
+        F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"),
+        F.lit("load_prices").alias("pipeline"),
+        F.col("ts").alias("event_ts"),
+        F.when(F.col("event_type") == "error", "failed")
+        .when(F.col("event_type") == "click", "succeeded")
+        .otherwise("running")
+        .alias("status"),
+        F.col("event_id").alias("rows_read"),
+        F.col("event_id").alias("rows_written"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    status = ledger.run_status(runs)
+    return (
+        status.groupBy("pipeline", "status")
+        .agg(
+            F.count("*").alias("runs"),
+            F.min(F.to_date("started_at")).alias("first_start"),
+            F.max(F.to_date("finished_at")).alias("last_finish"),
+        )
+        .join(ledger.succeeded_runs(runs), "pipeline")
+    )
+
+
+@register
+def frame_fingerprint(p: Panel) -> DataFrame:
+    return ledger.fingerprint(p.labels)
+
+
+@register
+def snapshot_diff(p: Panel) -> DataFrame:
+    year = F.year("trade_date")
+    return ledger.snapshot_diff(
+        p.prices.where(year <= 2000), _refreshed(p).where(year >= 1996), ["asset", "trade_date"]
+    )

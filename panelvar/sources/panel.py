@@ -29,7 +29,8 @@ ROLES = PanelRoles(
     unemployment="1-URGENT",
     price_index="2-HIGH",
 )
-IMPLIED_SCALE = 1000.0
+IMPLIED_SCALE = 997.0
+MACRO_SCALE = 99_991.0
 PORTFOLIO = {"A1": 0.6, "A2": 0.4}
 JOINT_SHOCKS = {
     "stock_bond_selloff": {"A1": -0.20, "A2": -0.10},
@@ -58,18 +59,30 @@ def asset_name(col: str = "l_linenumber") -> Column:
     return F.concat(F.lit("A"), F.col(col).cast("string"))
 
 
+def mean_amount(amount: Column | str) -> Column:
+    """Mean of a two-decimal amount from an exact integer sum, so it does not depend on row order."""
+    amount = F.col(amount) if isinstance(amount, str) else amount
+    cents = F.sum(F.round(amount * 100).cast("bigint"))
+    return F.try_divide(cents.cast("double"), F.count(amount) * F.lit(100.0))
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily OHLCV per line number: (asset, date) unique by construction."""
+    """Daily OHLCV per line number: (asset, date) unique by construction.
+
+    The open is the price of the line with the smallest (order key, price). Both are packed into one
+    integer (24 bits of cents), which keeps the aggregate on the hash path; a struct would sort.
+    """
     items = table(spark, sf_dir, "lineitem")
-    first = F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     price = F.col("l_extendedprice")
+    cents = F.round(price * 100).cast("bigint")
+    first = F.min(F.col("l_orderkey") * (1 << 24) + cents)
     return (
         items.groupBy("l_linenumber", "l_shipdate")
         .agg(
-            F.min(first).getField("l_extendedprice").alias("open"),
+            (F.pmod(first, F.lit(1 << 24)) / 100.0).alias("open"),
             F.max(price).alias("high"),
             F.min(price).alias("low"),
-            F.round(F.avg(price), 6).alias("close"),
+            mean_amount("l_extendedprice").alias("close"),
             F.sum("l_quantity").cast("bigint").alias("volume"),
         )
         .select(
@@ -139,7 +152,7 @@ def daily_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             "o_totalprice",
         )
         .groupBy("series", "observation_date")
-        .agg((F.round(F.avg("o_totalprice"), 6) / 1e5).alias("value"))
+        .agg((mean_amount("o_totalprice") / MACRO_SCALE).alias("value"))
     )
 
 
@@ -151,8 +164,8 @@ def monthly_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("series"),
         F.to_date(F.trunc("o_orderdate", "month")).alias("observation_date"),
     ).agg(
-        F.round(F.avg(F.when(early, F.col("o_totalprice"))), 6).alias("first"),
-        F.round(F.avg("o_totalprice"), 6).alias("revised"),
+        mean_amount(F.when(early, F.col("o_totalprice"))).alias("first"),
+        mean_amount("o_totalprice").alias("revised"),
     )
     obs = F.col("observation_date")
     releases = F.array(
