@@ -316,6 +316,198 @@ FROM px WHERE year(trade_date) < 1996 OR year(trade_date) > 2000 OR volume % 97
 """,
 )
 
+# ---- splits, predictions, metrics ----------------------------------------------------------------
+REQUIRED = " AND ".join(f"{c} IS NOT NULL" for c in MODEL_FEATURES)
+cte(
+    "elig_all",
+    f"""
+SELECT f.*, lab.y, lab.label_known_date, lab.rv_fwd FROM feats f JOIN lab ON lab.asset = f.asset AND lab.as_of_date = f.as_of_date
+WHERE f.as_of_date >= DATE '1996-06-01' AND lab.y IS NOT NULL AND {REQUIRED}
+""",
+)
+cte("elig", "SELECT * FROM elig_all WHERE as_of_date < DATE '2001-01-01'")
+cte(
+    "fld",
+    "SELECT 'wf_' || yr AS fold, make_date(CAST(yr AS INTEGER), 1, 1) AS ts, make_date(CAST(yr AS INTEGER), 12, 31) AS te FROM (VALUES (1998), (1999), (2000)) y(yr)",
+)
+cte(
+    "assigned",
+    """
+SELECT fold, 'train' AS role, e.* FROM elig e JOIN fld ON e.label_known_date < fld.ts
+UNION ALL SELECT fold, 'test', e.* FROM elig e JOIN fld ON e.as_of_date BETWEEN fld.ts AND fld.te
+""",
+)
+
+
+def sig(x: str, digits: int = 6) -> str:
+    return f"round(1 / (1 + exp(-({x}))), {digits})"
+
+
+Z1, Z2, Z3, V, D = "(ln(rv_5d) - 2.1::DOUBLE)", "(ln(rv_21d) - 2.1::DOUBLE)", "(ln(rv_63d) - 2.1::DOUBLE)", "(ln(vix_level) - 3.6::DOUBLE)", "drawdown_252d"
+MODELS = {
+    "har_logit": sig(f"-1.4 + 0.9 * {Z1} + 0.5 * {Z2} + 0.3 * {Z3}"),
+    "vix_logit": sig(f"-1.4 + 0.6 * {V}"),
+    "garch_logit": sig(f"-1.4 + 1.2 * {Z1}"),
+    "logit_tuned": sig(f"-1.4 + 0.7 * {Z1} + 0.4 * {V} + 0.5 * {D}"),
+    "hist_gb": sig(f"-1.5 + 1.0 * {Z2}", 2),
+    "random_forest": sig(f"-1.3 + 0.5 * {Z1} + 0.5 * {Z3} - 0.4 * {D}"),
+}
+cte(
+    "preds",
+    " UNION ALL ".join(
+        f"SELECT '{m}' AS model, fold, asset, as_of_date, y, {x} AS prob FROM assigned WHERE role = 'test'" for m, x in MODELS.items()
+    ),
+)
+cte(
+    "cls",
+    """
+WITH b AS (SELECT l.*, d.lang, round(1 / (1 + exp(-(ln(d.n_chars + 1.0::DOUBLE) - 6.0))), 3) AS s FROM labels l JOIN documents d ON d.doc_id = l.doc_id)
+SELECT 'quality' AS model, lang AS fold, quality AS y, s AS prob FROM b
+UNION ALL SELECT 'toxic', lang, toxic, 1 - s FROM b
+""",
+)
+
+
+def metric_ctes(prefix: str, source: str) -> None:
+    """Textbook forms: all-pairs AUC through ranks, step-wise average precision, quantile bins."""
+    cte(f"{prefix}_s", f"SELECT model, fold AS scope, y, prob FROM {source} UNION ALL SELECT model, 'pooled', y, prob FROM {source}")
+    cte(
+        f"{prefix}_auc",
+        f"""
+WITH r AS (SELECT *, rank() OVER (PARTITION BY model, scope ORDER BY prob) + (count(*) OVER (PARTITION BY model, scope, prob) - 1) / 2.0::DOUBLE AS rk FROM {prefix}_s)
+SELECT model, scope, CASE WHEN min(y) <> max(y) THEN (sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y))) END AS roc_auc
+FROM r GROUP BY 1, 2
+""",
+    )
+    cte(
+        f"{prefix}_ap",
+        f"""
+WITH g AS (SELECT model, scope, prob, sum(y) AS pos, count(*) AS n FROM {prefix}_s GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY model, scope ORDER BY prob DESC ROWS UNBOUNDED PRECEDING))
+SELECT model, scope, CASE WHEN sum(pos) > 0 AND sum(pos) < sum(n) THEN sum(pos * tp / CAST(cn AS DOUBLE)) / sum(pos) END AS pr_auc FROM c GROUP BY 1, 2
+""",
+    )
+    cte(
+        f"{prefix}_cal",
+        f"""
+WITH q AS (SELECT model, scope, list_sort(list_distinct(quantile_cont(prob, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS e FROM {prefix}_s GROUP BY 1, 2),
+b AS (SELECT s.*, len(list_filter(e, lambda x: x < prob AND x > e[1])) AS bin FROM {prefix}_s s JOIN q ON q.model = s.model AND q.scope = s.scope)
+SELECT model, scope, CAST(bin AS BIGINT) AS bin, avg(prob) AS mean_pred, avg(y) AS frac_pos, count(*) AS n FROM b GROUP BY 1, 2, 3
+""",
+    )
+    cte(f"{prefix}_ece", f"SELECT model, scope, sum(n * abs(mean_pred - frac_pos)) / sum(n) AS ece FROM {prefix}_cal GROUP BY 1, 2")
+    cte(
+        f"{prefix}_all",
+        f"""
+WITH p AS (SELECT model, scope, count(*) AS n, avg(y) AS prevalence, avg((prob - y) ** 2) AS brier,
+  -avg(y * ln(least(greatest(prob, 1e-6), 1 - 1e-6)) + (1 - y) * ln(1 - least(greatest(prob, 1e-6), 1 - 1e-6))) AS log_loss FROM {prefix}_s GROUP BY 1, 2)
+SELECT p.*, roc_auc, pr_auc, ece FROM p JOIN {prefix}_auc USING (model, scope) JOIN {prefix}_ap USING (model, scope) JOIN {prefix}_ece USING (model, scope)
+""",
+    )
+
+
+metric_ctes("pm", "preds")
+metric_ctes("cm", "cls")
+METRIC_NAMES = ["roc_auc", "pr_auc", "brier", "log_loss", "ece", "prevalence"]
+sql("eligible_rows", f"SELECT asset, as_of_date, y, label_known_date, {rounded(['rv_21d'])} FROM elig")
+sql("purged_split", "SELECT fold, role, asset, as_of_date, y FROM assigned")
+FOLD_INFO = """
+SELECT fold, min(as_of_date) FILTER (WHERE role = 'train') AS train_start, max(as_of_date) FILTER (WHERE role = 'train') AS train_end,
+  count(*) FILTER (WHERE role = 'train') AS n_train, count(*) FILTER (WHERE role = 'test') AS n_test,
+  CAST(sum(y) FILTER (WHERE role = 'test') AS BIGINT) AS positives
+FROM {} GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'train') > 0 AND count(*) FILTER (WHERE role = 'test') > 0
+"""
+sql("fold_info", FOLD_INFO.format("assigned"))
+sql(
+    "holdout_split",
+    FOLD_INFO.format(
+        "(SELECT 'holdout_2001' AS fold, 'train' AS role, * FROM elig_all WHERE label_known_date < DATE '2001-01-01' "
+        "UNION ALL SELECT 'holdout_2001', 'test', * FROM elig_all WHERE as_of_date BETWEEN DATE '2001-01-01' AND DATE '2001-12-31')"
+    ),
+)
+cte(
+    "inner_s",
+    """
+WITH t AS (SELECT * FROM assigned WHERE role = 'train'),
+y AS (SELECT fold, year(as_of_date) AS yr, count(*) AS n_val, row_number() OVER (PARTITION BY fold ORDER BY year(as_of_date) DESC) AS k FROM t GROUP BY 1, 2)
+SELECT y.fold, y.yr, count(*) AS n_train, n_val FROM y JOIN t ON t.fold = y.fold AND t.label_known_date < make_date(CAST(y.yr AS INTEGER), 1, 1)
+WHERE k <= 3 GROUP BY 1, 2, n_val HAVING count(*) >= 500 AND count(DISTINCT t.y) = 2
+""",
+)
+sql("inner_splits", "SELECT fold, CAST(yr AS INTEGER) AS year, n_train, n_val FROM inner_s")
+sql(
+    "prevalence",
+    """
+SELECT 'prevalence' AS model, t.fold, asset, as_of_date, round(r.p, 8) AS prob, y FROM assigned t
+JOIN (SELECT fold, avg(y) AS p FROM assigned WHERE role = 'train' GROUP BY 1) r ON r.fold = t.fold WHERE role = 'test'
+""",
+)
+sql("predictions", "SELECT model, fold, asset, as_of_date, y, prob FROM preds")
+sql("metrics", f"SELECT model, scope, n, {rounded(METRIC_NAMES)} FROM pm_all")
+sql(
+    "metrics_long",
+    " UNION ALL ".join(f"SELECT model, scope, n, '{m}' AS metric, round({m}, 8) AS value FROM pm_all WHERE {m} IS NOT NULL" for m in METRIC_NAMES),
+)
+sql("roc_auc", f"SELECT model, scope, {rounded(['roc_auc'])} FROM cm_auc")
+sql("pr_auc", f"SELECT model, scope, {rounded(['pr_auc'])} FROM cm_ap")
+sql("calibration", f"SELECT model, scope, bin, n, {rounded(['mean_pred', 'frac_pos'])} FROM pm_cal")
+sql("ece", f"SELECT model, scope, {rounded(['ece'])} FROM cm_ece")
+sql(
+    "fold_mean",
+    """
+SELECT m.model, round(avg(m.pr_auc), 8) AS pr_auc, round(avg(m.roc_auc), 8) AS roc_auc, round(avg(m.brier), 8) AS brier,
+  round(avg(m.log_loss), 8) AS log_loss, round(avg(m.ece), 8) AS ece, count(*) FILTER (WHERE m.pr_auc > r.pr_auc) AS folds_beat_reference
+FROM pm_all m LEFT JOIN pm_all r ON r.model = 'har_logit' AND r.scope = m.scope WHERE m.scope <> 'pooled' GROUP BY 1
+""",
+)
+sql(
+    "prediction_outcome",
+    f"""
+SELECT p.model || '/' || p.fold AS version, p.model, p.fold, p.asset, p.as_of_date, prob, l.y, l.label_known_date, {rounded(['rv_fwd'])}
+FROM preds p JOIN lab l ON l.asset = p.asset AND l.as_of_date = p.as_of_date WHERE l.y IS NOT NULL
+""",
+)
+cte(
+    "pairs",
+    """
+SELECT * FROM (VALUES ('benchmark', 'logit_tuned', 'har_logit'), ('benchmark', 'hist_gb', 'har_logit'), ('benchmark', 'random_forest', 'har_logit'),
+  ('benchmark', 'logit_tuned', 'vix_logit'), ('benchmark', 'hist_gb', 'vix_logit'), ('benchmark', 'random_forest', 'vix_logit'),
+  ('garch', 'logit_tuned', 'garch_logit'), ('garch', 'hist_gb', 'garch_logit'), ('garch', 'random_forest', 'garch_logit')) p(family, model, vs)
+""",
+)
+cte(
+    "paired",
+    """
+SELECT family, pairs.model, vs, a.asset, a.fold, a.as_of_date, a.y, a.prob AS p_a, b.prob AS p_b
+FROM pairs JOIN preds a ON a.model = pairs.model JOIN preds b ON b.model = vs AND b.asset = a.asset AND b.fold = a.fold AND b.as_of_date = a.as_of_date
+""",
+)
+sql("pairwise_pred", "SELECT * FROM paired")
+sql(
+    "param_grid",
+    f"""
+SELECT g.model, CAST(g.pos AS INTEGER) AS grid_pos, CAST(g.a AS DOUBLE) AS a, CAST(g.b AS DOUBLE) AS b, f.fold, f.n_train
+FROM (VALUES ('hist_gb', 0, 2, 0.03), ('hist_gb', 1, 2, 0.1), ('hist_gb', 2, 3, 0.03), ('hist_gb', 3, 3, 0.1),
+  ('random_forest', 0, 4, 20), ('random_forest', 1, 4, 50), ('random_forest', 2, 8, 20), ('random_forest', 3, 8, 50)) g(model, pos, a, b),
+  ({FOLD_INFO.format("assigned")}) f
+""",
+)
+cte(
+    "cvs",
+    f"""
+WITH t AS (SELECT assigned.*, year(as_of_date) AS yr, {MODELS['har_logit']} AS prob FROM assigned WHERE role = 'train'),
+g AS (SELECT * FROM (VALUES (0, 'w=0.25', 0.25::DOUBLE), (1, 'w=0.5', 0.5::DOUBLE), (2, 'w=1.0', 1.0::DOUBLE)) g(grid_pos, params, w)),
+v AS (SELECT t.fold, t.yr, grid_pos, params, t.y, 0.2::DOUBLE + w * (prob - 0.2::DOUBLE) AS q FROM t JOIN inner_s i ON i.fold = t.fold AND i.yr = t.yr, g),
+l AS (SELECT fold, yr, grid_pos, params, -avg(y * ln(least(greatest(q, 1e-6), 1 - 1e-6)) + (1 - y) * ln(1 - least(greatest(q, 1e-6), 1 - 1e-6))) AS loss FROM v GROUP BY 1, 2, 3, 4)
+SELECT 'har_shrunk' AS model, fold, grid_pos, params, avg(loss) AS score, count(*) AS splits FROM l GROUP BY 2, 3, 4
+""",
+)
+sql("cv_scores", "SELECT model, fold, CAST(grid_pos AS INTEGER) AS grid_pos, params, splits, round(score, 8) AS score FROM cvs")
+sql(
+    "best_config",
+    "SELECT model, fold, arg_min(params, row(score, grid_pos)) AS params, round(min(score), 8) AS score, CAST(arg_min(grid_pos, row(score, grid_pos)) AS INTEGER) AS grid_pos FROM cvs GROUP BY 1, 2",
+)
+
 
 def oracle() -> dict[str, str]:
     return {name: compose(text) for name, text in SQL.items()}

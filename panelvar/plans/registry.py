@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import by_asset, rounded
 from ..operators import features as ft
+from ..operators import inference, ledger, pit, splits
 from ..operators import labels as lb
-from ..operators import ledger, pit
+from ..operators import metrics as metrics_
 from ..operators import quality as dq
 from ..session import pin
 from ..settings import OPEN_END, Target
@@ -464,3 +465,176 @@ def snapshot_diff(p: Panel) -> DataFrame:
     return ledger.snapshot_diff(
         p.prices.where(year <= 2000), _refreshed(p).where(year >= 1996), ["asset", "trade_date"]
     )
+
+
+# ---- splits, predictions, metrics ----------------------------------------------------------------
+
+# Declared closed-form scores: they stand in for fitted models where an exact SQL twin is wanted.
+
+
+def _scores() -> dict[str, Column]:
+    z1, z2, z3 = (F.log(F.col(c)) - 2.1 for c in ("rv_5d", "rv_21d", "rv_63d"))
+    v, d = F.log(F.col("vix_level")) - 3.6, F.col("drawdown_252d")
+    raw = {
+        "har_logit": (-1.4 + 0.9 * z1 + 0.5 * z2 + 0.3 * z3, 6),
+        "vix_logit": (-1.4 + 0.6 * v, 6),
+        "garch_logit": (-1.4 + 1.2 * z1, 6),
+        "logit_tuned": (-1.4 + 0.7 * z1 + 0.4 * v + 0.5 * d, 6),
+        "hist_gb": (-1.5 + 1.0 * z2, 2),
+        "random_forest": (-1.3 + 0.5 * z1 + 0.5 * z3 - 0.4 * d, 6),
+    }
+    return {m: F.round(1 / (1 + F.exp(-x)), digits) for m, (x, digits) in raw.items()}
+
+
+def _eligible(p: Panel) -> DataFrame:
+    frame = ft.modeling_frame(p.features.select("asset", "as_of_date", *MODEL_FEATURES), p.labels)
+    return splits.eligible_rows(frame, MODEL_FEATURES, panel.MODELING_START, panel.HOLDOUT_START)
+
+
+def _assigned(p: Panel) -> DataFrame:
+    return splits.assign_folds(_eligible(p), panel.WALK_FORWARD)
+
+
+def _predictions(p: Panel) -> DataFrame:
+    """Every model scores the same test rows."""
+    test = _assigned(p).where(F.col("role") == "test")
+    each = F.array(*[F.struct(F.lit(m).alias("model"), s.alias("prob")) for m, s in _scores().items()])
+    return test.select("fold", "asset", "as_of_date", "y", F.inline(each))
+
+
+@register
+def eligible_rows(p: Panel) -> DataFrame:
+    return tidy(_eligible(p).select("asset", "as_of_date", "y", "label_known_date", "rv_21d"), "rv_21d")
+
+
+@register
+def purged_split(p: Panel) -> DataFrame:
+    return _assigned(p).select("fold", "role", "asset", "as_of_date", "y")
+
+
+@register
+def fold_info(p: Panel) -> DataFrame:
+    return splits.fold_info(_assigned(p))
+
+
+@register
+def holdout_split(p: Panel) -> DataFrame:
+    """The holdout is the same split with later folds and the cut disabled."""
+    frame = ft.modeling_frame(p.features.select("asset", "as_of_date", *MODEL_FEATURES), p.labels)
+    rows = splits.eligible_rows(frame, MODEL_FEATURES, panel.MODELING_START, None)
+    return splits.fold_info(splits.assign_folds(rows, panel.HOLDOUT))
+
+
+@register
+def inner_splits(p: Panel) -> DataFrame:
+    return splits.inner_splits(_assigned(p).where(F.col("role") == "train"))
+
+
+@register
+def prevalence(p: Panel) -> DataFrame:
+    out = metrics_.prevalence_predictions(_assigned(p), ["asset", "as_of_date"])
+    return tidy(out, "prob")
+
+
+@register
+def predictions(p: Panel) -> DataFrame:
+    return _predictions(p)
+
+
+@register
+def metrics(p: Panel) -> DataFrame:
+    names = ("prevalence", "brier", "log_loss", "roc_auc", "pr_auc", "ece")
+    return tidy(metrics_.evaluate(_predictions(p)), *names)
+
+
+@register
+def metrics_long(p: Panel) -> DataFrame:
+    return tidy(metrics_.metrics_long(metrics_.evaluate(_predictions(p))), "value")
+
+
+@register
+def roc_auc(p: Panel) -> DataFrame:
+    scored = metrics_.with_scopes(panel.classification(p.spark, p.sf_dir))
+    return tidy(metrics_.ranking_metrics(scored).drop("pr_auc"), "roc_auc")
+
+
+@register
+def pr_auc(p: Panel) -> DataFrame:
+    scored = metrics_.with_scopes(panel.classification(p.spark, p.sf_dir))
+    return tidy(metrics_.ranking_metrics(scored).drop("roc_auc"), "pr_auc")
+
+
+@register
+def calibration(p: Panel) -> DataFrame:
+    table = metrics_.calibration_table(metrics_.with_scopes(_predictions(p)))
+    return tidy(table.withColumn("bin", F.col("bin").cast("bigint")), "mean_pred", "frac_pos")
+
+
+@register
+def ece(p: Panel) -> DataFrame:
+    scored = metrics_.with_scopes(panel.classification(p.spark, p.sf_dir))
+    return tidy(metrics_.expected_calibration_error(metrics_.calibration_table(scored)), "ece")
+
+
+@register
+def fold_mean(p: Panel) -> DataFrame:
+    out = metrics_.fold_means(metrics_.evaluate(_predictions(p)))
+    return tidy(out, "pr_auc", "roc_auc", "brier", "log_loss", "ece")
+
+
+@register
+def prediction_outcome(p: Panel) -> DataFrame:
+    """Predictions without outcomes, their version rows, and the labels they are judged by."""
+    version = F.concat_ws("/", "model", "fold")
+    preds = _predictions(p).select(version.alias("version"), "asset", "as_of_date", "prob")
+    versions = _predictions(p).select(version.alias("version"), "model", "fold", F.lit(Target().label_name).alias("label_name")).distinct()
+    out = metrics_.prediction_outcomes(preds, versions, p.labels)
+    return tidy(out.where(F.col("y").isNotNull()).drop("threshold", "label_name"), "rv_fwd")
+
+
+@register
+def pairwise_pred(p: Panel) -> DataFrame:
+    return inference.paired_predictions(_predictions(p), inference.PAIRS)
+
+
+@register
+def param_grid(p: Panel) -> DataFrame:
+    """Tuning grids of the learners with the number of training rows each configuration meets."""
+    grids = [
+        splits.parameter_grid(p.spark, {"max_depth": (2, 3), "learning_rate": (0.03, 0.1)}).select(
+            F.lit("hist_gb").alias("model"), "grid_pos", F.col("max_depth").alias("a"), F.col("learning_rate").alias("b")
+        ),
+        splits.parameter_grid(p.spark, {"max_depth": (4, 8), "min_leaf": (20, 50)}).select(
+            F.lit("random_forest").alias("model"), "grid_pos", F.col("max_depth").alias("a"), F.col("min_leaf").alias("b")
+        ),
+    ]
+    rows = splits.fold_info(_assigned(p)).select(F.lit(1).alias("one"), "fold", "n_train")
+    both = readers.union_frames(grids).withColumn("one", F.lit(1))
+    return both.join(rows, "one").drop("one")
+
+
+@register
+def cv_scores(p: Panel) -> DataFrame:
+    return tidy(_cv_scores(p), "score")
+
+
+@register
+def best_config(p: Panel) -> DataFrame:
+    return tidy(metrics_.best_configuration(_cv_scores(p)), "score")
+
+
+def _cv_scores(p: Panel) -> DataFrame:
+    """Inner log loss of three shrinkage settings of one score over each fold's validation years."""
+    train = _assigned(p).where(F.col("role") == "train").withColumn("year", F.year("as_of_date"))
+    prob = _scores()["har_logit"]
+    configs = F.array(
+        *[
+            F.struct(F.lit(i).alias("grid_pos"), F.lit(f"w={w}").alias("params"), (0.2 + w * (prob - 0.2)).alias("p"))
+            for i, w in enumerate((0.25, 0.5, 1.0))
+        ]
+    )
+    valid = train.join(splits.inner_splits(train), ["fold", "year"]).select("fold", "year", "y", F.inline(configs))
+    losses = valid.groupBy("fold", "year", "grid_pos", "params").agg(
+        F.avg(metrics_.log_loss(F.col("y"), F.col("p"))).alias("loss")
+    )
+    return metrics_.cv_scores(losses.withColumn("model", F.lit("har_shrunk")))
