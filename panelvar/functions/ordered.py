@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
@@ -23,72 +23,77 @@ def bucket_edges(df: DataFrame, by: Sequence[str], value: str, buckets: int = BU
 
     Two runs of a sketch may differ, so the small table is pinned before anything joins it.
     """
-    cuts = [i / buckets for i in range(1, buckets)]
-    sketch = F.percentile_approx(value, cuts, 1000)
-    return pin(df.groupBy(*by).agg(F.array_sort(F.array_distinct(sketch)).alias("edges")))
-
-
-def with_bucket(df: DataFrame, edges: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Adds ``bucket``: the number of edges below the value, so equal values share a bucket."""
-    below = F.size(F.filter("edges", lambda e: e < F.col(value)))
-    # One row per group; left to adaptive execution, which broadcasts it when it is small.
-    return df.join(edges, list(by)).withColumn("bucket", below).drop("edges")
+    cuts = ", ".join(str(i / buckets) for i in range(1, buckets))
+    sketch = F.expr(f"array_sort(array_distinct(percentile_approx({value}, array({cuts}), 1000))) AS edges")
+    return pin(df.groupBy(*by).agg(sketch))
 
 
 def running_totals(
     df: DataFrame, by: Sequence[str], value: str, totals: Sequence[str], descending: bool = False, buckets: int = BUCKETS
 ) -> DataFrame:
-    """Adds ``cum_{c}`` for each column: the inclusive running sum over distinct ordered values.
+    """Adds ``cum_{c}`` for each column: the inclusive running sum over ordered values.
 
-    ``df`` must have one row per (by, value).
+    ``df`` has one row per (by, value). A value's bucket is the number of edges below it.
     """
     by = list(by)
-    placed = with_bucket(df, bucket_edges(df, by, value, buckets), by, value)
-    order = F.desc if descending else F.asc
-    local = Window.partitionBy(*by, "bucket").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy(order("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy(*by, "bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in totals])
-    offsets = offsets.select(
-        *by, "bucket", *[F.coalesce(F.sum(f"_b_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in totals]
+    edges = bucket_edges(df, by, value, buckets)
+    # One row per group; left to adaptive execution, which broadcasts it when it is small.
+    placed = df.join(edges, by).selectExpr(
+        *[f"`{c}`" for c in df.columns], f"size(filter(edges, e -> e < `{value}`)) AS bucket"
+    )
+    keys, way = ", ".join(by), "DESC" if descending else "ASC"
+    inside = placed.selectExpr(
+        "*",
+        *[
+            f"sum({c}) OVER (PARTITION BY {keys}, bucket ORDER BY {value} {way} ROWS UNBOUNDED PRECEDING) AS in_{c}"
+            for c in totals
+        ],
+    )
+    before = f"OVER (PARTITION BY {keys} ORDER BY bucket {way} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offsets = (
+        placed.groupBy(*by, "bucket")
+        .agg(*[F.sum(c).alias(f"b_{c}") for c in totals])
+        .selectExpr(*by, "bucket", *[f"coalesce(sum(b_{c}) {before}, 0) AS o_{c}" for c in totals])
     )
-    inside = placed.withColumns({f"cum_{c}": F.sum(c).over(local) for c in totals})
-    joined = inside.join(offsets, [*by, "bucket"])
-    return joined.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_o_{c}") for c in totals}).drop(
-        "bucket", *[f"_o_{c}" for c in totals]
+    return inside.join(offsets, [*by, "bucket"]).selectExpr(
+        *[f"`{c}`" for c in df.columns], *[f"in_{c} + o_{c} AS cum_{c}" for c in totals]
     )
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], buckets: int = BUCKETS
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    qs: Sequence[float],
+    weight: str | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """(by..., q, quantile): linear-interpolation quantiles, exact for groups of any size.
 
-    Values reduce to counts, running counts give each value its rank range, and a quantile picks the
-    one or two values whose ranks it needs.
+    Values reduce to counts (``weight`` names an existing count), running counts give each value its
+    zero-based ranks cum_n - n to cum_n - 1, and a quantile picks the two values whose ranks it needs.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    ranked = running_totals(counts, by, value, ["n"], buckets=buckets)
+    counts = df.where(F.col(value).isNotNull())
+    counts = (
+        counts.groupBy(*by, value).agg(F.count("*").alias("n"))
+        if weight is None
+        else counts.select(*by, value, F.col(weight).alias("n"))
+    )
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("size"))
-
-    def wanted(q: float) -> Column:
-        pos = F.lit(float(q)) * (F.col("size") - 1)
-        low = F.floor(pos)
-        return F.struct(
-            F.lit(float(q)).alias("q"),
-            low.alias("low"),
-            F.least(low + 1, F.col("size") - 1).alias("high"),
-            (pos - low).alias("weight"),
-        )
-
-    # Zero-based ranks of a value run from cum_n - n to cum_n - 1.
-    hits = ranked.join(sizes, by).withColumn("t", F.explode(F.array(*[wanted(q) for q in qs])))
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
-    at_low = F.col("t.low").between(first, last)
-    at_high = F.col("t.high").between(first, last)
+    levels = ", ".join(f"{float(q)}D" for q in qs)
+    wanted = (
+        f"transform(array({levels}), q -> struct(q AS q, floor(q * (size - 1)) AS low, "
+        "least(floor(q * (size - 1)) + 1, size - 1) AS high, q * (size - 1) - floor(q * (size - 1)) AS weight))"
+    )
+    ranked = running_totals(counts, by, value, ["n"], buckets=buckets).join(sizes, by)
+    hit = "filter({w}, t -> t.low BETWEEN cum_n - n AND cum_n - 1 OR t.high BETWEEN cum_n - n AND cum_n - 1)"
+    hits = ranked.selectExpr(*by, f"`{value}` AS v", "n", "cum_n", f"explode({hit.format(w=wanted)}) AS t")
     return (
-        hits.where(at_low | at_high)
-        .groupBy(*by, F.col("t.q").alias("q"), F.col("t.weight").alias("weight"))
-        .agg(F.max(F.when(at_low, F.col(value))).alias("a"), F.max(F.when(at_high, F.col(value))).alias("b"))
-        .select(*by, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("weight")).alias("quantile"))
+        hits.groupBy(*by, "t.q", "t.weight")
+        .agg(
+            F.expr("max(CASE WHEN t.low BETWEEN cum_n - n AND cum_n - 1 THEN v END) AS a"),
+            F.expr("max(CASE WHEN t.high BETWEEN cum_n - n AND cum_n - 1 THEN v END) AS b"),
+        )
+        .selectExpr(*by, "q", "a + (b - a) * weight AS quantile")
     )

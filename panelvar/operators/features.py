@@ -10,10 +10,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import by_asset, clip, finite, full, ln, ratio, trailing
+from ..functions.frames import clip
 from ..session import pin
 from ..settings import LOG_FEATURES, LOG_FLOOR, TRADING_DAYS, PanelRoles
 from .pit import asof_daily, pit_lagged
@@ -77,63 +77,70 @@ def feature_sets(registry: DataFrame) -> DataFrame:
     return registry.select(F.explode(sets).alias("set_name"), "name")
 
 
-def _annualised(mean_square: Column, scale: float = 1.0) -> Column:
-    return F.sqrt(F.lit(TRADING_DAYS * scale) * mean_square)
+# Expressions below are SQL text: a wide projection is then one call instead of hundreds of nodes.
+_W = "PARTITION BY asset ORDER BY trade_date"
+_TO_DATE = f"OVER ({_W} ROWS UNBOUNDED PRECEDING)"
 
 
-def _mean_over(col: Column, n: int) -> Column:
-    return full(col, F.avg(col), trailing(by_asset(), n), n)
+def _lag(col: str, k: int) -> str:
+    return f"lag({col}, {k}) OVER ({_W})"
 
 
-def realized_vol(r: Column, n: int) -> Column:
-    return _annualised(_mean_over(F.pow(r, 2), n))
+def _frame(n: int) -> str:
+    return f"OVER ({_W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-def semideviation(r: Column, n: int) -> Column:
-    return _annualised(_mean_over(F.pow(clip(r, high=0), 2), n))
-
-
-def drawdown_from_high(price: Column, n: int) -> Column:
-    return ratio(price, full(price, F.max(price), trailing(by_asset(), n), n)) - 1
-
-
-def parkinson(log_range: Column, n: int) -> Column:
-    return _annualised(_mean_over(F.pow(log_range, 2), n), 1 / (4 * math.log(2)))
-
-
-def garman_klass(log_range: Column, log_body: Column, n: int) -> Column:
-    term = F.lit(0.5) * F.pow(log_range, 2) - F.lit(2 * math.log(2) - 1) * F.pow(log_body, 2)
-    return _annualised(clip(_mean_over(term, n), low=0))
-
-
-def log_volume_ratio(volume: Column, n: int) -> Column:
-    return ln(ratio(volume, _mean_over(volume, n)))
-
-
-def change(level: Column, k: int) -> Column:
-    return level - F.lag(level, k).over(by_asset())
+def _filled(count: str, n: int) -> str:
+    """True where the last ``n`` rows all carry a value, from a running count of values."""
+    return f"({count} - coalesce({_lag(count, n)}, 0) = {n})"
 
 
 def price_features(prices: DataFrame) -> DataFrame:
-    """Own-price features of every asset, next to the input columns."""
-    w = by_asset()
-    base = prices.withColumns(
-        {
-            "lc": ln(F.col("close")),
-            "lrange": ln(ratio(F.col("high"), F.col("low"))),
-            "lbody": ln(ratio(F.col("close"), F.col("open"))),
-        }
-    ).withColumns({f"ret_{k}d": F.col("lc") - F.lag("lc", k).over(w) for k in (1, 5, 21, 63)})
-    r = F.col("ret_1d")
-    return base.withColumns(
-        {
-            **{f"rv_{n}d": realized_vol(r, n) for n in (5, 21, 63)},
-            "semidev_21d": semideviation(r, 21),
-            "drawdown_252d": drawdown_from_high(F.col("close"), 252),
-            "parkinson_21d": parkinson(F.col("lrange"), 21),
-            "garman_klass_21d": garman_klass(F.col("lrange"), F.col("lbody"), 21),
-        }
-    ).drop("lc", "lrange", "lbody")
+    """Own-price features of every asset, next to the input columns.
+
+    Frames stay short: sums over 63 rows and highs over 252 rows are put together from 21-row pieces
+    (3 and 12 of them), and completeness comes from running counts rather than from more frames.
+    """
+    logs = prices.selectExpr(
+        "*",
+        "CASE WHEN close > 0 THEN ln(close) END AS lc",
+        "CASE WHEN high > 0 AND low > 0 THEN pow(ln(high / low), 2) END AS range2",
+        "CASE WHEN high > 0 AND low > 0 AND close > 0 AND open > 0 THEN "
+        f"0.5D * pow(ln(high / low), 2) - {2 * math.log(2) - 1}D * pow(ln(close / open), 2) END AS gk",
+    )
+    returns = logs.selectExpr("*", *[f"lc - {_lag('lc', k)} AS ret_{k}d" for k in (1, 5, 21, 63)])
+    squares = returns.selectExpr(
+        "*",
+        "pow(ret_1d, 2) AS r2",
+        "CASE WHEN ret_1d IS NOT NULL THEN pow(least(ret_1d, 0.0D), 2) END AS down2",
+        f"count(ret_1d) {_TO_DATE} AS n_r",
+        f"count(close) {_TO_DATE} AS n_c",
+        f"count(range2) {_TO_DATE} AS n_h",
+        f"count(gk) {_TO_DATE} AS n_g",
+    )
+    pieces = squares.selectExpr(
+        "*",
+        f"CASE WHEN {_filled('n_r', 5)} THEN sum(r2) {_frame(5)} END AS s5",
+        f"CASE WHEN {_filled('n_r', 21)} THEN sum(r2) {_frame(21)} END AS s21",
+        f"CASE WHEN {_filled('n_r', 21)} THEN sum(down2) {_frame(21)} END AS d21",
+        f"CASE WHEN {_filled('n_h', 21)} THEN sum(range2) {_frame(21)} END AS h21",
+        f"CASE WHEN {_filled('n_g', 21)} THEN sum(gk) {_frame(21)} END AS g21",
+        f"max(close) {_frame(21)} AS high21",
+        f"{_filled('n_c', 252)} AS year_filled",
+    )
+    year_high = ", ".join(["high21", *[_lag("high21", 21 * i) for i in range(1, 12)]])
+    td = f"{float(TRADING_DAYS)}D"
+    return pieces.selectExpr(
+        *prices.columns,
+        *[f"ret_{k}d" for k in (1, 5, 21, 63)],
+        f"sqrt({td} * s5 / 5) AS rv_5d",
+        f"sqrt({td} * s21 / 21) AS rv_21d",
+        f"sqrt({td} * (s21 + {_lag('s21', 21)} + {_lag('s21', 42)}) / 63) AS rv_63d",
+        f"sqrt({td} * d21 / 21) AS semidev_21d",
+        f"CASE WHEN year_filled THEN try_divide(close, greatest({year_high})) - 1 END AS drawdown_252d",
+        f"sqrt({TRADING_DAYS / (4 * math.log(2))}D * h21 / 21) AS parkinson_21d",
+        f"CASE WHEN g21 IS NOT NULL THEN sqrt({td} * greatest(g21 / 21, 0.0D)) END AS garman_klass_21d",
+    )
 
 
 def member_returns(market: DataFrame, members: tuple[str, ...]) -> DataFrame:
@@ -141,47 +148,44 @@ def member_returns(market: DataFrame, members: tuple[str, ...]) -> DataFrame:
 
     Returns (trade_date, asset, r) with one row per market date and member.
     """
-    spine = market.where(F.col("on_market") == 1).select(
-        "trade_date", "levels", F.explode(F.array(*[F.lit(m) for m in members])).alias("asset")
-    )
-    level = ln(F.try_element_at("levels", F.col("asset")))
-    return spine.select("trade_date", "asset", level.alias("lc")).select(
-        "trade_date", "asset", (F.col("lc") - F.lag("lc").over(by_asset())).alias("r")
+    names = ", ".join(f"'{m}'" for m in members)
+    levels = market.where("on_market = 1").selectExpr("trade_date", "levels", f"explode(array({names})) AS asset")
+    logs = levels.selectExpr("trade_date", "asset", "try_element_at(levels, asset) AS p").selectExpr(
+        "trade_date", "asset", "CASE WHEN p > 0 THEN ln(p) END AS lc"
     )
+    return logs.selectExpr("trade_date", "asset", f"lc - {_lag('lc', 1)} AS r")
 
 
-def sector_dispersion(returns: DataFrame, n_members: int) -> DataFrame:
-    """Sample standard deviation over the members per date, only where all are present."""
-    return returns.groupBy("trade_date").agg(
-        F.when(F.count("r") == n_members, F.stddev_samp("r")).alias("sector_dispersion_1d")
-    )
+def cross_section(returns: DataFrame, n_members: int, window: int = 21) -> DataFrame:
+    """Per date: sample deviation over the members, and their mean pairwise correlation.
 
-
-def average_pair_correlation(returns: DataFrame, n_members: int, window: int = 21) -> DataFrame:
-    """Mean correlation over all member pairs in a trailing window, without forming the pairs.
-
-    With every member standardised inside the window, the correlations of all ordered pairs add up
-    to the sum over days of (sum over members)^2. So a date needs ``window`` sums, and work is linear
-    in the number of members. A gap or a constant member inside the window gives NULL.
+    The deviation needs all members present. For the correlation no pair is ever formed: with every
+    member standardised inside the trailing window, the correlations of all ordered pairs add up to
+    the sum over days of (sum over members)^2, so a date needs ``window`` sums and work is linear in
+    the number of members. A gap or a constant member inside the window gives NULL.
     """
-    frame = trailing(by_asset(), window)
-    r = F.col("r")
-    local = returns.select(
+    local = returns.selectExpr(
         "trade_date",
-        F.when(F.count(r).over(frame) == window, F.collect_list(r).over(frame)).alias("x"),
-        F.avg(r).over(frame).alias("mean"),
+        "r",
+        f"collect_list(r) {_frame(window)} AS x",
+        f"avg(r) {_frame(window)} AS mean",
+    ).selectExpr(
+        "trade_date", "r", f"CASE WHEN size(x) = {window} THEN transform(x, v -> v - mean) END AS c"
+    )
+    z = local.selectExpr("trade_date", "r", "c", "sqrt(aggregate(c, 0.0D, (s, v) -> s + v * v)) AS norm").selectExpr(
+        "trade_date", "r", "CASE WHEN norm > 0 THEN transform(c, v -> v / norm) END AS z"
     )
-    centred = F.transform("x", lambda v: v - F.col("mean"))
-    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, v: s + v * v))
-    z = local.withColumn("c", centred).withColumn("norm", norm).where(F.col("norm") > 0)
     sums = z.groupBy("trade_date").agg(
-        F.count("*").alias("k"),
-        *[F.sum(F.get("c", F.lit(j)) / F.col("norm")).alias(f"s{j}") for j in range(window)],
+        F.expr("count(z) AS k"),
+        F.expr(f"CASE WHEN count(r) = {n_members} THEN stddev_samp(r) END AS sector_dispersion_1d"),
+        *[F.expr(f"sum(z[{j}]) AS s{j}") for j in range(window)],
     )
-    total = sum((F.pow(F.col(f"s{j}"), 2) for j in range(1, window)), F.pow(F.col("s0"), 2))
-    k = float(n_members)
-    return sums.where(F.col("k") == n_members).select(
-        "trade_date", ((total - k) / (k * (k - 1))).alias("sector_avgcorr_21d")
+    total = " + ".join(f"s{j} * s{j}" for j in range(window))
+    pairs = n_members * (n_members - 1)
+    return sums.selectExpr(
+        "trade_date",
+        "sector_dispersion_1d",
+        f"CASE WHEN k = {n_members} THEN ({total} - {n_members}) / {pairs} END AS sector_avgcorr_21d",
     )
 
 
@@ -191,37 +195,41 @@ def market_series(prices: DataFrame, roles: PanelRoles, implied_scale: float = 1
     ``levels`` maps each sector member to its adjusted close (as many entries as configured members).
     """
 
-    def pick(asset: str, col: str) -> Column:
-        return F.max(F.when(F.col("asset") == asset, F.col(col)))
+    def pick(asset: str, col: str) -> str:
+        return f"max(CASE WHEN asset = '{asset}' THEN {col} END)"
 
-    member = F.when(F.col("asset").isin(*roles.sector), F.struct("asset", "adj_close"))
+    names = ", ".join(f"'{m}'" for m in roles.sector)
+    spread = f"try_divide({pick(roles.credit[0], 'adj_close')}, {pick(roles.credit[1], 'adj_close')})"
     return prices.groupBy("trade_date").agg(
-        F.max(F.when(F.col("asset") == roles.market, 1)).alias("on_market"),
-        (pick(roles.implied_vol, "close") / implied_scale).alias("vix"),
-        pick(roles.volume, "volume").cast("double").alias("mkt_volume"),
-        ln(ratio(pick(roles.credit[0], "adj_close"), pick(roles.credit[1], "adj_close"))).alias("credit"),
-        F.map_from_entries(F.collect_list(member)).alias("levels"),
+        F.expr(f"max(CASE WHEN asset = '{roles.market}' THEN 1 END) AS on_market"),
+        F.expr(f"{pick(roles.implied_vol, 'close')} / {float(implied_scale)}D AS vix"),
+        F.expr(f"cast({pick(roles.volume, 'volume')} AS double) AS mkt_volume"),
+        F.expr(f"CASE WHEN {spread} > 0 THEN ln({spread}) END AS credit"),
+        F.expr(f"map_from_entries(collect_list(CASE WHEN asset IN ({names}) THEN struct(asset, adj_close) END)) AS levels"),
     )
 
 
-def macro_series(daily: DataFrame, monthly: DataFrame, dates: DataFrame, roles: PanelRoles) -> DataFrame:
-    """One row per date with the macro values known at its close."""
+def macro_levels(daily: DataFrame, dates: DataFrame, roles: PanelRoles) -> DataFrame:
+    """One row per date with the daily rates known at its close."""
     levels = {"dff": roles.policy_rate, "d10": roles.ten_year, "d2": roles.two_year, "spread": roles.term_spread}
-    known = (
-        asof_daily(daily.where(F.col("series").isin(*levels.values())), dates)
-        .groupBy("as_of_date")
-        .agg(*[F.max(F.when(F.col("series") == s, F.col("value"))).alias(c) for c, s in levels.items()])
+    known = asof_daily(daily.where(F.col("series").isin(*levels.values())), dates)
+    return known.groupBy("as_of_date").agg(
+        *[F.expr(f"max(CASE WHEN series = '{s}' THEN value END) AS {c}") for c, s in levels.items()]
     )
-    job, index = F.col("series") == roles.unemployment, F.col("series") == roles.price_index
-    snapshot = (
-        pit_lagged(monthly, dates, {roles.unemployment: 1, roles.price_index: 12})
-        .groupBy("as_of_date")
-        .agg(
-            F.max(F.when(job, F.col("latest") - F.col("lagged"))).alias("unrate_chg_1m"),
-            F.max(F.when(index, ratio(F.col("latest"), F.col("lagged")) - 1)).alias("cpi_yoy"),
-        )
+
+
+def macro_snapshots(monthly: DataFrame, dates: DataFrame, roles: PanelRoles) -> DataFrame:
+    """One row per date with the month-over-month and year-over-year changes of one snapshot."""
+    lagged = pit_lagged(monthly, dates, {roles.unemployment: 1, roles.price_index: 12})
+    return lagged.groupBy("as_of_date").agg(
+        F.expr(f"max(CASE WHEN series = '{roles.unemployment}' THEN latest - lagged END) AS unrate_chg_1m"),
+        F.expr(f"max(CASE WHEN series = '{roles.price_index}' THEN try_divide(latest, lagged) - 1 END) AS cpi_yoy"),
     )
-    return known.join(snapshot, "as_of_date", "full_outer")
+
+
+_RATES = ("dff_chg_21d", "dgs10_chg_5d", "dgs10_chg_21d", "dgs2_chg_5d", "t10y2y_level")
+_SNAPSHOT = ("unrate_chg_1m", "cpi_yoy")
+_CROSS = ("sector_dispersion_1d", "sector_avgcorr_21d")
 
 
 def compute_features(
@@ -230,41 +238,45 @@ def compute_features(
     monthly: DataFrame,
     roles: PanelRoles,
     implied_scale: float = 1.0,
+    names: tuple[str, ...] = ALL_FEATURES,
 ) -> DataFrame:
-    """(asset, as_of_date, 26 features) for every asset of the panel."""
-    # Calendar-sized and read by five branches below, so it is written once and read back.
+    """(asset, as_of_date, features) for every asset; branches that no name needs are not built."""
+    # Calendar-sized and read by several branches, so it is written once and read back.
     market = pin(market_series(prices, roles, implied_scale))
     dates = market.select(F.col("trade_date").alias("as_of_date"))
-    macro = macro_series(daily, monthly, dates, roles).withColumnRenamed("as_of_date", "trade_date")
-    members = member_returns(market, roles.sector)
-    k = len(roles.sector)
-    shared = (
-        market.drop("on_market", "levels")
-        .join(macro, "trade_date", "left")
-        .join(sector_dispersion(members, k), "trade_date", "left")
-        .join(average_pair_correlation(members, k), "trade_date", "left")
-    )
+    shared = market.drop("on_market", "levels")
+
+    def needs(group: tuple[str, ...]) -> bool:
+        return bool(set(group) & set(names))
+
+    if needs(_RATES):
+        shared = shared.join(macro_levels(daily, dates, roles).withColumnRenamed("as_of_date", "trade_date"), "trade_date", "left")
+    if needs(_SNAPSHOT):
+        snap = macro_snapshots(monthly, dates, roles).withColumnRenamed("as_of_date", "trade_date")
+        shared = shared.join(snap, "trade_date", "left")
+    if needs(_CROSS):
+        shared = shared.join(cross_section(member_returns(market, roles.sector), len(roles.sector)), "trade_date", "left")
     # At most one row per calendar day, whatever the size of the panel: a bounded broadcast.
     joined = price_features(prices).join(F.broadcast(shared), "trade_date", "left")
-    out = joined.withColumns(
-        {
-            "vix_level": F.col("vix"),
-            "vix_chg_1d": change(F.col("vix"), 1),
-            "vix_chg_5d": change(F.col("vix"), 5),
-            "vrp_proxy": F.col("vix") / 100 - F.col("rv_21d"),
-            "spy_volume_ratio_21d": log_volume_ratio(F.col("mkt_volume"), 21),
-            "dff_chg_21d": change(F.col("dff"), 21),
-            "dgs10_chg_5d": change(F.col("d10"), 5),
-            "dgs10_chg_21d": change(F.col("d10"), 21),
-            "dgs2_chg_5d": change(F.col("d2"), 5),
-            "t10y2y_level": F.col("spread"),
-            "hyg_lqd_chg_5d": change(F.col("credit"), 5),
-        }
-    )
-    return out.select(
-        "asset",
-        F.col("trade_date").alias("as_of_date"),
-        *[finite(F.col(c).cast("double")).alias(c) for c in ALL_FEATURES],
+    derived = {
+        "vix_level": "vix",
+        "vix_chg_1d": f"vix - {_lag('vix', 1)}",
+        "vix_chg_5d": f"vix - {_lag('vix', 5)}",
+        "vrp_proxy": "vix / 100 - rv_21d",
+        "spy_volume_ratio_21d": (
+            f"CASE WHEN count(mkt_volume) {_frame(21)} = 21 AND mkt_volume > 0 "
+            f"THEN ln(mkt_volume / avg(mkt_volume) {_frame(21)}) END"
+        ),
+        "dff_chg_21d": f"dff - {_lag('dff', 21)}",
+        "dgs10_chg_5d": f"d10 - {_lag('d10', 5)}",
+        "dgs10_chg_21d": f"d10 - {_lag('d10', 21)}",
+        "dgs2_chg_5d": f"d2 - {_lag('d2', 5)}",
+        "t10y2y_level": "spread",
+        "hyg_lqd_chg_5d": f"credit - {_lag('credit', 5)}",
+    }
+    wide = joined.selectExpr("asset", "trade_date AS as_of_date", *[f"{derived.get(c, c)} AS {c}" for c in names])
+    return wide.selectExpr(
+        "asset", "as_of_date", *[f"CASE WHEN abs({c}) < double('inf') THEN {c} END AS {c}" for c in names]
     )
 
 

@@ -13,90 +13,94 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import clip
 from ..functions.ordered import exact_quantiles, running_totals
+from ..session import pin
 from ..settings import PROB_CLIP
 
 KEYS = ("model", "scope")
 
 
-def with_scopes(preds: DataFrame) -> DataFrame:
-    """Every prediction once under its fold and once under ``pooled``."""
-    return preds.select("*", F.explode(F.array("fold", F.lit("pooled"))).alias("scope"))
-
-
 def log_loss(y: Column, p: Column) -> Column:
     c = clip(p, PROB_CLIP, 1 - PROB_CLIP)
     return -(y * F.log(c) + (1 - y) * F.log(1 - c))
 
 
-def score_counts(scored: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    y = F.col("y").cast("bigint")
-    return scored.groupBy(*by, "prob").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+def score_counts(preds: DataFrame) -> DataFrame:
+    """(model, scope, prob, pos, neg): outcomes per distinct score, per fold and pooled.
+
+    Every metric is a function of this table. Folds are counted first and the pooled scope is added
+    from the counts; the result is pinned, because all metrics read it.
+    """
+    folds = preds.groupBy("model", "fold", "prob").agg(
+        F.expr("sum(cast(y AS bigint)) AS pos"), F.expr("sum(1 - cast(y AS bigint)) AS neg")
+    )
+    scopes = folds.selectExpr("model", "prob", "pos", "neg", "explode(array(fold, 'pooled')) AS scope")
+    return pin(
+        scopes.groupBy("model", "scope", "prob").agg(F.expr("sum(pos) AS pos"), F.expr("sum(neg) AS neg"))
+    )
 
 
-def probability_metrics(scored: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    y, p = F.col("y"), F.col("prob")
-    return scored.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.avg("y").alias("prevalence"),
-        F.avg(F.pow(p - y, 2)).alias("brier"),
-        F.avg(log_loss(y, p)).alias("log_loss"),
+def probability_metrics(counts: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
+    p = f"greatest(least(prob, {1 - PROB_CLIP}D), {PROB_CLIP}D)"
+    return counts.groupBy(*by).agg(
+        F.expr("sum(pos + neg) AS n"),
+        F.expr("sum(pos) / sum(pos + neg) AS prevalence"),
+        F.expr("sum(pos * pow(prob - 1, 2) + neg * pow(prob, 2)) / sum(pos + neg) AS brier"),
+        F.expr(f"-sum(pos * ln({p}) + neg * ln(1 - {p})) / sum(pos + neg) AS log_loss"),
     )
 
 
-def ranking_metrics(scored: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """ROC-AUC (ties count half) and average precision; NULL where only one class occurs."""
-    by = list(by)
-    counts = score_counts(scored, by)
+def ranking_metrics(counts: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
+    """ROC-AUC (ties count half) and average precision; NULL where only one class occurs.
+
+    Going down the scores, a negative is beaten by the positives above it and half of its ties.
+    """
     ranked = running_totals(counts, by, "prob", ["pos", "neg"], descending=True)
-    pos, neg = F.col("pos"), F.col("neg")
-    # Going down the scores: a negative is beaten by the positives above it and half of its ties.
-    beaten = neg * (F.col("cum_pos") - pos) + neg * pos / 2
-    precision = pos * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     totals = ranked.groupBy(*by).agg(
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(beaten).alias("won"), F.sum(precision).alias("ap")
+        F.expr("sum(pos) AS P"),
+        F.expr("sum(neg) AS N"),
+        F.expr("sum(neg * (cum_pos - pos) + neg * pos / 2) AS won"),
+        F.expr("sum(pos * cum_pos / (cum_pos + cum_neg)) AS ap"),
     )
-    both = (F.col("P") > 0) & (F.col("N") > 0)
-    return totals.select(
+    return totals.selectExpr(
         *by,
-        F.when(both, F.try_divide(F.col("won"), F.col("P") * F.col("N"))).alias("roc_auc"),
-        F.when(both, F.try_divide(F.col("ap"), F.col("P"))).alias("pr_auc"),
+        "CASE WHEN P > 0 AND N > 0 THEN won / (cast(P AS double) * N) END AS roc_auc",
+        "CASE WHEN P > 0 AND N > 0 THEN ap / P END AS pr_auc",
     )
 
 
-def calibration_table(scored: DataFrame, by: Sequence[str] = KEYS, bins: int = 10) -> DataFrame:
+def calibration_table(counts: DataFrame, by: Sequence[str] = KEYS, bins: int = 10) -> DataFrame:
     """Equal-frequency score bins: mean prediction, share of positives, count.
 
     Edges are exact score quantiles with repeats dropped; a bin is closed on the right and the
     lowest edge belongs to the first bin. A constant score gives one bin.
     """
     by = list(by)
-    cells = scored.groupBy(*by, "prob").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("bigint")).alias("pos"))
-    cuts = exact_quantiles(scored, by, "prob", [i / bins for i in range(bins + 1)])
-    edges = cuts.groupBy(*by).agg(F.sort_array(F.collect_set("quantile")).alias("edges"))
+    sized = counts.selectExpr(*by, "prob", "pos", "pos + neg AS n")
+    cuts = exact_quantiles(sized, by, "prob", [i / bins for i in range(bins + 1)], weight="n")
+    edges = cuts.groupBy(*by).agg(F.expr("sort_array(collect_set(quantile)) AS edges"))
     # The first edge is the minimum; the bin is the number of inner edges below the score.
-    below = F.size(F.filter("edges", lambda e: (e < F.col("prob")) & (e > F.element_at("edges", 1))))
-    placed = cells.join(edges, by).withColumn("bin", below)
-    n = F.sum("n")
+    placed = sized.join(edges, by).selectExpr(
+        *by, "prob", "pos", "n", "size(filter(edges, e -> e < prob AND e > edges[0])) AS bin"
+    )
     return placed.groupBy(*by, "bin").agg(
-        (F.sum(F.col("prob") * F.col("n")) / n).alias("mean_pred"),
-        (F.sum("pos") / n).alias("frac_pos"),
-        n.alias("n"),
+        F.expr("sum(prob * n) / sum(n) AS mean_pred"),
+        F.expr("sum(pos) / sum(n) AS frac_pos"),
+        F.expr("sum(n) AS n"),
     )
 
 
 def expected_calibration_error(table: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    gap = F.abs(F.col("mean_pred") - F.col("frac_pos"))
-    return table.groupBy(*by).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"))
+    return table.groupBy(*by).agg(F.expr("sum(n * abs(mean_pred - frac_pos)) / sum(n) AS ece"))
 
 
 def evaluate(preds: DataFrame, bins: int = 10) -> DataFrame:
-    """All metrics per (model, scope), folds and pooled."""
-    scored = with_scopes(preds).select("model", "scope", "prob", "y")
+    """All metrics per (model, scope), folds and pooled, from one pinned table of score counts."""
+    counts = score_counts(preds)
     by = list(KEYS)
     return (
-        probability_metrics(scored)
-        .join(ranking_metrics(scored), by)
-        .join(expected_calibration_error(calibration_table(scored, bins=bins)), by)
+        probability_metrics(counts)
+        .join(ranking_metrics(counts), by)
+        .join(expected_calibration_error(calibration_table(counts, bins=bins)), by)
     )
 
 

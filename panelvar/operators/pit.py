@@ -7,7 +7,7 @@ equi-join, so work grows with dates plus vintages, not with their product.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import OPEN_END
@@ -17,29 +17,25 @@ from ..settings import OPEN_END
 def asof_daily(vintages: DataFrame, dates: DataFrame) -> DataFrame:
     """Daily unrevised series on each date: the newest release at or before it.
 
-    One record per release date (the latest observation released that day); ``valid_to`` plays no
-    part. Each release covers the days until the next one, so the lookup is an equi-join on the day.
+    ``valid_to`` plays no part; among the releases of one day the latest observation counts. Each
+    release covers the days until the next one (no day at all when the next comes on the same day),
+    so the lookup is an equi-join on the day. ``dates`` holds distinct days.
     Returns (series, as_of_date, value).
     """
-    releases = (
-        vintages.where(F.col("value").isNotNull())
-        .groupBy("series", "valid_from")
-        .agg(F.max_by("value", "observation_date").alias("value"))
+    last = dates.select(F.max("as_of_date")).scalar()
+    spans = (
+        vintages.where("value IS NOT NULL")
+        .selectExpr(
+            "series",
+            "value",
+            "valid_from",
+            "lead(valid_from) OVER (PARTITION BY series ORDER BY valid_from, observation_date) AS next_from",
+        )
+        .withColumn("until", F.coalesce(F.expr("date_sub(next_from, 1)"), last))
+        .where("valid_from <= until")
     )
-    spine = dates.select("as_of_date").distinct()
-    last = spine.select(F.max("as_of_date")).scalar()
-    nxt = F.lead("valid_from").over(Window.partitionBy("series").orderBy("valid_from"))
-    days = (
-        releases.withColumn("next_from", nxt)
-        .select("series", "value", "valid_from", F.coalesce(F.date_sub("next_from", 1), last).alias("until"))
-        .where(F.col("valid_from") <= F.col("until"))
-        .select("series", "value", F.explode(F.sequence("valid_from", "until")).alias("as_of_date"))
-    )
-    return days.join(spine, "as_of_date", "left_semi").select("series", "as_of_date", "value")
-
-
-def _month(col: str) -> Column:
-    return F.year(col) * 12 + F.month(col)
+    days = spans.selectExpr("series", "value", "explode(sequence(valid_from, until)) AS as_of_date")
+    return days.join(dates, "as_of_date", "left_semi").select("series", "as_of_date", "value")
 
 
 # Day numbers count from 0001-01-01, and 22 doublings of a day reach past 9999-12-31.
@@ -47,62 +43,40 @@ _DAY_ZERO = 719_162
 _LEVELS = 22
 
 
-def _day(col: Column | str) -> Column:
-    return F.unix_date(col) + F.lit(_DAY_ZERO)
-
-
-def _halve(day: Column, times: Column) -> Column:
-    return F.call_function("shiftright", day, times)
-
-
-def _cover_blocks(first_day: str, last_day: str) -> Column:
-    """Aligned power-of-two day blocks that together cover [first_day, last_day] exactly.
-
-    The block of level k that starts at day n * 2^k has the id n * 32 + k.
-    """
-
-    def blocks(level: Column) -> Column:
-        low = _halve(F.col(first_day) + F.call_function("shiftleft", F.lit(1), level) - 1, level)
-        high = _halve(F.col(last_day) + 1, level)
-        left = F.when((low < high) & (low % 2 == 1), low * 32 + level)
-        right = F.when((low < high) & (high % 2 == 1), (high - 1) * 32 + level)
-        return F.array(left, right)
-
-    return F.array_compact(F.flatten(F.transform(_levels(), blocks)))
-
-
-def _levels() -> Column:
-    return F.sequence(F.lit(0), F.lit(_LEVELS))
+def _day(col: str) -> str:
+    return f"(unix_date({col}) + {_DAY_ZERO})"
 
 
 def pit_latest(vintages: DataFrame, dates: DataFrame) -> DataFrame:
     """Newest observation known on each date, from rows with valid_from <= date <= valid_to.
 
-    Each validity interval is cut into aligned power-of-two blocks of days and each date looks up
-    the blocks that contain it, one per level. Blocks are reduced to their newest observation before
-    the join, so a long-lived vintage costs a handful of rows, never one per day.
-    Returns (series, as_of_date, observation_date, value); dates with nothing known are absent.
+    Each validity interval is cut into aligned power-of-two blocks of days that cover it exactly,
+    and each date looks up the blocks that contain it, one per level. Blocks are reduced to their
+    newest observation before the join, so a long-lived vintage costs a handful of rows, never one
+    per day. The block of level k that starts at day n * 2^k has the id n * 32 + k. ``dates`` holds
+    distinct days. Returns (series, as_of_date, observation_date, value); dates with nothing known
+    are absent.
     """
-    newest = F.max(F.struct("observation_date", F.negate(F.col("a")).alias("k"), "value"))
+    low, high = "shiftright(a + shiftleft(1, k) - 1, k)", "shiftright(b + 1, k)"
+    cover = (
+        f"array_compact(flatten(transform(sequence(0, {_LEVELS}), k -> array("
+        f"CASE WHEN {low} < {high} AND {low} % 2 = 1 THEN {low} * 32 + k END, "
+        f"CASE WHEN {low} < {high} AND {high} % 2 = 1 THEN ({high} - 1) * 32 + k END))))"
+    )
     blocks = (
-        vintages.where(F.col("value").isNotNull())
-        .select("series", "observation_date", "value", _day("valid_from").alias("a"), _day("valid_to").alias("b"))
-        .where(F.col("a") <= F.col("b"))
-        .withColumn("block", F.explode(_cover_blocks("a", "b")))
+        vintages.where("value IS NOT NULL AND valid_from <= valid_to")
+        .selectExpr("series", "observation_date", "value", f"{_day('valid_from')} AS a", f"{_day('valid_to')} AS b")
+        .selectExpr("series", "struct(observation_date, -a AS k, value) AS row", f"explode({cover}) AS block")
         .groupBy("series", "block")
-        .agg(newest.alias("best"))
-    )
-    day = _day("as_of_date")
-    lookups = (
-        dates.select("as_of_date")
-        .distinct()
-        .select("as_of_date", F.explode(F.transform(_levels(), lambda k: _halve(day, k) * 32 + k)).alias("block"))
+        .agg(F.expr("max(row) AS row"))
     )
+    above = f"transform(sequence(0, {_LEVELS}), k -> shiftright({_day('as_of_date')}, k) * 32 + k)"
+    lookups = dates.selectExpr("as_of_date", f"explode({above}) AS block")
     return (
         blocks.join(lookups, "block")
         .groupBy("series", "as_of_date")
-        .agg(F.max("best").alias("best"))
-        .select("series", "as_of_date", "best.observation_date", "best.value")
+        .agg(F.expr("max(row) AS row"))
+        .selectExpr("series", "as_of_date", "row.observation_date", "row.value")
     )
 
 
@@ -115,24 +89,22 @@ def pit_lagged(vintages: DataFrame, dates: DataFrame, lag_months: int | dict[str
     """
     if isinstance(lag_months, dict):
         vintages = vintages.where(F.col("series").isin(*lag_months))
-        pairs = [F.lit(x) for item in lag_months.items() for x in item]
-        lag = F.element_at(F.create_map(*pairs), F.col("series"))
+        lag = "CASE series " + " ".join(f"WHEN '{s}' THEN {k}" for s, k in lag_months.items()) + " END"
     else:
-        lag = F.lit(lag_months)
-    latest = pit_latest(vintages, dates).withColumn("month", _month("observation_date") - lag)
-    known = vintages.where(F.col("value").isNotNull()).select(
-        "series",
-        _month("observation_date").alias("month"),
-        "valid_from",
-        "valid_to",
-        F.col("value").alias("old"),
+        lag = str(lag_months)
+    month = "year(observation_date) * 12 + month(observation_date)"
+    latest = pit_latest(vintages, dates).selectExpr("series", "as_of_date", "value", f"{month} - {lag} AS month")
+    known = vintages.where("value IS NOT NULL").selectExpr(
+        "series", f"{month} AS month", "valid_from", "valid_to", "value AS old"
     )
-    valid = F.col("as_of_date").between(F.col("valid_from"), F.col("valid_to"))
-    old = F.min_by(F.when(valid, F.col("old")), F.when(valid, F.col("valid_from")))
+    valid = "as_of_date BETWEEN valid_from AND valid_to"
     return (
         latest.join(known, ["series", "month"], "left")
         .groupBy("series", "as_of_date")
-        .agg(F.first("value").alias("latest"), old.alias("lagged"))
+        .agg(
+            F.expr("first(value) AS latest"),
+            F.expr(f"min_by(CASE WHEN {valid} THEN old END, CASE WHEN {valid} THEN valid_from END) AS lagged"),
+        )
     )
 
 
@@ -147,64 +119,44 @@ def truncate_prices(prices: DataFrame, as_of: Column, day: str = "trade_date") -
     return prices.where(F.col(day) <= as_of)
 
 
-def _observed(year: Column, month: int, day: int) -> Column:
-    """Fixed-date holiday moved off a weekend: Saturday to Friday, Sunday to Monday."""
-    exact = F.make_date(year, F.lit(month), F.lit(day))
-    weekday = F.dayofweek(exact)
-    return F.date_add(exact, F.when(weekday == 7, -1).when(weekday == 1, 1).otherwise(0))
-
-
-def _nth_weekday(year: Column, month: int, name: str, nth: int) -> Column:
-    before = F.date_sub(F.make_date(year, F.lit(month), F.lit(1)), 1)
-    return F.date_add(F.next_day(before, name), 7 * (nth - 1))
-
-
-def federal_holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """Observed US federal holidays, by rule, for whole years."""
-    y = F.col("y").cast("int")
-    # Holiday rules and the first year each one applies.
-    rules: list[tuple[int, Column]] = [
-        (0, _observed(y, 1, 1)),
-        (1986, _nth_weekday(y, 1, "MON", 3)),
-        (0, _nth_weekday(y, 2, "MON", 3)),
-        (0, F.date_sub(F.next_day(F.make_date(y, F.lit(5), F.lit(31)), "MON"), 7)),
-        (2021, _observed(y, 6, 19)),
-        (0, _observed(y, 7, 4)),
-        (0, _nth_weekday(y, 9, "MON", 1)),
-        (0, _nth_weekday(y, 10, "MON", 2)),
-        (0, _observed(y, 11, 11)),
-        (0, _nth_weekday(y, 11, "THU", 4)),
-        (0, _observed(y, 12, 25)),
+# Observed US federal holidays. Fixed dates move off a weekend (Saturday to Friday,
+# Sunday to Monday); the others are the n-th weekday of a month (1 = Sunday ... 7 = Saturday).
+_FIXED_DATES = (("01-01", 0), ("06-19", 2021), ("07-04", 0), ("11-11", 0), ("12-25", 0))
+_WEEKDAY_RULES = ((1, 2, 15, 21, 1986), (2, 2, 15, 21, 0), (5, 2, 25, 31, 0), (9, 2, 1, 7, 0), (10, 2, 8, 14, 0), (11, 5, 22, 28, 0))
+
+
+def is_federal_holiday(day: str) -> str:
+    """SQL text: true when a weekday is an observed federal holiday."""
+    fixed = []
+    for date_text, since in _FIXED_DATES:
+        for shift, weekday in ((0, None), (1, 6), (-1, 2)):
+            moved = f"date_add({day}, {shift})"
+            rule = f"date_format({moved}, 'MM-dd') = '{date_text}' AND year({moved}) >= {since}"
+            fixed.append(f"({rule} AND dayofweek({day}) = {weekday})" if weekday else f"({rule})")
+    nth = [
+        f"(month({day}) = {m} AND dayofweek({day}) = {dow} AND dayofmonth({day}) BETWEEN {lo} AND {hi} AND year({day}) >= {since})"
+        for m, dow, lo, hi, since in _WEEKDAY_RULES
     ]
-    days = F.array_compact(F.array(*[F.when(y >= since, day) for since, day in rules]))
-    return spark.range(first_year, last_year + 2).toDF("y").select(F.explode(days).alias("holiday")).distinct()
+    return "(" + " OR ".join(fixed + nth) + ")"
 
 
-def rule_lag(observations: DataFrame, first_year: int, last_year: int) -> DataFrame:
+def next_business_day(day: str) -> str:
+    """SQL text: the first federal business day after ``day`` (never more than a week away)."""
+    weekday = "dayofweek(x) BETWEEN 2 AND 6"
+    return f"element_at(filter(sequence(date_add({day}, 1), date_add({day}, 7)), x -> {weekday} AND NOT {is_federal_holiday('x')}), 1)"
+
+
+def rule_lag(observations: DataFrame) -> DataFrame:
     """Daily unrevised observations become known on the next federal business day, with an open end.
 
-    A business-day lookup (calendar days of the covered years, a bounded table) is joined on the
-    observation date. Returns vintage rows.
+    The holiday rules are part of the expression, so no lookup table and no join is needed.
     """
-    spark = observations.sparkSession
-    days = spark.range(1).select(
-        F.explode(
-            F.sequence(F.make_date(F.lit(first_year), F.lit(1), F.lit(1)), F.make_date(F.lit(last_year + 1), F.lit(1), F.lit(31)))
-        ).alias("day")
-    )
-    holidays = federal_holidays(spark, first_year, last_year + 1)
-    open_days = (
-        days.where(F.dayofweek("day").between(2, 6))
-        .join(holidays, F.col("day") == F.col("holiday"), "left_anti")
-        .select("day", F.lag("day", 1, "1900-01-01").over(Window.partitionBy(F.lit(0)).orderBy("day")).alias("prev"))
-    )
-    floor = F.make_date(F.lit(first_year), F.lit(1), F.lit(1))
-    known = open_days.select(
-        F.col("day").alias("valid_from"),
-        F.explode(F.sequence(F.greatest("prev", floor), F.date_sub("day", 1))).alias("observation_date"),
-    ).where(F.col("observation_date") < F.col("valid_from"))
-    return observations.join(known, "observation_date").select(
-        "series", "observation_date", "valid_from", F.lit(OPEN_END).alias("valid_to"), "value"
+    return observations.selectExpr(
+        "series",
+        "observation_date",
+        f"{next_business_day('observation_date')} AS valid_from",
+        f"date'{OPEN_END.isoformat()}' AS valid_to",
+        "value",
     )
 
 

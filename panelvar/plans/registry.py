@@ -8,7 +8,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import by_asset, rounded
 from ..operators import features as ft
 from ..operators import inference, ledger, pit, splits
 from ..operators import labels as lb
@@ -51,7 +50,7 @@ class Panel:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return pit.rule_lag(panel.daily_observations(self.spark, self.sf_dir), 1995, 2002)
+        return pit.rule_lag(panel.daily_observations(self.spark, self.sf_dir))
 
     @cached_property
     def monthly(self) -> DataFrame:
@@ -59,7 +58,10 @@ class Panel:
 
     @cached_property
     def features(self) -> DataFrame:
-        return ft.compute_features(self.prices, self.daily, self.monthly, panel.ROLES, panel.IMPLIED_SCALE)
+        return self.some_features(*ft.ALL_FEATURES)
+
+    def some_features(self, *names: str) -> DataFrame:
+        return ft.compute_features(self.prices, self.daily, self.monthly, panel.ROLES, panel.IMPLIED_SCALE, names)
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -72,7 +74,8 @@ def register(fn: Callable[[Panel], DataFrame]) -> Callable[[Panel], DataFrame]:
 
 
 def tidy(df: DataFrame, *names: str, digits: int = 8) -> DataFrame:
-    return df.withColumns({c: rounded(F.col(c), digits) for c in names})
+    """Rounded columns; adding zero turns a negative zero into zero."""
+    return df.selectExpr(*[f"round({c}, {digits}) + 0.0D AS {c}" if c in names else f"`{c}`" for c in df.columns])
 
 
 # ---- scans, ingest, sinks ------------------------------------------------------------------------
@@ -261,7 +264,7 @@ def _price_feature(*names: str) -> Callable[[Panel], DataFrame]:
 
 
 def _panel_feature(*names: str) -> Callable[[Panel], DataFrame]:
-    return lambda p: tidy(p.features.select("asset", "as_of_date", *names), *names)
+    return lambda p: tidy(p.some_features(*names), *names)
 
 
 for _key, _query in {
@@ -279,16 +282,20 @@ for _key, _query in {
     QUERIES[_key] = lambda spark, sf_dir, q=_query: q(Panel(spark, sf_dir))
 
 
+def _cross_section(p: Panel) -> DataFrame:
+    members = ft.member_returns(ft.market_series(p.prices, panel.ROLES), panel.ROLES.sector)
+    return ft.cross_section(members, len(panel.ROLES.sector))
+
+
 @register
 def sector_dispersion(p: Panel) -> DataFrame:
-    members = ft.member_returns(ft.market_series(p.prices, panel.ROLES), panel.ROLES.sector)
-    return tidy(ft.sector_dispersion(members, len(panel.ROLES.sector)), "sector_dispersion_1d")
+    return tidy(_cross_section(p).drop("sector_avgcorr_21d"), "sector_dispersion_1d")
 
 
 @register
 def avg_pair_corr(p: Panel) -> DataFrame:
-    members = ft.member_returns(ft.market_series(p.prices, panel.ROLES), panel.ROLES.sector)
-    return tidy(ft.average_pair_correlation(members, len(panel.ROLES.sector)), "sector_avgcorr_21d")
+    out = _cross_section(p).drop("sector_dispersion_1d").where(F.col("sector_avgcorr_21d").isNotNull())
+    return tidy(out, "sector_avgcorr_21d")
 
 
 @register
@@ -307,7 +314,7 @@ MODEL_FEATURES = (*ft.PRICE_FEATURES, "vix_level", "t10y2y_level")
 
 @register
 def design_matrix(p: Panel) -> DataFrame:
-    out = ft.design_matrix(p.features, MODEL_FEATURES).select("asset", "as_of_date", *MODEL_FEATURES)
+    out = ft.design_matrix(p.some_features(*MODEL_FEATURES), MODEL_FEATURES)
     return tidy(out, *MODEL_FEATURES)
 
 
@@ -487,7 +494,7 @@ def _scores() -> dict[str, Column]:
 
 
 def _eligible(p: Panel) -> DataFrame:
-    frame = ft.modeling_frame(p.features.select("asset", "as_of_date", *MODEL_FEATURES), p.labels)
+    frame = ft.modeling_frame(p.some_features(*MODEL_FEATURES), p.labels)
     return splits.eligible_rows(frame, MODEL_FEATURES, panel.MODELING_START, panel.HOLDOUT_START)
 
 
@@ -520,7 +527,7 @@ def fold_info(p: Panel) -> DataFrame:
 @register
 def holdout_split(p: Panel) -> DataFrame:
     """The holdout is the same split with later folds and the cut disabled."""
-    frame = ft.modeling_frame(p.features.select("asset", "as_of_date", *MODEL_FEATURES), p.labels)
+    frame = ft.modeling_frame(p.some_features(*MODEL_FEATURES), p.labels)
     rows = splits.eligible_rows(frame, MODEL_FEATURES, panel.MODELING_START, None)
     return splits.fold_info(splits.assign_folds(rows, panel.HOLDOUT))
 
@@ -554,26 +561,26 @@ def metrics_long(p: Panel) -> DataFrame:
 
 @register
 def roc_auc(p: Panel) -> DataFrame:
-    scored = metrics_.with_scopes(panel.classification(p.spark, p.sf_dir))
-    return tidy(metrics_.ranking_metrics(scored).drop("pr_auc"), "roc_auc")
+    counts = metrics_.score_counts(panel.classification(p.spark, p.sf_dir))
+    return tidy(metrics_.ranking_metrics(counts).drop("pr_auc"), "roc_auc")
 
 
 @register
 def pr_auc(p: Panel) -> DataFrame:
-    scored = metrics_.with_scopes(panel.classification(p.spark, p.sf_dir))
-    return tidy(metrics_.ranking_metrics(scored).drop("roc_auc"), "pr_auc")
+    counts = metrics_.score_counts(panel.classification(p.spark, p.sf_dir))
+    return tidy(metrics_.ranking_metrics(counts).drop("roc_auc"), "pr_auc")
 
 
 @register
 def calibration(p: Panel) -> DataFrame:
-    table = metrics_.calibration_table(metrics_.with_scopes(_predictions(p)))
+    table = metrics_.calibration_table(metrics_.score_counts(_predictions(p)))
     return tidy(table.withColumn("bin", F.col("bin").cast("bigint")), "mean_pred", "frac_pos")
 
 
 @register
 def ece(p: Panel) -> DataFrame:
-    scored = metrics_.with_scopes(panel.classification(p.spark, p.sf_dir))
-    return tidy(metrics_.expected_calibration_error(metrics_.calibration_table(scored)), "ece")
+    counts = metrics_.score_counts(panel.classification(p.spark, p.sf_dir))
+    return tidy(metrics_.expected_calibration_error(metrics_.calibration_table(counts)), "ece")
 
 
 @register
