@@ -6,10 +6,12 @@ uses values of days up to t - h.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import by_asset, full, ln, sorted_quantile, trailing
+from ..functions.frames import by_asset, ln
 from ..settings import Target
 
 
@@ -29,35 +31,45 @@ def simple_returns(prices: DataFrame, price: str = "adj_close") -> DataFrame:
 
 def forward_realized_vol(returns: DataFrame, target: Target, ret: str = "ret_1d") -> DataFrame:
     """Adds ``rv_fwd``: annualised volatility of the next ``horizon`` rows, NULL where incomplete."""
-    ahead = by_asset().rowsBetween(1, target.horizon)
-    square = F.pow(F.col(ret), 2)
-    total = full(square, F.sum(square), ahead, target.horizon)
-    return returns.withColumn("rv_fwd", F.sqrt(F.lit(target.trading_days / target.horizon) * total))
+    h = target.horizon
+    ahead = f"OVER (PARTITION BY asset ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
+    scale = f"{target.trading_days / h}D"
+    return returns.selectExpr(
+        "*", f"CASE WHEN count({ret}) {ahead} = {h} THEN sqrt({scale} * sum(pow({ret}, 2)) {ahead}) END AS rv_fwd"
+    )
 
 
 def make_labels(prices: DataFrame, target: Target = Target()) -> DataFrame:
     """(asset, as_of_date, rv_fwd, threshold, y, label_known_date, label_name)."""
-    w = by_asset()
-    h = target.horizon
+    w = "PARTITION BY asset ORDER BY trade_date"
+    h, n = target.horizon, target.lookback
     rv = forward_realized_vol(log_returns(prices).select("asset", "trade_date", "ret_1d"), target)
-    seen = rv.withColumn("seen", F.lag("rv_fwd", h).over(w))
-    past = F.collect_list("seen").over(trailing(w, target.lookback))
-    cut = seen.withColumn("past", past).withColumn("known", F.lead("trade_date", h).over(w))
-    threshold = F.when(
-        F.size("past") == target.lookback, sorted_quantile(F.sort_array("past"), target.quantile)
+    seen = rv.selectExpr(
+        "*",
+        f"lag(rv_fwd, {h}) OVER ({w}) AS seen",
+        f"lead(trade_date, {h}) OVER ({w}) AS known",
+    )
+    # Sorted once per row; the quantile reads two neighbouring elements.
+    past = seen.selectExpr(
+        "asset",
+        "trade_date",
+        "rv_fwd",
+        "known",
+        f"sort_array(collect_list(seen) OVER ({w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)) AS past",
     )
-    valid = F.col("rv_fwd").isNotNull() & F.col("threshold").isNotNull()
-    return (
-        cut.withColumn("threshold", threshold)
-        .select(
-            "asset",
-            F.col("trade_date").alias("as_of_date"),
-            "rv_fwd",
-            "threshold",
-            F.when(valid, (F.col("rv_fwd") > F.col("threshold")).cast("int")).alias("y"),
-            F.when(valid, F.col("known")).alias("label_known_date"),
-            F.lit(target.label_name).alias("label_name"),
-        )
+    pos = target.quantile * (n - 1)
+    low = math.floor(pos)
+    a, b = f"past[{low}]", f"past[{min(low + 1, n - 1)}]"
+    cut = past.selectExpr("*", f"CASE WHEN size(past) = {n} THEN {a} + ({b} - {a}) * {pos - low}D END AS threshold")
+    valid = "rv_fwd IS NOT NULL AND threshold IS NOT NULL"
+    return cut.selectExpr(
+        "asset",
+        "trade_date AS as_of_date",
+        "rv_fwd",
+        "threshold",
+        f"CASE WHEN {valid} THEN cast(rv_fwd > threshold AS int) END AS y",
+        f"CASE WHEN {valid} THEN known END AS label_known_date",
+        f"'{target.label_name}' AS label_name",
     )
 
 

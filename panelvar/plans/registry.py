@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
-from ..operators import inference, ledger, pit, splits
+from ..operators import garch, inference, ledger, overlay, pit, risk, splits
 from ..operators import labels as lb
 from ..operators import metrics as metrics_
 from ..operators import quality as dq
 from ..session import pin
-from ..settings import OPEN_END, Target
+from ..functions import recursion
+from ..settings import OPEN_END, OverlaySettings, RiskSettings, Target, TestSettings
 from ..sources import panel, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -645,3 +646,324 @@ def _cv_scores(p: Panel) -> DataFrame:
         F.avg(metrics_.log_loss(F.col("y"), F.col("p"))).alias("loss")
     )
     return metrics_.cv_scores(losses.withColumn("model", F.lit("har_shrunk")))
+
+
+# ---- risk ----------------------------------------------------------------------------------------
+
+# A fixed parameter set for recursion checks; percent returns of this panel are large.
+GJR_FIXED = garch.GJR(omega=50.0, alpha=0.03, gamma=0.10, beta=0.85)
+CONFS = RiskSettings().confidences
+# The panel starts in 1995, so the expanding fits begin once 500 returns exist.
+FIRST_FIT_YEAR = 1998
+
+
+def _simple(p: Panel) -> DataFrame:
+    return lb.simple_returns(p.prices)
+
+
+def _portfolio(p: Panel) -> DataFrame:
+    return risk.portfolio_returns(_simple(p), panel.PORTFOLIO)
+
+
+def _with_portfolio(p: Panel) -> DataFrame:
+    """Asset returns and the portfolio's as one more series, from one pass over the prices."""
+    returns = _simple(p)
+    return returns.unionByName(risk.portfolio_returns(returns, panel.PORTFOLIO))
+
+
+def _fixed_rows(p: Panel) -> DataFrame:
+    rows = _simple(p).where(F.col("r").isNotNull()).selectExpr("asset", "trade_date", "r * 100 AS x")
+    h0 = rows.groupBy("asset").agg(F.expr("var_pop(x) AS h0"))
+    return rows.join(h0, "asset").withColumns(GJR_FIXED.columns())
+
+
+def _var_table(p: Panel, method: str) -> DataFrame:
+    s = RiskSettings()
+    returns = _with_portfolio(p)
+    made = {
+        "historical": lambda: risk.historical(returns, CONFS, s.window),
+        "normal": lambda: risk.normal_ewma(returns, CONFS, s.ewma_lambda),
+        "student": lambda: risk.student_t_ewma(returns, CONFS, s.ewma_lambda, s.student_t_df),
+    }
+    return tidy(made[method](), "var", "es")
+
+
+@register
+def ewma_vol(p: Panel) -> DataFrame:
+    out = recursion.ewma_variance(_simple(p), RiskSettings().ewma_lambda)
+    return tidy(out.selectExpr("asset", "trade_date", "sqrt(252 * ewma_var) AS ewma_vol"), "ewma_vol")
+
+
+@register
+def var_historical(p: Panel) -> DataFrame:
+    return _var_table(p, "historical")
+
+
+@register
+def var_normal(p: Panel) -> DataFrame:
+    return _var_table(p, "normal")
+
+
+@register
+def var_student_t(p: Panel) -> DataFrame:
+    return _var_table(p, "student")
+
+
+@register
+def hist_es(p: Panel) -> DataFrame:
+    """Whole-history quantile and tail mean per asset."""
+    rows = _simple(p).where(F.col("r").isNotNull())
+    out = risk.tail_means(rows, ["asset"], "r", {"95": 0.05, "99": 0.01})
+    return tidy(out, "q_95", "m_95", "q_99", "m_99")
+
+
+@register
+def garch_path(p: Panel) -> DataFrame:
+    return tidy(garch.variance_path(_fixed_rows(p)).select("asset", "trade_date", "h"), "h", digits=4)
+
+
+@register
+def garch_forecast(p: Panel) -> DataFrame:
+    path = garch.variance_path(_fixed_rows(p))
+    out = path.select("asset", "trade_date", garch.average_forecast(5).alias("avg_var"))
+    return tidy(out, "avg_var", digits=4)
+
+
+@register
+def garch_fit(p: Panel) -> DataFrame:
+    """Fitted parameters per asset on its whole history."""
+    arrays = garch.return_arrays(_with_portfolio(p)).repartition("asset")
+    return tidy(garch.fit_gjr(arrays).drop("rets"), *garch.PARAMS, "nll", "h0", digits=6)
+
+
+@register
+def var_fhs(p: Panel) -> DataFrame:
+    returns = _with_portfolio(p)
+    fits = pin(risk.yearly_fits(returns, FIRST_FIT_YEAR, RiskSettings().min_fit_obs))
+    return risk.filtered_historical(returns, fits, CONFS, RiskSettings().window)
+
+
+@register
+def fhs_quantiles(p: Panel) -> DataFrame:
+    """The simulation's tail step under fixed parameters, where an exact SQL twin exists."""
+    returns = _simple(p)
+    years = returns.where("year(trade_date) >= 1999").selectExpr("asset", "year(trade_date) AS fit_year").distinct()
+    h0 = returns.groupBy("asset").agg(F.expr("var_pop(r * 100) AS h0"))
+    fits = years.join(h0, "asset").withColumns(GJR_FIXED.columns())
+    return tidy(risk.filtered_historical(returns, fits, CONFS, RiskSettings().window), "var", "es", digits=6)
+
+
+@register
+def var_estimates(p: Panel) -> DataFrame:
+    return tidy(risk.all_estimates(_with_portfolio(p), None), "var", "es")
+
+
+@register
+def mc_var(p: Panel) -> DataFrame:
+    """Ten-day simulation per asset, 100,000 paths each, from the fixed parameter set."""
+    s = RiskSettings()
+    h0 = _simple(p).groupBy("asset").agg(F.expr("var_pop(r * 100) AS h0"))
+    params = h0.withColumns(GJR_FIXED.columns())
+    state = risk.simulation_state(_simple(p), params, s.window)
+    return tidy(risk.monte_carlo(state, CONFS, s.mc_horizon, s.mc_paths, seed=0), "var", "es", digits=6)
+
+
+def _exceptions(p: Panel) -> DataFrame:
+    returns = _with_portfolio(p)
+    return pin(risk.exceptions(returns, risk.all_estimates(returns, None)))
+
+
+@register
+def var_backtest(p: Panel) -> DataFrame:
+    out = risk.backtest_table(_exceptions(p))
+    names = [c for c in out.columns if c not in ("asset", "method", "conf", "n", "exceptions")]
+    return tidy(out, *names)
+
+
+@register
+def kupiec(p: Panel) -> DataFrame:
+    counts = _exceptions(p).groupBy("asset", "method", "conf").agg(F.count("*").alias("n"), F.sum("exc").alias("x"))
+    return tidy(counts.withColumn("lr", risk.kupiec_lr(F.col("x"), F.col("n"), 1 - F.col("conf"))), "lr")
+
+
+@register
+def christoffersen(p: Panel) -> DataFrame:
+    counts = risk.transition_counts(_exceptions(p))
+    lr = risk.christoffersen_lr(F.col("n00"), F.col("n01"), F.col("n10"), F.col("n11"))
+    return tidy(counts.withColumn("lr", lr), "lr")
+
+
+@register
+def basel(p: Panel) -> DataFrame:
+    return tidy(risk.basel_shares(_exceptions(p)), "basel_green", "basel_yellow", "basel_red")
+
+
+@register
+def portfolio_returns(p: Panel) -> DataFrame:
+    return tidy(_portfolio(p), "r")
+
+
+@register
+def max_drawdown(p: Panel) -> DataFrame:
+    rows = risk.with_drawdown(_with_portfolio(p).where(F.col("r").isNotNull()).withColumn("r", F.col("r") / 50), ["asset"])
+    return tidy(rows.groupBy("asset").agg(risk.max_drawdown()), "max_drawdown")
+
+
+@register
+def betas(p: Panel) -> DataFrame:
+    return tidy(risk.betas(_simple(p), list(panel.PORTFOLIO), panel.ROLES.market), "beta")
+
+
+@register
+def cov_matrix(p: Panel) -> DataFrame:
+    return tidy(risk.covariance_matrix(_simple(p), ["A1", "A2", "A3", "A4"]), "cov")
+
+
+@register
+def shock_loss(p: Panel) -> DataFrame:
+    """Beta-scaled market fall, and joint shocks of positions held in proportion to traded volume."""
+    beta = risk.betas(_simple(p), list(panel.PORTFOLIO), panel.ROLES.market)
+    equity = risk.equity_shock(beta, panel.PORTFOLIO, RiskSettings().equity_shock)
+    volume = p.prices.groupBy("asset").agg(F.sum("volume").alias("v"))
+    total = p.prices.select(F.sum("volume")).scalar()
+    positions = volume.select("asset", (F.col("v") / total).alias("w"))
+    joint = risk.joint_shock(positions, panel.JOINT_SHOCKS)
+    return tidy(equity.select(F.lit("equity_shock").alias("scenario"), "loss").unionByName(joint), "loss")
+
+
+@register
+def stressed_var(p: Panel) -> DataFrame:
+    s = RiskSettings()
+    returns = _simple(p)
+    base = risk.stressed_normal(returns, panel.PORTFOLIO, 0.99).withColumn("scenario", F.lit("baseline"))
+    hard = risk.stressed_normal(returns, panel.PORTFOLIO, 0.99, s.vol_multiplier, s.correlation_blend)
+    return tidy(base.unionByName(hard.withColumn("scenario", F.lit("stressed"))), "sigma", "var", "es")
+
+
+@register
+def stress_replay(p: Panel) -> DataFrame:
+    rows = _with_portfolio(p).withColumn("r", F.col("r") / 50)
+    return tidy(risk.replay(rows, panel.REPLAYS), "total_return", "max_drawdown", "worst_day")
+
+
+@register
+def portfolio_metrics(p: Panel) -> DataFrame:
+    returns = _simple(p).withColumn("r", F.col("r") / 50)
+    port = risk.portfolio_returns(returns, panel.PORTFOLIO)
+    market = returns.where(F.col("asset") == panel.ROLES.market).selectExpr("trade_date", "r AS m")
+    spine = port.select(F.lit("portfolio").alias("asset"), "trade_date")
+    cash = pit.cash_rate(spine, p.daily, panel.ROLES.policy_rate).select("trade_date", "cash")
+    out = risk.portfolio_metrics(port, market, cash)
+    return tidy(out, *[c for c in out.columns if c != "asset"], digits=6)
+
+
+# ---- overlay -------------------------------------------------------------------------------------
+
+OVERLAY_MODELS = ("random_forest", "logit_tuned")
+BT_START, BT_END = panel.WALK_FORWARD[0].test_start, panel.WALK_FORWARD[-1].test_end
+SHARPE_PAIRS = tuple(
+    (f"model_{m}", f"model_{m}", b) for m in OVERLAY_MODELS for b in ("buy_hold", "ewma_vol_target", "vix_target")
+)
+
+
+def _overlay_inputs(p: Panel) -> DataFrame:
+    """Returns are scaled to a daily size on this panel of independent prices."""
+    returns = _simple(p).withColumn("r", F.col("r") / 50)
+    implied = p.prices.where(F.col("asset") == panel.ROLES.implied_vol).selectExpr("trade_date", f"close / {panel.IMPLIED_SCALE}D AS vix")
+    cash = pit.cash_rate(p.prices, p.daily, panel.ROLES.policy_rate)
+    return overlay.market_inputs(returns, implied, cash, _predictions(p), OVERLAY_MODELS, OverlaySettings().ewma_lambda)
+
+
+def _weights(p: Panel) -> DataFrame:
+    s = OverlaySettings()
+    return overlay.build_weights(_overlay_inputs(p), OVERLAY_MODELS, s.target_vol, s.max_weight)
+
+
+def _backtest(p: Panel) -> DataFrame:
+    s = OverlaySettings()
+    return overlay.run_backtest(_weights(p), OVERLAY_MODELS, s.lag, s.cost_bps, BT_START, BT_END, "model_random_forest")
+
+
+@register
+def overlay_weights(p: Panel) -> DataFrame:
+    names = ["w_buy_hold", "w_ewma_vol_target", "w_vix_target", *[f"w_model_{m}" for m in OVERLAY_MODELS]]
+    return tidy(_weights(p).select("asset", "trade_date", *names), *names)
+
+
+@register
+def overlay_returns(p: Panel) -> DataFrame:
+    return tidy(_backtest(p).drop("cash"), "held", "turnover", "net")
+
+
+@register
+def performance(p: Panel) -> DataFrame:
+    out = overlay.performance(pin(_backtest(p)))
+    return tidy(out, *[c for c in out.columns if c not in ("asset", "strategy", "days")], digits=6)
+
+
+@register
+def episode_table(p: Panel) -> DataFrame:
+    out = overlay.episode_table(_backtest(p), panel.EPISODES)
+    return tidy(out, *[c for c in out.columns if c not in ("asset", "strategy")])
+
+
+@register
+def overlay_sensitivity(p: Panel) -> DataFrame:
+    out = overlay.sensitivity(_overlay_inputs(p), OVERLAY_MODELS, BT_START, BT_END, "model_random_forest")
+    return tidy(out, "sharpe", digits=6)
+
+
+# ---- forecast comparison -------------------------------------------------------------------------
+
+
+@register
+def dm_test(p: Panel) -> DataFrame:
+    paired = inference.paired_predictions(_predictions(p), inference.PAIRS)
+    keys = ["asset", "family", "model", "vs"]
+    out = inference.dm_test(inference.loss_differences(paired), keys, ["fold", "as_of_date"], TestSettings().dm_horizon)
+    return tidy(out.drop("p_dm"), "mean_diff", "stat", digits=6)
+
+
+@register
+def holm(p: Panel) -> DataFrame:
+    """Step-down adjustment of the shares of days on which each model loses to its benchmark."""
+    paired = inference.loss_differences(inference.paired_predictions(_predictions(p), inference.PAIRS))
+    shares = paired.groupBy("asset", "family", "model", "vs").agg(F.expr("avg(cast(d > 0 AS double)) / 20 AS p"))
+    return tidy(inference.holm(shares, ["asset", "family"], "p", "p_holm"), "p", "p_holm")
+
+
+def _day_counts(p: Panel) -> DataFrame:
+    days = _predictions(p).where(F.col("model") == "har_logit")
+    return days.groupBy("asset", "fold").agg(F.count("*").cast("int").alias("n"))
+
+
+@register
+def bootstrap_index(p: Panel) -> DataFrame:
+    """How often each position is drawn over 50 draws of every asset's fold."""
+    s = TestSettings()
+    index = inference.bootstrap_index(_day_counts(p), 50, s.seed, s.mean_block)
+    return index.groupBy("asset", "fold", "idx").agg(F.count("*").alias("times"), F.sum("pos").alias("pos_sum"))
+
+
+@register
+def bootstrap_sharpe(p: Panel) -> DataFrame:
+    out = inference.sharpe_tests(overlay.excess_returns(_backtest(p)), SHARPE_PAIRS, TestSettings())
+    return tidy(out.drop("p_boot_holm"), "sharpe_diff", "ci_low", "ci_high", "p_boot", digits=6)
+
+
+@register
+def sharpe_tests(p: Panel) -> DataFrame:
+    out = inference.sharpe_tests(overlay.excess_returns(pin(_backtest(p))), SHARPE_PAIRS, TestSettings())
+    return tidy(out, "sharpe_diff", "ci_low", "ci_high", "p_boot", "p_boot_holm", digits=6)
+
+
+@register
+def bootstrap_pr_auc(p: Panel) -> DataFrame:
+    out = inference.pr_auc_tests(_predictions(p), inference.PAIRS, TestSettings())
+    return tidy(out, "pr_auc_diff", "ci_low", "ci_high", "p_boot", digits=6)
+
+
+@register
+def pairwise_tests(p: Panel) -> DataFrame:
+    out = inference.pairwise_tests(pin(_predictions(p)), inference.PAIRS, TestSettings())
+    return tidy(out, *[c for c in out.columns if c not in ("asset", "family", "model", "vs")], digits=6)
