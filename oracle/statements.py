@@ -508,6 +508,367 @@ sql(
     "SELECT model, fold, arg_min(params, row(score, grid_pos)) AS params, round(min(score), 8) AS score, CAST(arg_min(grid_pos, row(score, grid_pos)) AS INTEGER) AS grid_pos FROM cvs GROUP BY 1, 2",
 )
 
+# ---- risk ----------------------------------------------------------------------------------------
+cte("sr", "SELECT asset, trade_date, adj_close / lag(adj_close) OVER (PARTITION BY asset ORDER BY trade_date) - 1 AS r FROM px")
+cte(
+    "port",
+    "SELECT 'portfolio' AS asset, trade_date, sum(CASE asset WHEN 'A1' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END * r) AS r FROM sr WHERE asset IN ('A1', 'A2') AND r IS NOT NULL GROUP BY trade_date HAVING count(*) = 2",
+)
+cte("allr", "SELECT * FROM (SELECT * FROM sr UNION ALL SELECT * FROM port) WHERE r IS NOT NULL")
+cte("rn", "SELECT *, CAST(row_number() OVER (PARTITION BY asset ORDER BY trade_date) - 1 AS INTEGER) AS k FROM allr")
+# Closed form of the exponential recursion; 0.94^-k stays finite for this panel.
+cte(
+    "ew",
+    """
+SELECT asset, trade_date, r, k, pow(0.94, k) * sum(CASE WHEN k = 0 THEN r * r ELSE 0.06::DOUBLE * r * r END * pow(0.94, -k))
+  OVER (PARTITION BY asset ORDER BY k ROWS UNBOUNDED PRECEDING) AS v FROM rn
+""",
+)
+cte(
+    "hs",
+    """
+WITH w AS (SELECT asset, trade_date, list(r) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS l FROM rn),
+q AS (SELECT asset, trade_date, l, c.conf, list_aggregate(l, 'quantile_cont', 1 - c.conf) AS cut FROM w, (VALUES (0.95::DOUBLE), (0.99::DOUBLE)) c(conf) WHERE len(l) = 500)
+SELECT asset, trade_date, 'historical' AS method, conf, -cut AS var, -list_avg(list_filter(l, lambda x: x <= cut)) AS es FROM q
+""",
+)
+cte("sg", "SELECT asset, trade_date, lag(sqrt(v)) OVER (PARTITION BY asset ORDER BY k) AS sigma FROM ew")
+
+
+def parametric(method: str, table: dict[float, tuple[float, float]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT asset, trade_date, '{method}' AS method, {c}::DOUBLE AS conf, sigma * {v!r}::DOUBLE AS var, sigma * {e!r}::DOUBLE AS es FROM sg WHERE sigma IS NOT NULL"
+        for c, (v, e) in table.items()
+    )
+
+
+# Multiples of sigma (VaR, ES) for the normal and the unit-variance Student-t with 5
+# degrees of freedom, at 95 % and 99 %.
+cte("vn", parametric("normal_ewma", {0.95: (1.6448536269514715, 2.062712807507426), 0.99: (2.3263478740408408, 2.6652142203458076)}))
+cte("vt", parametric("student_t_ewma", {0.95: (1.5608497606520563, 2.2394), 0.99: (2.6064692009, 3.4485)}))
+cte("vall", "SELECT * FROM hs UNION ALL SELECT * FROM vn UNION ALL SELECT * FROM vt")
+EST = "asset, trade_date, method, conf, round(var, 8) AS var, round(es, 8) AS es"
+sql("ewma_vol", "SELECT s.asset, s.trade_date, round(sqrt(252 * v), 8) AS ewma_vol FROM sr s LEFT JOIN ew ON ew.asset = s.asset AND ew.trade_date = s.trade_date")
+sql("var_historical", f"SELECT {EST} FROM hs")
+sql("var_normal", f"SELECT {EST} FROM vn")
+sql("portfolio_returns", "SELECT asset, trade_date, round(r, 8) AS r FROM port")
+sql(
+    "hist_es",
+    """
+WITH q AS (SELECT asset, quantile_cont(r, 0.05) AS a, quantile_cont(r, 0.01) AS b FROM sr GROUP BY 1)
+SELECT s.asset, round(max(a), 8) AS q_95, round(max(b), 8) AS q_99, round(avg(r) FILTER (WHERE r <= a), 8) AS m_95, round(avg(r) FILTER (WHERE r <= b), 8) AS m_99
+FROM sr s JOIN q ON q.asset = s.asset WHERE r IS NOT NULL GROUP BY 1
+""",
+)
+# Closed form of the variance recursion with constant beta.
+cte(
+    "gp",
+    """
+WITH x AS (SELECT asset, trade_date, k, r * 100 AS x, var_pop(r * 100) OVER (PARTITION BY asset) AS h0 FROM rn WHERE asset <> 'portfolio'),
+e AS (SELECT *, CASE WHEN k = 0 THEN h0 ELSE lag(50.0::DOUBLE + (0.03::DOUBLE + CASE WHEN x < 0 THEN 0.1::DOUBLE ELSE 0 END) * x * x) OVER (PARTITION BY asset ORDER BY k) END AS e FROM x)
+SELECT asset, trade_date, k, x, pow(0.85, k) * sum(e * pow(0.85, -k)) OVER (PARTITION BY asset ORDER BY k ROWS UNBOUNDED PRECEDING) AS h FROM e
+""",
+)
+sql("garch_path", "SELECT asset, trade_date, round(h, 4) AS h FROM gp")
+sql(
+    "garch_forecast",
+    """
+WITH v AS (SELECT asset, trade_date, 50 + (0.03 + CASE WHEN x < 0 THEN 0.1 ELSE 0 END) * x * x + 0.85 * h AS v1 FROM gp),
+w AS (SELECT *, 50 + 0.93 * v1 AS v2 FROM v), y AS (SELECT *, 50 + 0.93 * v2 AS v3 FROM w), z AS (SELECT *, 50 + 0.93 * v3 AS v4 FROM y)
+SELECT asset, trade_date, round((v1 + v2 + v3 + v4 + 50 + 0.93 * v4) / 5, 4) AS avg_var FROM z
+""",
+)
+sql(
+    "fhs_quantiles",
+    """
+WITH w AS (SELECT asset, trade_date, h, list(x / sqrt(h)) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS l FROM gp),
+q AS (SELECT asset, trade_date, h, l, c.conf, list_aggregate(l, 'quantile_cont', 1 - c.conf) AS cut FROM w, (VALUES (0.95::DOUBLE), (0.99::DOUBLE)) c(conf) WHERE len(l) = 500 AND year(trade_date) >= 1999)
+SELECT asset, trade_date, 'fhs_gjr_garch' AS method, conf, round(-sqrt(h) / 100 * cut, 6) AS var, round(-sqrt(h) / 100 * list_avg(list_filter(l, lambda x: x <= cut)), 6) AS es FROM q
+""",
+)
+M = 2147483647
+
+
+def mix_sql(*keys: str) -> str:
+    """Nested integer mixing with every product below 2^63."""
+    x = "1"
+    for key in keys:
+        x = f"(({x}) * 48271::BIGINT + ({key}) + 1) % {M}"
+    return x
+
+
+def rounds(table: str, columns: str, fold: str) -> str:
+    """Subquery adding the mixed state ``u`` to ``columns`` of ``table``."""
+    a = f"SELECT {columns}, (({fold}) * 48271::BIGINT) % {M} AS m0 FROM {table}"
+    b = f"SELECT * EXCLUDE (m0), ((m0 * m0 + 12345) % {M}) * 48271::BIGINT % {M} AS m1 FROM ({a})"
+    return f"SELECT * EXCLUDE (m1), ((m1 * m1 + 67891) % {M}) * 48271::BIGINT % {M} AS u FROM ({b})"
+
+
+cte(
+    "mcs",
+    f"""
+WITH RECURSIVE st AS (
+  SELECT asset, arg_max(50 + (0.03 + CASE WHEN x < 0 THEN 0.1 ELSE 0 END) * x * x + 0.85 * h, k) AS h_next,
+    list(x / sqrt(h) ORDER BY k) AS zs FROM gp GROUP BY 1),
+p AS ({rounds("range(100000) t(path)", "path", mix_sql("0", "path"))}),
+run AS (
+  SELECT 0 AS step, asset, path, u, CAST(h_next AS DOUBLE) AS h, 0.0::DOUBLE AS total, zs[-500:] AS zs FROM st, p
+  UNION ALL
+  SELECT step + 1, asset, path, u * 48271::BIGINT % {M},
+    50 + (0.03 + CASE WHEN zs[CAST(floor(u / {M}.0::DOUBLE * 500) AS INTEGER) + 1] < 0 THEN 0.1 ELSE 0 END) * pow(sqrt(h) * zs[CAST(floor(u / {M}.0::DOUBLE * 500) AS INTEGER) + 1], 2) + 0.85 * h,
+    total + sqrt(h) * zs[CAST(floor(u / {M}.0::DOUBLE * 500) AS INTEGER) + 1], zs
+  FROM run WHERE step < 10)
+SELECT asset, total / 100 AS total FROM run WHERE step = 10
+""",
+)
+sql(
+    "mc_var",
+    """
+WITH q AS (SELECT asset, conf, quantile_cont(total, 1 - conf) AS cut FROM mcs, (VALUES (0.95::DOUBLE), (0.99::DOUBLE)) c(conf) GROUP BY 1, 2)
+SELECT q.asset, conf, round(-max(cut), 6) AS var, round(-avg(total), 6) AS es FROM q JOIN mcs ON mcs.asset = q.asset AND total <= cut GROUP BY 1, 2
+""",
+)
+cte("exc", "SELECT v.*, a.r, CASE WHEN a.r < -v.var THEN 1 ELSE 0 END AS hit FROM vall v JOIN allr a ON a.asset = v.asset AND a.trade_date = v.trade_date")
+
+
+def xl(x: str, y: str) -> str:
+    return f"CASE WHEN {x} = 0 THEN 0.0 ELSE {x} * ln({y}) END"
+
+
+cte(
+    "kup",
+    f"""
+WITH c AS (SELECT asset, method, conf, count(*) AS n, CAST(sum(hit) AS BIGINT) AS x FROM exc GROUP BY 1, 2, 3)
+SELECT *, greatest(-2 * ({xl("(n - x)", "conf")} + {xl("x", "(1 - conf)")} - {xl("(n - x)", "(1 - x / CAST(n AS DOUBLE))")} - {xl("x", "(x / CAST(n AS DOUBLE))")}), 0) AS lr FROM c
+""",
+)
+sql("kupiec", "SELECT asset, method, conf, n, x, round(lr, 8) AS lr FROM kup")
+cte(
+    "chr",
+    f"""
+WITH l AS (SELECT *, lag(hit) OVER (PARTITION BY asset, method, conf ORDER BY trade_date) AS p FROM exc),
+c AS (SELECT asset, method, conf, count(*) FILTER (WHERE p = 0 AND hit = 0) AS n00, count(*) FILTER (WHERE p = 0 AND hit = 1) AS n01,
+  count(*) FILTER (WHERE p = 1 AND hit = 0) AS n10, count(*) FILTER (WHERE p = 1 AND hit = 1) AS n11 FROM l GROUP BY 1, 2, 3),
+d AS (SELECT *, (n01 + n11) / CAST(greatest(n00 + n01 + n10 + n11, 1) AS DOUBLE) AS q, n01 / CAST(greatest(n00 + n01, 1) AS DOUBLE) AS q0, n11 / CAST(greatest(n10 + n11, 1) AS DOUBLE) AS q1 FROM c)
+SELECT *, greatest(-2 * ({xl("(n00 + n10)", "(1 - q)")} + {xl("(n01 + n11)", "q")} - {xl("n00", "(1 - q0)")} - {xl("n01", "q0")} - {xl("n10", "(1 - q1)")} - {xl("n11", "q1")}), 0) AS lr FROM d
+""",
+)
+sql("christoffersen", "SELECT asset, method, conf, n00, n01, n10, n11, round(lr, 8) AS lr FROM chr")
+sql(
+    "basel",
+    """
+WITH c AS (SELECT asset, method, conf, sum(hit) OVER w AS h, count(*) OVER w AS n FROM exc WINDOW w AS (PARTITION BY asset, method, conf ORDER BY trade_date ROWS 249 PRECEDING))
+SELECT asset, method, conf, round(avg(CASE WHEN h <= 4 THEN 1.0::DOUBLE ELSE 0 END), 8) AS basel_green, round(avg(CASE WHEN h BETWEEN 5 AND 9 THEN 1.0::DOUBLE ELSE 0 END), 8) AS basel_yellow,
+  round(avg(CASE WHEN h >= 10 THEN 1.0::DOUBLE ELSE 0 END), 8) AS basel_red FROM c WHERE n = 250 GROUP BY 1, 2, 3
+""",
+)
+cte("allr50", "SELECT asset, trade_date, r / 50 AS r FROM allr")
+
+
+def drawdown_sql(table: str, keys: str, r: str = "r") -> str:
+    """Drawdown by logs of wealth, with starting wealth one."""
+    return f"""
+SELECT *, wl / greatest(1, max(wl) OVER (PARTITION BY {keys} ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM (
+  SELECT *, exp(sum(ln(1 + {r})) OVER (PARTITION BY {keys} ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) AS wl FROM {table})"""
+
+
+sql("max_drawdown", f"SELECT asset, round(least(min(dd), 0), 8) AS max_drawdown FROM ({drawdown_sql('allr50', 'asset')}) GROUP BY 1")
+sql(
+    "stress_replay",
+    f"""
+WITH w AS (SELECT * FROM (VALUES ('asia_1997', DATE '1997-10-01', DATE '1998-01-15'), ('ltcm_1998', DATE '1998-07-17', DATE '1998-10-08'), ('dotcom_2000', DATE '2000-03-10', DATE '2001-04-04')) w(scenario, a, b)),
+x AS (SELECT scenario, allr50.* FROM allr50 JOIN w ON trade_date BETWEEN a AND b)
+SELECT scenario, asset, count(*) AS days, round(exp(sum(ln(1 + r))) - 1, 8) AS total_return, round(least(min(dd), 0), 8) AS max_drawdown, round(min(r), 8) AS worst_day
+FROM ({drawdown_sql("x", "scenario, asset")}) GROUP BY 1, 2
+""",
+)
+cte("wide", "SELECT trade_date, max(r) FILTER (WHERE asset = 'A1') AS a1, max(r) FILTER (WHERE asset = 'A2') AS a2, max(r) FILTER (WHERE asset = 'A3') AS a3, max(r) FILTER (WHERE asset = 'A4') AS a4 FROM sr GROUP BY 1")
+cte("beta", "SELECT 'A1' AS asset, covar_samp(a1, a1) / var_samp(a1) AS beta FROM wide WHERE a1 IS NOT NULL AND a2 IS NOT NULL UNION ALL SELECT 'A2', covar_samp(a2, a1) / var_samp(a1) FROM wide WHERE a1 IS NOT NULL AND a2 IS NOT NULL")
+sql("betas", "SELECT asset, round(beta, 8) AS beta FROM beta")
+sql(
+    "cov_matrix",
+    " UNION ALL ".join(
+        f"SELECT 'A{i}' AS asset_i, 'A{j}' AS asset_j, round(covar_samp(a{i}, a{j}), 8) AS cov FROM wide WHERE a1 + a2 + a3 + a4 IS NOT NULL"
+        for i in range(1, 5)
+        for j in range(1, 5)
+    ),
+)
+sql(
+    "shock_loss",
+    """
+WITH v AS (SELECT asset, sum(volume) / CAST((SELECT sum(volume) FROM px) AS DOUBLE) AS w FROM px GROUP BY 1)
+SELECT 'equity_shock' AS scenario, round(sum(CASE asset WHEN 'A1' THEN 0.6 ELSE 0.4 END * beta * -0.2), 8) AS loss FROM beta
+UNION ALL SELECT 'stock_bond_selloff', round(sum(w * CASE asset WHEN 'A1' THEN -0.2 WHEN 'A2' THEN -0.1 ELSE 0 END), 8) FROM v
+UNION ALL SELECT 'flight_to_quality', round(sum(w * CASE asset WHEN 'A1' THEN -0.2 WHEN 'A2' THEN 0.05 ELSE 0 END), 8) FROM v
+""",
+)
+# The quadratic form written out over the two by two matrix.
+sql(
+    "stressed_var",
+    """
+WITH c AS (SELECT stddev_samp(a1) AS s1, stddev_samp(a2) AS s2, corr(a1, a2) AS rho FROM wide WHERE a1 IS NOT NULL AND a2 IS NOT NULL),
+s AS (SELECT n.scenario, sqrt(0.36 * m * m * s1 * s1 + 0.16 * m * m * s2 * s2 + 2 * 0.24 * m * m * s1 * s2 * (rho + b * (1 - rho))) AS sigma FROM c, (VALUES ('baseline', 1.0, 0.0), ('stressed', 2.0, 0.5)) n(scenario, m, b))
+SELECT scenario, round(sigma, 8) AS sigma, round(sigma * 2.3263478740408408::DOUBLE, 8) AS var, round(sigma * 2.6652142203458076::DOUBLE, 8) AS es FROM s
+""",
+)
+cte("cash_p", "SELECT p.trade_date, lag(k.value) OVER (ORDER BY p.trade_date) / 100 / 252 AS cash FROM port p LEFT JOIN dknown k ON k.series = 'D_F' AND k.as_of_date = p.trade_date")
+sql(
+    "portfolio_metrics",
+    f"""
+WITH x AS (SELECT p.asset, p.trade_date, p.r / 50 AS r, m.r / 50 AS m, c.cash FROM port p JOIN sr m ON m.asset = 'A1' AND m.trade_date = p.trade_date JOIN cash_p c ON c.trade_date = p.trade_date WHERE c.cash IS NOT NULL AND m.r IS NOT NULL),
+d AS ({drawdown_sql("x", "asset")}),
+q AS (SELECT quantile_cont(r, 0.05) AS q95, quantile_cont(r, 0.01) AS q99 FROM x)
+SELECT asset, round(exp(sum(ln(1 + r)) * 252 / count(*)) - 1, 6) AS ann_return, round(stddev_samp(r) * sqrt(252), 6) AS ann_vol,
+  round(avg(r - cash) / stddev_samp(r - cash) * sqrt(252), 6) AS sharpe, round(least(min(dd), 0), 6) AS max_drawdown,
+  round(covar_samp(r, m) / var_samp(m), 6) AS beta_to_market, round(corr(r, m), 6) AS corr_to_market,
+  round(-max(q95), 6) AS hist_var_95, round(-max(q99), 6) AS hist_var_99,
+  round(-avg(r) FILTER (WHERE r <= q95), 6) AS hist_es_95, round(-avg(r) FILTER (WHERE r <= q99), 6) AS hist_es_99
+FROM d, q GROUP BY asset
+""",
+)
+# ---- overlay -------------------------------------------------------------------------------------
+cte(
+    "ovi",
+    f"""
+WITH s AS (SELECT asset, trade_date, r / 50 AS r FROM sr),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY asset ORDER BY trade_date) - 1 AS INTEGER) AS k FROM s WHERE r IS NOT NULL),
+e AS (SELECT asset, trade_date, sqrt(252 * pow(0.94, k) * sum(CASE WHEN k = 0 THEN r * r ELSE 0.06::DOUBLE * r * r END * pow(0.94, -k)) OVER (PARTITION BY asset ORDER BY k ROWS UNBOUNDED PRECEDING)) AS ev FROM n)
+SELECT s.asset, s.trade_date, s.r, e.ev, v.close / 997 AS vix, lag(c.value) OVER (PARTITION BY s.asset ORDER BY s.trade_date) / 100 / 252 AS cash, f.prob AS p_rf, t.prob AS p_lt
+FROM s LEFT JOIN e ON e.asset = s.asset AND e.trade_date = s.trade_date
+LEFT JOIN px v ON v.asset = 'A7' AND v.trade_date = s.trade_date
+LEFT JOIN dknown c ON c.series = 'D_F' AND c.as_of_date = s.trade_date
+LEFT JOIN preds f ON f.model = 'random_forest' AND f.asset = s.asset AND f.as_of_date = s.trade_date
+LEFT JOIN preds t ON t.model = 'logit_tuned' AND t.asset = s.asset AND t.as_of_date = s.trade_date
+""",
+)
+
+
+def capped(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, 0), 1) END"
+
+
+def weights_sql(tv: str, source: str = "ovi") -> str:
+    return (
+        f"SELECT *, 1.0::DOUBLE AS w_buy_hold, {capped(f'{tv} / ev')} AS w_ewma_vol_target, {capped(f'{tv} / (vix / 100)')} AS w_vix_target, "
+        f"{capped('(1 - p_rf)')} AS w_model_random_forest, {capped('(1 - p_lt)')} AS w_model_logit_tuned FROM {source}"
+    )
+
+
+OV = ["buy_hold", "ewma_vol_target", "vix_target", "model_random_forest", "model_logit_tuned"]
+
+
+def backtest_sql(lag: str, cost: str, tv: str, keys: str = "asset", source: str = "ovi") -> str:
+    held = ", ".join(f"CASE WHEN {lag} = 1 THEN lag(w_{n}, 1) OVER w ELSE lag(w_{n}, 2) OVER w END AS h_{n}" for n in OV)
+    ok = " AND ".join(f"h_{n} IS NOT NULL" for n in OV)
+    extra = "" if keys == "asset" else keys.replace("asset", "").strip(", ") + ", "
+    rows = " UNION ALL ".join(
+        f"SELECT {extra}asset, trade_date, cash, r, {cost} AS cost, '{n}' AS strategy, h_{n} AS held FROM m" for n in [*OV, "static_matched"]
+    )
+    return f"""
+WITH wt AS ({weights_sql(tv, source)}),
+h AS (SELECT *, {held} FROM wt WINDOW w AS (PARTITION BY {keys} ORDER BY trade_date)),
+c AS (SELECT * FROM h WHERE trade_date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31' AND r IS NOT NULL AND cash IS NOT NULL AND {ok}),
+m AS (SELECT *, avg(h_model_random_forest) OVER (PARTITION BY {keys}) AS h_static_matched FROM c),
+l AS ({rows}),
+t AS (SELECT *, abs(held - coalesce(lag(held) OVER (PARTITION BY {keys}, strategy ORDER BY trade_date), 0)) AS turnover FROM l)
+SELECT *, held * r + (1 - held) * cash - turnover * cost / 10000 AS net FROM t"""
+
+
+cte("bt", backtest_sql("2", "5.0::DOUBLE", "0.1::DOUBLE"))
+sql("overlay_weights", "SELECT asset, trade_date, " + ", ".join(f"round(w_{n}, 8) AS w_{n}" for n in OV) + f" FROM ({weights_sql('0.1::DOUBLE')})")
+sql("overlay_returns", f"SELECT asset, trade_date, strategy, {rounded(['held', 'turnover', 'net'])} FROM bt")
+sql(
+    "performance",
+    f"""
+WITH d AS ({drawdown_sql("bt", "asset, strategy", "net")}),
+q AS (SELECT asset, strategy, quantile_cont(net, 0.05) AS cut FROM bt GROUP BY 1, 2),
+a AS (SELECT d.asset, d.strategy, count(*) AS days, exp(sum(ln(1 + net)) * 252 / count(*)) - 1 AS ann_return, stddev_samp(net) * sqrt(252) AS ann_vol,
+  avg(net - cash) / stddev_samp(net - cash) * sqrt(252) AS sharpe, least(min(dd), 0) AS max_drawdown, avg(held) AS avg_exposure,
+  sum(turnover) / (count(*) / 252.0) AS turnover_per_year, avg(net) FILTER (WHERE net <= cut) AS cvar95_daily
+FROM d JOIN q ON q.asset = d.asset AND q.strategy = d.strategy GROUP BY 1, 2)
+SELECT asset, strategy, days, {rounded(['ann_return', 'ann_vol', 'sharpe', 'max_drawdown', 'avg_exposure', 'turnover_per_year', 'cvar95_daily'], 6)},
+  CASE WHEN max_drawdown < 0 THEN round(ann_return / abs(max_drawdown), 6) END AS calmar FROM a
+""",
+)
+sql(
+    "episode_table",
+    f"""
+WITH w AS (SELECT * FROM (VALUES ('autumn_1998', DATE '1998-08-01', DATE '1998-11-30'), ('year_2000', DATE '2000-01-01', DATE '2000-12-31')) w(episode, a, b)),
+x AS (SELECT episode, bt.* FROM bt JOIN w ON trade_date BETWEEN a AND b),
+s AS (SELECT asset, strategy, episode, exp(sum(ln(1 + net))) - 1 AS tr, least(min(dd), 0) AS md FROM ({drawdown_sql("x", "asset, strategy, episode", "net")}) GROUP BY 1, 2, 3)
+SELECT asset, strategy, """
+    + ", ".join(
+        f"round(max({c}) FILTER (WHERE episode = '{e}'), 8) AS {e}_{n}"
+        for e in ("autumn_1998", "year_2000")
+        for c, n in (("tr", "total_return"), ("md", "max_drawdown"))
+    )
+    + " FROM s GROUP BY 1, 2",
+)
+cte("ovs", "SELECT ovi.*, CAST(a.lag AS INTEGER) AS lag, b.cost_bps, c.target_vol FROM ovi, (VALUES (1), (2)) a(lag), (VALUES (0.0::DOUBLE), (2.0), (5.0), (10.0)) b(cost_bps), (VALUES (0.08::DOUBLE), (0.1), (0.12)) c(target_vol)")
+cte("bts", backtest_sql("lag", "cost_bps", "target_vol", "lag, cost_bps, target_vol, asset", "ovs"))
+sql("overlay_sensitivity", "SELECT lag, cost_bps, target_vol, asset, strategy, round(avg(net - cash) / stddev_samp(net - cash) * sqrt(252), 6) AS sharpe FROM bts GROUP BY 1, 2, 3, 4, 5")
+# ---- forecast comparison -------------------------------------------------------------------------
+
+
+def ll(p: str) -> str:
+    c = f"least(greatest({p}, 1e-6), 1 - 1e-6)"
+    return f"-(y * ln({c}) + (1 - y) * ln(1 - {c}))"
+
+
+cte("dif", f"SELECT *, {ll('p_a')} - {ll('p_b')} AS d FROM paired")
+sql(
+    "dm_test",
+    """
+WITH c AS (SELECT *, d - avg(d) OVER (PARTITION BY asset, family, model, vs) AS c FROM dif),
+l AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(c, 3) OVER w AS c3, lag(c, 4) OVER w AS c4 FROM c WINDOW w AS (PARTITION BY asset, family, model, vs ORDER BY as_of_date)),
+a AS (SELECT asset, family, model, vs, count(*) AS n, avg(d) AS mean_diff, (sum(c * c) + 2 * (0.8 * sum(c * c1) + 0.6 * sum(c * c2) + 0.4 * sum(c * c3) + 0.2 * sum(c * c4))) / count(*) AS v FROM l GROUP BY 1, 2, 3, 4)
+SELECT asset, family, model, vs, n, round(mean_diff, 6) AS mean_diff, CASE WHEN v > 0 THEN round(mean_diff / sqrt(v / n) * sqrt((n + 1 - 10 + 20.0 / n) / n), 6) END AS stat FROM a
+""",
+)
+HOLM = """SELECT *, least(1, max(st) OVER (PARTITION BY asset, family ORDER BY p, model, vs ROWS UNBOUNDED PRECEDING)) AS ph FROM (
+  SELECT *, (count(*) OVER (PARTITION BY asset, family) - row_number() OVER (PARTITION BY asset, family ORDER BY p, model, vs) + 1) * p AS st FROM {})"""
+sql("holm", f"SELECT asset, family, model, vs, round(p, 8) AS p, round(ph, 8) AS p_holm FROM ({HOLM.format('(SELECT asset, family, model, vs, avg(CASE WHEN d > 0 THEN 1.0::DOUBLE ELSE 0 END) / 20 AS p FROM dif GROUP BY 1, 2, 3, 4)')})")
+
+
+def draws_sql(sizes: str, draws: int) -> str:
+    """(asset, fold, n, draw, pos, idx) of the stationary bootstrap."""
+    grid = f"(SELECT s.*, d.draw, p.pos FROM {sizes} s, range({draws}) d(draw), LATERAL (SELECT unnest(range(s.n)) AS pos) p)"
+    opens = rounds(grid, "*", mix_sql("12345", "draw", "0", "pos"))
+    both = rounds(f"(SELECT * EXCLUDE (u), (pos = 0 OR u / {M}.0::DOUBLE < 1.0 / 20) AS opens FROM ({opens}))", "*", mix_sql("12345", "draw", "1", "pos"))
+    src = f"SELECT * EXCLUDE (u), CAST(floor(u / {M}.0::DOUBLE * n) AS BIGINT) AS src FROM ({both})"
+    last = f"SELECT *, max(CASE WHEN opens THEN pos END) OVER w AS first, arg_max(CASE WHEN opens THEN src END, CASE WHEN opens THEN pos END) OVER w AS source FROM ({src}) WINDOW w AS (PARTITION BY asset, fold, draw ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+    return f"SELECT asset, fold, n, draw, pos, (source + pos - first) % n AS idx FROM ({last})"
+
+
+cte("sizes", "SELECT asset, fold, count(*) AS n FROM preds WHERE model = 'har_logit' GROUP BY 1, 2")
+cte("bix", draws_sql("sizes", 50))
+sql("bootstrap_index", "SELECT asset, fold, idx, count(*) AS times, CAST(sum(pos) AS BIGINT) AS pos_sum FROM bix GROUP BY 1, 2, 3")
+cte("btn", "SELECT asset, 'all' AS fold, count(DISTINCT trade_date) AS n FROM bt GROUP BY 1")
+cte("six", draws_sql("btn", 1000))
+cte("xs", "SELECT asset, strategy, net - cash AS x, row_number() OVER (PARTITION BY asset, strategy ORDER BY trade_date) - 1 AS idx FROM bt")
+cte("scount", "SELECT asset, draw, idx, count(*) AS c FROM six GROUP BY 1, 2, 3")
+cte(
+    "sdraw",
+    """
+WITH m AS (SELECT s.asset, draw, strategy, sum(c) AS n, sum(c * x) AS t1, sum(c * x * x) AS t2 FROM scount s JOIN xs ON xs.asset = s.asset AND xs.idx = s.idx GROUP BY 1, 2, 3)
+SELECT asset, draw, strategy, (t1 / n) / sqrt((t2 - t1 * t1 / n) / (n - 1)) * sqrt(252) AS sh FROM m
+UNION ALL SELECT asset, -1, strategy, avg(x) / stddev_samp(x) * sqrt(252) FROM xs GROUP BY 1, 3
+""",
+)
+cte(
+    "sres",
+    """
+WITH p AS (SELECT * FROM (VALUES ('model_random_forest', 'buy_hold'), ('model_random_forest', 'ewma_vol_target'), ('model_random_forest', 'vix_target'), ('model_logit_tuned', 'buy_hold'), ('model_logit_tuned', 'ewma_vol_target'), ('model_logit_tuned', 'vix_target')) p(model, vs)),
+d AS (SELECT a.asset, a.draw, p.model, p.vs, a.sh - b.sh AS diff FROM p JOIN sdraw a ON a.strategy = p.model JOIN sdraw b ON b.strategy = p.vs AND b.asset = a.asset AND b.draw = a.draw)
+SELECT asset, model AS family, model, vs, max(diff) FILTER (WHERE draw < 0) AS sharpe_diff, quantile_cont(diff, 0.025) FILTER (WHERE draw >= 0) AS ci_low, quantile_cont(diff, 0.975) FILTER (WHERE draw >= 0) AS ci_high,
+  least(greatest(2 * least(avg(CASE WHEN diff <= 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE draw >= 0), avg(CASE WHEN diff >= 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE draw >= 0)), 1.0 / 1001), 1) AS p
+FROM d GROUP BY 1, 3, 4
+""",
+)
+SHARPE = "asset, family, model, vs, round(sharpe_diff, 6) AS sharpe_diff, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p_boot"
+sql("bootstrap_sharpe", f"SELECT {SHARPE} FROM sres")
+sql("sharpe_tests", f"SELECT {SHARPE}, round(ph, 6) AS p_boot_holm FROM ({HOLM.format('sres')})")
+
 
 def oracle() -> dict[str, str]:
     return {name: compose(text) for name, text in SQL.items()}

@@ -1,16 +1,20 @@
 """Asymmetric GARCH(1,1) with Gaussian quasi-likelihood: h = omega + (alpha + gamma*[r<0]) r^2 + beta*h.
 
 Returns are in percent. One row per (series, fit window) carries its returns as an array, bounded by
-the calendar; rows are spread over the cluster and every step of the search stays inside the row.
+the calendar, and rows are spread over the cluster. Variance paths are window recursions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.frames import ratio
 from ..functions.recursion import linear_recursion
@@ -18,7 +22,7 @@ from ..functions.recursion import linear_recursion
 # Parameter bounds and starting points (alpha, gamma, beta).
 MAX_ALPHA, MAX_GAMMA, MAX_BETA, MAX_PERSISTENCE, MIN_OMEGA = 0.5, 0.8, 0.9999, 0.9995, 1e-6
 STARTS = ((0.05, 0.05, 0.88), (0.03, 0.10, 0.90), (0.08, 0.02, 0.85))
-LEVELS = 40
+LEVELS = 24
 
 PARAMS = ("omega", "alpha", "gamma", "beta")
 
@@ -34,106 +38,68 @@ class GJR:
         return {p: F.lit(float(getattr(self, p))) for p in PARAMS}
 
 
-def _let(value: Column, body) -> Column:
-    """Bind a value inside an expression, so it is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def neg_loglik(r: np.ndarray, h0: float, omega, alpha, gamma, beta) -> np.ndarray:
+    """Half the sum of ln h + r^2/h along the variance recursion, for arrays of parameter sets."""
+    h = np.full(np.shape(omega), h0)
+    total = np.zeros_like(h)
+    square = r * r
+    up, down = alpha, alpha + gamma
+    for t in range(len(r)):
+        total += np.log(h) + square[t] / h
+        h = omega + (down if r[t] < 0 else up) * square[t] + beta * h
+    return total / 2
 
 
-def neg_loglik(r: Column, h0: Column, omega: Column, alpha: Column, gamma: Column, beta: Column) -> Column:
-    """Half the sum of ln h + r^2/h along the variance recursion."""
-    start = F.struct(h0.alias("h"), F.lit(0.0).alias("nll"))
+def _inside(lv, a, g, lq):
+    """Parameters from (log long-run variance, alpha, gamma, log(1 - persistence)), and their validity."""
+    gap = np.exp(lq)
+    omega, beta = np.exp(lv) * gap, 1 - gap - a - g / 2
+    ok = (a >= 0) & (a <= MAX_ALPHA) & (g >= 0) & (g <= MAX_GAMMA) & (beta >= 0) & (beta <= MAX_BETA)
+    return omega, beta, ok & (gap >= 1 - MAX_PERSISTENCE) & (omega >= MIN_OMEGA)
 
-    def step(s: Column, x: Column) -> Column:
-        square = x * x
-        return F.struct(
-            (omega + (alpha + F.when(x < 0, gamma).otherwise(0.0)) * square + beta * s["h"]).alias("h"),
-            (s["nll"] + F.lit(0.5) * (F.log(s["h"]) + square / s["h"])).alias("nll"),
-        )
 
-    return F.aggregate(r, start, step, lambda s: s["nll"])
+def maximise(r: np.ndarray, levels: int = LEVELS) -> tuple[float, float, float, float, float, float]:
+    """(h0, omega, alpha, gamma, beta, nll) by pattern search over whole neighbourhoods.
 
-
-def _candidate(r: Column, h0: Column, lv: Column, a: Column, g: Column, lq: Column) -> Column:
-    """Score of (log long-run variance, alpha, gamma, log(1 - persistence)); NULL outside the bounds."""
-    gap = F.exp(lq)
-    beta = 1 - gap - a - g / 2
-    omega = F.exp(lv) * gap
-    inside = (
-        a.between(0.0, MAX_ALPHA)
-        & g.between(0.0, MAX_GAMMA)
-        & beta.between(0.0, MAX_BETA)
-        & (gap >= 1 - MAX_PERSISTENCE)
-        & (omega >= MIN_OMEGA)
-    )
-    nll = F.when(inside, neg_loglik(r, h0, omega, a, g, beta)).otherwise(F.lit(float("inf")))
-    return F.struct(nll.alias("nll"), lv.alias("lv"), a.alias("a"), g.alias("g"), lq.alias("lq"))
-
-
-def fit_gjr(series: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """Adds omega, alpha, gamma, beta, nll to rows with ``rets`` (percent returns, in date order).
-
-    Pattern search from the best of three starts: each level tries both directions of every
-    coordinate, moves to the best improvement, and halves the step when there is none. The
-    coordinates are the long-run variance and the persistence rather than omega and beta, because
-    those two trade off along a narrow ridge.
+    Long-run variance and persistence replace omega and beta, which trade off along a narrow ridge.
+    Each level scores all 81 neighbours of the best point at once and halves the step when none wins.
     """
-    r = F.col("rets")
-    n = F.size(r).cast("double")
-    mean = F.aggregate(r, F.lit(0.0), lambda s, x: s + x) / n
-    base = series.withColumn("_mean", mean).withColumn(
-        "h0", F.aggregate(r, F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean"))) / n
-    )
-    h0 = F.col("h0")
-    starts = [
-        _candidate(r, h0, F.log(h0), F.lit(a), F.lit(g), F.log(F.lit(1 - (a + g / 2 + b)))) for a, g, b in STARTS
-    ]
-    first = base.withColumn("_start", F.array_min(F.array(*starts)))
-    # First step per coordinate.
-    scale = {"lv": 0.3, "a": 0.03, "g": 0.05, "lq": 0.4}
-    moves = F.array(
-        *[
-            F.struct(*[F.lit(sign * scale[c] if c == name else 0.0).alias(c) for c in scale])
-            for name in scale
-            for sign in (1.0, -1.0)
-        ]
-    )
-
-    def improve(state: Column, _: Column) -> Column:
-        best, step = state["best"], state["step"]
-        tried = F.array_min(
-            F.transform(
-                moves,
-                lambda m: _candidate(
-                    r,
-                    h0,
-                    best["lv"] + m["lv"] * step,
-                    F.greatest(best["a"] + m["a"] * step, F.lit(0.0)),
-                    F.greatest(best["g"] + m["g"] * step, F.lit(0.0)),
-                    best["lq"] + m["lq"] * step,
-                ),
-            )
-        )
-        return _let(
-            tried,
-            lambda t: F.when(
-                t["nll"] < best["nll"], F.struct(t.alias("best"), (step * 1.3).alias("step"))
-            ).otherwise(F.struct(best.alias("best"), (step * 0.5).alias("step"))),
-        )
-
-    start = F.struct(F.col("_start").alias("best"), F.lit(1.0).alias("step"))
-    fitted = first.withColumn(
-        "_fit", F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, improve, lambda s: s["best"])
-    )
-    gap = F.exp(F.col("_fit.lq"))
-    return fitted.withColumns(
-        {
-            "omega": F.exp(F.col("_fit.lv")) * gap,
-            "alpha": F.col("_fit.a"),
-            "gamma": F.col("_fit.g"),
-            "beta": 1 - gap - F.col("_fit.a") - F.col("_fit.g") / 2,
-            "nll": F.col("_fit.nll"),
-        }
-    ).drop("_mean", "_start", "_fit")
+    h0 = float(np.var(r))
+    offsets = np.stack(np.meshgrid(*[[-1.0, 0.0, 1.0]] * 4, indexing="ij"), -1).reshape(-1, 4)
+    step = np.array([0.3, 0.03, 0.05, 0.4])
+    points = np.array([[math.log(h0), a, g, math.log(1 - (a + g / 2 + b))] for a, g, b in STARTS])
+    best, low = points[0], math.inf
+    for _ in range(levels + 1):
+        points[:, 1:3] = np.maximum(points[:, 1:3], 0.0)
+        lv, a, g, lq = points.T
+        omega, beta, ok = _inside(lv, a, g, lq)
+        if ok.any():
+            score = neg_loglik(r, h0, omega[ok], a[ok], g[ok], beta[ok])
+            i = int(np.argmin(score))
+            if score[i] < low - 1e-9:
+                best, low = points[ok][i].copy(), float(score[i])
+            else:
+                step = step / 2
+        points = best + offsets * step
+    omega, beta, _ = _inside(*best)
+    return h0, float(omega), float(best[1]), float(best[2]), float(beta), low
+
+
+_FIT_TYPE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("h0", *PARAMS, "nll")])
+
+
+@F.pandas_udf(_FIT_TYPE)
+def _fit(rets: pd.Series) -> pd.DataFrame:
+    fits = [maximise(np.asarray(r, float)) for r in rets]
+    return pd.DataFrame(fits, columns=["h0", *PARAMS, "nll"])
+
+
+def fit_gjr(series: DataFrame) -> DataFrame:
+    """Adds h0, omega, alpha, gamma, beta, nll to rows with ``rets`` (percent returns, in date order).
+
+    One row is one fit; Spark spreads the rows, and a fit touches only its own array.
+    """
+    return series.withColumn("_f", _fit("rets")).select("*", "_f.*").drop("_f")
 
 
 def return_arrays(returns: DataFrame, by: Sequence[str] = ("asset",), ret: str = "r") -> DataFrame:
@@ -156,8 +122,6 @@ def variance_path(rows: DataFrame, by: Sequence[str] = ("asset",), x: str = "x")
 
     ``rows`` carry x (percent), h0 and the four parameters.
     """
-    from pyspark.sql import Window
-
     series = Window.partitionBy(*by).orderBy("trade_date")
     drive = F.lag(F.col("omega") + _shock(F.col(x))).over(series)
     prepared = rows.withColumn("_e", F.coalesce(drive, F.col("h0")))

@@ -1,20 +1,22 @@
 """Forecast-comparison tests: Diebold-Mariano, stationary bootstrap, Holm adjustment.
 
 Tests run per asset and pair of models; a series is one asset's test days, bounded by the calendar.
-Resampling draws are rows: each (series, chunk of draws) is one row whose draws are array folds, so
-nothing is shuffled per draw and every draw is repeatable.
+Resampling draws are spread as rows, one per (series, chunk of draws); a task turns its draws into day
+counts with array arithmetic, so nothing is shuffled per resampled day and every draw is repeatable.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import ratio
 from ..functions.tails import t_two_sided
-from ..functions.uniform import uniform, uniform_index
+from ..functions.uniform import MODULUS, mixed, scaled
 from ..settings import TRADING_DAYS, TestSettings
 from .metrics import log_loss
 
@@ -24,11 +26,6 @@ BENCHMARKS = ("har_logit", "vix_logit")
 PAIRS = tuple(("benchmark", a, b) for a in LEARNERS for b in BENCHMARKS) + tuple(
     ("garch", a, "garch_logit") for a in LEARNERS
 )
-SERIES = ("asset",)
-
-
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _pair_array(pairs: Sequence[tuple[str, str, str]]) -> Column:
@@ -38,10 +35,9 @@ def _pair_array(pairs: Sequence[tuple[str, str, str]]) -> Column:
 
 
 def by_model(preds: DataFrame) -> DataFrame:
-    """One row per (asset, fold, date) with the probability of each model in a map."""
-    entry = F.struct("model", "prob")
+    """One row per (asset, fold, date) with the model probabilities as a short sorted list."""
     return preds.groupBy("asset", "fold", "as_of_date").agg(
-        F.max("y").alias("y"), F.map_from_entries(F.collect_list(entry)).alias("probs")
+        F.max("y").alias("y"), F.sort_array(F.collect_list(F.struct("model", "prob"))).alias("probs")
     )
 
 
@@ -51,7 +47,8 @@ def paired_predictions(preds: DataFrame, pairs: Sequence[tuple[str, str, str]] =
     The models of one day share a row, so all pairs come from one shuffle and no self-join.
     """
     rows = by_model(preds).select("asset", "fold", "as_of_date", "y", "probs", F.inline(_pair_array(pairs)))
-    p_a, p_b = F.try_element_at("probs", F.col("model")), F.try_element_at("probs", F.col("vs"))
+    by_name = F.map_from_entries("probs")
+    p_a, p_b = F.try_element_at(by_name, F.col("model")), F.try_element_at(by_name, F.col("vs"))
     return rows.select(
         "family", "model", "vs", "asset", "fold", "as_of_date", "y", p_a.alias("p_a"), p_b.alias("p_b")
     ).where(F.col("p_a").isNotNull() & F.col("p_b").isNotNull())
@@ -99,108 +96,158 @@ def holm(tests: DataFrame, family: Sequence[str], p: str, out: str) -> DataFrame
 # ---- stationary bootstrap ------------------------------------------------------------------------
 
 
-def blocks(n: Column, draw: Column, seed: int, mean_block: int) -> Column:
-    """Blocks of one draw: (pos, len, start), covering positions 0..n-1 with circular source runs.
+def resample(draws: np.ndarray, n: int, seed: int, mean_block: int) -> np.ndarray:
+    """(draws, n) source positions: blocks of geometric length, wrapped circularly.
 
-    A position opens a block with probability 1 / mean_block (the first always does), and takes its
-    source start uniformly; the block runs until the next opening.
+    A position opens a block with probability 1 / mean_block (the first always does) and takes a
+    uniform source; the positions after it follow on until the next opening.
     """
-    opens = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (uniform(F.lit(seed), draw, F.lit(0), i) < 1.0 / mean_block),
-    )
-    return _let(
-        opens,
-        lambda o: F.transform(
-            o,
-            lambda pos, i: F.struct(
-                pos.alias("pos"),
-                (F.coalesce(F.get(o, i + 1), n) - pos).alias("len"),
-                uniform_index(n, F.lit(seed), draw, F.lit(1), pos).alias("start"),
-            ),
-        ),
-    )
+    pos = np.arange(n)
+    d = np.asarray(draws, np.int64)[:, None]
+    opens = mixed(seed, d, 0, pos) / float(MODULUS) < 1.0 / mean_block
+    opens[:, 0] = True
+    source = scaled(mixed(seed, d, 1, pos), n)
+    first = np.maximum.accumulate(np.where(opens, pos, 0), axis=1)
+    return (np.take_along_axis(source, first, axis=1) + pos - first) % n
 
 
-def bootstrap_index(series: DataFrame, draws: int, seed: int, mean_block: int) -> DataFrame:
-    """(keys..., draw, pos, idx): source position of every resampled position. ``series`` has n."""
-    each = series.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    runs = each.withColumn("b", F.explode(blocks(F.col("n"), F.col("draw"), seed, mean_block)))
-    return runs.select(
-        *series.columns,
-        "draw",
-        F.posexplode(F.sequence(F.col("b.start"), F.col("b.start") + F.col("b.len") - 1)).alias("o", "raw"),
-        F.col("b.pos").alias("first"),
-    ).select(*series.columns, "draw", (F.col("first") + F.col("o")).alias("pos"), (F.col("raw") % F.col("n")).alias("idx"))
+def resample_counts(draws: np.ndarray, n: int, seed: int, mean_block: int) -> np.ndarray:
+    """(draws, n): how often each position is drawn."""
+    index = resample(draws, n, seed, mean_block) + np.arange(len(draws))[:, None] * n
+    return np.bincount(index.ravel(), minlength=len(draws) * n).reshape(len(draws), n)
 
 
-def _per_draw(packed: DataFrame, draws: int, chunks: int, one) -> DataFrame:
-    """Spread (series row x chunk of draws) over tasks and apply ``one`` to each draw."""
+def _spread(packed: DataFrame, draws: int, chunks: int, keys: Sequence[str]) -> DataFrame:
+    """One row per (series, chunk of draws), shuffled so that chunks run in parallel."""
     per = -(-draws // chunks)
-    spread = packed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(
-        *SERIES, "chunk"
+    return packed.selectExpr(
+        "*", f"explode(transform(sequence(0, {chunks - 1}), c -> struct(c * {per} AS first, least((c + 1) * {per}, {draws}) AS last))) AS part"
+    ).selectExpr(*packed.columns, "part.first", "part.last").where("first < last").repartition(*keys, "first")
+
+
+def bootstrap_index(series: DataFrame, draws: int, seed: int, mean_block: int, chunks: int = 16) -> DataFrame:
+    """(asset, fold, draw, pos, idx): source position of every resampled position. ``series`` has n."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                ids = np.arange(row.first, row.last)
+                index = resample(ids, row.n, seed, mean_block)
+                yield pd.DataFrame(
+                    {
+                        "asset": row.asset,
+                        "fold": row.fold,
+                        "draw": np.repeat(ids, row.n),
+                        "pos": np.tile(np.arange(row.n), len(ids)),
+                        "idx": index.ravel(),
+                    }
+                )
+
+    spread = _spread(series.select("asset", "fold", "n"), draws, chunks, ["asset", "fold"])
+    return spread.mapInPandas(
+        run, "asset string, fold string, draw bigint, pos bigint, idx bigint"
     )
-    first = F.col("chunk") * per
-    ids = F.filter(F.sequence(first, first + per - 1), lambda d: d < draws)
-    return spread.withColumn("result", F.explode(F.transform(ids, one))).drop("chunk")
-
-
-def _sharpe(total: Column, squares: Column, n: Column) -> Column:
-    mean = total / n
-    var = (squares - total * mean) / (n - 1)
-    return F.when(var > 0, mean / F.sqrt(F.when(var > 0, var)) * TRADING_DAYS**0.5)
 
 
 def sharpe_draws(excess: DataFrame, s: TestSettings = TestSettings(), chunks: int = 16) -> DataFrame:
-    """(asset, draw, sharpe map): Sharpe ratio of every strategy on the same resampled days.
+    """(asset, draw, strategy, sharpe): Sharpe ratio of every strategy on the same resampled days.
 
-    ``excess`` is (asset, trade_date, strategy, x). A resampled block is a run of days, so its sum
-    and its sum of squares are differences of two prefix sums.
+    ``excess`` is (asset, trade_date, strategy, x). A draw is a vector of day counts, so its moments
+    are products of counts with the returns and their squares.
     """
-    upto = Window.partitionBy("asset", "strategy").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    x = F.col("x")
-    cumulative = excess.select(
-        "asset", "strategy", "trade_date", F.sum(x).over(upto).alias("c1"), F.sum(x * x).over(upto).alias("c2")
+    daily = excess.groupBy("asset", "trade_date").agg(
+        F.sort_array(F.collect_list(F.struct("strategy", "x"))).alias("e")
     )
-    ordered = F.sort_array(F.collect_list(F.struct("trade_date", "c1", "c2")))
-    zero = F.array(F.lit(0.0))
-    arrays = cumulative.groupBy("asset", "strategy").agg(ordered.alias("o")).select(
-        "asset",
-        F.struct(
-            "strategy",
-            F.concat(zero, F.transform("o", lambda v: v["c1"])).alias("p1"),
-            F.concat(zero, F.transform("o", lambda v: v["c2"])).alias("p2"),
-        ).alias("s"),
-        F.size("o").alias("n"),
+    ordered = F.sort_array(F.collect_list(F.struct("trade_date", F.transform("e", lambda v: v["x"]).alias("x"))))
+    packed = daily.groupBy("asset").agg(
+        F.transform(F.first("e"), lambda v: v["strategy"]).alias("names"),
+        F.transform(ordered, lambda v: v["x"]).alias("x"),
     )
-    packed = arrays.groupBy("asset", "n").agg(F.sort_array(F.collect_list("s")).alias("series"))
-    n = F.col("n")
 
-    def run_sum(prefix: Column, b: Column) -> Column:
-        end = b["start"] + b["len"]
-        inside = F.get(prefix, F.least(end, n)) - F.get(prefix, b["start"])
-        return inside + F.when(end > n, F.get(prefix, end - n)).otherwise(0.0)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                x = np.stack(list(row.x))
+                n = len(x)
+                ids = np.arange(row.first, row.last)
+                counts = resample_counts(ids, n, s.seed, s.mean_block)
+                mean = counts @ x / n
+                var = (counts @ (x * x) - n * mean * mean) / (n - 1)
+                sharpe = np.where(var > 0, mean / np.sqrt(np.where(var > 0, var, 1.0)), np.nan) * TRADING_DAYS**0.5
+                yield pd.DataFrame(
+                    {
+                        "asset": row.asset,
+                        "draw": np.repeat(ids, len(row.names)),
+                        "strategy": np.tile(np.asarray(row.names, object), len(ids)),
+                        "sharpe": sharpe.ravel(),
+                    }
+                )
+
+    return _spread(packed, s.draws, chunks, ["asset"]).mapInPandas(
+        run, "asset string, draw bigint, strategy string, sharpe double"
+    )
 
-    def one(draw: Column) -> Column:
-        def measure(bs: Column) -> Column:
-            def strategy(v: Column) -> Column:
-                t1 = F.aggregate(bs, F.lit(0.0), lambda a, b: a + run_sum(v["p1"], b))
-                t2 = F.aggregate(bs, F.lit(0.0), lambda a, b: a + run_sum(v["p2"], b))
-                return F.struct(v["strategy"].alias("strategy"), _sharpe(t1, t2, n).alias("sharpe"))
 
-            return F.struct(draw.alias("draw"), F.map_from_entries(F.transform("series", strategy)).alias("sharpe"))
+def average_precision(counts: np.ndarray, y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Average precision per row of ``counts``; NaN where no positive is drawn."""
+    order = np.argsort(-p, kind="stable")
+    last = np.append(p[order][1:] != p[order][:-1], True)
+    drawn = counts[:, order].astype(float)
+    every = np.cumsum(drawn, axis=1)[:, last]
+    hits = np.cumsum(drawn * y[order], axis=1)[:, last]
+    gained = np.diff(hits, axis=1, prepend=0.0)
+    area = (gained * hits / np.maximum(every, 1.0)).sum(axis=1)
+    return np.where(hits[:, -1] > 0, area / np.maximum(hits[:, -1], 1.0), np.nan)
 
-        return _let(blocks(n, draw, s.seed, s.mean_block), measure)
 
-    return _per_draw(packed, s.draws, chunks, one).select("asset", "result.draw", "result.sharpe")
+def pr_auc_draws(preds: DataFrame, s: TestSettings = TestSettings(), chunks: int = 16) -> DataFrame:
+    """(asset, fold, draw, model, ap): average precision of every model on the same resampled days.
+
+    Draw -1 is the observed sample. A draw only changes how often each day counts, so the score
+    order of a fold is sorted once per task.
+    """
+    rows = by_model(preds)
+    ordered = F.sort_array(F.collect_list(F.struct("as_of_date", "y", F.transform("probs", lambda e: e["prob"]).alias("p"))))
+    packed = rows.groupBy("asset", "fold").agg(
+        F.transform(F.first("probs"), lambda e: e["model"]).alias("names"),
+        F.transform(ordered, lambda v: v["y"].cast("double")).alias("y"),
+        F.transform(ordered, lambda v: v["p"]).alias("p"),
+    )
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                y, p = np.asarray(row.y, float), np.stack(list(row.p))
+                ids = np.arange(row.first, row.last)
+                counts = resample_counts(ids, len(y), s.seed, s.mean_block)
+                if row.first == 0:
+                    ids = np.append(-1, ids)
+                    counts = np.vstack([np.ones((1, len(y)), counts.dtype), counts])
+                for j, name in enumerate(row.names):
+                    yield pd.DataFrame(
+                        {
+                            "asset": row.asset,
+                            "fold": row.fold,
+                            "draw": ids,
+                            "model": name,
+                            "ap": average_precision(counts, y, p[:, j]),
+                        }
+                    )
+
+    return _spread(packed, s.draws, chunks, ["asset", "fold"]).mapInPandas(
+        run, "asset string, fold string, draw bigint, model string, ap double"
+    )
 
 
-def _summary(draws: DataFrame, keys: Sequence[str], n_draws: int) -> DataFrame:
-    """Percentile interval and two-sided p-value of the resampled differences ``diff``."""
-    low, high = F.avg((F.col("diff") <= 0).cast("double")), F.avg((F.col("diff") >= 0).cast("double"))
-    p = F.least(F.greatest(2 * F.least(low, high), F.lit(1.0 / (n_draws + 1))), F.lit(1.0))
-    return draws.groupBy(*keys).agg(
-        F.percentile("diff", 0.025).alias("ci_low"), F.percentile("diff", 0.975).alias("ci_high"), p.alias("p_boot")
+def _summary(diffs: DataFrame, keys: Sequence[str], n_draws: int, observed: str) -> DataFrame:
+    """Observed difference (draw -1), percentile interval and two-sided p-value of the draws."""
+    drawn = "CASE WHEN draw >= 0 THEN diff END"
+    low, high = f"avg(cast({drawn} <= 0 AS double))", f"avg(cast({drawn} >= 0 AS double))"
+    return diffs.groupBy(*keys).agg(
+        F.expr(f"max(CASE WHEN draw < 0 THEN diff END) AS {observed}"),
+        F.expr(f"percentile({drawn}, 0.025) AS ci_low"),
+        F.expr(f"percentile({drawn}, 0.975) AS ci_high"),
+        F.expr(f"least(greatest(2 * least({low}, {high}), {1.0 / (n_draws + 1)}D), 1.0D) AS p_boot"),
     )
 
 
@@ -215,125 +262,37 @@ def sharpe_tests(
     def difference(m: Column) -> Column:
         return F.try_element_at(m, a) - F.try_element_at(m, b)
 
-    observed = (
-        excess.groupBy("asset", "strategy")
-        .agg((ratio(F.avg("x"), F.stddev_samp("x")) * TRADING_DAYS**0.5).alias("sharpe"))
-        .groupBy("asset")
-        .agg(F.map_from_entries(F.collect_list(F.struct("strategy", "sharpe"))).alias("m"))
-        .select("asset", "m", listed)
-        .select(*keys, difference(F.col("m")).alias("sharpe_diff"))
+    observed = excess.groupBy("asset", "strategy").agg(
+        (ratio(F.avg("x"), F.stddev_samp("x")) * TRADING_DAYS**0.5).alias("sharpe")
     )
-    resampled = (
-        sharpe_draws(excess, s).select("asset", "draw", "sharpe", listed).select(*keys, difference(F.col("sharpe")).alias("diff"))
+    both = observed.select("asset", F.lit(-1).cast("bigint").alias("draw"), "strategy", "sharpe").unionByName(
+        sharpe_draws(excess, s)
     )
-    out = observed.join(_summary(resampled.where(F.col("diff").isNotNull()), keys, s.draws), keys)
-    return holm(out, ["asset", "family"], "p_boot", "p_boot_holm")
-
-
-def pr_auc_draws(preds: DataFrame, s: TestSettings = TestSettings(), chunks: int = 16) -> DataFrame:
-    """(asset, fold, draw, ap map): average precision of every model on the same resampled days.
-
-    Draw -1 is the observed sample. A draw only changes how often each day counts, so the score
-    order of a fold is sorted once and each draw is one fold over it.
-    """
-    rows = by_model(preds)
-    ordered = F.sort_array(F.collect_list(F.struct("as_of_date", "y", "probs")))
-    packed = rows.groupBy("asset", "fold").agg(ordered.alias("o")).withColumn("n", F.size("o"))
-    n = F.col("n")
-    names = F.array_sort(F.map_keys(F.get("o", F.lit(0))["probs"]))
-
-    def ranking(model: Column) -> Column:
-        """Days by falling score; ``last`` marks the end of a group of equal scores."""
-        entries = F.transform("o", lambda v, i: F.struct(F.element_at(v["probs"], model).alias("p"), i.alias("i"), v["y"].alias("y")))
-        falling = F.sort_array(entries, asc=False)
-        return _let(
-            falling,
-            lambda f: F.transform(
-                f,
-                lambda v, k: F.struct(
-                    v["i"].alias("i"),
-                    v["y"].cast("double").alias("y"),
-                    F.coalesce(F.get(f, k + 1)["p"] != v["p"], F.lit(True)).alias("last"),
-                ),
-            ),
-        )
-
-    ranked = packed.withColumn(
-        "models", F.transform(names, lambda m: F.struct(m.alias("model"), ranking(m).alias("order")))
-    ).drop("o")
-
-    def precision(order: Column, counts: Column) -> Column:
-        start = F.struct(
-            F.lit(0.0).alias("tp"), F.lit(0.0).alias("all"), F.lit(0.0).alias("seen"), F.lit(0.0).alias("ap")
-        )
-
-        def step(a: Column, v: Column) -> Column:
-            c = F.get(counts, v["i"])
-            tp, every = a["tp"] + c * v["y"], a["all"] + c
-            gain = F.when(every > 0, (tp - a["seen"]) * tp / F.when(every > 0, every)).otherwise(0.0)
-            return F.struct(
-                tp.alias("tp"),
-                every.alias("all"),
-                F.when(v["last"], tp).otherwise(a["seen"]).alias("seen"),
-                (a["ap"] + F.when(v["last"], gain).otherwise(0.0)).alias("ap"),
-            )
-
-        return F.aggregate(order, start, step, lambda a: F.when(a["tp"] > 0, a["ap"] / F.when(a["tp"] > 0, a["tp"])))
-
-    def one(draw: Column) -> Column:
-        counted = F.when(draw < 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lit(1.0))).otherwise(
-            _let(
-                blocks(n, draw, s.seed, s.mean_block),
-                lambda bs: F.transform(
-                    F.sequence(F.lit(0), n - 1),
-                    lambda i: F.aggregate(
-                        bs, F.lit(0.0), lambda a, b: a + F.when(F.pmod(i - b["start"], n) < b["len"], 1.0).otherwise(0.0)
-                    ),
-                ),
-            )
-        )
-        return _let(
-            counted,
-            lambda counts: F.struct(
-                draw.alias("draw"),
-                F.map_from_entries(
-                    F.transform("models", lambda m: F.struct(m["model"].alias("model"), precision(m["order"], counts).alias("ap")))
-                ).alias("ap"),
-            ),
-        )
-
-    per = -(-s.draws // chunks)
-    spread = ranked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition("asset", "fold", "chunk")
-    first = F.col("chunk") * per
-    ids = F.filter(F.sequence(first, first + per - 1), lambda d: d < s.draws)
-    with_observed = F.when(F.col("chunk") == 0, F.concat(F.array(F.lit(-1)), ids)).otherwise(ids)
-    return spread.select("asset", "fold", F.explode(F.transform(with_observed, one)).alias("r")).select(
-        "asset", "fold", "r.draw", "r.ap"
+    by_draw = both.where(F.col("sharpe").isNotNull() & ~F.isnan("sharpe")).groupBy("asset", "draw").agg(
+        F.map_from_entries(F.collect_list(F.struct("strategy", "sharpe"))).alias("m")
     )
+    diffs = by_draw.select("asset", "draw", "m", listed).select(*keys, "draw", difference(F.col("m")).alias("diff"))
+    out = _summary(diffs.where(F.col("diff").isNotNull()), keys, s.draws, "sharpe_diff")
+    return holm(out, ["asset", "family"], "p_boot", "p_boot_holm")
 
 
 def pr_auc_tests(preds: DataFrame, pairs: Sequence[tuple[str, str, str]] = PAIRS, s: TestSettings = TestSettings()) -> DataFrame:
     """Difference in fold-mean average precision per pair, with bootstrap interval and p-value."""
     keys = ["asset", "family", "model", "vs"]
-    diff = F.try_element_at("ap", F.col("model")) - F.try_element_at("ap", F.col("vs"))
-    per_draw = (
+    diff = F.try_element_at("m", F.col("model")) - F.try_element_at("m", F.col("vs"))
+    by_fold = (
         pr_auc_draws(preds, s)
-        .select("asset", "fold", "draw", "ap", F.inline(_pair_array(pairs)))
+        .where(~F.isnan("ap"))
+        .groupBy("asset", "fold", "draw")
+        .agg(F.map_from_entries(F.collect_list(F.struct("model", "ap"))).alias("m"))
+    )
+    per_draw = (
+        by_fold.select("asset", "draw", "m", F.inline(_pair_array(pairs)))
         .groupBy(*keys, "draw")
         .agg(F.avg(diff).alias("diff"))
         .where(F.col("diff").isNotNull())
     )
-    low, high = F.col("draw") >= 0, F.col("draw") < 0
-    drawn = F.when(low, F.col("diff"))
-    share_low = F.avg((drawn <= 0).cast("double"))
-    share_high = F.avg((drawn >= 0).cast("double"))
-    p = F.least(F.greatest(2 * F.least(share_low, share_high), F.lit(1.0 / (s.draws + 1))), F.lit(1.0))
-    return per_draw.groupBy(*keys).agg(
-        F.max(F.when(high, F.col("diff"))).alias("pr_auc_diff"),
-        F.percentile(drawn, 0.025).alias("ci_low"),
-        F.percentile(drawn, 0.975).alias("ci_high"),
-        p.alias("p_boot"),
-    )
+    return _summary(per_draw, keys, s.draws, "pr_auc_diff")
 
 
 def pairwise_tests(preds: DataFrame, pairs: Sequence[tuple[str, str, str]] = PAIRS, s: TestSettings = TestSettings()) -> DataFrame:

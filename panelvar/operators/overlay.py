@@ -13,6 +13,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import compounded
 from ..functions.recursion import ewma_variance
 from ..settings import TRADING_DAYS, DateWindow, OverlaySettings
 from .risk import max_drawdown, tail_means, with_drawdown
@@ -118,7 +119,7 @@ def performance(bt: DataFrame, keys: Sequence[str] = ("asset", "strategy")) -> D
         .groupBy(*keys)
         .agg(
             F.expr("count(*) AS days"),
-            F.expr(f"pow(product(1 + net), {float(td)}D / count(*)) - 1 AS ann_return"),
+            (F.pow(F.product(1 + F.col("net")), F.lit(float(td)) / F.count("*")) - 1).alias("ann_return"),
             F.expr(f"stddev_samp(net) * sqrt({td}) AS ann_vol"),
             F.expr(f"try_divide(avg(net - cash), stddev_samp(net - cash)) * sqrt({td}) AS sharpe"),
             max_drawdown(),
@@ -135,7 +136,7 @@ def episode_table(bt: DataFrame, episodes: Sequence[DateWindow]) -> DataFrame:
     """(asset, strategy) rows with total return and drawdown per declared episode as columns."""
     keys = ["asset", "strategy", "episode"]
     rows = with_drawdown(in_windows(bt, episodes, "trade_date", "episode"), keys, "net")
-    stats = rows.groupBy(*keys).agg(F.expr("product(1 + net) - 1 AS total_return"), max_drawdown())
+    stats = rows.groupBy(*keys).agg(compounded(F.col("net")).alias("total_return"), max_drawdown())
     names = [e.name for e in episodes]
     return stats.groupBy("asset", "strategy").agg(
         *[F.expr(f"max(CASE WHEN episode = '{n}' THEN {c} END) AS {n}_{c}") for n in names for c in ("total_return", "max_drawdown")]

@@ -6,15 +6,17 @@ A series (asset or portfolio) is one window partition and is bounded by the cale
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import by_asset, compounded, mean_at_most, ratio, sorted_quantile
+from ..functions.frames import by_asset, compounded, ratio
 from ..functions.recursion import ewma_variance
 from ..functions.tails import chi2_sf, normal_multipliers, student_multipliers
-from ..functions.uniform import uniform_index
+from ..functions.uniform import advance, mixed, scaled
 from ..settings import DateWindow, RiskSettings
 from .garch import fit_gjr, next_variance, return_arrays, variance_path
 from .splits import in_windows
@@ -22,30 +24,58 @@ from .splits import in_windows
 ESTIMATE = ("asset", "trade_date", "method", "conf", "var", "es")
 
 
-def _tails(ordered: Column, confs: Sequence[float], scale: Column) -> Column:
-    """Array of (conf, var, es) from ascending outcomes and a positive scale."""
+def rolling_tails(x: np.ndarray, window: int, confs: Sequence[float], rows: int = 4096) -> np.ndarray:
+    """(len(x) - window, confs, 2): quantile of the previous ``window`` values and the mean up to it.
 
-    def one(conf: float) -> Column:
-        cut = sorted_quantile(ordered, 1 - conf)
-        return F.struct(
-            F.lit(conf).alias("conf"),
-            (-scale * cut).alias("var"),
-            (-scale * mean_at_most(ordered, cut)).alias("es"),
-        )
+    Only the smallest values of a window are selected, never a full sort, in slices of rows.
+    """
+    views = np.lib.stride_tricks.sliding_window_view(x, window)[: len(x) - window]
+    out = np.empty((len(views), len(confs), 2))
+    places = [(1 - c) * (window - 1) for c in confs]
+    needed = sorted({k for p in places for k in (int(p), min(int(p) + 1, window - 1))})
+    for at in range(0, len(views), rows):
+        part = np.partition(views[at : at + rows], needed, axis=1)
+        for i, place in enumerate(places):
+            k = int(place)
+            low, high = part[:, k], part[:, min(k + 1, window - 1)]
+            cut = low + (high - low) * (place - k)
+            within = part <= cut[:, None]
+            out[at : at + rows, i, 0] = cut
+            out[at : at + rows, i, 1] = np.where(within, part, 0.0).sum(axis=1) / within.sum(axis=1)
+    return out
+
+
+def _rolling_estimates(
+    rows: DataFrame, keys: Sequence[str], value: str, confs: Sequence[float], window: int, scale: str, method: str
+) -> DataFrame:
+    """Rolling tails of each series, in Arrow batches: one group is one calendar-bounded series.
 
-    return F.array(*[one(c) for c in confs])
+    ``scale`` turns the tail of ``value`` into a loss; rows without a full window are left out.
+    """
+
+    def series(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("trade_date")
+        if len(frame) <= window:
+            return pd.DataFrame({c: [] for c in (*keys, "trade_date", "conf", "var", "es")})
+        tails = rolling_tails(frame["v"].to_numpy(float), window, confs)
+        late = frame.iloc[window:]
+        loss = -late["s"].to_numpy(float)
+        parts = [
+            late[[*keys, "trade_date"]].assign(conf=c, var=loss * tails[:, i, 0], es=loss * tails[:, i, 1])
+            for i, c in enumerate(confs)
+        ]
+        return pd.concat(parts)
+
+    source = rows.selectExpr(*keys, "trade_date", f"{value} AS v", f"{scale} AS s")
+    kept = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in keys)
+    out = source.groupBy(*keys).applyInPandas(series, f"{kept}, trade_date date, conf double, var double, es double")
+    return out.withColumn("method", F.lit(method))
 
 
 def historical(returns: DataFrame, confs: Sequence[float], window: int = 500) -> DataFrame:
     """Empirical quantile of the previous ``window`` returns, and the mean beyond it."""
-    before = by_asset().rowsBetween(-window, -1)
-    rows = returns.where(F.col("r").isNotNull()).withColumn("past", F.sort_array(F.collect_list("r").over(before)))
-    return (
-        rows.where(F.size("past") == window)
-        .select("asset", "trade_date", F.inline(_tails(F.col("past"), confs, F.lit(1.0))))
-        .withColumn("method", F.lit("historical"))
-        .select(*ESTIMATE)
-    )
+    rows = returns.where(F.col("r").isNotNull())
+    return _rolling_estimates(rows, ["asset"], "r", confs, window, "1.0D", "historical").select(*ESTIMATE)
 
 
 def _parametric(returns: DataFrame, decay: float, method: str, multipliers: dict[float, tuple[float, float]]) -> DataFrame:
@@ -89,7 +119,8 @@ def yearly_fits(returns: DataFrame, first_year: int, min_obs: int = 500) -> Data
         .groupBy("asset", "fit_year")
         .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("y", "rets"))), lambda p: p["rets"])).alias("rets"))
     )
-    return fit_gjr(pieces.where(F.size("rets") >= min_obs)).drop("rets")
+    # Fits differ in length and cost far more than moving their arrays, so they are spread evenly.
+    return fit_gjr(pieces.where(F.size("rets") >= min_obs).repartition("asset", "fit_year")).drop("rets")
 
 
 def filtered_historical(
@@ -103,16 +134,10 @@ def filtered_historical(
     rows = returns.where(F.col("r").isNotNull()).select("asset", "trade_date", (F.col("r") * 100).alias("x"))
     runs = rows.join(fits, "asset").where(F.year("trade_date") <= F.col("fit_year"))
     path = variance_path(runs, ("asset", "fit_year")).withColumn("z", F.col("x") / F.sqrt("h"))
-    before = Window.partitionBy("asset", "fit_year").orderBy("trade_date").rowsBetween(-window, -1)
-    past = path.withColumn("past", F.collect_list("z").over(before)).where(
-        (F.year("trade_date") == F.col("fit_year")) & (F.size("past") == window)
-    )
-    return (
-        past.withColumn("past", F.sort_array("past"))
-        .select("asset", "trade_date", F.inline(_tails(F.col("past"), confs, F.sqrt("h") / 100)))
-        .withColumn("method", F.lit("fhs_gjr_garch"))
-        .select(*ESTIMATE)
+    estimates = _rolling_estimates(
+        path, ["asset", "fit_year"], "z", confs, window, "sqrt(h) / 100", "fhs_gjr_garch"
     )
+    return estimates.where(F.year("trade_date") == F.col("fit_year")).select(*ESTIMATE)
 
 
 def all_estimates(returns: DataFrame, fits: DataFrame | None, s: RiskSettings = RiskSettings()) -> DataFrame:
@@ -143,55 +168,48 @@ def simulation_state(returns: DataFrame, params: DataFrame, window: int = 500) -
     )
 
 
+def simulate(row, ids: np.ndarray, horizon: int, seed: int) -> np.ndarray:
+    """Cumulative decimal return of each path: residual draws drive the variance recursion."""
+    resid = np.asarray(row.resid, float)
+    state = mixed(seed, ids)
+    h = np.full(len(ids), row.h_next)
+    total = np.zeros(len(ids))
+    for _ in range(horizon):
+        x = np.sqrt(h) * resid[scaled(state, len(resid))]
+        total += x
+        h = row.omega + (row.alpha + np.where(x < 0, row.gamma, 0.0)) * x * x + row.beta * h
+        state = advance(state)
+    return total / 100
+
+
 def monte_carlo(
-    state: DataFrame, confs: Sequence[float], horizon: int = 10, paths: int = 100_000, seed: int = 0, chunks: int = 64
+    state: DataFrame, confs: Sequence[float], horizon: int = 10, paths: int = 100_000, seed: int = 0, chunks: int = 16
 ) -> DataFrame:
     """Horizon VaR/ES of the cumulative return by simulating variance paths with drawn residuals.
 
-    Paths are rows: each series' state goes to ``chunks`` tasks, and a path is a fold over the
-    horizon. Draws are hashes of (seed, path, step), so a rerun task repeats its paths.
+    Paths are spread as rows, one per (series, chunk of paths). A path's stream of draws starts from
+    (seed, path), so a rerun task repeats its paths.
     """
     per = -(-paths // chunks)
-    size = F.size("resid")
-
-    def walk(path: Column) -> Column:
-        start = F.struct(F.col("h_next").alias("h"), F.lit(0.0).alias("total"))
-
-        def step(s: Column, k: Column) -> Column:
-            z = F.get("resid", uniform_index(size, F.lit(seed), path, k))
-            return F.element_at(
-                F.transform(
-                    F.array(F.sqrt(s["h"]) * z),
-                    lambda x: F.struct(
-                        (
-                            F.col("omega")
-                            + (F.col("alpha") + F.when(x < 0, F.col("gamma")).otherwise(0.0)) * x * x
-                            + F.col("beta") * s["h"]
-                        ).alias("h"),
-                        (s["total"] + x).alias("total"),
-                    ),
-                ),
-                1,
-            )
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda s: s["total"] / 100)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                ids = np.arange(row.chunk * per, min((row.chunk + 1) * per, paths))
+                yield pd.DataFrame({"asset": row.asset, "total": simulate(row, ids, horizon, seed)})
 
-    spread = state.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(
-        chunks, "asset", "chunk"
-    )
-    first = F.col("chunk") * per
-    ids = F.filter(F.sequence(first, first + per - 1), lambda i: i < paths)
-    totals = spread.select("asset", F.explode(F.transform(ids, walk)).alias("total"))
+    spread = state.selectExpr("*", f"explode(sequence(0, {chunks - 1})) AS chunk").repartition("asset", "chunk")
+    totals = spread.mapInPandas(run, "asset string, total double")
+    qs = ", ".join(f"{1 - c}D" for c in confs)
     cuts = totals.groupBy("asset").agg(
-        F.percentile("total", F.array(*[F.lit(1 - c) for c in confs])).alias("cuts")
+        F.expr(f"percentile(total, array({qs})) AS cuts"), F.expr("collect_list(total) AS totals")
     )
-    levels = F.array(*[F.struct(F.lit(c).alias("conf"), F.get("cuts", F.lit(i)).alias("cut")) for i, c in enumerate(confs)])
-    thresholds = cuts.select("asset", F.inline(levels))
+    # A series has exactly the configured number of paths, so its totals fit one row.
+    levels = ", ".join(f"struct({c}D AS conf, cuts[{i}] AS cut)" for i, c in enumerate(confs))
     return (
-        totals.join(thresholds, "asset")
-        .where(F.col("total") <= F.col("cut"))
-        .groupBy("asset", "conf")
-        .agg((-F.first("cut")).alias("var"), (-F.avg("total")).alias("es"))
+        cuts.selectExpr("asset", "totals", f"inline(array({levels}))")
+        .selectExpr("asset", "conf", "cut", "filter(totals, x -> x <= cut) AS tail")
+        .selectExpr("asset", "conf", "-cut AS var", "-aggregate(tail, 0.0D, (s, x) -> s + x) / size(tail) AS es")
     )
 
 

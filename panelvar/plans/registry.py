@@ -732,7 +732,7 @@ def garch_forecast(p: Panel) -> DataFrame:
 @register
 def garch_fit(p: Panel) -> DataFrame:
     """Fitted parameters per asset on its whole history."""
-    arrays = garch.return_arrays(_with_portfolio(p)).repartition("asset")
+    arrays = garch.return_arrays(_with_portfolio(p)).repartition(16)
     return tidy(garch.fit_gjr(arrays).drop("rets"), *garch.PARAMS, "nll", "h0", digits=6)
 
 
