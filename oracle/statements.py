@@ -524,14 +524,20 @@ SELECT asset, trade_date, r, k, pow(0.94, k) * sum(CASE WHEN k = 0 THEN r * r EL
   OVER (PARTITION BY asset ORDER BY k ROWS UNBOUNDED PRECEDING) AS v FROM rn
 """,
 )
-cte(
-    "hs",
-    """
-WITH w AS (SELECT asset, trade_date, list(r) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS l FROM rn),
-q AS (SELECT asset, trade_date, l, c.conf, list_aggregate(l, 'quantile_cont', 1 - c.conf) AS cut FROM w, (VALUES (0.95::DOUBLE), (0.99::DOUBLE)) c(conf) WHERE len(l) = 500)
-SELECT asset, trade_date, 'historical' AS method, conf, -cut AS var, -list_avg(list_filter(l, lambda x: x <= cut)) AS es FROM q
-""",
-)
+def tails_sql(source: str, method: str, scale: str, digits: str) -> str:
+    """Rolling quantile and tail mean at both levels from a list column l."""
+    parts = []
+    for conf, q in ((0.95, 0.05), (0.99, 0.01)):
+        cut = f"list_aggregate(l, 'quantile_cont', {q}::DOUBLE)"
+        parts.append(
+            f"SELECT asset, trade_date, '{method}' AS method, {conf}::DOUBLE AS conf, {digits.format(f'-{scale} * cut')} AS var, "
+            f"{digits.format(f'-{scale} * list_avg(list_filter(l, lambda x: x <= cut))')} AS es FROM (SELECT *, {cut} AS cut FROM {source})"
+        )
+    return " UNION ALL ".join(parts)
+
+
+cte("hl", "SELECT * FROM (SELECT asset, trade_date, list(r) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS l FROM rn) WHERE len(l) = 500")
+cte("hs", tails_sql("hl", "historical", "1.0::DOUBLE", "{}"))
 cte("sg", "SELECT asset, trade_date, lag(sqrt(v)) OVER (PARTITION BY asset ORDER BY k) AS sigma FROM ew")
 
 
@@ -542,15 +548,23 @@ def parametric(method: str, table: dict[float, tuple[float, float]]) -> str:
     )
 
 
-# Multiples of sigma (VaR, ES) for the normal and the unit-variance Student-t with 5
-# degrees of freedom, at 95 % and 99 %.
+# Normal multiples of sigma (VaR, ES), and Student-t quantiles with 5 degrees of freedom.
 cte("vn", parametric("normal_ewma", {0.95: (1.6448536269514715, 2.062712807507426), 0.99: (2.3263478740408408, 2.6652142203458076)}))
-cte("vt", parametric("student_t_ewma", {0.95: (1.5608497606520563, 2.2394), 0.99: (2.6064692009, 3.4485)}))
+cte(
+    "vt",
+    """
+WITH q AS (SELECT * FROM (VALUES (0.95::DOUBLE, 2.015048373333024::DOUBLE), (0.99, 3.3649299989072216)) q(conf, q)),
+m AS (SELECT conf, q / sqrt(5.0 / 3) AS vm, 2 / (1.329340388179137::DOUBLE * sqrt(5 * pi())) * pow(1 + q * q / 5, -3) / (1 - conf) * (5 + q * q) / 4 / sqrt(5.0 / 3) AS em FROM q)
+SELECT asset, trade_date, 'student_t_ewma' AS method, conf, sigma * vm AS var, sigma * em AS es FROM sg, m WHERE sigma IS NOT NULL
+""",
+)
 cte("vall", "SELECT * FROM hs UNION ALL SELECT * FROM vn UNION ALL SELECT * FROM vt")
 EST = "asset, trade_date, method, conf, round(var, 8) AS var, round(es, 8) AS es"
 sql("ewma_vol", "SELECT s.asset, s.trade_date, round(sqrt(252 * v), 8) AS ewma_vol FROM sr s LEFT JOIN ew ON ew.asset = s.asset AND ew.trade_date = s.trade_date")
 sql("var_historical", f"SELECT {EST} FROM hs")
 sql("var_normal", f"SELECT {EST} FROM vn")
+sql("var_student_t", f"SELECT {EST} FROM vt")
+sql("var_estimates", f"SELECT {EST} FROM vall")
 sql("portfolio_returns", "SELECT asset, trade_date, round(r, 8) AS r FROM port")
 sql(
     "hist_es",
@@ -578,14 +592,11 @@ w AS (SELECT *, 50 + 0.93 * v1 AS v2 FROM v), y AS (SELECT *, 50 + 0.93 * v2 AS
 SELECT asset, trade_date, round((v1 + v2 + v3 + v4 + 50 + 0.93 * v4) / 5, 4) AS avg_var FROM z
 """,
 )
-sql(
-    "fhs_quantiles",
-    """
-WITH w AS (SELECT asset, trade_date, h, list(x / sqrt(h)) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS l FROM gp),
-q AS (SELECT asset, trade_date, h, l, c.conf, list_aggregate(l, 'quantile_cont', 1 - c.conf) AS cut FROM w, (VALUES (0.95::DOUBLE), (0.99::DOUBLE)) c(conf) WHERE len(l) = 500 AND year(trade_date) >= 1999)
-SELECT asset, trade_date, 'fhs_gjr_garch' AS method, conf, round(-sqrt(h) / 100 * cut, 6) AS var, round(-sqrt(h) / 100 * list_avg(list_filter(l, lambda x: x <= cut)), 6) AS es FROM q
-""",
+cte(
+    "fl",
+    "SELECT * FROM (SELECT asset, trade_date, h, list(x / sqrt(h)) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS l FROM gp) WHERE len(l) = 500 AND year(trade_date) >= 1999",
 )
+sql("fhs_quantiles", tails_sql("fl", "fhs_gjr_garch", "sqrt(h) / 100", "round({}, 6)"))
 M = 2147483647
 
 
@@ -624,7 +635,7 @@ SELECT asset, total / 100 AS total FROM run WHERE step = 10
 sql(
     "mc_var",
     """
-WITH q AS (SELECT asset, conf, quantile_cont(total, 1 - conf) AS cut FROM mcs, (VALUES (0.95::DOUBLE), (0.99::DOUBLE)) c(conf) GROUP BY 1, 2)
+WITH q AS (SELECT asset, 0.95::DOUBLE AS conf, quantile_cont(total, 0.05) AS cut FROM mcs GROUP BY 1 UNION ALL SELECT asset, 0.99, quantile_cont(total, 0.01) FROM mcs GROUP BY 1)
 SELECT q.asset, conf, round(-max(cut), 6) AS var, round(-avg(total), 6) AS es FROM q JOIN mcs ON mcs.asset = q.asset AND total <= cut GROUP BY 1, 2
 """,
 )
@@ -869,6 +880,31 @@ SHARPE = "asset, family, model, vs, round(sharpe_diff, 6) AS sharpe_diff, round(
 sql("bootstrap_sharpe", f"SELECT {SHARPE} FROM sres")
 sql("sharpe_tests", f"SELECT {SHARPE}, round(ph, 6) AS p_boot_holm FROM ({HOLM.format('sres')})")
 
+cte("pix", draws_sql("sizes", 1000))
+cte(
+    "pobs",
+    "SELECT model, asset, fold, prob, y, row_number() OVER (PARTITION BY model, asset, fold ORDER BY as_of_date) - 1 AS idx FROM preds",
+)
+cte(
+    "pap",
+    """
+WITH c AS (SELECT asset, fold, draw, idx, count(*) AS c FROM pix GROUP BY 1, 2, 3, 4 UNION ALL SELECT asset, fold, -1, unnest(range(n)), 1 FROM sizes),
+g AS (SELECT c.asset, c.fold, draw, model, prob, sum(c * y) AS pos, sum(c) AS n FROM c JOIN pobs o ON o.asset = c.asset AND o.fold = c.fold AND o.idx = c.idx GROUP BY 1, 2, 3, 4, 5),
+t AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY asset, fold, draw, model ORDER BY prob DESC ROWS UNBOUNDED PRECEDING))
+SELECT asset, fold, draw, model, sum(pos * tp / CAST(cn AS DOUBLE)) / sum(pos) AS ap FROM t GROUP BY 1, 2, 3, 4 HAVING sum(pos) > 0
+""",
+)
+cte(
+    "pres",
+    """
+WITH d AS (SELECT a.asset, pairs.family, pairs.model, vs, a.draw, avg(a.ap - b.ap) AS diff FROM pairs JOIN pap a ON a.model = pairs.model JOIN pap b ON b.model = vs AND b.asset = a.asset AND b.fold = a.fold AND b.draw = a.draw GROUP BY 1, 2, 3, 4, 5)
+SELECT asset, family, model, vs, max(diff) FILTER (WHERE draw < 0) AS dif0, quantile_cont(diff, 0.025) FILTER (WHERE draw >= 0) AS ci_low, quantile_cont(diff, 0.975) FILTER (WHERE draw >= 0) AS ci_high,
+  least(greatest(2 * least(avg(CASE WHEN diff <= 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE draw >= 0), avg(CASE WHEN diff >= 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE draw >= 0)), 1.0 / 1001), 1) AS p
+FROM d GROUP BY 1, 2, 3, 4
+""",
+)
+sql("bootstrap_pr_auc", "SELECT asset, family, model, vs, round(dif0, 6) AS pr_auc_diff, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p_boot FROM pres")
+
 
 def oracle() -> dict[str, str]:
     return {name: compose(text) for name, text in SQL.items()}

@@ -12,10 +12,11 @@ from ..operators import features as ft
 from ..operators import garch, inference, ledger, overlay, pit, risk, splits
 from ..operators import labels as lb
 from ..operators import metrics as metrics_
+from ..operators import models
 from ..operators import quality as dq
 from ..session import pin
 from ..functions import recursion
-from ..settings import OPEN_END, OverlaySettings, RiskSettings, Target, TestSettings
+from ..settings import OPEN_END, Fold, OverlaySettings, RiskSettings, Target, TestSettings
 from ..sources import panel, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -967,3 +968,53 @@ def bootstrap_pr_auc(p: Panel) -> DataFrame:
 def pairwise_tests(p: Panel) -> DataFrame:
     out = inference.pairwise_tests(pin(_predictions(p)), inference.PAIRS, TestSettings())
     return tidy(out, *[c for c in out.columns if c not in ("asset", "family", "model", "vs")], digits=6)
+
+
+# ---- fitted models -------------------------------------------------------------------------------
+
+
+def _fit_rows(p: Panel) -> DataFrame:
+    return pin(_eligible(p))
+
+
+def _fitted(p: Panel, specs: list[models.Spec], folds: list[Fold]) -> DataFrame:
+    return models.walk_forward(_fit_rows(p), specs, folds)[0]
+
+
+@register
+def logit_ladder(p: Panel) -> DataFrame:
+    """The four fixed logits on every fold."""
+    return _fitted(p, models.ladder(MODEL_FEATURES), panel.WALK_FORWARD)
+
+
+@register
+def garch_logit(p: Panel) -> DataFrame:
+    return models.variance_logit(_fit_rows(p), _simple(p), panel.WALK_FORWARD)
+
+
+@register
+def logit_tuned(p: Panel) -> DataFrame:
+    return _fitted(p, models.learners(MODEL_FEATURES)[:1], panel.WALK_FORWARD)
+
+
+@register
+def gbt_tuned(p: Panel) -> DataFrame:
+    """Boosting with the declared grid, on the last fold and with a short run of trees."""
+    specs = models.learners(MODEL_FEATURES, iterations=10)[1:2]
+    return _fitted(p, specs, panel.WALK_FORWARD[-1:])
+
+
+@register
+def rf_tuned(p: Panel) -> DataFrame:
+    """Forest with the declared grid, on the last fold and with fewer trees."""
+    specs = models.learners(MODEL_FEATURES, trees=40)[2:]
+    return _fitted(p, specs, panel.WALK_FORWARD[-1:])
+
+
+@register
+def walk_forward(p: Panel) -> DataFrame:
+    """Fitted ladder and prevalence, evaluated per fold and pooled."""
+    rows = _fit_rows(p)
+    fitted, _ = models.walk_forward(rows, models.ladder(MODEL_FEATURES), panel.WALK_FORWARD)
+    constant = metrics_.prevalence_predictions(splits.assign_folds(rows, panel.WALK_FORWARD), ["asset", "as_of_date"])
+    return metrics_.evaluate(fitted.unionByName(constant))
