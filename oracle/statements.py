@@ -45,8 +45,7 @@ sql(
     "raw_pull_hash",
     """
 WITH r AS (
-  SELECT asset, trade_date AS d, sha256(concat_ws('|', strftime(trade_date, '%Y-%m-%d'), printf('%.6f', open), printf('%.6f', high),
-     printf('%.6f', low), printf('%.6f', close), printf('%.6f', adj_close), printf('%.6f', CAST(volume AS DOUBLE)))) AS h FROM feed),
+  SELECT asset, trade_date AS d, sha256(concat_ws('|', strftime(trade_date, '%Y-%m-%d'), CAST(CAST(floor(open * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(high * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(low * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(close * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(adj_close * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(volume * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR))) AS h FROM feed),
 g AS (SELECT asset, d, h || '*' || count(*) AS h, count(*) AS n FROM r GROUP BY asset, d, r.h),
 s AS (SELECT asset, d, substring(h, 1, 2) AS s, sha256(string_agg(h, ',' ORDER BY h)) AS h2, sum(n) AS n FROM g GROUP BY 1, 2, 3),
 dd AS (SELECT asset, d, sha256(string_agg(h2, ',' ORDER BY h2)) AS h3, sum(n) AS n FROM s GROUP BY 1, 2),

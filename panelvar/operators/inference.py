@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import ratio
 from ..functions.tails import t_two_sided
 from ..functions.uniform import MODULUS, mixed, scaled
-from ..settings import TRADING_DAYS, TestSettings
+from ..settings import TRADING_DAYS, InferenceSettings
 from .metrics import log_loss
 
 # Declared comparisons, each learner against the two benchmarks and the variance model.
@@ -149,7 +149,7 @@ def bootstrap_index(series: DataFrame, draws: int, seed: int, mean_block: int, c
     )
 
 
-def sharpe_draws(excess: DataFrame, s: TestSettings = TestSettings(), chunks: int = 16) -> DataFrame:
+def sharpe_draws(excess: DataFrame, s: InferenceSettings = InferenceSettings(), chunks: int = 16) -> DataFrame:
     """(asset, draw, strategy, sharpe): Sharpe ratio of every strategy on the same resampled days.
 
     ``excess`` is (asset, trade_date, strategy, x). A draw is a vector of day counts, so its moments
@@ -200,7 +200,7 @@ def average_precision(counts: np.ndarray, y: np.ndarray, p: np.ndarray) -> np.nd
     return np.where(hits[:, -1] > 0, area / np.maximum(hits[:, -1], 1.0), np.nan)
 
 
-def pr_auc_draws(preds: DataFrame, s: TestSettings = TestSettings(), chunks: int = 16) -> DataFrame:
+def pr_auc_draws(preds: DataFrame, s: InferenceSettings = InferenceSettings(), chunks: int = 16) -> DataFrame:
     """(asset, fold, draw, model, ap): average precision of every model on the same resampled days.
 
     Draw -1 is the observed sample. A draw only changes how often each day counts, so the score
@@ -252,7 +252,7 @@ def _summary(diffs: DataFrame, keys: Sequence[str], n_draws: int, observed: str)
 
 
 def sharpe_tests(
-    excess: DataFrame, pairs: Sequence[tuple[str, str, str]], s: TestSettings = TestSettings()
+    excess: DataFrame, pairs: Sequence[tuple[str, str, str]], s: InferenceSettings = InferenceSettings()
 ) -> DataFrame:
     """Paired Sharpe differences with interval, p-value and Holm adjustment per family and asset."""
     keys = ["asset", "family", "model", "vs"]
@@ -276,7 +276,7 @@ def sharpe_tests(
     return holm(out, ["asset", "family"], "p_boot", "p_boot_holm")
 
 
-def pr_auc_tests(preds: DataFrame, pairs: Sequence[tuple[str, str, str]] = PAIRS, s: TestSettings = TestSettings()) -> DataFrame:
+def pr_auc_tests(preds: DataFrame, pairs: Sequence[tuple[str, str, str]] = PAIRS, s: InferenceSettings = InferenceSettings()) -> DataFrame:
     """Difference in fold-mean average precision per pair, with bootstrap interval and p-value."""
     keys = ["asset", "family", "model", "vs"]
     diff = F.try_element_at("m", F.col("model")) - F.try_element_at("m", F.col("vs"))
@@ -295,7 +295,7 @@ def pr_auc_tests(preds: DataFrame, pairs: Sequence[tuple[str, str, str]] = PAIRS
     return _summary(per_draw, keys, s.draws, "pr_auc_diff")
 
 
-def pairwise_tests(preds: DataFrame, pairs: Sequence[tuple[str, str, str]] = PAIRS, s: TestSettings = TestSettings()) -> DataFrame:
+def pairwise_tests(preds: DataFrame, pairs: Sequence[tuple[str, str, str]] = PAIRS, s: InferenceSettings = InferenceSettings()) -> DataFrame:
     """Bootstrap and loss tests of every declared pair, Holm-adjusted within asset and family."""
     keys = ["asset", "family", "model", "vs"]
     boot = pr_auc_tests(preds, pairs, s)

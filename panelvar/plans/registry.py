@@ -16,7 +16,7 @@ from ..operators import models
 from ..operators import quality as dq
 from ..session import pin
 from ..functions import recursion
-from ..settings import OPEN_END, Fold, OverlaySettings, RiskSettings, Target, TestSettings
+from ..settings import OPEN_END, Fold, OverlaySettings, RiskSettings, Target, InferenceSettings
 from ..sources import panel, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ class Panel:
     def prices(self) -> DataFrame:
         return panel.prices(self.spark, self.sf_dir)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The daily price table as the load leaves it: written once, read by every later branch."""
+        return pin(self.prices)
+
     @cached_property
     def feed(self) -> DataFrame:
         return panel.raw_feed(self.spark, self.sf_dir)
@@ -63,11 +68,11 @@ class Panel:
         return self.some_features(*ft.ALL_FEATURES)
 
     def some_features(self, *names: str) -> DataFrame:
-        return ft.compute_features(self.prices, self.daily, self.monthly, panel.ROLES, panel.IMPLIED_SCALE, names)
+        return ft.compute_features(self.stored, self.daily, self.monthly, panel.ROLES, panel.IMPLIED_SCALE, names)
 
     @cached_property
     def labels(self) -> DataFrame:
-        return lb.make_labels(self.prices, Target())
+        return lb.make_labels(self.stored, Target())
 
 
 def register(fn: Callable[[Panel], DataFrame]) -> Callable[[Panel], DataFrame]:
@@ -659,7 +664,7 @@ FIRST_FIT_YEAR = 1998
 
 
 def _simple(p: Panel) -> DataFrame:
-    return lb.simple_returns(p.prices)
+    return lb.simple_returns(p.stored)
 
 
 def _portfolio(p: Panel) -> DataFrame:
@@ -870,8 +875,8 @@ SHARPE_PAIRS = tuple(
 def _overlay_inputs(p: Panel) -> DataFrame:
     """Returns are scaled to a daily size on this panel of independent prices."""
     returns = _simple(p).withColumn("r", F.col("r") / 50)
-    implied = p.prices.where(F.col("asset") == panel.ROLES.implied_vol).selectExpr("trade_date", f"close / {panel.IMPLIED_SCALE}D AS vix")
-    cash = pit.cash_rate(p.prices, p.daily, panel.ROLES.policy_rate)
+    implied = p.stored.where(F.col("asset") == panel.ROLES.implied_vol).selectExpr("trade_date", f"close / {panel.IMPLIED_SCALE}D AS vix")
+    cash = pit.cash_rate(p.stored, p.daily, panel.ROLES.policy_rate)
     return overlay.market_inputs(returns, implied, cash, _predictions(p), OVERLAY_MODELS, OverlaySettings().ewma_lambda)
 
 
@@ -921,7 +926,7 @@ def overlay_sensitivity(p: Panel) -> DataFrame:
 def dm_test(p: Panel) -> DataFrame:
     paired = inference.paired_predictions(_predictions(p), inference.PAIRS)
     keys = ["asset", "family", "model", "vs"]
-    out = inference.dm_test(inference.loss_differences(paired), keys, ["fold", "as_of_date"], TestSettings().dm_horizon)
+    out = inference.dm_test(inference.loss_differences(paired), keys, ["fold", "as_of_date"], InferenceSettings().dm_horizon)
     return tidy(out.drop("p_dm"), "mean_diff", "stat", digits=6)
 
 
@@ -941,32 +946,32 @@ def _day_counts(p: Panel) -> DataFrame:
 @register
 def bootstrap_index(p: Panel) -> DataFrame:
     """How often each position is drawn over 50 draws of every asset's fold."""
-    s = TestSettings()
+    s = InferenceSettings()
     index = inference.bootstrap_index(_day_counts(p), 50, s.seed, s.mean_block)
     return index.groupBy("asset", "fold", "idx").agg(F.count("*").alias("times"), F.sum("pos").alias("pos_sum"))
 
 
 @register
 def bootstrap_sharpe(p: Panel) -> DataFrame:
-    out = inference.sharpe_tests(overlay.excess_returns(_backtest(p)), SHARPE_PAIRS, TestSettings())
+    out = inference.sharpe_tests(overlay.excess_returns(_backtest(p)), SHARPE_PAIRS, InferenceSettings())
     return tidy(out.drop("p_boot_holm"), "sharpe_diff", "ci_low", "ci_high", "p_boot", digits=6)
 
 
 @register
 def sharpe_tests(p: Panel) -> DataFrame:
-    out = inference.sharpe_tests(overlay.excess_returns(pin(_backtest(p))), SHARPE_PAIRS, TestSettings())
+    out = inference.sharpe_tests(overlay.excess_returns(pin(_backtest(p))), SHARPE_PAIRS, InferenceSettings())
     return tidy(out, "sharpe_diff", "ci_low", "ci_high", "p_boot", "p_boot_holm", digits=6)
 
 
 @register
 def bootstrap_pr_auc(p: Panel) -> DataFrame:
-    out = inference.pr_auc_tests(_predictions(p), inference.PAIRS, TestSettings())
+    out = inference.pr_auc_tests(_predictions(p), inference.PAIRS, InferenceSettings())
     return tidy(out, "pr_auc_diff", "ci_low", "ci_high", "p_boot", digits=6)
 
 
 @register
 def pairwise_tests(p: Panel) -> DataFrame:
-    out = inference.pairwise_tests(pin(_predictions(p)), inference.PAIRS, TestSettings())
+    out = inference.pairwise_tests(pin(_predictions(p)), inference.PAIRS, InferenceSettings())
     return tidy(out, *[c for c in out.columns if c not in ("asset", "family", "model", "vs")], digits=6)
 
 

@@ -41,7 +41,7 @@ class QualityRules:
 
 
 @dataclass(frozen=True)
-class TestSettings:
+class InferenceSettings:
     draws: int = 1000
     mean_block: int = 20
     dm_horizon: int = 5

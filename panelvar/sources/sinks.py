@@ -49,7 +49,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 def raw_pull_audit(raw: DataFrame, entity: str = "asset") -> DataFrame:
     """One audit row per entity: row count and a SHA-256 over all of its rows.
 
-    Each row is hashed on its own and rows are reduced per (entity, date) and then per
+    Each row is hashed on its own (numbers as millionths) and rows are reduced per (entity, date) and then per
     (entity, year) before the last step, so no task ever holds one entity's whole payload. The
     result does not depend on row order.
     """
@@ -57,7 +57,7 @@ def raw_pull_audit(raw: DataFrame, entity: str = "asset") -> DataFrame:
         "|",
         F.date_format("trade_date", "yyyy-MM-dd"),
         *[
-            F.coalesce(F.format_string("%.6f", F.col(c).cast("double")), F.lit("null"))
+            F.coalesce(F.floor(F.col(c) * 1e6 + 0.5).cast("string"), F.lit("null"))
             for c in ("open", "high", "low", "close", "adj_close", "volume")
         ],
     )
