@@ -194,9 +194,12 @@ def variance_scores(rows: DataFrame, returns: DataFrame, folds: Sequence[Fold],
     """
     train = assign_folds(rows, folds).where(F.col("role") == "train")
     ends = train.groupBy("fold").agg(F.max("as_of_date").alias("train_end"))
-    # One row per declared fold: a bounded broadcast, and an expansion by the number of folds.
-    history = returns.where(F.col("r").isNotNull()).withColumn("one", F.lit(1)).join(
-        F.broadcast(ends.withColumn("one", F.lit(1))), "one"
+    # The declared folds are one short list, exploded in place.
+    listed = ends.select(F.collect_list(F.struct("fold", "train_end"))).scalar()
+    history = (
+        returns.where(F.col("r").isNotNull())
+        .withColumn("ends", listed)
+        .select("asset", "trade_date", "r", F.inline("ends"))
     )
     fits = fit_gjr(
         return_arrays(history.where(F.col("trade_date") <= F.col("train_end")), ("asset", "fold")).repartition("asset", "fold")
