@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from panelvar.llm import packing
+from panelvar.llm import hosts, licenses, lines, mixing, packing, rules
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op3_line_dedup": lines.query,
+    "op4_quality_rules": rules.query,
+    "op7_url_filter": hosts.query,
+    "op8_license_scan": licenses.query,
+    "op9_source_mixing": mixing.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_line_dedup": lines.ORACLE,
+    "op7_url_filter": hosts.ORACLE,
+    "op8_license_scan": licenses.ORACLE,
+    "op9_source_mixing": mixing.ORACLE,
+}

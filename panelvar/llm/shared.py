@@ -17,10 +17,14 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def words(text: Column | str) -> Column:
+def words(text: Column) -> Column:
     """The words of a text in order; none for null or for white space alone."""
-    col = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(col, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    inner = F.btrim(text, F.lit(SPACE))
+    return F.when(F.length(inner) > 0, F.split(inner, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
+
+
+def word_count(text: Column) -> Column:
+    return F.size(words(text)).cast("bigint")
 
 
 def without_space(text: Column) -> Column:
