@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from panelvar.llm import hosts, licenses, lines, mixing, packing, rules
+from panelvar.llm import hosts, licenses, lines, mixing, packing, rules, substrings
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_substring_dedup": substrings.query,
     "op3_line_dedup": lines.query,
     "op4_quality_rules": rules.query,
     "op7_url_filter": hosts.query,
