@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelvar.llm import hosts, licenses, lines, mixing, packing, rules, substrings
+from panelvar.llm import hosts, licenses, lines, mixing, packing, pages, rules, substrings
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_url_filter": hosts.query,
     "op8_license_scan": licenses.query,
     "op9_source_mixing": mixing.query,
+    "op10_html_extraction": pages.query,
 }
 
 ORACLE = {
