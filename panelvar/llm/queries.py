@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelvar.llm import hosts, licenses, lines, mixing, near, packing, pages, rules, substrings
+from panelvar.llm import hosts, licenses, lines, mixing, near, neighbours, packing, pages, rules, substrings
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": lines.query,
     "op4_quality_rules": rules.query,
     "op5_near_dedup": near.query,
+    "op6_nearest_neighbours": neighbours.query,
     "op7_url_filter": hosts.query,
     "op8_license_scan": licenses.query,
     "op9_source_mixing": mixing.query,
