@@ -155,8 +155,8 @@ def estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return found
 
 
-def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", limit: float = LIMIT) -> DataFrame:
-    """The columns of ``statistics`` plus distance (of the group's estimate) and kept.
+def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", limit: float = LIMIT, keep_text: bool = False) -> DataFrame:
+    """The columns of ``statistics`` (``doc`` without the text unless ``keep_text``) plus distance (of the group's estimate) and kept.
 
     Null text has no words and fails the base rules; null languages and sources are groups like any
     other; repeated rows each count; ties in distance share a bin; an empty table gives an empty
@@ -166,7 +166,7 @@ def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     rows = statistics(docs, text)
     lang_key = F.to_json(F.struct(F.col(f"doc.`{lang}`").alias("l")), {"ignoreNullFields": "false"})
     both_key = F.to_json(F.struct(F.col(f"doc.`{lang}`").alias("l"), F.col(f"doc.`{source}`").alias("s")), {"ignoreNullFields": "false"})
-    slim = [c for c in rows.schema["doc"].dataType.names if c != text]
+    slim = [c for c in rows.schema["doc"].dataType.names if keep_text or c != text]
     rows = rows.withColumn("doc", F.struct(*[F.col(f"doc.`{c}`") for c in slim]))
     rows = scratch.save(rows.select("*", *vector(), F.array(both_key, lang_key, F.lit("")).alias("keys")))
     d = len(NAMES)
