@@ -557,13 +557,11 @@ m AS (SELECT conf, q / sqrt(5.0 / 3) AS vm, 2 / (1.329340388179137::DOUBLE * sqr
 SELECT asset, trade_date, 'student_t_ewma' AS method, conf, sigma * vm AS var, sigma * em AS es FROM sg, m WHERE sigma IS NOT NULL
 """,
 )
-cte("vall", "SELECT * FROM hs UNION ALL SELECT * FROM vn UNION ALL SELECT * FROM vt")
 EST = "asset, trade_date, method, conf, round(var, 8) AS var, round(es, 8) AS es"
 sql("ewma_vol", "SELECT s.asset, s.trade_date, round(sqrt(252 * v), 8) AS ewma_vol FROM sr s LEFT JOIN ew ON ew.asset = s.asset AND ew.trade_date = s.trade_date")
 sql("var_historical", f"SELECT {EST} FROM hs")
 sql("var_normal", f"SELECT {EST} FROM vn")
 sql("var_student_t", f"SELECT {EST} FROM vt")
-sql("var_estimates", f"SELECT {EST} FROM vall")
 sql("portfolio_returns", "SELECT asset, trade_date, round(r, 8) AS r FROM port")
 sql(
     "hist_es",
@@ -575,13 +573,14 @@ FROM sr s JOIN q ON q.asset = s.asset WHERE r IS NOT NULL GROUP BY 1
 )
 # Closed form of the variance recursion with constant beta.
 cte(
-    "gp",
+    "gpp",
     """
-WITH x AS (SELECT asset, trade_date, k, r * 100 AS x, var_pop(r * 100) OVER (PARTITION BY asset) AS h0 FROM rn WHERE asset <> 'portfolio'),
+WITH x AS (SELECT asset, trade_date, k, r * 100 AS x, var_pop(r * 100) OVER (PARTITION BY asset) AS h0 FROM rn),
 e AS (SELECT *, CASE WHEN k = 0 THEN h0 ELSE lag(50.0::DOUBLE + (0.03::DOUBLE + CASE WHEN x < 0 THEN 0.1::DOUBLE ELSE 0 END) * x * x) OVER (PARTITION BY asset ORDER BY k) END AS e FROM x)
 SELECT asset, trade_date, k, x, pow(0.85, k) * sum(e * pow(0.85, -k)) OVER (PARTITION BY asset ORDER BY k ROWS UNBOUNDED PRECEDING) AS h FROM e
 """,
 )
+cte("gp", "SELECT * FROM gpp WHERE asset <> 'portfolio'")
 sql("garch_path", "SELECT asset, trade_date, round(h, 4) AS h FROM gp")
 sql(
     "garch_forecast",
@@ -591,11 +590,16 @@ w AS (SELECT *, 50 + 0.93 * v1 AS v2 FROM v), y AS (SELECT *, 50 + 0.93 * v2 AS
 SELECT asset, trade_date, round((v1 + v2 + v3 + v4 + 50 + 0.93 * v4) / 5, 4) AS avg_var FROM z
 """,
 )
+# A year counts once 500 returns lie before it; so does the window of every day in it.
+cte("fy", "SELECT asset, year(trade_date) AS y FROM rn GROUP BY 1, 2 HAVING min(k) >= 500")
 cte(
-    "fl",
-    "SELECT * FROM (SELECT asset, trade_date, h, list(x / sqrt(h)) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS l FROM gp) WHERE len(l) = 500 AND year(trade_date) >= 1999",
+    "flp",
+    "SELECT l.* FROM (SELECT asset, trade_date, h, list(x / sqrt(h)) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS l FROM gpp) l JOIN fy ON fy.asset = l.asset AND y = year(trade_date)",
 )
-sql("fhs_quantiles", tails_sql("fl", "fhs_gjr_garch", "sqrt(h) / 100", "round({}, 6)"))
+cte("fhs", tails_sql("flp", "fhs_gjr_garch", "sqrt(h) / 100", "{}"))
+sql("fhs_quantiles", "SELECT asset, trade_date, method, conf, round(var, 6) AS var, round(es, 6) AS es FROM fhs WHERE asset <> 'portfolio'")
+cte("vall", "SELECT * FROM hs UNION ALL SELECT * FROM vn UNION ALL SELECT * FROM vt UNION ALL SELECT * FROM fhs")
+sql("var_estimates", f"SELECT {EST} FROM vall")
 M = 2147483647
 
 
@@ -664,14 +668,41 @@ SELECT *, greatest(-2 * ({xl("(n00 + n10)", "(1 - q)")} + {xl("(n01 + n11)", "q"
 """,
 )
 sql("christoffersen", "SELECT asset, method, conf, n00, n01, n10, n11, round(lr, 8) AS lr FROM chr")
-sql(
-    "basel",
+cte(
+    "bas",
+    """
+WITH c AS (SELECT asset, method, conf, sum(hit) OVER w AS h, count(*) OVER w AS n FROM exc WHERE conf = 0.99 WINDOW w AS (PARTITION BY asset, method, conf ORDER BY trade_date ROWS 249 PRECEDING))
+SELECT asset, method, conf, avg(CASE WHEN h <= 4 THEN 1.0::DOUBLE ELSE 0 END) AS basel_green, avg(CASE WHEN h BETWEEN 5 AND 9 THEN 1.0::DOUBLE ELSE 0 END) AS basel_yellow,
+  avg(CASE WHEN h >= 10 THEN 1.0::DOUBLE ELSE 0 END) AS basel_red FROM c WHERE n = 250 GROUP BY 1, 2, 3
+""",
+)
+ZONES = ", ".join(f"round(basel_{z}, 8) AS basel_{z}" for z in ("green", "yellow", "red"))
+sql("basel", f"SELECT asset, method, conf, {ZONES} FROM bas")
+
+
+def erfc(z: str) -> str:
+    """1 - erf(z) for z >= 0, by the series of positive terms (below 1e-12 beyond 6)."""
+    term = f"exp(2 * n * ln(2) + (2 * n + 1) * ln({z}) + lgamma(n + 1) - lgamma(2 * n + 2) - {z} * {z})"
+    return f"CASE WHEN {z} <= 0 THEN 1.0 WHEN {z} > 6 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(200), lambda n: {term})) END"
+
+
+cte(
+    "vbt",
     """
-WITH c AS (SELECT asset, method, conf, sum(hit) OVER w AS h, count(*) OVER w AS n FROM exc WINDOW w AS (PARTITION BY asset, method, conf ORDER BY trade_date ROWS 249 PRECEDING))
-SELECT asset, method, conf, round(avg(CASE WHEN h <= 4 THEN 1.0::DOUBLE ELSE 0 END), 8) AS basel_green, round(avg(CASE WHEN h BETWEEN 5 AND 9 THEN 1.0::DOUBLE ELSE 0 END), 8) AS basel_yellow,
-  round(avg(CASE WHEN h >= 10 THEN 1.0::DOUBLE ELSE 0 END), 8) AS basel_red FROM c WHERE n = 250 GROUP BY 1, 2, 3
+WITH e AS (SELECT asset, method, conf, count(*) AS n, CAST(sum(hit) AS BIGINT) AS exceptions, avg(var) AS avg_var,
+  CASE WHEN sum(hit) > 0 THEN avg(CASE WHEN hit = 1 THEN -r END) / avg(CASE WHEN hit = 1 THEN es END) END AS es_ratio FROM exc GROUP BY 1, 2, 3)
+SELECT e.*, round(e.n * (1 - e.conf), 1) AS expected, exceptions / CAST(e.n AS DOUBLE) AS rate, kup.lr AS kupiec_lr, chr.lr AS indep_lr, kup.lr + chr.lr AS cc_lr,
+  exp(-(kup.lr + chr.lr) / 2) AS cc_p, sqrt(kup.lr / 2) AS zk, sqrt(chr.lr / 2) AS zi, basel_green, basel_yellow, basel_red
+FROM e JOIN kup ON kup.asset = e.asset AND kup.method = e.method AND kup.conf = e.conf
+JOIN chr ON chr.asset = e.asset AND chr.method = e.method AND chr.conf = e.conf
+LEFT JOIN bas ON bas.asset = e.asset AND bas.method = e.method AND bas.conf = e.conf
 """,
 )
+BACKTEST = ("expected", "rate", "kupiec_lr", "kupiec_p", "indep_lr", "indep_p", "cc_lr", "cc_p", "es_ratio", "avg_var", "basel_green", "basel_yellow", "basel_red")
+sql(
+    "var_backtest",
+    f"SELECT asset, method, conf, n, exceptions, {', '.join(f'round({c}, 8) AS {c}' for c in BACKTEST)} FROM (SELECT *, {erfc('zk')} AS kupiec_p, {erfc('zi')} AS indep_p FROM vbt)",
+)
 cte("allr50", "SELECT asset, trade_date, r / 50 AS r FROM allr")
 
 
@@ -708,8 +739,8 @@ sql(
     """
 WITH v AS (SELECT asset, sum(volume) / CAST((SELECT sum(volume) FROM px) AS DOUBLE) AS w FROM px GROUP BY 1)
 SELECT 'equity_shock' AS scenario, round(sum(CASE asset WHEN 'A1' THEN 0.6 ELSE 0.4 END * beta * -0.2), 8) AS loss FROM beta
-UNION ALL SELECT 'stock_bond_selloff', round(sum(w * CASE asset WHEN 'A1' THEN -0.2 WHEN 'A2' THEN -0.1 ELSE 0 END), 8) FROM v
-UNION ALL SELECT 'flight_to_quality', round(sum(w * CASE asset WHEN 'A1' THEN -0.2 WHEN 'A2' THEN 0.05 ELSE 0 END), 8) FROM v
+UNION ALL SELECT 'both_fall', round(sum(w * CASE asset WHEN 'A1' THEN -0.2 WHEN 'A2' THEN -0.1 ELSE 0 END), 8) FROM v
+UNION ALL SELECT 'second_rises', round(sum(w * CASE asset WHEN 'A1' THEN -0.2 WHEN 'A2' THEN 0.05 ELSE 0 END), 8) FROM v
 """,
 )
 # The quadratic form written out over the two by two matrix.
@@ -841,17 +872,18 @@ sql("holm", f"SELECT asset, family, model, vs, round(p, 8) AS p, round(ph, 8) AS
 
 
 def draws_sql(sizes: str, draws: int) -> str:
-    """(asset, fold, n, draw, pos, idx) of the stationary bootstrap."""
-    grid = f"(SELECT s.*, d.draw, p.pos FROM {sizes} s, range({draws}) d(draw), LATERAL (SELECT unnest(range(s.n)) AS pos) p)"
-    opens = rounds(grid, "*", mix_sql("12345", "draw", "0", "pos"))
-    both = rounds(f"(SELECT * EXCLUDE (u), (pos = 0 OR u / {M}.0::DOUBLE < 1.0 / 20) AS opens FROM ({opens}))", "*", mix_sql("12345", "draw", "1", "pos"))
-    src = f"SELECT * EXCLUDE (u), CAST(floor(u / {M}.0::DOUBLE * n) AS BIGINT) AS src FROM ({both})"
-    last = f"SELECT *, max(CASE WHEN opens THEN pos END) OVER w AS first, arg_max(CASE WHEN opens THEN src END, CASE WHEN opens THEN pos END) OVER w AS source FROM ({src}) WINDOW w AS (PARTITION BY asset, fold, draw ORDER BY pos ROWS UNBOUNDED PRECEDING)"
-    return f"SELECT asset, fold, n, draw, pos, (source + pos - first) % n AS idx FROM ({last})"
+    """(asset, fold, n, draw, pos, idx) of the stationary bootstrap: blocks laid end to end."""
+    grid = f"(SELECT s.*, d.draw, b.k FROM {sizes} s, range({draws}) d(draw), LATERAL (SELECT unnest(range(s.n)) AS k) b)"
+    sized = rounds(grid, "*", mix_sql("12345", "draw", "0", "k"))
+    sized = f"SELECT * EXCLUDE (u), CAST(least(greatest(ceil(ln((u + 0.5::DOUBLE) / {M}) / ln(1 - 1.0::DOUBLE / 20)), 1), n) AS BIGINT) AS size FROM ({sized})"
+    ends = f"SELECT *, CAST(sum(size) OVER (PARTITION BY asset, fold, draw ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS begin FROM ({sized})"
+    used = rounds(f"(SELECT * FROM ({ends}) WHERE begin < n)", "*", mix_sql("12345", "draw", "1", "k"))
+    laid = f"SELECT asset, fold, n, draw, begin, CAST(floor(u / {M}.0::DOUBLE * n) AS BIGINT) AS source, unnest(range(begin, least(begin + size, n))) AS pos FROM ({used})"
+    return f"SELECT asset, fold, n, draw, pos, (source + pos - begin) % n AS idx FROM ({laid})"
 
 
 cte("sizes", "SELECT asset, fold, count(*) AS n FROM preds WHERE model = 'har_logit' GROUP BY 1, 2")
-cte("bix", draws_sql("sizes", 50))
+cte("bix", draws_sql("sizes", 1000))
 sql("bootstrap_index", "SELECT asset, fold, idx, count(*) AS times, CAST(sum(pos) AS BIGINT) AS pos_sum FROM bix GROUP BY 1, 2, 3")
 cte("btn", "SELECT asset, 'all' AS fold, count(DISTINCT trade_date) AS n FROM bt GROUP BY 1")
 cte("six", draws_sql("btn", 1000))

@@ -97,18 +97,20 @@ def holm(tests: DataFrame, family: Sequence[str], p: str, out: str) -> DataFrame
 
 
 def resample(draws: np.ndarray, n: int, seed: int, mean_block: int) -> np.ndarray:
-    """(draws, n) source positions: blocks of geometric length, wrapped circularly.
+    """(draws, n) source positions of the stationary bootstrap.
 
-    A position opens a block with probability 1 / mean_block (the first always does) and takes a
-    uniform source; the positions after it follow on until the next opening.
+    Each draw is a row of blocks laid end to end: block k has a geometric length with the given
+    mean, by inversion of a uniform number, and a uniform source position; sources wrap at n.
     """
-    pos = np.arange(n)
-    d = np.asarray(draws, np.int64)[:, None]
-    opens = mixed(seed, d, 0, pos) / float(MODULUS) < 1.0 / mean_block
-    opens[:, 0] = True
-    source = scaled(mixed(seed, d, 1, pos), n)
-    first = np.maximum.accumulate(np.where(opens, pos, 0), axis=1)
-    return (np.take_along_axis(source, first, axis=1) + pos - first) % n
+    d, k = np.asarray(draws, np.int64)[:, None], np.arange(n)
+    u = (mixed(seed, d, 0, k) + 0.5) / MODULUS
+    length = np.clip(np.ceil(np.log(u) / np.log1p(-1.0 / mean_block)), 1, n).astype(np.int64)
+    ends = np.cumsum(length, axis=1)
+    shift = scaled(mixed(seed, d, 1, k), n) - (ends - length)
+    out = np.empty((len(ends), n), np.int64)
+    for row, (s, size) in enumerate(zip(shift, length)):
+        out[row] = np.repeat(s, size)[:n]
+    return (out + k) % n
 
 
 def resample_counts(draws: np.ndarray, n: int, seed: int, mean_block: int) -> np.ndarray:

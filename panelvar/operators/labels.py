@@ -1,7 +1,7 @@
 """Forward-volatility labels.
 
-Leakage rule: the forward volatility of day s is known only after s + h rows, so the threshold at t
-uses values of days up to t - h.
+A label looks h rows ahead. The threshold of a day therefore stops h rows short of it: later
+forward volatilities were not complete on that day.
 """
 
 from __future__ import annotations

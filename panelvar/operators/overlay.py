@@ -74,16 +74,20 @@ def run_backtest(
     end: date,
     static_from: str,
     scenario: Sequence[str] = (),
+    lags: Sequence[int] = (),
 ) -> DataFrame:
     """(scenario..., asset, trade_date, cash, strategy, held, turnover, net).
 
     Days count when every strategy, the return and the cash rate are present. Lag and cost are
-    numbers or, for a sensitivity run, columns constant within a scenario.
+    numbers or, for a sensitivity run, columns constant within a scenario; ``lags`` then names every
+    lag that the column holds.
     """
     names = ["buy_hold", "ewma_vol_target", "vix_target", *[f"model_{m}" for m in models]]
     keys = ", ".join([*scenario, "asset"])
     w = f"PARTITION BY {keys} ORDER BY trade_date"
-    lags = [lag] if isinstance(lag, int) else list(range(1, 3))
+    lags = [lag] if isinstance(lag, int) else sorted(set(lags))
+    if not lags:
+        raise ValueError("a lag column needs the list of its lags")
 
     def held(name: str) -> str:
         options = {k: f"lag(w_{name}, {k}) OVER ({w})" for k in lags}
@@ -163,7 +167,7 @@ def sensitivity(
     rows = inputs.selectExpr("*", f"inline(array({grid}))")
     weighted = build_weights(rows, models, "target_vol", s.max_weight)
     scenario = ("lag", "cost_bps", "target_vol")
-    bt = run_backtest(weighted, models, "lag", "cost_bps", start, end, static_from, scenario)
+    bt = run_backtest(weighted, models, "lag", "cost_bps", start, end, static_from, scenario, s.lags)
     return bt.groupBy(*scenario, "asset", "strategy").agg(
         F.expr(f"try_divide(avg(net - cash), stddev_samp(net - cash)) * sqrt({TRADING_DAYS}) AS sharpe")
     )

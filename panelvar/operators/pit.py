@@ -1,7 +1,7 @@
 """Point-in-time lookups of macro releases.
 
-A vintage row says: the observation had this value, publicly known from ``valid_from`` through
-``valid_to`` inclusive. None of the lookups pairs every date with every vintage: each one is an
+A vintage carries the value of an observation and the days on which that value stood, both ends
+included: ``valid_from`` and ``valid_to``. None of the lookups pairs every date with every vintage: each one is an
 equi-join, so work grows with dates plus vintages, not with their product.
 """
 

@@ -107,10 +107,18 @@ def student_t_ewma(returns: DataFrame, confs: Sequence[float], decay: float = 0.
     return _parametric(returns, decay, "student_t_ewma", {c: student_multipliers(c, df) for c in confs})
 
 
-def yearly_fits(returns: DataFrame, first_year: int, min_obs: int = 500) -> DataFrame:
+def fit_years(returns: DataFrame, min_obs: int = 500) -> DataFrame:
+    """(asset, fit_year): the years before which an asset has at least ``min_obs`` returns."""
+    rows = returns.where(F.col("r").isNotNull())
+    counts = rows.groupBy("asset", F.year("trade_date").alias("fit_year")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("asset").orderBy("fit_year").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("before", before).where(F.col("before") >= min_obs).select("asset", "fit_year")
+
+
+def yearly_fits(returns: DataFrame, min_obs: int = 500) -> DataFrame:
     """Parameters per (asset, year), each fitted on the returns strictly before that year."""
     rows = returns.where(F.col("r").isNotNull())
-    years = rows.select("asset", F.year("trade_date").alias("fit_year")).distinct().where(F.col("fit_year") >= first_year)
+    years = fit_years(rows, min_obs)
     history = return_arrays(rows.withColumn("y", F.year("trade_date")), ("asset", "y"))
     # Years are joined, not days: each pair carries one year's array.
     pieces = (
@@ -120,7 +128,7 @@ def yearly_fits(returns: DataFrame, first_year: int, min_obs: int = 500) -> Data
         .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("y", "rets"))), lambda p: p["rets"])).alias("rets"))
     )
     # Fits differ in length and cost far more than moving their arrays, so they are spread evenly.
-    return fit_gjr(pieces.where(F.size("rets") >= min_obs).repartition("asset", "fit_year")).drop("rets")
+    return fit_gjr(pieces.repartition("asset", "fit_year")).drop("rets")
 
 
 def filtered_historical(
@@ -129,25 +137,29 @@ def filtered_historical(
     """Filtered historical simulation: sqrt(h) times the quantile of the last standardised residuals.
 
     Each fit year reruns the recursion over the history up to its own year end, so a row meets the
-    fits of its own and later years.
+    fits of its own and later years. Of that path only the fit year and the ``window`` rows before
+    it go on to the tail step.
     """
     rows = returns.where(F.col("r").isNotNull()).select("asset", "trade_date", (F.col("r") * 100).alias("x"))
     runs = rows.join(fits, "asset").where(F.year("trade_date") <= F.col("fit_year"))
     path = variance_path(runs, ("asset", "fit_year")).withColumn("z", F.col("x") / F.sqrt("h"))
+    own = F.sum((F.year("trade_date") == F.col("fit_year")).cast("int"))
+    back = Window.partitionBy("asset", "fit_year").orderBy("trade_date").rowsBetween(0, window)
+    path = path.withColumn("_own", own.over(back)).where("_own > 0").drop("_own")
     estimates = _rolling_estimates(
         path, ["asset", "fit_year"], "z", confs, window, "sqrt(h) / 100", "fhs_gjr_garch"
     )
     return estimates.where(F.year("trade_date") == F.col("fit_year")).select(*ESTIMATE)
 
 
-def all_estimates(returns: DataFrame, fits: DataFrame | None, s: RiskSettings = RiskSettings()) -> DataFrame:
-    """Every method and confidence in one long table (the simulation only where fits are given)."""
-    out = (
+def all_estimates(returns: DataFrame, fits: DataFrame, s: RiskSettings = RiskSettings()) -> DataFrame:
+    """Every method and confidence in one long table; ``fits`` as for ``filtered_historical``."""
+    return (
         historical(returns, s.confidences, s.window)
         .unionByName(normal_ewma(returns, s.confidences, s.ewma_lambda))
         .unionByName(student_t_ewma(returns, s.confidences, s.ewma_lambda, s.student_t_df))
+        .unionByName(filtered_historical(returns, fits, s.confidences, s.window))
     )
-    return out if fits is None else out.unionByName(filtered_historical(returns, fits, s.confidences, s.window))
 
 
 # ---- simulation ----------------------------------------------------------------------------------
@@ -169,17 +181,20 @@ def simulation_state(returns: DataFrame, params: DataFrame, window: int = 500) -
 
 
 def simulate(row, ids: np.ndarray, horizon: int, seed: int) -> np.ndarray:
-    """Cumulative decimal return of each path: residual draws drive the variance recursion."""
-    resid = np.asarray(row.resid, float)
-    state = mixed(seed, ids)
-    h = np.full(len(ids), row.h_next)
-    total = np.zeros(len(ids))
-    for _ in range(horizon):
-        x = np.sqrt(h) * resid[scaled(state, len(resid))]
-        total += x
-        h = row.omega + (row.alpha + np.where(x < 0, row.gamma, 0.0)) * x * x + row.beta * h
-        state = advance(state)
-    return total / 100
+    """Cumulative decimal return of each path.
+
+    Drawn residuals form a matrix (day, path). A shock is the residual times the day's deviation, so
+    the matrix alone gives the factor by which each day's variance grows into the next.
+    """
+    state = [mixed(seed, ids)]
+    for _ in range(horizon - 1):
+        state.append(advance(state[-1]))
+    z = np.asarray(row.resid, float)[scaled(np.stack(state), len(row.resid))]
+    growth = row.beta + (row.alpha + row.gamma * (z < 0)) * np.square(z)
+    variance = np.full_like(z, row.h_next)
+    for day in range(1, horizon):
+        variance[day] = row.omega + growth[day - 1] * variance[day - 1]
+    return np.einsum("dp,dp->p", np.sqrt(variance), z) / 100
 
 
 def monte_carlo(

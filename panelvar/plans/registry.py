@@ -659,8 +659,6 @@ def _cv_scores(p: Panel) -> DataFrame:
 # A fixed parameter set for recursion checks; percent returns of this panel are large.
 GJR_FIXED = garch.GJR(omega=50.0, alpha=0.03, gamma=0.10, beta=0.85)
 CONFS = RiskSettings().confidences
-# The panel starts in 1995, so the expanding fits begin once 500 returns exist.
-FIRST_FIT_YEAR = 1998
 
 
 def _simple(p: Panel) -> DataFrame:
@@ -738,30 +736,35 @@ def garch_forecast(p: Panel) -> DataFrame:
 @register
 def garch_fit(p: Panel) -> DataFrame:
     """Fitted parameters per asset on its whole history."""
-    arrays = garch.return_arrays(_with_portfolio(p)).repartition(16)
+    arrays = garch.return_arrays(_with_portfolio(p)).repartition("asset")
     return tidy(garch.fit_gjr(arrays).drop("rets"), *garch.PARAMS, "nll", "h0", digits=6)
 
 
 @register
 def var_fhs(p: Panel) -> DataFrame:
     returns = _with_portfolio(p)
-    fits = pin(risk.yearly_fits(returns, FIRST_FIT_YEAR, RiskSettings().min_fit_obs))
+    fits = pin(risk.yearly_fits(returns, RiskSettings().min_fit_obs))
     return risk.filtered_historical(returns, fits, CONFS, RiskSettings().window)
 
 
+def _fixed_fits(returns: DataFrame) -> DataFrame:
+    """The fixed parameter set for every year that has enough returns before it."""
+    h0 = returns.groupBy("asset").agg(F.expr("var_pop(r * 100) AS h0"))
+    return risk.fit_years(returns, RiskSettings().min_fit_obs).join(h0, "asset").withColumns(GJR_FIXED.columns())
+
+
 @register
 def fhs_quantiles(p: Panel) -> DataFrame:
     """The simulation's tail step under fixed parameters, where an exact SQL twin exists."""
     returns = _simple(p)
-    years = returns.where("year(trade_date) >= 1999").selectExpr("asset", "year(trade_date) AS fit_year").distinct()
-    h0 = returns.groupBy("asset").agg(F.expr("var_pop(r * 100) AS h0"))
-    fits = years.join(h0, "asset").withColumns(GJR_FIXED.columns())
-    return tidy(risk.filtered_historical(returns, fits, CONFS, RiskSettings().window), "var", "es", digits=6)
+    return tidy(risk.filtered_historical(returns, _fixed_fits(returns), CONFS, RiskSettings().window), "var", "es", digits=6)
 
 
 @register
 def var_estimates(p: Panel) -> DataFrame:
-    return tidy(risk.all_estimates(_with_portfolio(p), None), "var", "es")
+    """All four methods, the simulation with the fixed parameter set."""
+    returns = _with_portfolio(p)
+    return tidy(risk.all_estimates(returns, _fixed_fits(returns)), "var", "es")
 
 
 @register
@@ -776,7 +779,7 @@ def mc_var(p: Panel) -> DataFrame:
 
 def _exceptions(p: Panel) -> DataFrame:
     returns = _with_portfolio(p)
-    return pin(risk.exceptions(returns, risk.all_estimates(returns, None)))
+    return pin(risk.exceptions(returns, risk.all_estimates(returns, _fixed_fits(returns))))
 
 
 @register
@@ -801,7 +804,9 @@ def christoffersen(p: Panel) -> DataFrame:
 
 @register
 def basel(p: Panel) -> DataFrame:
-    return tidy(risk.basel_shares(_exceptions(p)), "basel_green", "basel_yellow", "basel_red")
+    """Traffic lights, which are defined for 99 % alone."""
+    rows = _exceptions(p).where("abs(conf - 0.99) < 1e-9")
+    return tidy(risk.basel_shares(rows), "basel_green", "basel_yellow", "basel_red")
 
 
 @register
@@ -945,9 +950,9 @@ def _day_counts(p: Panel) -> DataFrame:
 
 @register
 def bootstrap_index(p: Panel) -> DataFrame:
-    """How often each position is drawn over 50 draws of every asset's fold."""
+    """How often each position is drawn over all draws of every asset's fold."""
     s = InferenceSettings()
-    index = inference.bootstrap_index(_day_counts(p), 50, s.seed, s.mean_block)
+    index = inference.bootstrap_index(_day_counts(p), s.draws, s.seed, s.mean_block)
     return index.groupBy("asset", "fold", "idx").agg(F.count("*").alias("times"), F.sum("pos").alias("pos_sum"))
 
 

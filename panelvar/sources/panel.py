@@ -33,8 +33,8 @@ IMPLIED_SCALE = 997.0
 MACRO_SCALE = 99_991.0
 PORTFOLIO = {"A1": 0.6, "A2": 0.4}
 JOINT_SHOCKS = {
-    "stock_bond_selloff": {"A1": -0.20, "A2": -0.10},
-    "flight_to_quality": {"A1": -0.20, "A2": 0.05},
+    "both_fall": {"A1": -0.20, "A2": -0.10},
+    "second_rises": {"A1": -0.20, "A2": 0.05},
 }
 MODELING_START = date(1996, 6, 1)
 HOLDOUT_START = date(2001, 1, 1)
@@ -69,17 +69,19 @@ def mean_amount(amount: Column | str) -> Column:
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily OHLCV per line number: (asset, date) unique by construction.
 
-    The open is the price of the line with the smallest (order key, price). Both are packed into one
-    integer (24 bits of cents), which keeps the aggregate on the hash path; a struct would sort.
+    The open is the price of the line with the smallest (order key, price). Both stand in one decimal
+    number (the last 15 digits are cents), whose buffer is of fixed size, so the aggregate stays on
+    the hash path; a struct would sort. Keys up to 2^63 and prices below 10^13 fit.
     """
     items = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice")
     cents = F.round(price * 100).cast("bigint")
-    first = F.min(F.col("l_orderkey") * (1 << 24) + cents)
+    shift = F.lit(10**15).cast("decimal(16,0)")
+    first = F.min((F.col("l_orderkey").cast("decimal(19,0)") * shift + cents.cast("decimal(15,0)")).cast("decimal(38,0)"))
     return (
         items.groupBy("l_linenumber", "l_shipdate")
         .agg(
-            (F.pmod(first, F.lit(1 << 24)) / 100.0).alias("open"),
+            ((first % shift).cast("bigint") / 100.0).alias("open"),
             F.max(price).alias("high"),
             F.min(price).alias("low"),
             mean_amount("l_extendedprice").alias("close"),
