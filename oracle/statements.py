@@ -559,6 +559,17 @@ SELECT asset, trade_date, 'student_t_ewma' AS method, conf, sigma * vm AS var, s
 )
 EST = "asset, trade_date, method, conf, round(var, 8) AS var, round(es, 8) AS es"
 sql("ewma_vol", "SELECT s.asset, s.trade_date, round(sqrt(252 * v), 8) AS ewma_vol FROM sr s LEFT JOIN ew ON ew.asset = s.asset AND ew.trade_date = s.trade_date")
+cte(
+    "ewg",
+    """
+WITH a AS (SELECT asset, trade_date, CASE WHEN day(trade_date) BETWEEN 10 AND 14 THEN NULL ELSE r END AS r, row_number() OVER (PARTITION BY asset ORDER BY trade_date) AS pos FROM sr),
+b AS (SELECT *, pow(0.94, pos - lag(pos) OVER (PARTITION BY asset ORDER BY pos)) AS old FROM a WHERE r IS NOT NULL),
+c AS (SELECT *, coalesce(0.06 * r * r / (old + 0.06), r * r) AS e, sum(ln(coalesce(old / (old + 0.06), 1))) OVER (PARTITION BY asset ORDER BY pos ROWS UNBOUNDED PRECEDING) AS p FROM b),
+d AS (SELECT asset, trade_date, exp(p) * sum(e * exp(-p)) OVER (PARTITION BY asset ORDER BY pos ROWS UNBOUNDED PRECEDING) AS v FROM c)
+SELECT a.asset, a.trade_date, last_value(v IGNORE NULLS) OVER (PARTITION BY a.asset ORDER BY a.trade_date ROWS UNBOUNDED PRECEDING) AS v FROM a LEFT JOIN d ON d.asset = a.asset AND d.trade_date = a.trade_date
+""",
+)
+sql("ewma_vol_gaps", "SELECT asset, trade_date, round(sqrt(252 * v), 8) AS ewma_vol FROM ewg")
 sql("var_historical", f"SELECT {EST} FROM hs")
 sql("var_normal", f"SELECT {EST} FROM vn")
 sql("var_student_t", f"SELECT {EST} FROM vt")

@@ -1,4 +1,4 @@
-"""First-order linear recursions s_k = rho * s_{k-1} + e_k as windows, without a per-row loop."""
+"""First-order linear recursions s_k = rho_k * s_{k-1} + e_k as windows, without a per-row loop."""
 
 from __future__ import annotations
 
@@ -16,44 +16,56 @@ def linear_recursion(
 ) -> DataFrame:
     """Adds ``out`` for inputs ordered within ``by``; s starts at its first input.
 
-    Inside a block of 64 rows the recursion is a running sum of e * rho^-j scaled back by rho^j,
-    which stays far from overflow. Block ends chain through a short fold (one entry per block). All
-    windows keep the ``by`` partitioning, so nothing is shuffled again. A partition is one series.
+    ``rho`` is a number or a column and may differ by row. Inside a block of 64 rows the recursion is
+    a running sum of inputs over the running product of rho, which stays far from overflow. Block
+    ends chain through a fold with one entry per block: a partition is one series of trading days.
+    All windows keep the ``by`` partitioning, so nothing is shuffled again.
     """
     rho = F.lit(float(rho)) if isinstance(rho, (int, float)) else rho
     series = Window.partitionBy(*by).orderBy(order)
     base = df.withColumn("_k", F.row_number().over(series) - 1).withColumns(
-        {"_j": F.col("_k") % BLOCK, "_blk": F.floor(F.col("_k") / BLOCK), "_rho": F.greatest(rho, F.lit(_TINY))}
+        {"_j": F.col("_k") % BLOCK, "_blk": F.floor(F.col("_k") / BLOCK), "_rho": rho}
     )
     inside = Window.partitionBy(*by, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    e, r, j = F.col(inputs), F.col("_rho"), F.col("_j")
-    local = base.withColumn("_local", F.pow(r, j) * F.sum(e * F.pow(r, -j)).over(inside))
-    ends = F.collect_list(F.when(j == BLOCK - 1, F.col("_local"))).over(
+    e, j = F.col(inputs), F.col("_j")
+    base = base.withColumn("_prod", F.exp(F.sum(F.log(F.greatest("_rho", F.lit(_TINY)))).over(inside)))
+    local = base.withColumn("_local", F.col("_prod") * F.sum(e / F.col("_prod")).over(inside))
+    ends = F.collect_list(F.when(j == BLOCK - 1, F.struct("_prod", "_local"))).over(
         series.rowsBetween(Window.unboundedPreceding, -1)
     )
     chained = local.withColumn("_ends", F.when(j == 0, ends)).withColumn(
         "_carry",
-        F.when(j == 0, F.aggregate("_ends", F.lit(0.0), lambda s, x: s * F.pow(r, F.lit(BLOCK)) + x)),
+        F.when(j == 0, F.aggregate("_ends", F.lit(0.0), lambda s, x: s * x["_prod"] + x["_local"])),
     )
-    value = F.col("_local") + F.first("_carry").over(inside) * F.pow(r, j + 1)
+    value = F.col("_local") + F.first("_carry").over(inside) * F.col("_prod")
     # A decay below 1e-4 is exact to double precision after four terms.
-    short = e
+    short, factor = e, F.col("_rho")
     for step in range(1, 5):
-        short = short + F.coalesce(F.lag(inputs, step).over(series) * F.pow(rho, F.lit(step)), F.lit(0.0))
-    return chained.withColumn(out, F.when(rho < _TINY, short).otherwise(value)).drop(
-        "_k", "_j", "_blk", "_rho", "_local", "_ends", "_carry"
+        short = short + F.coalesce(F.lag(inputs, step).over(series) * factor, F.lit(0.0))
+        factor = factor * F.lag("_rho", step).over(series)
+    return chained.withColumn(out, F.when(F.col("_rho") < _TINY, short).otherwise(value)).drop(
+        "_k", "_j", "_blk", "_rho", "_prod", "_local", "_ends", "_carry"
     )
 
 
 def ewma_variance(returns: DataFrame, decay: float, ret: str = "r", out: str = "ewma_var") -> DataFrame:
     """Exponentially weighted mean square known at each close; starts at the first return squared.
 
-    Runs over the rows that carry a return and is left-joined back, so leading gaps stay NULL.
+    A row without a return carries the level on and still ages it: after g rows the old level weighs
+    decay^g against 1 - decay for the new square. Rows before the first return have no level.
     """
-    first = F.row_number().over(Window.partitionBy("asset").orderBy("trade_date")) == 1
+    series = Window.partitionBy("asset").orderBy("trade_date")
     square = F.pow(F.col(ret), 2)
-    known = returns.where(F.col(ret).isNotNull()).select(
-        "asset", "trade_date", F.when(first, square).otherwise(square * (1 - decay)).alias("e")
+    known = returns.withColumn("_pos", F.row_number().over(series)).where(F.col(ret).isNotNull())
+    old = F.pow(F.lit(float(decay)), F.col("_pos") - F.lag("_pos").over(series))
+    known = known.select("asset", "trade_date", square.alias("_x"), old.alias("_old"))
+    total = F.col("_old") + (1 - decay)
+    known = known.select(
+        "asset",
+        "trade_date",
+        F.coalesce((1 - decay) * F.col("_x") / total, F.col("_x")).alias("_e"),
+        F.coalesce(F.col("_old") / total, F.lit(1.0)).alias("_keep"),
     )
-    path = linear_recursion(known, ["asset"], "trade_date", decay, "e", out).drop("e")
-    return returns.join(path, ["asset", "trade_date"], "left")
+    path = linear_recursion(known, ["asset"], "trade_date", F.col("_keep"), "_e", "_level").drop("_e", "_keep")
+    level = F.last("_level", ignorenulls=True).over(series)
+    return returns.join(path, ["asset", "trade_date"], "left").withColumn(out, level).drop("_level")

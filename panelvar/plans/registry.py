@@ -698,6 +698,15 @@ def ewma_vol(p: Panel) -> DataFrame:
     return tidy(out.selectExpr("asset", "trade_date", "sqrt(252 * ewma_var) AS ewma_vol"), "ewma_vol")
 
 
+@register
+def ewma_vol_gaps(p: Panel) -> DataFrame:
+    """The same on series with gaps: every day from the 10th to the 14th of a month has no return."""
+    gap = F.dayofmonth("trade_date").between(10, 14)
+    returns = _simple(p).withColumn("r", F.when(~gap, F.col("r")))
+    out = recursion.ewma_variance(returns, RiskSettings().ewma_lambda)
+    return tidy(out.selectExpr("asset", "trade_date", "sqrt(252 * ewma_var) AS ewma_vol"), "ewma_vol")
+
+
 @register
 def var_historical(p: Panel) -> DataFrame:
     return _var_table(p, "historical")

@@ -84,3 +84,14 @@ def test_ordered_sums_and_quantiles_match_brute_force(spark):
     for name, part in frame.groupby("g"):
         for q in qs:
             assert exact[name, q] == pytest.approx(np.quantile(part["v"], q), abs=1e-12), (name, q)
+
+
+def test_ewma_ages_over_gaps(spark):
+    rng = np.random.default_rng(9)
+    r = rng.normal(0, 0.01, 300)
+    r[[0, 1, 50, 51, 52, 130, 131, 200]] = np.nan
+    days = pd.bdate_range("2014-01-01", periods=300).date
+    df = spark.createDataFrame([("A", d, None if np.isnan(x) else float(x)) for d, x in zip(days, r)], "asset string, trade_date date, r double")
+    got = np.array([x.ewma_var for x in ewma_variance(df, 0.94).orderBy("trade_date").collect()], float)
+    want = (pd.Series(r) ** 2).ewm(alpha=0.06, adjust=False).mean().to_numpy()
+    assert np.allclose(got, want, rtol=1e-10, equal_nan=True)
