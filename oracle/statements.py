@@ -143,7 +143,7 @@ for _name, _cols in (
 sql("sector_dispersion", f"SELECT trade_date, {rounded(['sector_dispersion_1d'])} FROM disp")
 sql("avg_pair_corr", f"SELECT trade_date, {rounded(['sector_avgcorr_21d'])} FROM paircorr")
 sql("forward_rv", f"SELECT asset, as_of_date AS trade_date, {rounded(['rv_fwd'])} FROM lab")
-MODEL_FEATURES = FEATURES[:11] + ["vix_level", "t10y2y_level"]
+MODEL_FEATURES = [f for f in FEATURES if f != "hyg_lqd_chg_5d"]
 sql(
     "modeling_frame",
     f"SELECT feats.asset, feats.as_of_date, {rounded(FEATURES)}, y, label_known_date, {rounded(['rv_fwd', 'threshold'])} FROM feats JOIN lab ON lab.asset = feats.asset AND lab.as_of_date = feats.as_of_date",
@@ -325,6 +325,14 @@ WHERE f.as_of_date >= DATE '1996-06-01' AND lab.y IS NOT NULL AND {REQUIRED}
 """,
 )
 cte("elig", "SELECT * FROM elig_all WHERE as_of_date < DATE '2001-01-01'")
+SCORED = " AND ".join(f"{c} IS NOT NULL" for c in [*FEATURES[:11], "vix_level", "t10y2y_level"])
+cte(
+    "elig_s",
+    f"""
+SELECT f.*, lab.y, lab.label_known_date, lab.rv_fwd FROM feats f JOIN lab ON lab.asset = f.asset AND lab.as_of_date = f.as_of_date
+WHERE f.as_of_date >= DATE '1996-06-01' AND f.as_of_date < DATE '2001-01-01' AND lab.y IS NOT NULL AND {SCORED}
+""",
+)
 cte(
     "fld",
     "SELECT 'wf_' || yr AS fold, make_date(CAST(yr AS INTEGER), 1, 1) AS ts, make_date(CAST(yr AS INTEGER), 12, 31) AS te FROM (VALUES (1998), (1999), (2000)) y(yr)",
@@ -336,6 +344,13 @@ SELECT fold, 'train' AS role, e.* FROM elig e JOIN fld ON e.label_known_date < f
 UNION ALL SELECT fold, 'test', e.* FROM elig e JOIN fld ON e.as_of_date BETWEEN fld.ts AND fld.te
 """,
 )
+cte(
+    "assigned_s",
+    """
+SELECT fold, 'train' AS role, e.* FROM elig_s e JOIN fld ON e.label_known_date < fld.ts
+UNION ALL SELECT fold, 'test', e.* FROM elig_s e JOIN fld ON e.as_of_date BETWEEN fld.ts AND fld.te
+""",
+)
 
 
 def sig(x: str, digits: int = 6) -> str:
@@ -354,7 +369,7 @@ MODELS = {
 cte(
     "preds",
     " UNION ALL ".join(
-        f"SELECT '{m}' AS model, fold, asset, as_of_date, y, {x} AS prob FROM assigned WHERE role = 'test'" for m, x in MODELS.items()
+        f"SELECT '{m}' AS model, fold, asset, as_of_date, y, {x} AS prob FROM assigned_s WHERE role = 'test'" for m, x in MODELS.items()
     ),
 )
 cte(
@@ -427,7 +442,7 @@ sql(
 cte(
     "inner_s",
     """
-WITH t AS (SELECT * FROM assigned WHERE role = 'train'),
+WITH t AS (SELECT * FROM assigned_s WHERE role = 'train'),
 y AS (SELECT fold, year(as_of_date) AS yr, count(*) AS n_val, row_number() OVER (PARTITION BY fold ORDER BY year(as_of_date) DESC) AS k FROM t GROUP BY 1, 2)
 SELECT y.fold, y.yr, count(*) AS n_train, n_val FROM y JOIN t ON t.fold = y.fold AND t.label_known_date < make_date(CAST(y.yr AS INTEGER), 1, 1)
 WHERE k <= 3 GROUP BY 1, 2, n_val HAVING count(*) >= 500 AND count(DISTINCT t.y) = 2
@@ -494,7 +509,7 @@ FROM (VALUES ('hist_gb', 0, 2, 0.03), ('hist_gb', 1, 2, 0.1), ('hist_gb', 2, 3,
 cte(
     "cvs",
     f"""
-WITH t AS (SELECT assigned.*, year(as_of_date) AS yr, {MODELS['har_logit']} AS prob FROM assigned WHERE role = 'train'),
+WITH t AS (SELECT assigned_s.*, year(as_of_date) AS yr, {MODELS['har_logit']} AS prob FROM assigned_s WHERE role = 'train'),
 g AS (SELECT * FROM (VALUES (0, 'w=0.25', 0.25::DOUBLE), (1, 'w=0.5', 0.5::DOUBLE), (2, 'w=1.0', 1.0::DOUBLE)) g(grid_pos, params, w)),
 v AS (SELECT t.fold, t.yr, grid_pos, params, t.y, 0.2::DOUBLE + w * (prob - 0.2::DOUBLE) AS q FROM t JOIN inner_s i ON i.fold = t.fold AND i.yr = t.yr, g),
 l AS (SELECT fold, yr, grid_pos, params, -avg(y * ln(least(greatest(q, 1e-6), 1 - 1e-6)) + (1 - y) * ln(1 - least(greatest(q, 1e-6), 1 - 1e-6))) AS loss FROM v GROUP BY 1, 2, 3, 4)

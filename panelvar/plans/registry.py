@@ -316,7 +316,7 @@ def modeling_frame(p: Panel) -> DataFrame:
     return tidy(ft.modeling_frame(p.features, p.labels).drop("label_name"), *ft.ALL_FEATURES, "rv_fwd", "threshold")
 
 
-MODEL_FEATURES = (*ft.PRICE_FEATURES, "vix_level", "t10y2y_level")
+MODEL_FEATURES = ft.BASE_FEATURES
 
 
 @register
@@ -500,18 +500,22 @@ def _scores() -> dict[str, Column]:
     return {m: F.round(1 / (1 + F.exp(-x)), digits) for m, (x, digits) in raw.items()}
 
 
-def _eligible(p: Panel) -> DataFrame:
-    frame = ft.modeling_frame(p.some_features(*MODEL_FEATURES), p.labels)
-    return splits.eligible_rows(frame, MODEL_FEATURES, panel.MODELING_START, panel.HOLDOUT_START)
+# Models need every base feature; the closed-form scores need those that they read.
+SCORE_FEATURES = (*ft.PRICE_FEATURES, "vix_level", "t10y2y_level")
+
+
+def _eligible(p: Panel, names: tuple[str, ...] = MODEL_FEATURES) -> DataFrame:
+    frame = ft.modeling_frame(p.some_features(*names), p.labels)
+    return splits.eligible_rows(frame, names, panel.MODELING_START, panel.HOLDOUT_START)
 
 
-def _assigned(p: Panel) -> DataFrame:
-    return splits.assign_folds(_eligible(p), panel.WALK_FORWARD)
+def _assigned(p: Panel, names: tuple[str, ...] = MODEL_FEATURES) -> DataFrame:
+    return splits.assign_folds(_eligible(p, names), panel.WALK_FORWARD)
 
 
 def _predictions(p: Panel) -> DataFrame:
     """Every model scores the same test rows."""
-    test = _assigned(p).where(F.col("role") == "test")
+    test = _assigned(p, SCORE_FEATURES).where(F.col("role") == "test")
     each = F.array(*[F.struct(F.lit(m).alias("model"), s.alias("prob")) for m, s in _scores().items()])
     return test.select("fold", "asset", "as_of_date", "y", F.inline(each))
 
@@ -541,7 +545,7 @@ def holdout_split(p: Panel) -> DataFrame:
 
 @register
 def inner_splits(p: Panel) -> DataFrame:
-    return splits.inner_splits(_assigned(p).where(F.col("role") == "train"))
+    return splits.inner_splits(_assigned(p, SCORE_FEATURES).where(F.col("role") == "train"))
 
 
 @register
@@ -639,7 +643,7 @@ def best_config(p: Panel) -> DataFrame:
 
 def _cv_scores(p: Panel) -> DataFrame:
     """Inner log loss of three shrinkage settings of one score over each fold's validation years."""
-    train = _assigned(p).where(F.col("role") == "train").withColumn("year", F.year("as_of_date"))
+    train = _assigned(p, SCORE_FEATURES).where(F.col("role") == "train").withColumn("year", F.year("as_of_date"))
     prob = _scores()["har_logit"]
     configs = F.array(
         *[
