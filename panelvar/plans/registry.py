@@ -341,7 +341,9 @@ def _today() -> Column:
 def _series_dim(p: Panel) -> DataFrame:
     daily = p.daily.select("series", F.lit("daily").alias("frequency"), F.lit("rule_lag").alias("method"))
     monthly = p.monthly.select("series", F.lit("monthly").alias("frequency"), F.lit("alfred_vintage").alias("method"))
-    return daily.unionByName(monthly).distinct()
+    known = daily.unionByName(monthly).distinct()
+    absent = p.spark.createDataFrame([("D_NONE", "daily", "rule_lag")], known.schema)
+    return known.unionByName(absent)
 
 
 def _coarse(p: Panel) -> DataFrame:

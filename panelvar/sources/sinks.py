@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 def latest_wins(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Upsert result: the incoming row of a key replaces the stored one, new keys are added.
 
-    Expressed as an aggregate rather than a window, so rows of one key combine before the shuffle.
-    Within one side the greatest row wins, which keeps the result defined when a key repeats.
+    The stored table (unique by key) is only probed: a small refresh is broadcast by the planner, so
+    stored rows are neither shuffled nor aggregated. If the refresh repeats a key, its greatest row wins.
     """
     columns = stored.columns
     rest = [c for c in columns if c not in keys]
-    both = stored.select("*", F.lit(0).alias("_side")).unionByName(
-        incoming.select(*columns, F.lit(1).alias("_side"))
-    )
-    picked = both.groupBy(*keys).agg(F.max(F.struct("_side", *rest)).alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*columns)
+    fresh = incoming.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row"))
+    fresh = fresh.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*columns)
+    return stored.join(fresh.select(*keys), list(keys), "left_anti").select(*columns).unionByName(fresh)
 
 
 def replace_partition_rows(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -47,11 +45,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def raw_pull_audit(raw: DataFrame, entity: str = "asset") -> DataFrame:
-    """One audit row per entity: row count and a SHA-256 over all of its rows.
+    """One audit row per entity: row count and a SHA-256 that stands for the multiset of its rows.
 
-    Each row is hashed on its own (numbers as millionths) and rows are reduced per (entity, date) and then per
-    (entity, year) before the last step, so no task ever holds one entity's whole payload. The
-    result does not depend on row order.
+    Each row is hashed on its own (numbers as millionths). The 16-bit parts of these hashes are
+    summed over the entity, and the sums are hashed. Sums combine before the shuffle, so an entity
+    costs one row per task, and they don't depend on row order.
     """
     text = F.concat_ws(
         "|",
@@ -61,23 +59,11 @@ def raw_pull_audit(raw: DataFrame, entity: str = "asset") -> DataFrame:
             for c in ("open", "high", "low", "close", "adj_close", "volume")
         ],
     )
-    rows = raw.select(entity, F.col("trade_date").alias("d"), F.sha2(text, 256).alias("h"))
-    # Equal rows collapse to a count first: repeated copies cost one entry however many there are.
-    distinct = rows.groupBy(entity, "d", "h").agg(F.count("*").alias("n"))
-    marked = distinct.withColumn("h", F.concat_ws("*", "h", "n"))
-
-    def fold(df: DataFrame, by: list) -> DataFrame:
-        digest = F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("h"))), 256)
-        return df.groupBy(entity, *by).agg(digest.alias("h"), F.sum("n").alias("n"))
-
-    # 256 slices by digest prefix keep a slice small when one date comes in many variants.
-    sliced = fold(marked, ["d", F.substring("h", 1, 2).alias("s")])
-    daily = fold(sliced, ["d"])
-    yearly = fold(daily, [F.year("d").alias("y")])
-    total = fold(yearly, [])
-    return total.select(
-        F.col(entity), F.col("n").alias("row_count"), F.col("h").alias("payload_hash")
-    )
+    rows = raw.select(entity, F.sha2(text, 256).alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", 4 * k + 1, 4), 16, 10).cast("bigint")).alias(f"p{k}") for k in range(16)]
+    sums = rows.groupBy(entity).agg(F.count("*").alias("row_count"), *parts)
+    digest = F.sha2(F.concat_ws(",", *[F.col(f"p{k}").cast("string") for k in range(16)]), 256)
+    return sums.select(F.col(entity), "row_count", digest.alias("payload_hash"))
 
 
 def first_trade_date(prices: DataFrame) -> DataFrame:
