@@ -1,7 +1,7 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, mixing to target weights, packing.
 
 Each stage takes the documents that the one before kept, applies one operator to all of them and
-returns the columns of documents; the last returns pieces with their token ids and places.
+returns the columns of documents; the last returns pieces with their places in sequences.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with ids and places in sequences of 1024 tokens."""
+    """Pieces with checksums of their ids and places in sequences of 1024 tokens."""
     return packing.pack(docs, packing.public_vocabulary())
 
 
