@@ -6,9 +6,9 @@
 2. Texts with the same words form a class; classes are compared through one representative.
 3. Six registers make a band key. Keys with one member end there. In each round every member of a
    shared key is paired with one centre of it (the smallest number, then the largest), so pairs
-   grow with members and not with their square. Pairs are estimated (most likely similarity given
-   how many registers are larger, smaller and equal), then verified on full sets; links form
-   components by label propagation.
+   grow with members and not with their square. Pairs are sifted by the lowest bits of all registers,
+   estimated (most likely similarity given how many registers are larger, smaller and equal), then
+   verified on full sets; links form components by label propagation.
 4. Keys whose members still lie in several components get all pairs across components with a member
    outside the key's largest one: no link between different texts is lost, and within a component
    no pair can add anything.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelvar.llm.shared import Scratch
@@ -34,6 +34,10 @@ ROWS, BANDS = 6, 64
 BASE, RATE, MOST = 1.001, 20.0, (1 << 16) - 2
 #: Pairs estimated below the limit less this are not verified: six standard deviations.
 SLACK = 0.14
+#: Registers of a pair at the limit differ in their lowest bit 48 times on average; this is six
+#: standard deviations more. Beyond it a pair is dropped where it is joined, before it becomes a row.
+MOST_BITS = 87
+TAGS = tuple(f"t{k}" for k in range(ROWS * BANDS // 64))
 #: Rows of the candidates' numbers up to which they are sent to every task; beyond, texts are shuffled.
 BROADCAST_ROWS = 4_000_000
 
@@ -109,6 +113,12 @@ def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(add, f"doc {doc_type}, id bigint, n bigint, same binary, bands array<bigint>")
 
 
+def _close(u: str, v: str) -> Column:
+    """Whether two rows of TAGS may belong to texts at the limit."""
+    differ = [F.bit_count(F.col(f"{u}.{t}").bitwiseXOR(F.col(f"{v}.{t}"))) for t in TAGS]
+    return functools.reduce(lambda x, y: x + y, differ) <= MOST_BITS
+
+
 def _likely(pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, n_a, n_b, r_a, r_b) that may reach the limit, as a, b."""
 
@@ -189,11 +199,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     wanted = scratch.save(members.select("key").distinct(), free=False)
     small = wanted.count() <= BROADCAST_ROWS
     texts = table.join(F.broadcast(wanted) if small else wanted, "key", "left_semi").select("key", "n", F.coalesce(F.col(f"doc.`{text}`"), F.lit("")).cast("binary").alias("text"))
-    texts = scratch.save(texts.mapInArrow(_with_sketch, "key bigint, n bigint, text binary, registers binary"))
+    tag_types = ", ".join(f"{t} bigint" for t in TAGS)
+    texts = scratch.save(texts.mapInArrow(_with_sketch, f"key bigint, n bigint, text binary, registers binary, {tag_types}"))
+    tags = texts.select("key", F.struct(*TAGS).alias("tag"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """a, b, linked for the likely ones of ``pairs`` (a, b)."""
         r = texts.select("key", "n", "registers")
+        pairs = pairs.join(tags.toDF("a", "u"), "a").join(tags.toDF("b", "v"), "b").where(_close("u", "v")).select("a", "b")
+        pairs = scratch.save(pairs, free=False)
         pairs = pairs.join(r.toDF("a", "n_a", "r_a"), "a").join(r.toDF("b", "n_b", "r_b"), "b")
         likely = scratch.save(_likely(pairs), free=False)
         t = texts.select("key", "text")
@@ -207,21 +221,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         stars = here.join(mixed.select("band", "b"), "band").where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("bands"))
         centre = F.max(F.struct("bands", "b"))
         stars = stars.groupBy("a").agg(centre.alias("s")).select("a", F.col("s.b").alias("b"))
-        done = confirm(scratch.save(stars, free=False))
+        done = confirm(stars)
         found = done.where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
         tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
     here = scratch.save(_labelled(members, links, scratch))
     sizes = here.groupBy("band", "comp").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    left = here.join(mixed.select("band", "top"), "band")
-    some = left.where("comp <> top").select("band", F.col("key").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
-    every = left.select("band", F.col("key").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), "top")
+    left = scratch.save(here.join(mixed.select("band", "top"), "band").join(tags, "key"))
+    some = left.where("comp <> top").select("band", F.col("key").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("tag").alias("u"))
+    every = left.select("band", F.col("key").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("tag").alias("v"), "top")
     across = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top")) | (F.col("a") < F.col("b")))
     sized = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
-    rest = some.join(every, (some["band"] == every["band"]) & across & sized).select("a", "b").distinct()
+    rest = some.join(every, (some["band"] == every["band"]) & across & sized & _close("u", "v")).select("a", "b").distinct()
     again = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    done = confirm(scratch.save(rest.join(again, ["a", "b"], "left_anti"), free=False))
+    done = confirm(rest.join(again, ["a", "b"], "left_anti"))
     links = links.unionByName(done.where("linked").select("a", "b"))
 
     named = _labelled(classes, links, scratch)
@@ -236,8 +250,10 @@ def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            registers = pa.array([sketch(shingles(t)).tobytes() for t in part.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns, registers], [*part.schema.names, "registers"])
+            registers = [sketch(shingles(t)) for t in part.column("text").to_pylist()]
+            tags = np.packbits(np.stack(registers).astype(np.uint8) & 1, axis=1).view(np.int64)
+            more = [pa.array([r.tobytes() for r in registers], pa.binary()), *[pa.array(tags[:, k].copy()) for k in range(len(TAGS))]]
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "registers", *TAGS])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
