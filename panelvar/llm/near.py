@@ -5,8 +5,8 @@
    [0, q + 1]; registers of a union are the larger of both, so sketches merge.
 2. Texts with the same words form a class; classes are compared through one representative.
 3. Six registers make a band key. Keys with one member end there. In each round every member of a
-   shared key is paired with one centre of it (the smallest number, then the largest), so pairs
-   grow with members and not with their square. Pairs are sifted by the lowest bits of all registers,
+   shared key is paired with one centre of it in another component, a different one each time, so
+   pairs grow with members and not with their square. Pairs are sifted by the lowest bits of all registers,
    estimated (most likely similarity given how many registers are larger, smaller and equal), then
    verified on full sets; links form components by label propagation.
 4. Keys whose members still lie in several components get all pairs across components with a member
@@ -38,6 +38,8 @@ SLACK = 0.14
 #: standard deviations more. Beyond it a pair is dropped where it is joined, before it becomes a row.
 MOST_BITS = 87
 TAGS = tuple(f"t{k}" for k in range(ROWS * BANDS // 64))
+#: Rounds in which members meet one centre each, before the rest is compared across components.
+CENTRES = 6
 #: Rows of the candidates' numbers up to which they are sent to every task; beyond, texts are shuffled.
 BROADCAST_ROWS = 4_000_000
 
@@ -214,17 +216,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return scratch.save(_verified(likely.join(t.toDF("a", "t_a"), "a").join(t.toDF("b", "t_b"), "b")))
 
     links, tried = None, None
-    for best in (F.min, F.max):
+    for turn in range(CENTRES):
         # The nearest thing to a hub: of the centres of a member's keys, the one that comes most often.
         here = _labelled(members, links, scratch)
-        mixed = here.groupBy("band").agg(best("key").alias("b"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
-        stars = here.join(mixed.select("band", "b"), "band").where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("bands"))
-        centre = F.max(F.struct("bands", "b"))
-        stars = stars.groupBy("a").agg(centre.alias("s")).select("a", F.col("s.b").alias("b"))
+        first = F.min_by(F.struct("key", "comp"), F.xxhash64("key", F.lit(turn))).alias("centre")
+        mixed = here.groupBy("band").agg(first, F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
+        stars = here.join(mixed.select("band", "centre"), "band").where("comp <> centre.comp")
+        stars = stars.groupBy(F.col("key").alias("a"), F.col("centre.key").alias("b")).agg(F.count("*").alias("bands"))
+        stars = stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
+        if tried is not None:
+            stars = stars.join(tried, ["a", "b"], "left_anti")
+        stars = scratch.save(stars, free=False)
+        if stars.isEmpty():
+            break
         done = confirm(stars)
         found = done.where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
         tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
+    if links is None:  # no key is shared
+        links = tried = spark.createDataFrame([], "a bigint, b bigint")
     here = scratch.save(_labelled(members, links, scratch))
     sizes = here.groupBy("band", "comp").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
