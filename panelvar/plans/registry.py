@@ -842,9 +842,17 @@ def betas(p: Panel) -> DataFrame:
 
 @register
 def cov_matrix(p: Panel) -> DataFrame:
+    """Of the four assets that its SQL declares; ``cov_matrix_all`` has the whole panel."""
     return tidy(risk.covariance_matrix(_simple(p), ["A1", "A2", "A3", "A4"]), "cov")
 
 
+@register
+def cov_matrix_all(p: Panel) -> DataFrame:
+    """Of every asset of the panel, on the days that are complete over all of them."""
+    names = sorted(r.asset for r in p.assets.select("asset").distinct().collect())
+    return tidy(risk.covariance_matrix(_simple(p), names), "cov")
+
+
 @register
 def shock_loss(p: Panel) -> DataFrame:
     """Beta-scaled market fall, and joint shocks of positions held in proportion to traded volume."""
@@ -1024,16 +1032,14 @@ def logit_tuned(p: Panel) -> DataFrame:
 
 @register
 def gbt_tuned(p: Panel) -> DataFrame:
-    """Boosting with the declared grid, on the last fold and with a short run of trees."""
-    specs = models.learners(MODEL_FEATURES, iterations=10)[1:2]
-    return _fitted(p, specs, panel.WALK_FORWARD[-1:])
+    """Boosting with the declared grid, on every fold."""
+    return _fitted(p, models.learners(MODEL_FEATURES)[1:2], panel.WALK_FORWARD)
 
 
 @register
 def rf_tuned(p: Panel) -> DataFrame:
-    """Forest with the declared grid, on the last fold and with fewer trees."""
-    specs = models.learners(MODEL_FEATURES, trees=40)[2:]
-    return _fitted(p, specs, panel.WALK_FORWARD[-1:])
+    """Forest with the declared grid, on every fold."""
+    return _fitted(p, models.learners(MODEL_FEATURES)[2:], panel.WALK_FORWARD)
 
 
 @register
