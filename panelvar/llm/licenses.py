@@ -4,6 +4,9 @@ A text is cut into sentences, each is normalised (lower case, letters and digits
 spaces) and looked up among known licence sentences. The numbers found, in order, are matched
 against rules: a rule names sentences that must follow each other, other known ones may lie
 between. Rules are tried in order, the more specific first.
+
+Line breaks before a capital, bracket or list mark, and comment marks at the start of a line, may end
+a sentence but need not: a header reads the same wrapped, unwrapped or commented out.
 """
 
 from __future__ import annotations
@@ -40,11 +43,50 @@ SENTENCES = {
     23: "This work is in the public domain.",
     24: "Licensed under the MIT License.",
 }
+#: Further wordings of known sentences, as the standard texts have them: fixed values.
+WORDINGS = {
+    6: (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions:",
+    ),
+    7: ("The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software.",),
+    8: (
+        'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of '
+        "merchantability, fitness for a particular purpose and noninfringement.",
+    ),
+    9: ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
+    10: (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
+        "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.",
+        "The names of its contributors may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    16: ("Either version 3, or (at your option) any later version.",),
+    17: ("Either version 2, or (at your option) any later version.",),
+}
+_GPL = "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+SENTENCES |= {
+    25: _GPL + "either version 3 of the License, or (at your option) any later version.",
+    26: _GPL + "either version 2 of the License, or (at your option) any later version.",
+    27: _GPL + "version 3 of the License.",
+    28: _GPL + "version 2 of the License.",
+    29: "Version 3 of the License.",
+    30: "Version 2 of the License.",
+}
+WORDINGS |= {25: (_GPL + "either version 3, or (at your option) any later version.",), 26: (_GPL + "either version 2, or (at your option) any later version.",), 27: (_GPL + "version 3.",), 28: (_GPL + "version 2.",)}
 #: (licence, numbers that follow each other), most specific first: fixed values.
 LICENCE_RULES = (
     ("bsd-3-clause", (9, 10)),
     ("gpl-3.0-or-later", (15, 16)),
     ("gpl-2.0-or-later", (15, 17)),
+    ("gpl-3.0-or-later", (25,)),
+    ("gpl-2.0-or-later", (26,)),
+    ("gpl-3.0", (27,)),
+    ("gpl-2.0", (28,)),
+    ("gpl-3.0", (15, 29)),
+    ("gpl-2.0", (15, 30)),
     ("mit", (6, 7)),
     ("apache-2.0", (11, 12)),
     ("apache-2.0", (12, 13)),
@@ -64,9 +106,10 @@ LICENCE_RULES = (
     ("apache-2.0", (11,)),
     ("all-rights-reserved", (5,)),
 )
-#: Ends of sentences: a stop and white space, or a newline before a capital, bracket or list mark.
-STOP = r"([.!?:;])[\x20\x09-\x0D]+|\n([A-Z(*#])"
-MARK = "\x01"
+MARK, SOFT = "\x01", "\x02"
+#: Where a sentence ends, and where it may end: before a capital, bracket or list mark, or at comment marks that start a line.
+HARD_STOP = r"([.!?:;])[\x20\x09-\x0D]+"
+SOFT_STOP = r"\n[\x20\x09]*(?:[#*;!%/-]+[\x20\x09]*|(?=[A-Z(]))"
 
 
 def normal(sentence: str) -> str:
@@ -74,15 +117,27 @@ def normal(sentence: str) -> str:
 
 
 #: Numbers by normalised sentence.
-NUMBERS = {normal(s): n for n, s in SENTENCES.items()}
+NUMBERS = {normal(s): n for n, s in SENTENCES.items()} | {normal(s): n for n, more in WORDINGS.items() for s in more}
+#: The same sentence with any holder's name.
+HOLDER, _ANY_HOLDER = normal(WORDINGS[10][0]), "neither the name of (?:[a-z0-9]+[ \x01\x02]+){1,12}?nor the names of (?:its|any|the) contributors"
+_KNOWN = "|".join([HOLDER.replace("neither the name of the copyright holder nor the names of its contributors", _ANY_HOLDER), *sorted(NUMBERS, key=len, reverse=True)])
+#: A known sentence between two ends; inside, soft ends count as spaces. The longest that fits comes first.
+PATTERN = f"[{MARK}{SOFT}] ?({re.sub(r' (?![^\[]*\])', f'[ {SOFT}]+', _KNOWN)})(?= ?[{MARK}{SOFT}])"
 
 
 def sentences(text: Column) -> Column:
-    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), STOP, f"$1{MARK}$2"), MARK)
+    """The known sentences in order, normalised."""
+    # Marks at the start of a line go before stops are sought: ";;" or "!" there ends nothing.
+    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK + SOFT, "  "), SOFT_STOP, SOFT)
+    marked = F.concat(F.lit(MARK), F.regexp_replace(marked, HARD_STOP, MARK), F.lit(MARK))
+    lower = F.translate(marked, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = F.regexp_extract_all(F.regexp_replace(lower, f"[^a-z0-9{MARK}{SOFT}]+", " "), F.lit(PATTERN), F.lit(1))
+    return F.transform(found, _normal)
 
 
 def _normal(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
+    plain = F.regexp_replace(s, f"[ {MARK}{SOFT}]+", " ")
+    return F.when(plain.startswith("neither the name of ") & plain.endswith(HOLDER[HOLDER.index("may be used") :]), HOLDER).otherwise(plain)
 
 
 def _rule_pattern(numbers: tuple[int, ...]) -> str:
@@ -97,7 +152,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     in the sequence; every row is scanned whole; an empty table gives an empty one.
     """
     table = F.create_map(*[F.lit(x) for pair in NUMBERS.items() for x in pair])
-    rows = docs.select(F.struct("*").alias("doc"), F.transform(sentences(F.col(text)), _normal).alias("s"))
+    rows = docs.select(F.struct("*").alias("doc"), sentences(F.col(text)).alias("s"))
     known = F.filter(F.transform(F.filter("s", lambda s: s.isin(*NUMBERS)), lambda s: F.element_at(table, s)), lambda n: n.isNotNull())
     rows = rows.select("doc", known.alias("known"))
     ids = F.array_join(F.transform("known", lambda n: n.cast("string")), ",")
