@@ -22,7 +22,9 @@ from ..functions.recursion import linear_recursion
 # Parameter bounds and starting points (alpha, gamma, beta).
 MAX_ALPHA, MAX_GAMMA, MAX_BETA, MAX_PERSISTENCE, MIN_OMEGA = 0.5, 0.8, 0.9999, 0.9995, 1e-6
 STARTS = ((0.05, 0.05, 0.88), (0.03, 0.10, 0.90), (0.08, 0.02, 0.85))
-LEVELS = 24
+#: The search ends when steps are this share of the first ones and a whole neighbourhood gains no more
+#: than this; a search that has not ended after so many rounds is marked as not converged.
+LEAST_STEP, LEAST_GAIN, MOST_ROUNDS = 2.0**-17, 1e-9, 3000
 
 PARAMS = ("omega", "alpha", "gamma", "beta")
 
@@ -58,50 +60,78 @@ def _inside(lv, a, g, lq):
     return omega, beta, ok & (gap >= 1 - MAX_PERSISTENCE) & (omega >= MIN_OMEGA)
 
 
-def maximise(r: np.ndarray, levels: int = LEVELS) -> tuple[float, float, float, float, float, float]:
-    """(h0, omega, alpha, gamma, beta, nll) by pattern search over whole neighbourhoods.
+def search(r: np.ndarray, most_rounds: int = MOST_ROUNDS) -> tuple[float, float, float, float, float, float, bool]:
+    """(h0, omega, alpha, gamma, beta, nll, converged) by pattern search over whole neighbourhoods.
 
     Long-run variance and persistence replace omega and beta, which trade off along a narrow ridge.
-    Each level scores all 81 neighbours of the best point at once and halves the step when none wins.
+    Each round scores all 81 neighbours of the best point at once, and points further along the last
+    move; the step halves when none wins. Every start is searched to its end, the best one counts.
     """
     h0 = float(np.var(r))
     offsets = np.stack(np.meshgrid(*[[-1.0, 0.0, 1.0]] * 4, indexing="ij"), -1).reshape(-1, 4)
-    step = np.array([0.3, 0.03, 0.05, 0.4])
-    points = np.array([[math.log(h0), a, g, math.log(1 - (a + g / 2 + b))] for a, g, b in STARTS])
-    best, low = points[0], math.inf
-    for _ in range(levels + 1):
-        points[:, 1:3] = np.maximum(points[:, 1:3], 0.0)
+    first = np.array([0.3, 0.03, 0.05, 0.4])
+    best = np.array([[math.log(h0), a, g, math.log(1 - (a + g / 2 + b))] for a, g, b in STARTS])
+    n = len(best)
+    low, share, move, open_ = np.full(n, math.inf), np.ones(n), np.zeros((n, 4)), np.ones(n, bool)
+    further = np.array([1.0, 2.0, 4.0, 8.0, 16.0])[:, None]
+    for _ in range(most_rounds):
+        at = np.flatnonzero(open_)
+        if not len(at):
+            break
+        points = np.concatenate([np.concatenate([best[k] + offsets * first * share[k], best[k] + further * move[k]]) for k in at])
+        points[:, 1] = np.clip(points[:, 1], 0.0, MAX_ALPHA)
+        points[:, 2] = np.clip(points[:, 2], 0.0, MAX_GAMMA)
+        # A hair inside the bound, so that rounding leaves the point valid.
+        points[:, 3] = np.maximum(points[:, 3], math.log(1 - MAX_PERSISTENCE) + 1e-12)
         lv, a, g, lq = points.T
         omega, beta, ok = _inside(lv, a, g, lq)
+        score = np.full(len(points), math.inf)
         if ok.any():
-            score = neg_loglik(r, h0, omega[ok], a[ok], g[ok], beta[ok])
-            i = int(np.argmin(score))
-            if score[i] < low - 1e-9:
-                best, low = points[ok][i].copy(), float(score[i])
+            score[ok] = neg_loglik(r, h0, omega[ok], a[ok], g[ok], beta[ok])
+        for k, own, values in zip(at, points.reshape(len(at), -1, 4), score.reshape(len(at), -1)):
+            i = int(np.argmin(values))
+            if values[i] < low[k] - LEAST_GAIN:
+                move[k], best[k], low[k] = own[i] - best[k], own[i], values[i]
+            elif share[k] <= LEAST_STEP:
+                open_[k] = False
             else:
-                step = step / 2
-        points = best + offsets * step
-    omega, beta, _ = _inside(*best)
-    return h0, float(omega), float(best[1]), float(best[2]), float(beta), low
+                share[k], move[k] = share[k] / 2, 0.0
+    k = int(np.argmin(low))
+    omega, beta, _ = _inside(*best[k])
+    return h0, float(omega), float(best[k, 1]), float(best[k, 2]), float(beta), float(low[k]), bool(not open_[k] and np.isfinite(low[k]))
 
 
-_FIT_TYPE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("h0", *PARAMS, "nll")])
+def maximise(r: np.ndarray) -> tuple[float, float, float, float, float, float]:
+    """(h0, omega, alpha, gamma, beta, nll) of a search that has converged."""
+    *found, converged = search(r)
+    if not converged:
+        raise RuntimeError("GARCH fit failed to converge")
+    return tuple(found)
+
+
+_FIT_TYPE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("h0", *PARAMS, "nll")] + [T.StructField("converged", T.BooleanType())])
 
 
 @F.pandas_udf(_FIT_TYPE)
 def _fit(rets: pd.Series) -> pd.DataFrame:
-    fits = [maximise(np.asarray(r, float)) for r in rets]
-    return pd.DataFrame(fits, columns=["h0", *PARAMS, "nll"])
+    fits = [search(np.asarray(r, float)) for r in rets]
+    return pd.DataFrame(fits, columns=["h0", *PARAMS, "nll", "converged"])
 
 
 def fit_gjr(series: DataFrame) -> DataFrame:
-    """Adds h0, omega, alpha, gamma, beta, nll to rows with ``rets`` (percent returns, in date order).
+    """Adds h0, omega, alpha, gamma, beta, nll, converged to rows with ``rets`` (percent returns, in date order).
 
     One row is one fit; Spark spreads the rows, and a fit touches only its own array.
     """
     return series.withColumn("_f", _fit("rets")).select("*", "_f.*").drop("_f")
 
 
+def settled(fits: DataFrame) -> DataFrame:
+    """The fits without their flag; one that has not converged fails the query."""
+    failed = F.raise_error(F.lit("GARCH fit failed to converge")).cast("double")
+    return fits.withColumn("h0", F.when(F.col("converged"), F.col("h0")).otherwise(failed)).drop("converged")
+
+
 def return_arrays(returns: DataFrame, by: Sequence[str] = ("asset",), ret: str = "r") -> DataFrame:
     """(by..., rets): percent returns of each series in date order."""
     pairs = F.sort_array(F.collect_list(F.struct("trade_date", (F.col(ret) * 100).alias("x"))))

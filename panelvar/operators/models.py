@@ -24,7 +24,7 @@ from ..functions.frames import clip
 from ..session import pin
 from ..settings import PROB_CLIP, Fold
 from .features import BASE_FEATURES, design_matrix
-from .garch import average_forecast, fit_gjr, return_arrays, variance_path
+from .garch import average_forecast, fit_gjr, return_arrays, settled, variance_path
 from .metrics import best_configuration, log_loss
 from .splits import assign_folds, inner_splits, train_mask
 
@@ -201,9 +201,8 @@ def variance_scores(rows: DataFrame, returns: DataFrame, folds: Sequence[Fold],
         .withColumn("ends", listed)
         .select("asset", "trade_date", "r", F.inline("ends"))
     )
-    fits = fit_gjr(
-        return_arrays(history.where(F.col("trade_date") <= F.col("train_end")), ("asset", "fold")).repartition("asset", "fold")
-    ).withColumn("h0", F.expr("h0 * size(rets) / (size(rets) - 1)")).drop("rets", "nll")
+    arrays = return_arrays(history.where(F.col("trade_date") <= F.col("train_end")), ("asset", "fold"))
+    fits = settled(fit_gjr(arrays.repartition("asset", "fold"))).withColumn("h0", F.expr("h0 * size(rets) / (size(rets) - 1)")).drop("rets", "nll")
     path = variance_path(
         history.selectExpr("asset", "fold", "trade_date", "r * 100 AS x").join(pin(fits), ["asset", "fold"]), ("asset", "fold")
     )

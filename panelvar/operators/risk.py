@@ -18,7 +18,7 @@ from ..functions.recursion import ewma_variance
 from ..functions.tails import chi2_sf, normal_multipliers, student_multipliers
 from ..functions.uniform import advance, mixed, scaled
 from ..settings import DateWindow, RiskSettings
-from .garch import fit_gjr, next_variance, return_arrays, variance_path
+from .garch import fit_gjr, next_variance, return_arrays, settled, variance_path
 from .splits import in_windows
 
 ESTIMATE = ("asset", "trade_date", "method", "conf", "var", "es")
@@ -128,7 +128,7 @@ def yearly_fits(returns: DataFrame, min_obs: int = 500) -> DataFrame:
         .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("y", "rets"))), lambda p: p["rets"])).alias("rets"))
     )
     # Fits differ in length and cost far more than moving their arrays, so they are spread evenly.
-    return fit_gjr(pieces.repartition("asset", "fit_year")).drop("rets")
+    return settled(fit_gjr(pieces.repartition("asset", "fit_year"))).drop("rets")
 
 
 def filtered_historical(
