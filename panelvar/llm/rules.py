@@ -23,27 +23,38 @@ from panelvar.llm.shared import Scratch, without_space, words
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: The vector: names, and standard deviations added to each estimate.
+#: The vector.
 NAMES = ("length", "symbols", "lines", "repeats")
-FLOORS = (0.04, 0.06, 0.15, 0.12)
 UNIT = 1024
 #: Share of rows that an estimate rests on, rows that a group needs, steps, bins of distance.
 CORE_PERCENT, LEAST_ROWS, STEPS, BINS = 75, 200, 5, 256
-#: Mahalanobis distance beyond which a text is rejected.
-LIMIT = 7.0
 
 
-def _consistency(core: float, d: int = len(NAMES)) -> float:
-    """What the covariance of the nearest ``core`` of normal rows must be multiplied by (even d)."""
+def _chi2(x: float, k: int) -> float:
+    """Share of a chi-square distribution below ``x`` (even k)."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(k // 2))
 
-    def chi2(x: float, k: int) -> float:
-        return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(k // 2))
 
+def _quantile(share: float, k: int) -> float:
     low, high = 0.0, 100.0
     for _ in range(80):
         mid = (low + high) / 2
-        low, high = (mid, high) if chi2(mid, d) < core else (low, mid)
-    return core / chi2(low, d + 2)
+        low, high = (mid, high) if _chi2(mid, k) < share else (low, mid)
+    return low
+
+
+#: Share of normal rows that may lie further out, and the Mahalanobis distance that gives: beyond it a text is rejected.
+TAIL = 1e-9
+LIMIT = math.sqrt(_quantile(1 - TAIL, len(NAMES)))
+#: Standard deviations added to each estimate. Where a core has no spread in repeats, these alone decide: so a text goes
+#: by itself from this share of repeated lines and of repeated words (the base rules end at 30 %) on.
+LINES_ALONE, REPEATS_ALONE = 0.5, 0.25
+FLOORS = (0.04, 0.06, math.sqrt(LINES_ALONE) / LIMIT, math.sqrt(REPEATS_ALONE) / LIMIT)
+
+
+def _consistency(core: float, d: int = len(NAMES)) -> float:
+    """What the covariance of the nearest ``core`` of normal rows must be multiplied by (even d)."""
+    return core / _chi2(_quantile(core, d), d + 2)
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
