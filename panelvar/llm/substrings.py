@@ -78,6 +78,8 @@ def _inside(edges: np.ndarray, width: int, total: int) -> np.ndarray:
 def _anchors(words: np.ndarray, window: int, short: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all short windows, and for each window the place of the smallest, leftmost, in it."""
     h = rolled(words, short, BASES[0])
+    if len(words) < window:  # no window, so no place
+        return h, np.empty(0, np.int64)
     span, width = window - short + 1, 1
     at = np.arange(len(h))
     while width < span:  # the minimum over a span doubles until it is that of a window
