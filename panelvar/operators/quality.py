@@ -178,14 +178,8 @@ def stale_checks(feed: DataFrame, rules: QualityRules = QualityRules()) -> DataF
     )
 
 
-def drop_off_calendar(
-    feed: DataFrame, calendar: DataFrame, rules: QualityRules = QualityRules()
-) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, report). A small share of off-calendar rows is dropped and reported.
-
-    Above the allowed share nothing is dropped, so the calendar check blocks the asset; rows later
-    than the calendar's end mean a stale calendar, which drops nothing and blocks.
-    """
+def _off_calendar(feed: DataFrame, calendar: DataFrame, rules: QualityRules) -> tuple[DataFrame, DataFrame]:
+    """(rows marked ``off`` the calendar, per asset the counts, first dates and whether its off rows go)."""
     known = calendar.select("trade_date", F.lit(True).alias("on_cal"))
     end = calendar.select(F.max("trade_date")).scalar()
     marked = feed.join(known, "trade_date", "left").withColumn("off", F.col("on_cal").isNull())
@@ -207,6 +201,18 @@ def drop_off_calendar(
             & (F.col("n_off") / F.col("total") <= rules.max_off_calendar),
         )
     )
+    return marked, totals
+
+
+def drop_off_calendar(
+    feed: DataFrame, calendar: DataFrame, rules: QualityRules = QualityRules()
+) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, report); the rows dropped are those of ``dropped_rows``. A small share of off-calendar rows is dropped and reported.
+
+    Above the allowed share nothing is dropped, so the calendar check blocks the asset; rows later
+    than the calendar's end mean a stale calendar, which drops nothing and blocks.
+    """
+    marked, totals = _off_calendar(feed, calendar, rules)
     kept = (
         marked.join(totals.where("drop").select("asset", "drop"), "asset", "left")
         .where(~(F.col("off") & F.coalesce("drop", F.lit(False))))
@@ -223,6 +229,12 @@ def drop_off_calendar(
     return kept, stale.unionByName(dropped)
 
 
+def dropped_rows(feed: DataFrame, calendar: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """(asset, trade_date, close) of every row that ``drop_off_calendar`` drops, repeats included."""
+    marked, totals = _off_calendar(feed, calendar, rules)
+    return marked.where("off").join(totals.where("drop").select("asset"), "asset", "left_semi").select("asset", "trade_date", "close")
+
+
 def revision_checks(stored: DataFrame, incoming: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Closes restated by the vendor beyond the tolerance; passes where nothing is stored yet."""
     old = stored.select("asset", "trade_date", F.col("close").alias("old"))

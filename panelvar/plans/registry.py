@@ -390,6 +390,12 @@ def dq_drop_offcal(p: Panel) -> DataFrame:
     return left.join(report, "entity", "left")
 
 
+@register
+def dq_dropped_rows(p: Panel) -> DataFrame:
+    """Every row that the load drops, with its close; ``dq_drop_offcal`` has counts and a sample of dates."""
+    return dq.dropped_rows(p.prices, p.calendar)
+
+
 @register
 def dq_revision(p: Panel) -> DataFrame:
     return dq.revision_checks(p.prices, _refreshed(p))
