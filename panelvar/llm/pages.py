@@ -34,10 +34,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements, and words of class, id or role, that stand around anything but the main text.
 AROUND = frozenset("nav footer aside form header menu dialog".split())
 AROUND_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|contentinfo|cookies?|consent|disqus|footer|gdpr|masthead|menu|modal|nav\w*|"
-    r"newsletter|notices?|popup|promo\w*|related|repl(?:y|ies)|respond|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|contentinfo|cookies?|consent|disqus|footer|gdpr|masthead|menu|modal|nav\w*|"
+    r"newsletter|notices?|popup|promo\w*|related|repl(?:y|ies)|respond|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)",
     re.I,
 )
+#: Parts of a class that say no such element is here, or that it only holds or lays out others.
+NEGATED = frozenset("has no not non with without hide hidden is show".split())
+HOLDS = frozenset("wrap wrapper wrapped container content main page layout body inner outer results result article entry post".split())
 MAIN = frozenset(("article", "main"))
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -46,16 +49,33 @@ MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 LINK_DENSITY, SHORT, LONG, FEW, MANY = 0.4, 70, 200, 0.10, 0.20
 
 GOOD, BAD, OPEN = 1, -1, 0
+#: What marks an element as around: its own name, being a form, its class, id or role.
+ELEMENT, FORM, NAMED = "element", "form", "named"
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """Each block's text, characters in links, whether around the main text, whether in an article."""
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, around, main
+def names_around(marks: str) -> bool:
+    """Whether a class, id or role names something around the main text, and not what merely holds or lacks it."""
+    for token in marks.lower().split():
+        parts = [x for x in re.split(r"[_-]+", token) if x]
+        if any(AROUND_NAMES.fullmatch(x) for x in parts) and parts[0] not in NEGATED and not HOLDS.intersection(parts):
+            return True
+    return False
+
+
+def blocks(page: str) -> Iterator[tuple[str, int, tuple[tuple[int, str, bool], ...], bool]]:
+    """Each block's text, characters in links, open elements around the main text, whether in an article.
+
+    An element around is its number, kind, and whether an article or main element is open inside it.
+    """
+    stack: list[tuple[str, str, bool, int]] = []  # open elements: name, kind of around or "", main, number
+    opened = 0
     text, links, in_link, end = [], 0, 0, ""
 
     def take():
         body = " ".join("".join(text).split())
-        out = (body, links, any(x[1] for x in stack), any(x[2] for x in stack))
+        last = max((k for k, x in enumerate(stack) if x[2]), default=-1)
+        around = tuple((x[3], x[1], k < last) for k, x in enumerate(stack) if x[1])
+        out = (body, links, around, last >= 0)
         text.clear()
         return out
 
@@ -109,8 +129,13 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                 stack.pop()
             marks = " ".join(next(filter(None, m), "") for m in MARKS.findall(piece))
             in_main = name in MAIN or any(x[2] for x in stack)
-            around = name in AROUND and not (name == "header" and in_main) or name not in ("body", "html", "article", "main") and bool(marks and AROUND_NAMES.search(marks))
-            stack.append((name, around, name in MAIN))
+            kind = ""
+            if name in AROUND and not (name == "header" and in_main):
+                kind = FORM if name == "form" else ELEMENT
+            elif name not in ("body", "html", "article", "main") and marks and names_around(marks):
+                kind = NAMED
+            opened += 1
+            stack.append((name, kind, name in MAIN, opened))
     block = take()
     if block[0]:
         yield block
@@ -150,9 +175,41 @@ def second_pass(labels: list[int], around: list[bool], in_main: list[bool]) -> l
     return out
 
 
+def _judged(found: list[tuple], lifted: set[int], reset: bool) -> list[int]:
+    around = [any(n not in lifted and not (reset and outside) for n, _, outside in b[2]) for b in found]
+    return second_pass([first_pass(b[0], b[1], x, b[3]) for b, x in zip(found, around)], around, [b[3] for b in found])
+
+
+def main_labels(found: list[tuple]) -> list[int]:
+    """Labels of the blocks of a page, where what holds the main text does not count as around it.
+
+    That is a form that holds an article or most of the page (menus, footers and the like aside); any element around the page's only
+    articles; and, if nothing else of the page is good, a named wrapper of most of its text.
+    """
+    held: dict[tuple[int, str], int] = {}
+    lifted: set[int] = set()
+    total = 0
+    for body, _, marks, _ in found:
+        if not any(kind == ELEMENT for _, kind, _ in marks):
+            total += len(body)
+        for n, kind, outside in marks:
+            held[n, kind] = held.get((n, kind), 0) + len(body)
+            if kind == FORM and outside:
+                lifted.add(n)
+    half = total / 2
+    lifted |= {n for (n, kind), size in held.items() if kind == FORM and size > half}
+    reset = not any(b[3] and all(n in lifted for n, _, _ in b[2]) for b in found)
+    labels = _judged(found, lifted, reset)
+    if GOOD not in labels:
+        wrappers = {n for (n, kind), size in held.items() if kind == NAMED and size > half}
+        if wrappers:
+            labels = _judged(found, lifted | wrappers, reset)
+    return labels
+
+
 def main_text(page: str) -> str:
     found = list(blocks(page))
-    labels = second_pass([first_pass(*b) for b in found], [b[2] for b in found], [b[3] for b in found])
+    labels = main_labels(found)
     return " ".join(b[0] for b, label in zip(found, labels) if label == GOOD)
 
 
