@@ -48,6 +48,10 @@ MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 #: First pass: most link density; characters of a short and of a long block; shares of stop words.
 LINK_DENSITY, SHORT, LONG, FEW, MANY = 0.4, 70, 200, 0.10, 0.20
 
+#: Letters of the script of the stop words, letters of scripts without spaces, ends of sentences.
+LATIN, DENSE = re.compile("[A-Za-z\u00c0-\u024f]"), re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+ENDS = (".", "!", "?", "\u2026", "\u3002", "\uff01", "\uff1f", "\u0964", "\u061f")
+
 GOOD, BAD, OPEN = 1, -1, 0
 #: What marks an element as around: its own name, being a form, its class, id or role.
 ELEMENT, FORM, NAMED = "element", "form", "named"
@@ -141,12 +145,30 @@ def blocks(page: str) -> Iterator[tuple[str, int, tuple[tuple[int, str, bool], .
         yield block
 
 
-def first_pass(body: str, links: int, around: bool, in_main: bool) -> int:
+def _stop_words(body: str) -> tuple[int, int]:
+    """Stop words, and all words."""
+    tokens = re.findall(r"[^\W\d_]+", body.lower())
+    return sum(w in STOP_WORDS for w in tokens), len(tokens)
+
+
+def _linked(body: str, links: int) -> bool:
+    return links > LINK_DENSITY * len("".join(body.split()))
+
+
+def first_pass(body: str, links: int, around: bool, in_main: bool, fits: bool = True) -> int:
+    """``fits``: whether the page's language is one of the stop words'; else length and links alone decide."""
     chars = len(body)
-    if around or links > LINK_DENSITY * len("".join(body.split())):
+    if around or _linked(body, links):
         return BAD
-    tokens = re.findall(r"[^\W\d_]+", body.lower())
-    share = sum(w in STOP_WORDS for w in tokens) / len(tokens) if tokens else 0.0
+    stops, words = _stop_words(body)
+    share = stops / words if words else 0.0
+    # Scripts that need no spaces say more in a character; a block without Latin letters is in no listed language.
+    dense = len(DENSE.findall(body))
+    if not fits or words and 2 * len(LATIN.findall(body)) < sum(c.isalpha() for c in body):
+        chars += 2 * dense
+        if chars < SHORT:
+            return OPEN
+        return GOOD if in_main or chars >= LONG or body.endswith(ENDS) else OPEN
     if chars < SHORT:
         return OPEN
     if share >= MANY or (in_main and share >= FEW):
@@ -154,6 +176,12 @@ def first_pass(body: str, links: int, around: bool, in_main: bool) -> int:
     return OPEN if in_main or share >= FEW and chars >= LONG else BAD
 
 
+def listed_language(found: list[tuple]) -> bool:
+    """Whether the blocks of text, taken together, have the share of stop words that text in a listed language has."""
+    counts = [_stop_words(b[0]) for b in found if len(b[0]) >= SHORT and not _linked(b[0], b[1])]
+    return sum(c[0] for c in counts) >= MANY * sum(c[1] for c in counts)
+
+
 def second_pass(labels: list[int], around: list[bool], in_main: list[bool]) -> list[int]:
     n = len(labels)
     decided = [label if not x else OPEN for label, x in zip(labels, around)]
@@ -177,7 +205,8 @@ def second_pass(labels: list[int], around: list[bool], in_main: list[bool]) -> l
 
 def _judged(found: list[tuple], lifted: set[int], reset: bool) -> list[int]:
     around = [any(n not in lifted and not (reset and outside) for n, _, outside in b[2]) for b in found]
-    return second_pass([first_pass(b[0], b[1], x, b[3]) for b, x in zip(found, around)], around, [b[3] for b in found])
+    fits = listed_language([b for b, x in zip(found, around) if not x])
+    return second_pass([first_pass(b[0], b[1], x, b[3], fits) for b, x in zip(found, around)], around, [b[3] for b in found])
 
 
 def main_labels(found: list[tuple]) -> list[int]:
