@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelvar.llm import hosts, licenses, lines, mixing, near, neighbours, packing, pages, rules, substrings
+from panelvar.llm import clusters, contamination, hosts, licenses, lines, mixing, near, neighbours, packing, pages, repetition, rules, substrings
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_source_mixing": mixing.query,
     "op10_html_extraction": pages.query,
+    "op11_decontamination": contamination.query,
+    "op12_centroid_clustering": clusters.query,
+    "op13_periodic_runs": repetition.query,
 }
 
 ORACLE = {
@@ -22,4 +25,6 @@ ORACLE = {
     "op7_url_filter": hosts.ORACLE,
     "op8_license_scan": licenses.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
+    "op11_decontamination": contamination.ORACLE,
+    "op12_centroid_clustering": clusters.ORACLE,
 }
