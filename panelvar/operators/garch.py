@@ -22,9 +22,11 @@ from ..functions.recursion import linear_recursion
 # Parameter bounds and starting points (alpha, gamma, beta).
 MAX_ALPHA, MAX_GAMMA, MAX_BETA, MAX_PERSISTENCE, MIN_OMEGA = 0.5, 0.8, 0.9999, 0.9995, 1e-6
 STARTS = ((0.05, 0.05, 0.88), (0.03, 0.10, 0.90), (0.08, 0.02, 0.85))
-#: The search ends when steps are this share of the first ones and a whole neighbourhood gains no more
-#: than this; a search that has not ended after so many rounds is marked as not converged.
-LEAST_STEP, LEAST_GAIN, MOST_ROUNDS = 2.0**-17, 1e-9, 3000
+#: A start ends when its next step promises less gain in likelihood than this; one that has not ended after
+#: so many steps is marked as not converged.
+LEAST_GAIN, MOST_ROUNDS = 1e-8, 200
+#: Rows of a block of the variance recursion.
+BLOCK = 64
 
 PARAMS = ("omega", "alpha", "gamma", "beta")
 
@@ -52,53 +54,137 @@ def neg_loglik(r: np.ndarray, h0: float, omega, alpha, gamma, beta) -> np.ndarra
     return total / 2
 
 
-def _inside(lv, a, g, lq):
-    """Parameters from (log long-run variance, alpha, gamma, log(1 - persistence)), and their validity."""
-    gap = np.exp(lq)
-    omega, beta = np.exp(lv) * gap, 1 - gap - a - g / 2
-    ok = (a >= 0) & (a <= MAX_ALPHA) & (g >= 0) & (g <= MAX_GAMMA) & (beta >= 0) & (beta <= MAX_BETA)
-    return omega, beta, ok & (gap >= 1 - MAX_PERSISTENCE) & (omega >= MIN_OMEGA)
+#: The feasible set A x <= b of (omega, alpha, gamma, beta): bounds and persistence.
+_A = np.array([[-1, 0, 0, 0], [0, -1, 0, 0], [0, 1, 0, 0], [0, 0, -1, 0], [0, 0, 1, 0], [0, 0, 0, -1], [0, 0, 0, 1], [0, 1, 0.5, 1]], float)
+_B = np.array([-MIN_OMEGA, 0, MAX_ALPHA, 0, MAX_GAMMA, 0, MAX_BETA, MAX_PERSISTENCE])
+
+
+def recursion(inputs: np.ndarray, rho: float) -> np.ndarray:
+    """s_t = rho * s_(t-1) + inputs_t along the last axis: blocks by one matrix product, their ends by the same again."""
+    n = inputs.shape[-1]
+    blocks = -(-n // BLOCK)
+    padded = np.zeros((*inputs.shape[:-1], blocks * BLOCK))
+    padded[..., :n] = inputs
+    age = np.arange(BLOCK)
+    power = rho ** np.arange(BLOCK + 1.0)
+    power[power < 1e-200] = 0.0  # denormal numbers are slow
+    weight = np.tril(power[np.abs(age[:, None] - age)])
+    local = padded.reshape(*inputs.shape[:-1], blocks, BLOCK) @ weight.T
+    if blocks > 1:
+        ends = recursion(local[..., -1], power[BLOCK])
+        local[..., 1:, :] += ends[..., :-1, None] * power[1:]
+    return local.reshape(*inputs.shape[:-1], blocks * BLOCK)[..., :n]
+
+
+class Likelihood:
+    """Half the sum of ln h + r^2/h of one series, with its score and expected information."""
+
+    def __init__(self, r: np.ndarray):
+        self.square = r * r
+        self.h0 = float(np.var(r))
+        # What a day's variance gets from the day before, by parameter; the last, its variance, is filled in later.
+        self.inputs = np.zeros((4, len(r)))
+        self.inputs[0, 1:], self.inputs[1, 1:] = 1.0, self.square[:-1]
+        self.inputs[2, 1:] = np.where(r[:-1] < 0, self.square[:-1], 0.0)
+
+    def variance(self, x: np.ndarray) -> np.ndarray:
+        drive = x[:3] @ self.inputs[:3]
+        drive[0] = self.h0
+        return recursion(drive, float(x[3]))
+
+    def value(self, x: np.ndarray) -> float:
+        h = self.variance(x)
+        return float((np.log(h) + self.square / h).sum() / 2)
+
+    def score(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = self.variance(x)
+        inputs = self.inputs.copy()
+        inputs[3, 1:] = h[:-1]
+        slope = recursion(inputs, float(x[3])) / h
+        return slope @ (1 - self.square / h) / 2, slope @ slope.T / 2
+
+
+def bounded_step(gradient: np.ndarray, curvature: np.ndarray, room: np.ndarray, unit: np.ndarray | float = 1.0) -> np.ndarray:
+    """The step d (in ``unit``) that minimises g.d + d.H.d / 2 within A (unit d) <= room, by a primal active set from d = 0."""
+    bounds = _A * unit
+    bounds_size = np.linalg.norm(bounds, axis=1)
+    bounds, room = bounds / bounds_size[:, None], room / bounds_size
+    n, d = len(gradient), np.zeros(len(gradient))
+    active: list[int] = []
+    for _ in range(100):
+        k = len(active)
+        system = np.zeros((n + k, n + k))
+        system[:n, :n] = curvature
+        system[n:, :n], system[:n, n:] = bounds[active], bounds[active].T
+        right = np.concatenate([-(gradient + curvature @ d), np.zeros(k)])
+        solved = np.linalg.lstsq(system, right, rcond=1e-14)[0]
+        move, weight = solved[:n], solved[n:]
+        if np.abs(move).max() <= 1e-12 * (1 + np.abs(d).max()):
+            if not k or weight.min() >= -1e-9:
+                return d
+            active.pop(int(weight.argmin()))
+            continue
+        pace, left = bounds @ move, room - bounds @ d
+        pace[active] = 0.0
+        blocking = np.flatnonzero(pace > 1e-14)
+        share = np.maximum(left[blocking], 0) / pace[blocking]
+        if len(blocking) and share.min() < 1:
+            d = d + share.min() * move
+            active.append(int(blocking[share.argmin()]))
+        else:
+            d = d + move
+    return d
+
+
+def _ascend(target: Likelihood, x: np.ndarray, most_rounds: int) -> tuple[np.ndarray, float, bool]:
+    """Newton steps in bounds until none promises a gain.
+
+    The curvature comes from differences of the score, in units of the parameters' standard errors;
+    where it isn't positive in every direction, the expected information, which always is, stands in.
+    """
+    low = target.value(x)
+    for _ in range(most_rounds):
+        gradient, information = target.score(x)
+        unit = 1 / np.sqrt(np.maximum(np.diag(information), 1e-300))
+        rows = [(target.score(x + d)[0] - gradient) / 1e-5 for d in np.diag(unit * 1e-5)]
+        scaled = np.stack(rows) * unit
+        if np.linalg.eigvalsh(scaled + scaled.T).min() <= 1e-6:
+            scaled = information * np.outer(unit, unit) + 1e-9 * np.eye(len(x))
+        scaled = (scaled + scaled.T) / 2
+        curvature = scaled / np.outer(unit, unit)
+        step = bounded_step(gradient * unit, scaled, _B - _A @ x, unit) * unit
+        gain = -(gradient @ step + step @ curvature @ step / 2)
+        if gain <= LEAST_GAIN:
+            return x, low, True
+        share = 1.0
+        while True:
+            there = np.maximum(x + share * step, [MIN_OMEGA, 0, 0, 0])
+            value = target.value(there)
+            if value <= low - 1e-4 * share * gain:
+                break
+            share /= 2
+            if share < 1e-9:  # no decrease along the step: rounding, where the promised gain is below it
+                return x, low, gain <= 1e-10 * abs(low)
+        x, low = there, value
+    return x, low, False
 
 
 def search(r: np.ndarray, most_rounds: int = MOST_ROUNDS) -> tuple[float, float, float, float, float, float, bool]:
-    """(h0, omega, alpha, gamma, beta, nll, converged) by pattern search over whole neighbourhoods.
+    """(h0, omega, alpha, gamma, beta, nll, converged): Newton steps in bounds from every start, the best end counts.
 
-    Long-run variance and persistence replace omega and beta, which trade off along a narrow ridge.
-    Each round scores all 81 neighbours of the best point at once, and points further along the last
-    move; the step halves when none wins. Every start is searched to its end, the best one counts.
+    The score follows the variance recursion analytically; a step solves a quadratic programme within
+    all bounds, so an optimum on a bound is reached exactly. A start counts
+    as converged where no step within the bounds promises a gain. A series without variance has no fit.
     """
-    h0 = float(np.var(r))
-    offsets = np.stack(np.meshgrid(*[[-1.0, 0.0, 1.0]] * 4, indexing="ij"), -1).reshape(-1, 4)
-    first = np.array([0.3, 0.03, 0.05, 0.4])
-    best = np.array([[math.log(h0), a, g, math.log(1 - (a + g / 2 + b))] for a, g, b in STARTS])
-    n = len(best)
-    low, share, move, open_ = np.full(n, math.inf), np.ones(n), np.zeros((n, 4)), np.ones(n, bool)
-    further = np.array([1.0, 2.0, 4.0, 8.0, 16.0])[:, None]
-    for _ in range(most_rounds):
-        at = np.flatnonzero(open_)
-        if not len(at):
-            break
-        points = np.concatenate([np.concatenate([best[k] + offsets * first * share[k], best[k] + further * move[k]]) for k in at])
-        points[:, 1] = np.clip(points[:, 1], 0.0, MAX_ALPHA)
-        points[:, 2] = np.clip(points[:, 2], 0.0, MAX_GAMMA)
-        # A hair inside the bound, so that rounding leaves the point valid.
-        points[:, 3] = np.maximum(points[:, 3], math.log(1 - MAX_PERSISTENCE) + 1e-12)
-        lv, a, g, lq = points.T
-        omega, beta, ok = _inside(lv, a, g, lq)
-        score = np.full(len(points), math.inf)
-        if ok.any():
-            score[ok] = neg_loglik(r, h0, omega[ok], a[ok], g[ok], beta[ok])
-        for k, own, values in zip(at, points.reshape(len(at), -1, 4), score.reshape(len(at), -1)):
-            i = int(np.argmin(values))
-            if values[i] < low[k] - LEAST_GAIN:
-                move[k], best[k], low[k] = own[i] - best[k], own[i], values[i]
-            elif share[k] <= LEAST_STEP:
-                open_[k] = False
-            else:
-                share[k], move[k] = share[k] / 2, 0.0
-    k = int(np.argmin(low))
-    omega, beta, _ = _inside(*best[k])
-    return h0, float(omega), float(best[k, 1]), float(best[k, 2]), float(beta), float(low[k]), bool(not open_[k] and np.isfinite(low[k]))
+    target = Likelihood(r)
+    if not target.h0 > 0:
+        return (target.h0, *[math.nan] * 5, False)
+    ends = []
+    for a, g, b in STARTS:
+        x = np.array([max(target.h0 * (1 - a - g / 2 - b), MIN_OMEGA), a, g, b])
+        ends.append(_ascend(target, x, most_rounds))
+    x, low, converged = min(ends, key=lambda e: (e[1] if e[2] else math.inf, e[1]))
+    return (target.h0, *map(float, x), low, converged)
 
 
 def maximise(r: np.ndarray) -> tuple[float, float, float, float, float, float]:
