@@ -206,7 +206,7 @@ cte(
     """
 SELECT m.asset, s.trade_date, ln(p.adj_close) - lag(ln(p.adj_close)) OVER (PARTITION BY m.asset ORDER BY s.trade_date) AS r
 FROM (SELECT trade_date FROM px WHERE asset = 'A1') s
-CROSS JOIN (VALUES ('A2'), ('A3'), ('A4')) m(asset)
+CROSS JOIN (VALUES ('A1'), ('A2'), ('A3')) m(asset)
 LEFT JOIN px p ON p.asset = m.asset AND p.trade_date = s.trade_date
 """,
 )

@@ -136,20 +136,35 @@ def bounded_step(gradient: np.ndarray, curvature: np.ndarray, room: np.ndarray,
     return d
 
 
+def _free_directions(gradient: np.ndarray, bounds: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Columns that span the directions along the bounds against which the likelihood pushes."""
+    at = bounds[room <= 1e-9]
+    if len(at):
+        at = at[np.linalg.lstsq(at.T, -gradient, rcond=None)[0] > 0]
+    if not len(at):
+        return np.eye(len(gradient))
+    _, size, axes = np.linalg.svd(at)
+    return axes[(size > 1e-12 * size.max()).sum() :].T
+
+
 def _ascend(target: Likelihood, x: np.ndarray, most_rounds: int) -> tuple[np.ndarray, float, bool]:
     """Newton steps in bounds until none promises a gain.
 
     The curvature comes from differences of the score, in units of the parameters' standard errors;
-    where it isn't positive in every direction, the expected information, which always is, stands in.
+    where it isn't positive in every direction that the bounds leave free, the expected information,
+    which always is, stands in.
     """
     low = target.value(x)
     for _ in range(most_rounds):
         gradient, information = target.score(x)
         unit = 1 / np.sqrt(np.maximum(np.diag(information), 1e-300))
         rows = [(target.score(x + d)[0] - gradient) / 1e-5 for d in np.diag(unit * 1e-5)]
-        scaled = np.stack(rows) * unit
-        if np.linalg.eigvalsh(scaled + scaled.T).min() <= 1e-6:
-            scaled = information * np.outer(unit, unit) + 1e-9 * np.eye(len(x))
+        scaled = information * np.outer(unit, unit) + 1e-9 * np.eye(len(x))
+        free = _free_directions(gradient * unit, _A * unit, _B - _A @ x)
+        inside = free.T @ (np.stack(rows) * unit) @ free
+        if len(inside) and np.linalg.eigvalsh(inside + inside.T).min() > 1e-6:
+            held = np.eye(len(x)) - free @ free.T
+            scaled = held @ scaled @ held + free @ (inside + inside.T) @ free.T / 2
         scaled = (scaled + scaled.T) / 2
         curvature = scaled / np.outer(unit, unit)
         step = bounded_step(gradient * unit, scaled, _B - _A @ x, unit) * unit
@@ -158,7 +173,7 @@ def _ascend(target: Likelihood, x: np.ndarray, most_rounds: int) -> tuple[np.nda
             return x, low, True
         share = 1.0
         while True:
-            there = np.maximum(x + share * step, [MIN_OMEGA, 0, 0, 0])
+            there = np.clip(x + share * step, [MIN_OMEGA, 0, 0, 0], [math.inf, MAX_ALPHA, MAX_GAMMA, MAX_BETA])
             value = target.value(there)
             if value <= low - 1e-4 * share * gain:
                 break

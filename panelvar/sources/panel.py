@@ -20,7 +20,7 @@ ROLES = PanelRoles(
     market="A1",
     implied_vol="A7",
     volume="A5",
-    sector=("A2", "A3", "A4"),
+    sector=("A1", "A2", "A3"),  # the densest: a member's gap leaves 21 days without a correlation
     credit=("A5", "A6"),
     policy_rate="D_F",
     ten_year="D_O",
@@ -29,6 +29,8 @@ ROLES = PanelRoles(
     unemployment="1-URGENT",
     price_index="2-HIGH",
 )
+#: Assets that the dimension table calls sector funds.
+SECTOR_ETFS = ("A2", "A3", "A4")
 IMPLIED_SCALE = 997.0
 MACRO_SCALE = 99_991.0
 PORTFOLIO = {"A1": 0.6, "A2": 0.4}
@@ -139,7 +141,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(name == ROLES.market, "index")
             .otherwise("etf")
             .alias("asset_type"),
-            F.when(name.isin(*ROLES.sector), F.concat(F.lit("S"), F.substring(name, 2, 10))).alias("sector"),
+            F.when(name.isin(*SECTOR_ETFS), F.concat(F.lit("S"), F.substring(name, 2, 10))).alias("sector"),
         )
     )
 
