@@ -28,6 +28,8 @@ NAMES = ("length", "symbols", "lines", "repeats")
 UNIT = 1024
 #: Share of rows that an estimate rests on, rows that a group needs, steps, bins of distance.
 CORE_PERCENT, LEAST_ROWS, STEPS, BINS = 75, 200, 5, 256
+#: Groups up to which their estimates are sent to every task; beyond, both sides are dealt by group and one of so many shares.
+BROADCAST_GROUPS, SHARES = 100_000, 64
 
 
 def _chi2(x: float, k: int) -> float:
@@ -124,6 +126,16 @@ def _distance() -> Column:
     return total
 
 
+def _with_estimates(rows: DataFrame, found: DataFrame, key: Column, how: str = "inner") -> DataFrame:
+    """``rows`` next to the row of ``found`` (one per ``key``) for their group, without gathering a group's rows."""
+    found = found.withColumnRenamed("key", "_group")
+    if found.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(found), key == F.col("_group"), how).drop("_group")
+    found = found.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    rows = rows.withColumn("_own", (F.monotonically_increasing_id() % SHARES).cast("int"))
+    return rows.join(found, (key == F.col("_group")) & (F.col("_own") == F.col("_share")), how).drop("_group", "_share", "_own")
+
+
 def estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """key, rows, m_i, l_ij for every group; ``rows`` has key and the vector."""
     d = len(NAMES)
@@ -142,7 +154,7 @@ def estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
         # Bins of equal ratio: about 3 % of distance each.
         bin_ = F.least(F.lit(BINS - 1), F.floor(F.log1p(_distance()) * 16)).cast("int")
         sums = (
-            rows.join(found.drop("rows"), "key")
+            _with_estimates(rows, found.drop("rows"), F.col("key"))
             .groupBy("key", bin_.alias("bin"))
             .agg(
                 F.count("*").alias("n"),
@@ -187,8 +199,7 @@ def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     big = found.where((F.col("rows") >= LEAST_ROWS) | (F.col("key") == ""))
     fields = [c for c in big.columns if c not in ("key", "rows")]
     for k in range(3):
-        level = big.select(F.col("key").alias(f"k{k}"), F.struct(*fields).alias(f"e{k}"))
-        rows = rows.join(level, F.col("keys")[k] == F.col(f"k{k}"), "left")
+        rows = _with_estimates(rows, big.select("key", F.struct(*fields).alias(f"e{k}")), F.col("keys")[k], "left")
     rows = rows.withColumn("e", F.coalesce("e0", "e1", "e2")).select(*[c for c in rows.columns if c[0] not in "ek" or c == "keys"], "e.*")
     distance = F.sqrt(_distance())
     rows = rows.withColumn("distance", distance)
