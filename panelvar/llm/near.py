@@ -4,14 +4,19 @@
    floor(1 - log_b(min of exponential numbers that the set's members get for i)), truncated to
    [0, q + 1]; registers of a union are the larger of both, so sketches merge.
 2. Texts with the same words form a class; classes are compared through one representative.
-3. Six registers make a band key. Keys with one member end there. In each round every member of a
-   shared key is paired with one centre of it in another component, a different one each time, so
-   pairs grow with members and not with their square. Pairs are sifted by the lowest bits of all registers,
-   estimated (most likely similarity given how many registers are larger, smaller and equal), then
-   verified on full sets; links form components by label propagation.
-4. Keys whose members still lie in several components get all pairs across components with a member
-   outside the key's largest one: no link between different texts is lost, and within a component
-   no pair can add anything.
+3. Six registers make a band key. Keys with one member end there. In each of a few rounds every
+   member of a key that spans several components is paired with one centre of it in another component
+   (first that which shares most keys with others, then different ones), so pairs grow with members
+   and not with their square. Pairs are sifted by the lowest bits of all registers, estimated (most
+   likely similarity given how many registers are larger, smaller and equal), then verified on full
+   sets; links form components by label propagation.
+4. What still spans several components is settled exactly, in one of two ways. Keys of few members get
+   all pairs across components. In larger ones every member x is compared with the centre M on full
+   sets. A pair without a shared shingle outside M has at most min(|x & M|, |c & M|) shingles in
+   common, which for an x that M isn't linked with is too few unless c is smaller than M and x almost
+   linked; such pairs are found by size. All other links share shingles outside M: these are indexed,
+   pairs are counted on them, and verified if |x & M| and the count can reach the limit together.
+   No link between different texts is lost, and within a component no pair can add anything.
 """
 
 from __future__ import annotations
@@ -38,8 +43,12 @@ SLACK = 0.14
 #: standard deviations more. Beyond it a pair is dropped where it is joined, before it becomes a row.
 MOST_BITS = 87
 TAGS = tuple(f"t{k}" for k in range(ROWS * BANDS // 64))
-#: Rounds in which members meet one centre each, before the rest is compared across components.
-CENTRES = 6
+#: Rounds in which members meet one centre each, and members up to which a key gets all its pairs across components then.
+CENTRES, FEW = 3, 16
+#: Parts into which the sizes below a centre's are dealt to find pairs by size.
+SIZES = 64
+#: Shared keys up to which they are sent to every task; beyond, keys are shuffled.
+BROADCAST_KEYS = 2_000_000
 #: Rows of the candidates' numbers up to which they are sent to every task; beyond, texts are shuffled.
 BROADCAST_ROWS = 4_000_000
 
@@ -159,6 +168,59 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(check, "a bigint, b bigint, linked boolean")
 
 
+def _compared(pairs: DataFrame) -> DataFrame:
+    """a, b, shared (shingles in both), rest (those of a outside b), from a, b and both texts."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}  # centres come again and again
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                shared, rest = [], []
+                for b, text_a, text_b in zip(part.column("b").to_pylist(), part.column("t_a").to_pylist(), part.column("t_b").to_pylist()):
+                    if b not in known:
+                        if len(known) >= 64:
+                            known.clear()
+                        known[b] = shingles(text_b)
+                    mine = shingles(text_a)
+                    outside = np.setdiff1d(mine, known[b], assume_unique=True)
+                    shared.append(len(mine) - len(outside))
+                    rest.append(outside.view(np.int64))
+                columns = [part.column("a"), part.column("b"), pa.array(shared, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shared", "rest"])
+
+    return pairs.mapInArrow(check, "a bigint, b bigint, shared bigint, rest array<bigint>")
+
+
+def _reaches(shared: Column | str, n_a: str = "n_a", n_b: str = "n_b") -> Column:
+    """Whether so many shingles in common link two sets."""
+    shared = F.col(shared) if isinstance(shared, str) else shared
+    return (100 + PERCENT) * shared >= PERCENT * (F.col(n_a) + F.col(n_b))
+
+
+def _open_pairs(spokes: DataFrame) -> DataFrame:
+    """a, b: the pairs in different components that may be linked, by their places around a centre.
+
+    ``spokes``: b (centre), n_b, a, n_a, comp, shared, rest; one row per member and centre.
+    """
+    rows = spokes.select("b", "n_b", F.col("a").alias("key"), F.col("n_a").alias("n"), "comp", "shared", "rest")
+    apart = ~_reaches("shared", "n", "n_b")
+    bucket = lambda size: F.floor(size * SIZES / F.col("n_b"))
+    most = F.least(F.col("n_b") - 1, F.floor((100 + PERCENT) * F.col("shared") / PERCENT - F.col("n")))
+    least = F.ceil(PERCENT * F.col("n") / 100)
+    near = rows.where(apart & (least <= most)).select("b", "key", "n", "comp", "shared", F.explode(F.sequence(bucket(least), bucket(most))).alias("at"))
+    smaller = rows.where("n < n_b").select("b", *[F.col(c).alias(f"{c}_c") for c in ("key", "n", "comp", "shared")], bucket(F.col("n")).alias("at"))
+    by_size = near.join(smaller, ["b", "at"]).where("comp <> comp_c").where(_reaches(F.least("shared", "shared_c"), "n", "n_c"))
+    out = rows.where(F.size("rest") > 0)
+    x = out.where(apart).select("b", "key", "n", "comp", "shared", F.explode("rest").alias("shingle"))
+    c = out.select("b", *[F.col(k).alias(f"{k}_c") for k in ("key", "n", "comp", "shared")], apart.alias("apart_c"), F.explode("rest").alias("shingle"))
+    met = x.join(c, ["b", "shingle"]).where("comp <> comp_c AND (NOT apart_c OR key < key_c)")
+    counted = met.groupBy("b", "key", "key_c", "n", "n_c", "shared", "shared_c").agg(F.count("*").alias("more"))
+    by_rest = counted.where(_reaches(F.least("shared", "shared_c") + F.col("more"), "n", "n_c"))
+    pairs = by_size.select("key", "key_c").unionByName(by_rest.select("key", "key_c"))
+    return pairs.select(F.least("key", "key_c").alias("a"), F.greatest("key", "key_c").alias("b")).distinct()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, comp (its component's smallest node) for all nodes of ``links`` (a, b)."""
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
@@ -195,12 +257,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = table.where("n > 0").groupBy("same").agg(F.min("key").alias("key"), F.min("id").alias("low"), F.first("n").alias("n"))
     classes = scratch.save(classes)
     banded = table.join(classes.select(F.col("key").alias("c")), F.col("key") == F.col("c"), "left_semi").select("key", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+    shared = scratch.save(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), free=False)
     # Members of keys that several classes share.
-    members = scratch.save(banded.join(shared, "band"))
-    wanted = scratch.save(members.select("key").distinct(), free=False)
+    few = shared.count() <= BROADCAST_KEYS
+    members = scratch.save(banded.join(F.broadcast(shared) if few else shared, "band"))
+    wanted = scratch.save(members.groupBy("key").agg(F.sum("members").alias("weight")), free=False)
     small = wanted.count() <= BROADCAST_ROWS
-    texts = table.join(F.broadcast(wanted) if small else wanted, "key", "left_semi").select("key", "n", F.coalesce(F.col(f"doc.`{text}`"), F.lit("")).cast("binary").alias("text"))
+    members = members.drop("members").join(F.broadcast(wanted) if small else wanted, "key")
+    texts = table.join(F.broadcast(wanted.select("key")) if small else wanted.select("key"), "key", "left_semi").select("key", "n", F.coalesce(F.col(f"doc.`{text}`"), F.lit("")).cast("binary").alias("text"))
     tag_types = ", ".join(f"{t} bigint" for t in TAGS)
     texts = scratch.save(texts.mapInArrow(_with_sketch, f"key bigint, n bigint, text binary, registers binary, {tag_types}"))
     tags = texts.select("key", F.struct(*TAGS).alias("tag"))
@@ -219,10 +283,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     for turn in range(CENTRES):
         # The nearest thing to a hub: of the centres of a member's keys, the one that comes most often.
         here = _labelled(members, links, scratch)
-        first = F.min_by(F.struct("key", "comp"), F.xxhash64("key", F.lit(turn))).alias("centre")
+        order = F.xxhash64("key", F.lit(turn)) if turn else F.col("weight")
+        first = F.max_by(F.struct("key", "comp"), F.struct(order.alias("o"), "key")).alias("centre")
         mixed = here.groupBy("band").agg(first, F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
-        stars = here.join(mixed.select("band", "centre"), "band").where("comp <> centre.comp")
-        stars = stars.groupBy(F.col("key").alias("a"), F.col("centre.key").alias("b")).agg(F.count("*").alias("bands"))
+        # Keys whose members are all in one component are done.
+        here = scratch.save(here.join(mixed.select("band", "centre"), "band"), free=False)
+        members = here.drop("centre", "comp")
+        stars = here.where("comp <> centre.comp").groupBy(F.col("key").alias("a"), F.col("centre.key").alias("b")).agg(F.count("*").alias("bands"))
         stars = stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
         if tried is not None:
             stars = stars.join(tried, ["a", "b"], "left_anti")
@@ -235,16 +302,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
     if links is None:  # no key is shared
         links = tried = spark.createDataFrame([], "a bigint, b bigint")
-    here = scratch.save(_labelled(members, links, scratch))
-    sizes = here.groupBy("band", "comp").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    left = scratch.save(here.join(mixed.select("band", "top"), "band").join(tags, "key"))
-    some = left.where("comp <> top").select("band", F.col("key").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("tag").alias("u"))
-    every = left.select("band", F.col("key").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("tag").alias("v"), "top")
+    here = scratch.save(_labelled(members, links, scratch), free=False)
+    sizes = here.groupBy("band", "comp").agg(F.count("*").alias("size"), F.max(F.struct("weight", "key")).alias("hub"))
+    mixed = sizes.groupBy("band").agg(
+        F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("size").alias("size"), F.max("hub")["key"].alias("hub")
+    )
+    left = scratch.save(here.join(mixed.where("comps > 1").drop("comps"), "band"), free=False)
+    again = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    few = left.where(F.col("size") <= FEW).join(tags, "key")
+    some = few.where("comp <> top").select("band", F.col("key").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("tag").alias("u"))
+    every = few.select("band", F.col("key").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("tag").alias("v"), "top")
     across = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top")) | (F.col("a") < F.col("b")))
     sized = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
     rest = some.join(every, (some["band"] == every["band"]) & across & sized & _close("u", "v")).select("a", "b").distinct()
-    again = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    spokes = left.where((F.col("size") > FEW) & (F.col("key") != F.col("hub"))).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    t = texts.select("key", "text")
+    compared = scratch.save(_compared(spokes.join(t.toDF("a", "t_a"), "a").join(t.toDF("b", "t_b"), "b")))
+    n = texts.select("key", "n")
+    compared = compared.join(n.toDF("a", "n_a"), "a").join(n.toDF("b", "n_b"), "b")
+    links = links.unionByName(scratch.save(compared.where(_reaches("shared")).select("a", "b"), free=False))
+    placed = _labelled(compared.withColumnRenamed("a", "key"), links, scratch).withColumnRenamed("key", "a")
+    rest = rest.unionByName(_open_pairs(scratch.save(placed, free=False))).distinct()
     done = confirm(rest.join(again, ["a", "b"], "left_anti"))
     links = links.unionByName(done.where("linked").select("a", "b"))
 
