@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .ctes import compose, cte
+import re
+
+from .ctes import CTES, compose, cte
 
 FEATURES = (
     "ret_1d ret_5d ret_21d ret_63d rv_5d rv_21d rv_63d semidev_21d drawdown_252d parkinson_21d garman_klass_21d "
@@ -962,6 +964,57 @@ FROM d GROUP BY 1, 2, 3, 4
 )
 sql("bootstrap_pr_auc", "SELECT asset, family, model, vs, round(dif0, 6) AS pr_auc_diff, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p_boot FROM pres")
 
+# ---- holdout, counts, declared rules -------------------------------------------------------------
+
+
+def holdout(*names: str) -> None:
+    """Copies of expressions, named with _h, that read each other's copies."""
+    for name in names:
+        text = CTES[name]
+        for other in ("exc", "kup", "chr", "bas", "vbt", "elig_s", "fld", "assigned_s", "preds", "ovi", "bt"):
+            text = re.sub(rf"\b{other}\b", f"{other}_h", text)
+        cte(f"{name}_h", text)
+
+
+cte("exc_h", "SELECT * FROM exc WHERE trade_date BETWEEN DATE '2001-01-01' AND DATE '2001-12-31'")
+holdout("kup", "chr", "bas", "vbt")
+sql("holdout_risk", re.sub(r"\bvbt\b", "vbt_h", SQL["var_backtest"]))
+cte("elig_s_h", CTES["elig_s"].replace(" AND f.as_of_date < DATE '2001-01-01'", ""))
+cte("fld_h", "SELECT 'holdout_2001' AS fold, DATE '2001-01-01' AS ts, DATE '2001-12-31' AS te")
+holdout("assigned_s", "preds", "ovi")
+cte("bt_h", re.sub(r"\bovi\b", "ovi_h", CTES["bt"]).replace("DATE '1998-01-01' AND DATE '2000-12-31'", "DATE '2001-01-01' AND DATE '2001-12-31'"))
+sql("holdout_overlay", re.sub(r"\bbt\b", "bt_h", SQL["overlay_returns"]))
+sql("trial_counts", "SELECT count(DISTINCT model) AS models, count(DISTINCT (model, params)) AS configurations, count(*) AS trials, CAST(sum(splits) AS BIGINT) AS fits FROM cvs")
+NOT_FINITE = " + ".join(f"count(*) FILTER (WHERE NOT isfinite({c}))" for c in FEATURES)
+sql(
+    "dq_model_rules",
+    f"""
+WITH l AS (SELECT fold, model, round(avg(pow(prob - y, 2)), 10) AS brier FROM preds GROUP BY 1, 2),
+c AS (SELECT *, brier = min(brier) OVER (PARTITION BY fold) AS champion FROM l),
+n AS (SELECT fold, count(*) FILTER (WHERE champion) AS n FROM c GROUP BY 1)
+SELECT 'probability_in_unit_interval' AS rule, count(*) FILTER (WHERE prob < 0 OR prob > 1) AS violations FROM preds
+UNION ALL SELECT 'value_finite', {NOT_FINITE} FROM feats
+UNION ALL SELECT 'vintage_interval_ordered', count(*) FILTER (WHERE valid_from > valid_to) FROM mvint
+UNION ALL SELECT 'one_champion', count(*) FILTER (WHERE n > 1) FROM n
+UNION ALL SELECT 'some_champion', count(*) FILTER (WHERE n = 0) FROM n
+""",
+)
+sql(
+    "scan_wanted",
+    """
+SELECT asset, trade_date, close FROM px WHERE asset IN ('A1', 'A3', 'ZZ', 'A9')
+UNION ALL SELECT w.asset, NULL, NULL FROM (VALUES ('A1'), ('A3'), ('ZZ'), ('A9')) w(asset) WHERE w.asset NOT IN (SELECT asset FROM px)
+""",
+)
+sql(
+    "dq_dropped_rows",
+    """
+WITH t AS (SELECT *, trade_date NOT IN (SELECT trade_date FROM cal) AS off, trade_date > (SELECT max(trade_date) FROM cal) AS late FROM px),
+k AS (SELECT asset FROM t GROUP BY 1 HAVING count(*) FILTER (WHERE late) = 0 AND count(*) FILTER (WHERE off) * 1.0 / count(*) <= 0.001)
+SELECT asset, trade_date, close FROM t WHERE off AND asset IN (SELECT asset FROM k)
+""",
+)
+
 
 def oracle() -> dict[str, str]:
     return {name: compose(text) for name, text in SQL.items()}

@@ -332,6 +332,20 @@ def enum_rule(name: str, col: str, allowed: tuple[str, ...]) -> dict[str, Column
     return {name: F.col(col).isin(*allowed)}
 
 
+def interval_rule(name: str, low: str, high: str) -> dict[str, Column]:
+    return {name: F.col(low) <= F.col(high)}
+
+
+def filtered_duplicates(df: DataFrame, condition: Column, *keys: str) -> DataFrame:
+    """Keys that more than one row under ``condition`` has: a unique index over part of the rows."""
+    return duplicate_keys(df.where(condition), *keys)
+
+
+def filtered_absent(df: DataFrame, condition: Column, *keys: str) -> DataFrame:
+    """Keys of which no row is under ``condition``."""
+    return df.groupBy(*keys).agg(F.max(F.coalesce(condition, F.lit(False))).alias("any")).where(~F.col("any")).drop("any")
+
+
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
@@ -523,7 +523,10 @@ def _assigned(p: Panel, names: tuple[str, ...] = MODEL_FEATURES) -> DataFrame:
 
 def _predictions(p: Panel) -> DataFrame:
     """Every model scores the same test rows."""
-    test = _assigned(p, SCORE_FEATURES).where(F.col("role") == "test")
+    return _scored(_assigned(p, SCORE_FEATURES).where(F.col("role") == "test"))
+
+
+def _scored(test: DataFrame) -> DataFrame:
     each = F.array(*[F.struct(F.lit(m).alias("model"), s.alias("prob")) for m, s in _scores().items()])
     return test.select("fold", "asset", "as_of_date", "y", F.inline(each))
 
@@ -906,12 +909,13 @@ SHARPE_PAIRS = tuple(
 )
 
 
-def _overlay_inputs(p: Panel) -> DataFrame:
+def _overlay_inputs(p: Panel, predictions: DataFrame | None = None) -> DataFrame:
     """Returns are scaled to a daily size on this panel of independent prices."""
     returns = _simple(p).withColumn("r", F.col("r") / 50)
     implied = p.stored.where(F.col("asset") == panel.ROLES.implied_vol).selectExpr("trade_date", f"close / {panel.IMPLIED_SCALE}D AS vix")
     cash = pit.cash_rate(p.stored, p.daily, panel.ROLES.policy_rate)
-    return overlay.market_inputs(returns, implied, cash, _predictions(p), OVERLAY_MODELS, OverlaySettings().ewma_lambda)
+    predictions = _predictions(p) if predictions is None else predictions
+    return overlay.market_inputs(returns, implied, cash, predictions, OVERLAY_MODELS, OverlaySettings().ewma_lambda)
 
 
 def _weights(p: Panel) -> DataFrame:
@@ -1055,3 +1059,80 @@ def walk_forward(p: Panel) -> DataFrame:
     fitted, _ = models.walk_forward(rows, models.ladder(MODEL_FEATURES), panel.WALK_FORWARD)
     constant = metrics_.prevalence_predictions(splits.assign_folds(rows, panel.WALK_FORWARD), ["asset", "as_of_date"])
     return metrics_.evaluate(fitted.unionByName(constant))
+
+
+# ---- holdout -------------------------------------------------------------------------------------
+
+
+def _in_holdout(day: str) -> Column:
+    return F.col(day).between(F.lit(panel.HOLDOUT[0].test_start), F.lit(panel.HOLDOUT[-1].test_end))
+
+
+@register
+def holdout_risk(p: Panel) -> DataFrame:
+    """The VaR backtest over the holdout alone; estimates look back into the years before it."""
+    out = risk.backtest_table(_exceptions(p).where(_in_holdout("trade_date")))
+    return tidy(out, *[c for c in out.columns if c not in ("asset", "method", "conf", "n", "exceptions")])
+
+
+def _holdout_backtest(p: Panel) -> DataFrame:
+    frame = ft.modeling_frame(p.some_features(*SCORE_FEATURES), p.labels)
+    rows = splits.eligible_rows(frame, SCORE_FEATURES, panel.MODELING_START, None)
+    test = splits.assign_folds(rows, panel.HOLDOUT).where(F.col("role") == "test")
+    s = OverlaySettings()
+    weights = overlay.build_weights(_overlay_inputs(p, _scored(test)), OVERLAY_MODELS, s.target_vol, s.max_weight)
+    start, end = panel.HOLDOUT[0].test_start, panel.HOLDOUT[-1].test_end
+    return overlay.run_backtest(weights, OVERLAY_MODELS, s.lag, s.cost_bps, start, end, "model_random_forest")
+
+
+@register
+def holdout_overlay(p: Panel) -> DataFrame:
+    """The overlay over the holdout, on predictions of its own fold."""
+    return tidy(_holdout_backtest(p).drop("cash"), "held", "turnover", "net")
+
+
+# ---- counts and declared rules -------------------------------------------------------------------
+
+
+@register
+def trial_counts(p: Panel) -> DataFrame:
+    """Models, distinct configurations and trials behind the scores."""
+    return _cv_scores(p).agg(
+        F.countDistinct("model").alias("models"),
+        F.countDistinct("model", "params").alias("configurations"),
+        F.count("*").alias("trials"),
+        F.sum("splits").alias("fits"),
+    )
+
+
+def _fold_losses(p: Panel) -> DataFrame:
+    """Brier score of every model per fold, with the best ones marked as champions."""
+    scores = _predictions(p).groupBy("fold", "model").agg(F.round(F.avg(F.pow(F.col("prob") - F.col("y"), 2)), 10).alias("brier"))
+    best = F.min("brier").over(Window.partitionBy("fold"))
+    return scores.withColumn("champion", F.col("brier") == best)
+
+
+@register
+def dq_model_rules(p: Panel) -> DataFrame:
+    """Rules on predictions, feature values, intervals and the one champion of a fold."""
+    losses = _fold_losses(p)
+    several = dq.filtered_duplicates(losses, F.col("champion"), "fold").agg(F.lit("one_champion").alias("rule"), F.count("*").alias("violations"))
+    missing = dq.filtered_absent(losses, F.col("champion"), "fold").agg(F.lit("some_champion").alias("rule"), F.count("*").alias("violations"))
+    long = sinks.long_values(p.features, ["asset", "as_of_date"], ft.ALL_FEATURES)
+    parts = [
+        dq.rule_violations(_predictions(p), dq.prediction_rules()),
+        dq.rule_violations(long, dq.finite_rule()),
+        dq.rule_violations(p.monthly, dq.interval_rule("vintage_interval_ordered", "valid_from", "valid_to")),
+        several,
+        missing,
+    ]
+    return readers.union_frames(parts)
+
+
+@register
+def scan_wanted(p: Panel) -> DataFrame:
+    """Prices of wanted assets, and a row without prices for each wanted one that the table lacks."""
+    wanted = ["A1", "A3", "ZZ", "A9"]
+    found = readers.scan_prices(p.prices, p.assets, wanted).select("asset", "trade_date", "close")
+    lost = readers.missing_tickers(found, p.spark.createDataFrame([(w,) for w in wanted], "asset string"))
+    return found.unionByName(lost.select("asset", F.lit(None).cast("date").alias("trade_date"), F.lit(None).cast("double").alias("close")))
