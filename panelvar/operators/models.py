@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import date
 from itertools import product
 
 from pyspark.ml import Estimator, Pipeline
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from ..functions.frames import clip
 from ..session import pin
 from ..settings import PROB_CLIP, Fold
+from .boosting import Fit, boost
 from .features import BASE_FEATURES, design_matrix
 from .garch import average_forecast, fit_gjr, return_arrays, settled, variance_path
-from .metrics import best_configuration, log_loss
+from .metrics import best_configuration, cv_scores, log_loss
 from .splits import assign_folds, inner_splits, train_mask
 
 KEYS = ("asset", "as_of_date")
@@ -175,7 +177,8 @@ def walk_forward(rows: DataFrame, specs: Sequence[Spec], folds: Sequence[Fold],
 
     usable = [f for f in folds if f.label in sizes and sizes[f.label].n_train and sizes[f.label].n_test]
     with ThreadPoolExecutor(threads) as pool:
-        parts = list(pool.map(one, product(usable, specs)))
+        # A tuned model has no rows in a fold without a valid inner year.
+        parts = list(pool.map(one, [(f, s) for f, s in product(usable, specs) if not s.grid or (s.name, f.label) in chosen]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -185,6 +188,44 @@ def walk_forward(rows: DataFrame, specs: Sequence[Spec], folds: Sequence[Fold],
     return pin(out), all_trials
 
 
+def boosted_walk_forward(
+    rows: DataFrame, folds: Sequence[Fold], features: Sequence[str] = BASE_FEATURES, iterations: int = 150, n_years: int = 3, min_rows: int = 500
+) -> tuple[DataFrame, DataFrame]:
+    """(predictions, trials) of boosting, tuned by inner years; a fold without a valid inner year has no rows in either.
+
+    A window is the rows whose labels were known before a day, so an inner window and the training
+    window of the fold that starts on the same day are one: every (window, setting) is fitted once.
+    """
+    spec = next(s for s in learners(features) if s.name == "hist_gb")
+    settings = spec.configurations
+    train = assign_folds(rows, folds).where(F.col("role") == "train")
+    inner = pin(inner_splits(train, n_years, min_rows))
+    starts = {f.label: f.test_start for f in folds}
+    years = [r.year for r in inner.select("year").distinct().collect()]
+    cutoffs = sorted({date(y, 1, 1) for y in years} | {starts[r.fold] for r in inner.select("fold").distinct().collect()})
+    keys = list(KEYS)
+    fits = [Fit(c, int(x["max_depth"]), x["learning_rate"]) for c in cutoffs for x in settings]
+    if not fits:
+        empty = rows.where("false")
+        trials = inner.selectExpr("'' AS model", "fold", "0 AS grid_pos", "'' AS params", "0.0D AS score", "0L AS splits").where("false")
+        return empty.selectExpr("'hist_gb' AS model", "'' AS fold", *keys, "0.0D AS prob", "y"), trials
+    scored = boost(rows, features, fits, keys, iterations)
+    table = [(k, f.cutoff, k % len(settings), str(settings[k % len(settings)])) for k, f in enumerate(fits)]
+    named = rows.sparkSession.createDataFrame(table, "fit int, cutoff date, grid_pos int, params string")
+    scored = scored.join(F.broadcast(named), "fit")  # a row per fit
+    listed = F.array(*[F.struct(F.lit(f.label).alias("fold"), F.lit(f.test_start).alias("opens"), F.lit(f.test_end).alias("closes")) for f in folds])
+    each = scored.withColumn("f", F.explode(listed)).select(F.lit(spec.name).alias("model"), "f.*", *[c for c in scored.columns])
+    p = clip(F.col("prob"), PROB_CLIP, 1 - PROB_CLIP)
+    opens = F.datediff("opens", F.lit(date(1970, 1, 1)))
+    held = each.where((F.year("as_of_date") == F.year("cutoff")) & (F.dayofyear("cutoff") == 1) & (F.col("known") < opens)).withColumn("year", F.year("cutoff"))
+    losses = held.join(F.broadcast(inner.select("fold", "year")), ["fold", "year"])  # a row per fold and year
+    losses = losses.groupBy("model", "fold", "grid_pos", "params", "year").agg(F.avg(log_loss(F.col("y"), p)).alias("loss"))
+    trials = pin(cv_scores(losses))
+    best = best_configuration(trials).select("fold", "grid_pos")
+    tested = each.where((F.col("cutoff") == F.col("opens")) & F.col("as_of_date").between(F.col("opens"), F.col("closes")))
+    return pin(tested.join(F.broadcast(best), ["fold", "grid_pos"]).select("model", "fold", *keys, "prob", "y")), trials
+
+
 def variance_scores(rows: DataFrame, returns: DataFrame, folds: Sequence[Fold], horizon: int = 5) -> DataFrame:
     """(fold, asset, as_of_date, garch_vol): forecast volatility from parameters of each training window.
 

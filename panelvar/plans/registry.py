@@ -1043,7 +1043,13 @@ def logit_tuned(p: Panel) -> DataFrame:
 @register
 def gbt_tuned(p: Panel) -> DataFrame:
     """Boosting with the declared grid, on every fold."""
-    return _fitted(p, models.learners(MODEL_FEATURES)[1:2], panel.WALK_FORWARD)
+    return models.boosted_walk_forward(_fit_rows(p), panel.WALK_FORWARD, MODEL_FEATURES)[0]
+
+
+@register
+def logit_trials(p: Panel) -> DataFrame:
+    """Every setting of the tuned logit with its mean inner log loss, from real fits."""
+    return models.tuning_scores(_fit_rows(p), models.learners(MODEL_FEATURES)[0], panel.WALK_FORWARD)
 
 
 @register
