@@ -204,19 +204,27 @@ def _open_pairs(spokes: DataFrame) -> DataFrame:
     ``spokes``: b (centre), n_b, a, n_a, comp, shared, rest; one row per member and centre.
     """
     rows = spokes.select("b", "n_b", F.col("a").alias("key"), F.col("n_a").alias("n"), "comp", "shared", "rest")
-    apart = ~_reaches("shared", "n", "n_b")
+    apart = ~_reaches("shared", "n", "n_b")  # not linked with the centre
     bucket = lambda size: F.floor(size * SIZES / F.col("n_b"))
     most = F.least(F.col("n_b") - 1, F.floor((100 + PERCENT) * F.col("shared") / PERCENT - F.col("n")))
     least = F.ceil(PERCENT * F.col("n") / 100)
     near = rows.where(apart & (least <= most)).select("b", "key", "n", "comp", "shared", F.explode(F.sequence(bucket(least), bucket(most))).alias("at"))
     smaller = rows.where("n < n_b").select("b", *[F.col(c).alias(f"{c}_c") for c in ("key", "n", "comp", "shared")], bucket(F.col("n")).alias("at"))
     by_size = near.join(smaller, ["b", "at"]).where("comp <> comp_c").where(_reaches(F.least("shared", "shared_c"), "n", "n_c"))
-    out = rows.where(F.size("rest") > 0)
-    x = out.where(apart).select("b", "key", "n", "comp", "shared", F.explode("rest").alias("shingle"))
-    c = out.select("b", *[F.col(k).alias(f"{k}_c") for k in ("key", "n", "comp", "shared")], apart.alias("apart_c"), F.explode("rest").alias("shingle"))
-    met = x.join(c, ["b", "shingle"]).where("comp <> comp_c AND (NOT apart_c OR key < key_c)")
-    counted = met.groupBy("b", "key", "key_c", "n", "n_c", "shared", "shared_c").agg(F.count("*").alias("more"))
-    by_rest = counted.where(_reaches(F.least("shared", "shared_c") + F.col("more"), "n", "n_c"))
+    # Of its shingles outside the centre a set must share at least ``need`` with any partner, so some shared one is among
+    # all but the last need - 1 of either side, in the order of the hashes.
+    smallest = rows.groupBy("b").agg(F.min("n").alias("n_min"))
+    partner = F.greatest(F.ceil(PERCENT * F.col("n") / 100), F.col("n_min"))
+    need = F.greatest(F.lit(1), F.ceil(PERCENT * (F.col("n") + partner) / (100 + PERCENT)) - F.col("shared"))
+    out = rows.join(smallest, "b").withColumn("first", (F.size("rest") - need + 1).cast("int")).where("first > 0")
+    out = out.select("b", "key", "comp", apart.alias("apart"), F.explode(F.slice("rest", F.lit(1), F.col("first"))).alias("shingle"))
+    other = out.select("b", "shingle", *[F.col(k).alias(f"{k}_c") for k in ("key", "comp", "apart")])
+    met = out.where("apart").join(other, ["b", "shingle"]).where("comp <> comp_c AND (NOT apart_c OR key < key_c)")
+    met = met.select("b", "key", "key_c").distinct()
+    whole = rows.select("b", "key", "n", "shared", "rest")
+    met = met.join(whole, ["b", "key"]).join(whole.toDF("b", *[f"{k}_c" for k in whole.columns[1:]]), ["b", "key_c"])
+    more = F.size(F.array_intersect("rest", "rest_c"))
+    by_rest = met.where(_reaches(F.least("shared", "shared_c") + more, "n", "n_c"))
     pairs = by_size.select("key", "key_c").unionByName(by_rest.select("key", "key_c"))
     return pairs.select(F.least("key", "key_c").alias("a"), F.greatest("key", "key_c").alias("b")).distinct()
 
@@ -225,15 +233,17 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, comp (its component's smallest node) for all nodes of ``links`` (a, b)."""
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
     both = scratch.save(both.distinct(), free=False)
-    labels = scratch.save(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("comp")), free=False)
+    labels = last = scratch.save(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("comp")), free=False)
     while True:
         near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("comp").alias("near"))
         step = labels.join(near, F.col("node") == F.col("x"), "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("low"))
         # Jump: the label of the label.
         jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("lower"))
-        step = scratch.save(step.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("comp"), F.col("comp").alias("old")), free=False)
+        step = step.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("comp"), F.col("comp").alias("old"))
+        last = step = scratch.save(step, drop=(last,), free=False)
         labels = step.select("node", "comp")
         if step.where("comp <> old").isEmpty():
+            scratch.drop(both)
             return labels
 
 
@@ -257,10 +267,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = table.where("n > 0").groupBy("same").agg(F.min("key").alias("key"), F.min("id").alias("low"), F.first("n").alias("n"))
     classes = scratch.save(classes)
     banded = table.join(classes.select(F.col("key").alias("c")), F.col("key") == F.col("c"), "left_semi").select("key", "n", F.explode("bands").alias("band"))
-    shared = scratch.save(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), free=False)
+    shared = scratch.save(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"))
     # Members of keys that several classes share.
     few = shared.count() <= BROADCAST_KEYS
-    members = scratch.save(banded.join(F.broadcast(shared) if few else shared, "band"))
+    members = members_table = scratch.save(banded.join(F.broadcast(shared) if few else shared, "band"), drop=(shared,))
     wanted = scratch.save(members.groupBy("key").agg(F.sum("members").alias("weight")), free=False)
     small = wanted.count() <= BROADCAST_ROWS
     members = members.drop("members").join(F.broadcast(wanted) if small else wanted, "key")
@@ -279,7 +289,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         t = texts.select("key", "text")
         return scratch.save(_verified(likely.join(t.toDF("a", "t_a"), "a").join(t.toDF("b", "t_b"), "b")))
 
-    links, tried = None, None
+    links, tried, done_with = None, None, members_table
     for turn in range(CENTRES):
         # The nearest thing to a hub: of the centres of a member's keys, the one that comes most often.
         here = _labelled(members, links, scratch)
@@ -287,7 +297,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         first = F.max_by(F.struct("key", "comp"), F.struct(order.alias("o"), "key")).alias("centre")
         mixed = here.groupBy("band").agg(first, F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
         # Keys whose members are all in one component are done.
-        here = scratch.save(here.join(mixed.select("band", "centre"), "band"), free=False)
+        here = done_with = scratch.save(here.join(mixed.select("band", "centre"), "band"), drop=(done_with,))
         members = here.drop("centre", "comp")
         stars = here.where("comp <> centre.comp").groupBy(F.col("key").alias("a"), F.col("centre.key").alias("b")).agg(F.count("*").alias("bands"))
         stars = stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
