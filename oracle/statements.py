@@ -299,6 +299,63 @@ SELECT c.entity, check_name, CASE WHEN passed THEN 'info' ELSE severity END AS s
 FROM c LEFT JOIN b ON b.entity = c.entity
 """,
 )
+# A refresh from 2000 on with restated closes, in which one asset has inverted ranges, judged and merged.
+cte(
+    "gin",
+    """
+SELECT * REPLACE (CASE WHEN volume % 97 = 0 THEN close * 1.0001::DOUBLE ELSE close END AS close,
+  CASE WHEN asset = 'A3' AND volume % 5 = 0 THEN low * 0.5::DOUBLE ELSE high END AS high) FROM px WHERE year(trade_date) >= 2000
+""",
+)
+cte(
+    "gdrop",
+    f"""
+SELECT asset, count(*) FILTER (WHERE off) AS n_off, {dates10("off")} AS off_days
+FROM (SELECT *, trade_date NOT IN (SELECT trade_date FROM cal) AS off, trade_date > (SELECT max(trade_date) FROM cal) AS late FROM gin) GROUP BY 1
+HAVING count(*) FILTER (WHERE late) = 0 AND n_off > 0 AND n_off * 1.0 / count(*) <= 0.001
+""",
+)
+cte("gkept", "SELECT * FROM gin WHERE asset NOT IN (SELECT asset FROM gdrop) OR trade_date IN (SELECT trade_date FROM cal)")
+cte(
+    "gchk",
+    f"""
+SELECT * FROM ({basic("gkept")}) UNION ALL BY NAME SELECT * FROM ({calendar_sql("gkept")})
+UNION ALL BY NAME SELECT * FROM ({outlier_sql("gkept")}) UNION ALL BY NAME SELECT * FROM ({stale_sql("gkept")})
+UNION ALL BY NAME SELECT asset AS entity, 'vendor_revision_close' AS check_name, 'warn' AS severity, count(*) FILTER (WHERE moved) = 0 AS passed,
+  count(*) FILTER (WHERE moved) AS n, {dates10("moved")} AS sample
+  FROM (SELECT *, year(trade_date) <= 2000 AND volume % 97 = 0 AS moved FROM gkept) GROUP BY 1
+UNION ALL BY NAME SELECT asset AS entity, 'non_trading_rows_dropped' AS check_name, 'warn' AS severity, false AS passed, n_off AS n, off_days AS sample FROM gdrop
+UNION ALL BY NAME SELECT 'A9' AS entity, 'unknown_asset' AS check_name, 'error' AS severity, false AS passed, 0 AS n, '' AS sample
+""",
+)
+cte("gblk", "SELECT entity, string_agg(check_name, ', ' ORDER BY check_name) AS blocked_by FROM gchk WHERE NOT passed AND severity = 'error' GROUP BY 1")
+cte("gacc", "SELECT * FROM gkept WHERE asset NOT IN (SELECT entity FROM gblk)")
+sql(
+    "gated_load",
+    """
+SELECT asset, trade_date, open, high, low, close, volume FROM gacc
+UNION ALL SELECT asset, trade_date, open, high, low, close, volume FROM px
+WHERE year(trade_date) <= 2000 AND (asset, trade_date) NOT IN (SELECT (asset, trade_date) FROM gacc)
+""",
+)
+sql(
+    "gated_load_audit",
+    """
+SELECT c.entity, check_name, severity, passed, CAST(c.n AS BIGINT) AS n, sample, coalesce(r.n, 0) AS rows_judged,
+  CASE WHEN r.n > 0 THEN CAST(c.n AS DOUBLE) / r.n END AS fraction,
+  CASE check_name WHEN 'return_outliers' THEN 0.15::DOUBLE WHEN 'stale_prices' THEN 5.0::DOUBLE WHEN 'missing_trading_days' THEN 0.005::DOUBLE
+    WHEN 'non_trading_rows_dropped' THEN 0.001::DOUBLE WHEN 'vendor_revision_close' THEN 1e-6::DOUBLE WHEN 'close_outside_range' THEN 1e-6::DOUBLE END AS limit,
+  blocked_by
+FROM gchk c LEFT JOIN (SELECT asset, count(*) AS n FROM gin GROUP BY 1) r ON r.asset = c.entity LEFT JOIN gblk b ON b.entity = c.entity
+""".replace("AS limit", 'AS "limit"'),
+)
+sql(
+    "gated_load_runs",
+    """
+SELECT 'refresh' AS run_id, 'load_prices' AS pipeline, 'failed' AS status, (SELECT count(*) FROM gin) AS rows_read,
+  (SELECT count(*) FROM gacc) AS rows_written, (SELECT count(*) FROM gblk) || ' assets blocked' AS error
+""",
+)
 sql(
     "run_ledger",
     """

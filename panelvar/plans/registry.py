@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
-from ..operators import garch, inference, ledger, overlay, pit, risk, splits
+from ..operators import garch, inference, ledger, load, overlay, pit, risk, splits
 from ..operators import labels as lb
 from ..operators import metrics as metrics_
 from ..operators import models
 from ..operators import quality as dq
-from ..session import pin
+from ..session import pin, scratch_folder
 from ..functions import recursion
 from ..settings import OPEN_END, Fold, OverlaySettings, RiskSettings, Target, InferenceSettings
 from ..sources import panel, readers, sinks
@@ -448,6 +448,38 @@ def dq_results(p: Panel) -> DataFrame:
     return dq.stored_results(checks).join(dq.blocked_entities(checks), "entity", "left")
 
 
+def _loaded(p: Panel) -> str:
+    """Store of history up to 2000 after a refresh from 2000 on, in which one asset has inverted ranges."""
+    root = scratch_folder(p.spark, "load")
+    sinks.upsert_years(p.stored.where(F.year("trade_date") <= 2000), f"{root}/prices", ("asset", "trade_date"))
+    inverted = (F.col("asset") == "A3") & (F.col("volume") % 5 == 0)
+    high = F.when(inverted, F.col("low") * 0.5).otherwise(F.col("high"))
+    pull = _refreshed(p).where(F.year("trade_date") >= 2000).withColumn("high", high)
+    load.load_prices(p.spark, root, "refresh", pull, _wanted(p), p.assets, p.calendar)
+    return root
+
+
+@register
+def gated_load(p: Panel) -> DataFrame:
+    """Prices after the load: blocked assets as before, the others with the refreshed rows."""
+    prices = p.spark.read.parquet(f"{_loaded(p)}/prices")
+    return prices.select("asset", "trade_date", "open", "high", "low", "close", "volume")
+
+
+@register
+def gated_load_audit(p: Panel) -> DataFrame:
+    """Every check of the load with its limit and share, and what blocked its asset."""
+    root = _loaded(p)
+    verdicts = p.spark.read.parquet(f"{root}/verdicts").select(F.col("asset").alias("entity"), "blocked_by")
+    return p.spark.read.parquet(f"{root}/checks").drop("run_id").join(verdicts, "entity", "left")
+
+
+@register
+def gated_load_runs(p: Panel) -> DataFrame:
+    """The ledger of the load."""
+    return ledger.run_status(p.spark.read.parquet(f"{_loaded(p)}/runs")).drop("started_at", "finished_at")
+
+
 @register
 def run_ledger(p: Panel) -> DataFrame:
     """Runs read from the events table: a start and, except for errors in flight, a finish."""

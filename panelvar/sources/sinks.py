@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 
 def latest_wins(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -35,6 +37,42 @@ def write_partitions(df: DataFrame, path: str, *keys: str) -> None:
     ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A store written by ``upsert_years`` or ``replace_keys``; without rows as long as nothing was written."""
+    try:
+        return spark.read.parquet(path).select(*schema.fieldNames())
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def upsert_years(incoming: DataFrame, path: str, keys: Sequence[str], day: str = "trade_date") -> None:
+    """Upsert into a store partitioned by year: only the years of ``incoming`` are read and rewritten.
+
+    Spark stages the new files and swaps them in when the job commits. ``incoming`` must not read the
+    store. A year may be of any size: its rows are spread over as many files as its bytes ask for.
+    """
+    spark = incoming.sparkSession
+    fresh = incoming.withColumn("year", F.year(day))
+    years = sorted(r.year for r in fresh.select("year").distinct().collect())  # bounded by the calendar
+    if not years:
+        return
+    stored = read_store(spark, path, fresh.schema).where(F.col("year").isin(years))
+    merged = latest_wins(stored, fresh, keys)
+    _overwrite_present(merged, path, "year")
+
+
+def replace_keys(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Delete and insert: partitions of the keys present in ``rows`` are replaced, all others stay."""
+    _overwrite_present(rows, path, *keys)
+
+
+def _overwrite_present(df: DataFrame, path: str, *keys: str) -> None:
+    out = df.hint("rebalance", *[F.col(k) for k in keys])
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
