@@ -580,6 +580,26 @@ sql(
     "best_config",
     "SELECT model, fold, arg_min(params, row(score, grid_pos)) AS params, round(min(score), 8) AS score, CAST(arg_min(grid_pos, row(score, grid_pos)) AS INTEGER) AS grid_pos FROM cvs GROUP BY 1, 2",
 )
+cte("finfo", FOLD_INFO.format("assigned_s"))
+sql(
+    "walk_forward_store",
+    """
+WITH u AS (SELECT model, fold, count(*) AS n FROM preds GROUP BY 1, 2),
+s AS (SELECT min(train_start) AS a, max(train_end) AS b FROM finfo)
+SELECT 'version' AS kind, model, u.fold, train_start || '/' || train_end || '/new' AS name, CAST(n AS DOUBLE) AS value FROM u JOIN finfo f ON f.fold = u.fold
+UNION ALL SELECT 'version', model, 'pooled', (SELECT a || '/' || b || '/new' FROM s), CAST(sum(n) AS DOUBLE) FROM u GROUP BY model
+UNION ALL SELECT 'prediction', model, fold, asset || '/' || as_of_date, round(prob, 8) FROM preds
+UNION ALL SELECT 'trial', model, fold, params, round(score, 8) FROM cvs
+"""
+    + "".join(f"UNION ALL SELECT 'metric', model, scope, '{m}', round({m}, 8) FROM pm_all WHERE {m} IS NOT NULL\n" for m in METRIC_NAMES),
+)
+sql(
+    "stored_outcomes",
+    f"""
+SELECT p.model, p.fold, p.asset, p.as_of_date, prob, l.y, l.label_known_date, {rounded(['rv_fwd'])}
+FROM preds p JOIN lab l ON l.asset = p.asset AND l.as_of_date = p.as_of_date WHERE l.y IS NOT NULL
+""",
+)
 
 # ---- risk ----------------------------------------------------------------------------------------
 cte("sr", "SELECT asset, trade_date, adj_close / lag(adj_close) OVER (PARTITION BY asset ORDER BY trade_date) - 1 AS r FROM px")
@@ -819,6 +839,14 @@ sql(
         for j in range(1, 5)
     ),
 )
+sql(
+    "cov_matrix_all",
+    """
+WITH f AS (SELECT * FROM sr WHERE r IS NOT NULL AND trade_date IN (
+  SELECT trade_date FROM sr WHERE r IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT asset) FROM px)))
+SELECT a.asset AS asset_i, b.asset AS asset_j, round(covar_samp(a.r, b.r), 8) AS cov FROM f a JOIN f b ON a.trade_date = b.trade_date GROUP BY 1, 2
+""",
+)
 sql(
     "shock_loss",
     """

@@ -46,21 +46,21 @@ def _capped(value: str, cap: float) -> str:
     return f"CASE WHEN {value} IS NOT NULL THEN least(greatest({value}, 0.0D), {float(cap)}D) END"
 
 
+def _target(vol: str, target_vol: str, cap: float) -> str:
+    return f"CASE WHEN {vol} = 0 THEN {float(cap)}D ELSE {_capped(f'try_divide({target_vol}, {vol})', cap)} END"
+
+
 def build_weights(inputs: DataFrame, models: Sequence[str], target_vol: str | float, cap: float = 1.0) -> DataFrame:
     """Adds w_{strategy}: exposure decided at the close, within [0, cap].
 
     ``target_vol`` is a number or a column name. A volatility of zero asks for the full cap.
     """
     tv = f"{target_vol}D" if isinstance(target_vol, (int, float)) else target_vol
-
-    def target(vol: str) -> str:
-        return f"CASE WHEN {vol} = 0 THEN {float(cap)}D ELSE {_capped(f'try_divide({tv}, {vol})', cap)} END"
-
     return inputs.selectExpr(
         "*",
         "1.0D AS w_buy_hold",
-        f"{target('ewma_vol')} AS w_ewma_vol_target",
-        f"{target('(vix / 100)')} AS w_vix_target",
+        f"{_target('ewma_vol', tv, cap)} AS w_ewma_vol_target",
+        f"{_target('(vix / 100)', tv, cap)} AS w_vix_target",
         *[f"{_capped(f'1 - p_{m}', cap)} AS w_model_{m}" for m in models],
     )
 
@@ -156,18 +156,46 @@ def sensitivity(
 ) -> DataFrame:
     """Net Sharpe per strategy for every (lag, cost, target volatility).
 
-    Settings are rows of a declared grid exploded in place; one grouped job covers all of them.
+    Rows are copied per lag only. Target volatilities are columns of the same windows, and costs enter
+    after the aggregation, which is one job for the whole grid.
     """
-    grid = ", ".join(
-        f"struct({lag} AS lag, {float(c)}D AS cost_bps, {float(tv)}D AS target_vol)"
-        for lag in s.lags
-        for c in s.costs_bps
-        for tv in s.target_vols
+    lags = ", ".join(str(k) for k in sorted(set(s.lags)))
+    w = "PARTITION BY lag, asset ORDER BY trade_date"
+    shapes = [("buy_hold", "NULL", "1.0D")]
+    for tv in s.target_vols:
+        shapes.append(("ewma_vol_target", f"{float(tv)}D", _target("ewma_vol", f"{float(tv)}D", s.max_weight)))
+        shapes.append(("vix_target", f"{float(tv)}D", _target("(vix / 100)", f"{float(tv)}D", s.max_weight)))
+    shapes += [(f"model_{m}", "NULL", _capped(f"1 - p_{m}", s.max_weight)) for m in models]
+    matched = [("static_matched", tv, f"h{i}") for i, (name, tv, _) in enumerate(shapes) if name == static_from]
+    count = len(shapes)
+
+    rows = inputs.selectExpr("*", f"explode(array({lags})) AS lag")
+    rows = rows.selectExpr("lag", "asset", "trade_date", "r", "cash", *[f"{x} AS w{i}" for i, (_, _, x) in enumerate(shapes)])
+    held = [
+        "CASE " + " ".join(f"WHEN lag = {k} THEN lag(w{i}, {k}) OVER ({w})" for k in sorted(set(s.lags))) + f" END AS h{i}"
+        for i in range(count)
+    ]
+    inside = (F.col("trade_date") >= F.lit(start)) & (F.col("trade_date") <= F.lit(end))
+    common = rows.selectExpr("lag", "asset", "trade_date", "r", "cash", *held).where(inside).dropna()
+    for i, (_, _, h) in enumerate(matched, count):
+        common = common.withColumn(f"h{i}", F.expr(f"avg({h}) OVER (PARTITION BY lag, asset)"))
+    series = [*shapes, *matched]
+    turned = common.selectExpr(
+        "*", *[f"abs(h{i} - coalesce(lag(h{i}) OVER ({w}), 0.0D)) / 10000 AS t{i}" for i in range(len(series))]
+    )
+    # Excess over cash is x - cost * t, so its mean and variance at any cost follow from five moments.
+    moments = ", ".join(
+        f"struct('{name}' AS strategy, CAST({tv} AS DOUBLE) AS tv, avg(h{i} * (r - cash)) AS mx, avg(t{i}) AS mt, "
+        f"var_samp(h{i} * (r - cash)) AS vx, var_samp(t{i}) AS vt, covar_samp(h{i} * (r - cash), t{i}) AS c)"
+        for i, (name, tv, _) in enumerate(series)
     )
-    rows = inputs.selectExpr("*", f"inline(array({grid}))")
-    weighted = build_weights(rows, models, "target_vol", s.max_weight)
-    scenario = ("lag", "cost_bps", "target_vol")
-    bt = run_backtest(weighted, models, "lag", "cost_bps", start, end, static_from, scenario, s.lags)
-    return bt.groupBy(*scenario, "asset", "strategy").agg(
-        F.expr(f"try_divide(avg(net - cash), stddev_samp(net - cash)) * sqrt({TRADING_DAYS}) AS sharpe")
+    found = turned.groupBy("lag", "asset").agg(F.expr(f"array({moments}) AS m")).selectExpr("lag", "asset", "inline(m)")
+    costs = ", ".join(f"{float(c)}D" for c in s.costs_bps)
+    vols = ", ".join(f"{float(tv)}D" for tv in s.target_vols)
+    out = found.selectExpr("*", f"explode(array({costs})) AS cost_bps")
+    out = out.selectExpr("*", f"explode(CASE WHEN tv IS NULL THEN array({vols}) ELSE array(tv) END) AS target_vol")
+    spread = "sqrt(greatest(vx - 2 * cost_bps * c + cost_bps * cost_bps * vt, 0.0D))"
+    return out.selectExpr(
+        *("lag", "cost_bps", "target_vol", "asset", "strategy"),
+        f"try_divide(mx - cost_bps * mt, {spread}) * sqrt({TRADING_DAYS}) AS sharpe",
     )

@@ -364,6 +364,44 @@ def betas(returns: DataFrame, assets: Sequence[str], market: str) -> DataFrame:
     return agg.unpivot([], list(assets), "asset", "beta")
 
 
+def covariance_blocks(returns: DataFrame, assets: DataFrame, block: int = 64) -> DataFrame:
+    """(asset_i, asset_j, cov) of every pair of ``assets`` (unique), in long form and for any number of them.
+
+    Counted are the days on which every asset has a return. Assets are dealt into blocks of about
+    ``block``; a task holds two blocks over all complete days (calendar-bounded) and emits the cells of
+    one block pair. Nothing but the number of assets reaches the driver. One complete day has null cells.
+    """
+    total = assets.count()
+    blocks = max(1, -(-total // block))
+    rows = returns.where(F.col("r").isNotNull()).join(assets.select("asset"), "asset", "left_semi")
+    full = rows.groupBy("trade_date").agg(F.count("*").alias("k")).where(F.col("k") == total).select("trade_date")
+    dealt = F.pmod(F.xxhash64("asset"), F.lit(blocks)).cast("int")
+    days = rows.join(full, "trade_date").select("trade_date", "asset", "r", dealt.alias("blk"))
+    vectors = days.groupBy("trade_date", "blk").agg(F.sort_array(F.collect_list(F.struct("asset", "r"))).alias("v"))
+    # A block meets every block once: under the pair's smaller number first.
+    paired = vectors.select(
+        "trade_date", "blk", F.col("v.asset").alias("names"), F.col("v.r").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    ).withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")})
+
+    def cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("trade_date")
+        sides = [pdf[pdf.blk == b] for b in (pdf.lo.iat[0], pdf.hi.iat[0])]
+        if sides[0].empty or sides[1].empty:
+            return pd.DataFrame({"asset_i": [], "asset_j": [], "cov": []})
+        names = [np.asarray(s.names.iat[0], dtype=object) for s in sides]
+        left, right = (np.stack(s.x.to_numpy()) for s in sides)
+        n = len(left)
+        cov = (left - left.mean(0)).T @ (right - right.mean(0)) / (n - 1) if n > 1 else np.full((left.shape[1], right.shape[1]), np.nan)
+        i, j = np.repeat(names[0], len(names[1])), np.tile(names[1], len(names[0]))
+        out = pd.DataFrame({"asset_i": i, "asset_j": j, "cov": cov.ravel()})
+        if pdf.lo.iat[0] != pdf.hi.iat[0]:
+            out = pd.concat([out, pd.DataFrame({"asset_i": j, "asset_j": i, "cov": cov.ravel()})])
+        return out
+
+    out = paired.groupBy("lo", "hi").applyInPandas(cells, "asset_i string, asset_j string, cov double")
+    return out.withColumn("cov", F.nanvl("cov", F.lit(None).cast("double")))
+
+
 def covariance_matrix(returns: DataFrame, assets: Sequence[str]) -> DataFrame:
     """(asset_i, asset_j, cov) of a declared asset list: one aggregate row over complete days."""
     wide = complete_days(returns, assets)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
-from ..operators import garch, inference, ledger, load, overlay, pit, risk, splits
+from ..operators import evaluations, garch, inference, ledger, load, overlay, pit, risk, splits
 from ..operators import labels as lb
 from ..operators import metrics as metrics_
 from ..operators import models
@@ -701,6 +701,49 @@ def _cv_scores(p: Panel) -> DataFrame:
     return metrics_.cv_scores(losses.withColumn("model", F.lit("har_shrunk")))
 
 
+def _published(p: Panel) -> str:
+    """Walk-forward results published twice; the first time with other probabilities for two models."""
+    root = scratch_folder(p.spark, "evaluations")
+    preds, trials = pin(_predictions(p)), pin(_cv_scores(p))
+    info = pin(splits.fold_info(_assigned(p, SCORE_FEATURES)))
+    label = Target().label_name
+    first = preds.where(F.col("model").isin("har_logit", "hist_gb")).withColumn("prob", F.lit(0.5))
+    for rows, stamp in ((first, "old"), (preds, "new")):
+        evaluations.publish(root, rows, info, trials, "walk_forward", label, stamp)
+    evaluations.frozen_hash(p.spark, root, "walk_forward", label, "new")
+    return root
+
+
+@register
+def walk_forward_store(p: Panel) -> DataFrame:
+    """All stored rows after two publications: one set per model, fold and kind."""
+    root = _published(p)
+    read = lambda name: evaluations.read(p.spark, root, name)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd")
+    parts = [
+        read("version").select(
+            F.lit("version").alias("kind"),
+            "model",
+            "fold",
+            F.concat_ws("/", text("train_start"), text("train_end"), "data_hash").alias("name"),
+            F.col("n_predictions").cast("double").alias("value"),
+        ),
+        read("prediction").select(
+            F.lit("prediction").alias("kind"), "model", "fold", F.concat_ws("/", "asset", text("as_of_date")).alias("name"), F.col("prob").alias("value")
+        ),
+        read("metric").select(F.lit("metric").alias("kind"), "model", "fold", F.col("metric").alias("name"), "value"),
+        read("trial").select(F.lit("trial").alias("kind"), "model", "fold", F.col("params").alias("name"), F.col("score").alias("value")),
+    ]
+    return tidy(readers.union_frames(parts), "value")
+
+
+@register
+def stored_outcomes(p: Panel) -> DataFrame:
+    """Stored predictions with the outcomes of the labels; nothing is fitted or scored again."""
+    found = evaluations.outcomes(p.spark, _published(p), p.labels, "walk_forward", Target().label_name)
+    return tidy(found.select("model", "fold", "asset", "as_of_date", "prob", "y", "label_known_date", "rv_fwd"), "rv_fwd")
+
+
 # ---- risk ----------------------------------------------------------------------------------------
 
 # A fixed parameter set for recursion checks; percent returns of this panel are large.
@@ -890,8 +933,7 @@ def cov_matrix(p: Panel) -> DataFrame:
 @register
 def cov_matrix_all(p: Panel) -> DataFrame:
     """Of every asset of the panel, on the days that are complete over all of them."""
-    names = sorted(r.asset for r in p.assets.select("asset").distinct().collect())
-    return tidy(risk.covariance_matrix(_simple(p), names), "cov")
+    return tidy(risk.covariance_blocks(_simple(p), p.assets.select("asset").distinct()), "cov")
 
 
 @register

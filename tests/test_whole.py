@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import inspect
+
 import pandas as pd
-import pytest
 
+from panelvar.operators import models
 from panelvar.plans import registry
 from panelvar.sources import panel
 
 from .conftest import price_frame
 
 
-@pytest.mark.parametrize("query,name,size", [("gbt_tuned", "hist_gb", 150), ("rf_tuned", "random_forest", 300)])
-def test_tuned_models_run_every_fold_at_full_length(spark, monkeypatch, query, name, size):
+def test_tuned_forest_runs_every_fold_at_full_length(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(registry, "_fitted", lambda p, specs, folds: seen.append((specs, list(folds))))
-    registry.QUERIES[query](spark, "unused")
+    registry.QUERIES["rf_tuned"](spark, "unused")
     ((specs, folds),) = seen
-    assert folds == list(panel.WALK_FORWARD) and [s.name for s in specs] == [name]
-    for config in specs[0].configurations:
-        model = specs[0].make(config, 1000)
-        assert (model.getMaxIter() if query == "gbt_tuned" else model.getNumTrees()) == size
+    assert folds == list(panel.WALK_FORWARD) and [s.name for s in specs] == ["random_forest"]
+    assert all(specs[0].make(config, 1000).getNumTrees() == 300 for config in specs[0].configurations)
+
+
+def test_tuned_boosting_runs_every_fold_at_full_length(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(registry, "_fit_rows", lambda p: None)
+    monkeypatch.setattr(
+        registry.models, "boosted_walk_forward", lambda rows, folds, features, **more: seen.append((list(folds), features, more)) or (None, None)
+    )
+    length = inspect.signature(models.boosted_walk_forward).parameters["iterations"].default
+    registry.QUERIES["gbt_tuned"](spark, "unused")
+    assert seen == [(list(panel.WALK_FORWARD), registry.MODEL_FEATURES, {})] and length == 150
 
 
 def test_covariance_covers_every_asset(spark, monkeypatch):
