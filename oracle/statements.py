@@ -62,6 +62,21 @@ FROM px
 """,
 )
 sql("first_trade_date", "SELECT asset, min(trade_date) AS first_trade_date FROM px GROUP BY 1")
+# 20:00 UTC is 15:00 in New York outside daylight time, which then ran from April to October.
+sql(
+    "calendar_upsert",
+    """
+SELECT trade_date, year(trade_date) >= 1998 AND ((month(trade_date) = 12 AND day(trade_date) = 24)
+  OR (day(trade_date) = 10 AND month(trade_date) NOT BETWEEN 4 AND 10)) AS is_early_close FROM cal
+""",
+)
+sql("price_files", "SELECT * FROM px")
+sql(
+    "label_definitions",
+    """
+SELECT 'rv5_q80' AS name, 1 AS version, 5 AS horizon_days, 0.8::DOUBLE AS threshold_quantile, 252 AS threshold_lookback_obs, count(y) AS n_labels FROM lab
+""",
+)
 sql(
     "replace_series",
     """
@@ -979,6 +994,20 @@ a AS (SELECT asset, family, model, vs, count(*) AS n, avg(d) AS mean_diff, (sum(
 SELECT asset, family, model, vs, n, round(mean_diff, 6) AS mean_diff, CASE WHEN v > 0 THEN round(mean_diff / sqrt(v / n) * sqrt((n + 1 - 10 + 20.0 / n) / n), 6) END AS stat FROM a
 """,
 )
+# Upper tail of Student's t by Simpson's rule in the angle atan(x / sqrt(df)), 400 steps.
+sql(
+    "dm_p_values",
+    """
+WITH c AS (SELECT *, d - avg(d) OVER (PARTITION BY asset, family, model, vs) AS c FROM dif),
+l AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(c, 3) OVER w AS c3, lag(c, 4) OVER w AS c4 FROM c WINDOW w AS (PARTITION BY asset, family, model, vs ORDER BY as_of_date)),
+a AS (SELECT asset, family, model, vs, count(*) AS n, avg(d) AS mean_diff, (sum(c * c) + 2 * (0.8 * sum(c * c1) + 0.6 * sum(c * c2) + 0.4 * sum(c * c3) + 0.2 * sum(c * c4))) / count(*) AS v FROM l GROUP BY 1, 2, 3, 4),
+t AS (SELECT *, CAST(n - 1 AS DOUBLE) AS df, CASE WHEN v > 0 THEN abs(mean_diff / sqrt(v / n) * sqrt((n + 1 - 10 + 20.0 / n) / n)) END AS x FROM a),
+g AS (SELECT *, atan(x / sqrt(df)) AS lo, least(pi() / 2, atan(x / sqrt(df)) + 12 / sqrt(df)) AS hi FROM t)
+SELECT asset, family, model, vs, round(CASE WHEN v > 0 THEN 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * (hi - lo) / 1200
+    * list_sum(list_transform(range(401), lambda k: (CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(greatest(cos(lo + (hi - lo) * k / 400), 0.0::DOUBLE), df - 1)))
+  WHEN mean_diff = 0 THEN 1.0 END, 6) AS p_dm FROM g
+""",
+)
 HOLM = """SELECT *, least(1, max(st) OVER (PARTITION BY asset, family ORDER BY p, model, vs ROWS UNBOUNDED PRECEDING)) AS ph FROM (
   SELECT *, (count(*) OVER (PARTITION BY asset, family) - row_number() OVER (PARTITION BY asset, family ORDER BY p, model, vs) + 1) * p AS st FROM {})"""
 sql("holm", f"SELECT asset, family, model, vs, round(p, 8) AS p, round(ph, 8) AS p_holm FROM ({HOLM.format('(SELECT asset, family, model, vs, avg(CASE WHEN d > 0 THEN 1.0::DOUBLE ELSE 0 END) / 20 AS p FROM dif GROUP BY 1, 2, 3, 4)')})")

@@ -146,6 +146,31 @@ def first_trade_date(p: Panel) -> DataFrame:
     return sinks.first_trade_date(p.prices)
 
 
+@register
+def calendar_upsert(p: Panel) -> DataFrame:
+    """Stored days without early closes, refreshed from 1998 on by sessions with closing instants in UTC."""
+    day = F.col("trade_date")
+    hour = F.when(F.date_format(day, "MM-dd") == "12-24", 18).when(F.dayofmonth(day) == 10, 20).otherwise(21)
+    sessions = p.calendar.select("trade_date", (day.cast("timestamp") + F.make_dt_interval(hours=hour)).alias("market_close"))
+    stored = p.calendar.where(F.year(day) <= 1999).withColumn("is_early_close", F.lit(False))
+    return sinks.latest_wins(stored, sinks.calendar_rows(sessions.where(F.year(day) >= 1998)), ["trade_date"])
+
+
+@register
+def price_files(p: Panel) -> DataFrame:
+    """Prices written as CSV and read back through the file source under the declared schema."""
+    path = scratch_folder(p.spark, "csv")
+    sinks.write_csv(p.prices, path)
+    return readers.read_prices(p.spark, path, "csv")
+
+
+@register
+def label_definitions(p: Panel) -> DataFrame:
+    """The definition row of the stored labels, with how many rows stand under it."""
+    counts = p.labels.groupBy(F.col("label_name").alias("name")).agg(F.count("y").alias("n_labels"))
+    return lb.label_definition(p.spark, Target()).join(counts, "name")
+
+
 @register
 def replace_series(p: Panel) -> DataFrame:
     incoming = p.monthly.where(
@@ -1042,6 +1067,15 @@ def dm_test(p: Panel) -> DataFrame:
     return tidy(out.drop("p_dm"), "mean_diff", "stat", digits=6)
 
 
+@register
+def dm_p_values(p: Panel) -> DataFrame:
+    """Two-sided Student-t p-values of the loss differences."""
+    paired = inference.paired_predictions(_predictions(p), inference.PAIRS)
+    keys = ["asset", "family", "model", "vs"]
+    out = inference.dm_test(inference.loss_differences(paired), keys, ["fold", "as_of_date"], InferenceSettings().dm_horizon)
+    return tidy(out.select(*keys, "p_dm"), "p_dm", digits=6)
+
+
 @register
 def holm(p: Panel) -> DataFrame:
     """Step-down adjustment of the shares of days on which each model loses to its benchmark."""
