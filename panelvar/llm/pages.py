@@ -34,16 +34,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements, and words of class, id or role, that stand around anything but the main text.
 AROUND = frozenset("nav footer aside form header menu dialog".split())
 AROUND_NAMES = re.compile(
-    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|contentinfo|cookies?|consent|disqus|footer|gdpr|masthead|menu|modal|nav\w*|"
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|contentinfo|cookies?|consent|disqus|footer|gdpr|masthead|menu|modal|nav\w*|"
     r"newsletter|notices?|popup|promo\w*|related|repl(?:y|ies)|respond|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)",
     re.I,
 )
 #: Parts of a class that say no such element is here, or that it only holds or lays out others.
 NEGATED = frozenset("has no not non with without hide hidden is show".split())
 HOLDS = frozenset("wrap wrapper wrapped container content main page layout body inner outer results result article entry post".split())
+#: Of these, the names of bare boxes: a box named first for what stands around ("comments-wrapper") is that thing.
+BOXES = frozenset("wrap wrapper wrapped container content body inner outer".split())
 MAIN = frozenset(("article", "main"))
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+UNSHOWN = re.compile(r"\s(?:hidden(?=[\s=/>])|style\s*=\s*[\"']?[^\"'>]*display\s*:\s*none)", re.I)
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: First pass: most link density; characters of a short and of a long block; shares of stop words.
 LINK_DENSITY, SHORT, LONG, FEW, MANY = 0.4, 70, 200, 0.10, 0.20
@@ -61,7 +64,10 @@ def names_around(marks: str) -> bool:
     """Whether a class, id or role names something around the main text, and not what merely holds or lacks it."""
     for token in marks.lower().split():
         parts = [x for x in re.split(r"[_-]+", token) if x]
-        if any(AROUND_NAMES.fullmatch(x) for x in parts) and parts[0] not in NEGATED and not HOLDS.intersection(parts):
+        if not any(AROUND_NAMES.fullmatch(x) for x in parts) or parts[0] in NEGATED:
+            continue
+        holds = HOLDS.intersection(parts)
+        if not holds or (AROUND_NAMES.fullmatch(parts[0]) and holds <= BOXES):
             return True
     return False
 
@@ -102,14 +108,14 @@ def blocks(page: str) -> Iterator[tuple[str, int, tuple[tuple[int, str, bool], .
         name = name.group(1).lower()
         closing = piece[1] == "/"
         if name in HIDDEN and not closing:
-            if not piece.endswith("/>") and (name not in ("button", "head") or name == "head"):
+            if not piece.endswith("/>"):
                 stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 if stop:
                     at = stop.end()
                 elif name == "head":
                     body = re.compile(r"<body\b", re.I).search(page, at)
                     at = body.start() if body else at
-                else:
+                elif name != "button":  # a button that is never closed must not take the page with it
                     at = n
             continue
         if name == "a":
@@ -136,6 +142,8 @@ def blocks(page: str) -> Iterator[tuple[str, int, tuple[tuple[int, str, bool], .
             kind = ""
             if name in AROUND and not (name == "header" and in_main):
                 kind = FORM if name == "form" else ELEMENT
+            elif name not in ("body", "html") and UNSHOWN.search(piece):
+                kind = ELEMENT
             elif name not in ("body", "html", "article", "main") and marks and names_around(marks):
                 kind = NAMED
             opened += 1
