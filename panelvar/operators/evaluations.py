@@ -16,7 +16,14 @@ from . import metrics
 
 #: Partition columns of every table of the store.
 KEYS = ("purpose", "label", "model")
-TABLES = ("version", "prediction", "metric", "trial")
+_COMMON = "fold string, version string, purpose string, label string, model string"
+#: Declared, since a table may hold no rows (models without trials).
+TABLES = {
+    "version": f"train_start date, train_end date, n_predictions bigint, chosen string, data_hash string, {_COMMON}",
+    "prediction": f"asset string, as_of_date date, prob double, {_COMMON}",
+    "metric": f"metric string, value double, n_obs bigint, {_COMMON}",
+    "trial": f"grid_pos int, params string, score double, {_COMMON}",
+}
 
 
 def version_id(fold: Column | str = "fold") -> Column:
@@ -67,7 +74,7 @@ def publish(
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"no table {name} in the store; there are {', '.join(TABLES)}")
-    return spark.read.parquet(f"{root}/{name}")
+    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
 
 
 def outcomes(spark: SparkSession, root: str, labels: DataFrame, purpose: str, label: str) -> DataFrame:
