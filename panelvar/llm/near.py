@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component and are kept or not together. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = Scratch(spark, "near", codec="zstd")
     table = scratch.save(_sketched(docs, doc_id, text).withColumn("key", F.monotonically_increasing_id()))
     classes = table.where("n > 0").groupBy("same").agg(F.min("key").alias("key"), F.min("id").alias("low"), F.first("n").alias("n"))
     classes = scratch.save(classes)

@@ -47,18 +47,20 @@ class Scratch:
     A written table cuts lineage: later jobs read files that every executor sees, so a lost
     executor costs only the tasks that it ran. ``drop`` removes a table that nothing reads again;
     ``save`` with ``free`` also lets
-    Spark's cleaner delete the shuffle files of plans that are no longer in use.
+    Spark's cleaner delete the shuffle files of plans that are no longer in use. ``codec`` compresses
+    the tables otherwise than the session's setting: zstd where they hold whole texts for long.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, codec: str | None = None):
         self.spark = spark
+        self.options = {"compression": codec} if codec else {}
         self.root = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def save(self, df: DataFrame, drop: tuple[DataFrame, ...] = (), free: bool = True) -> DataFrame:
         self.count += 1
         path = f"{self.root}/t{self.count}"
-        df.write.parquet(path)
+        df.write.options(**self.options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         for old in drop:
