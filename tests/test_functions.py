@@ -95,3 +95,27 @@ def test_ewma_ages_over_gaps(spark):
     got = np.array([x.ewma_var for x in ewma_variance(df, 0.94).orderBy("trade_date").collect()], float)
     want = (pd.Series(r) ** 2).ewm(alpha=0.06, adjust=False).mean().to_numpy()
     assert np.allclose(got, want, rtol=1e-10, equal_nan=True)
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 4096, 4161, 40_000])
+def test_linear_recursion_of_long_series_in_one_pass_without_lists(spark, n):
+    """Two series, decays that change by row; 40,000 rows are more than three levels of the scan."""
+    rho = [0.999, 0.5, 1.0, 0.2][:4]
+    rows = spark.range(2 * n).selectExpr(
+        "id % 2 AS asset", "id div 2 AS k", f"element_at(array({', '.join(map(str, rho))}), cast(id div 2 % 4 AS int) + 1) AS rho", "sin(id) AS e"
+    )
+    out = linear_recursion(rows.withColumnRenamed("k", "trade_date"), ["asset"], "trade_date", F.col("rho"), "e", "s")
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.asset, r.trade_date): r.s for r in out.select("asset", "trade_date", "s").collect()}
+    assert len(got) == 2 * n
+    for asset in (0, 1):
+        s = 0.0
+        for k in range(n):
+            s = rho[k % 4] * s + math.sin(2 * k + asset)
+            assert got[asset, k] == pytest.approx(s, rel=1e-9, abs=1e-9)
+
+
+def test_linear_recursion_without_decay_sums_up(spark):
+    """A decay of one keeps every map's product at one over all levels."""
+    out = linear_recursion(spark.range(10_000).selectExpr("0 AS asset", "id", "1.0D AS e"), ["asset"], "id", 1.0, "e", "s")
+    assert out.where("abs(s - (id + 1)) > 1e-6").isEmpty()
