@@ -5,7 +5,8 @@ the check carries when it fails, ``n`` the number of violations, ``sample`` the
 
 Raw feeds may repeat a date any number of times, and one entity may dominate. The checks therefore
 reduce rows per (asset, date) before they reduce per asset, and the order-dependent ones run in
-month blocks that hand their last state to the next block.
+day blocks that hand their last state to the next block. Rows of a feed never meet a dimension by
+asset alone: a few assets would put the feed into a few tasks, each of which sorts its share.
 """
 
 from __future__ import annotations
@@ -115,27 +116,19 @@ def calendar_checks(feed: DataFrame, calendar: DataFrame, rules: QualityRules =
     )
 
 
-def _month_block() -> Column:
-    return F.year("trade_date") * 12 + F.month("trade_date")
+def _with_previous(seq: DataFrame) -> DataFrame:
+    """Rows (asset, trade_date, close, ...) in the order of date and close, with the close before each.
 
-
-def _close_sequence(feed: DataFrame) -> DataFrame:
-    """Distinct (asset, date, close) with counts, the preceding close, and the run each row is in.
-
-    Equal closes of one date are adjacent in the sequence, so they collapse to one row with a count.
+    Rows are sorted in day blocks; a block takes over the greatest close of the day before it.
     """
-    seq = feed.groupBy("asset", "trade_date", "close").agg(F.count("*").alias("rows")).withColumn("blk", _month_block())
-    local = Window.partitionBy("asset", "blk").orderBy("trade_date", "close")
-    blocks = Window.partitionBy("asset").orderBy("blk")
-    tails = (
-        seq.groupBy("asset", "blk")
-        .agg(F.max(F.struct("trade_date", "close")).alias("tail"))
-        .select("asset", "blk", F.lag("tail").over(blocks)["close"].alias("carried"))
-    )
+    local = Window.partitionBy("asset", "trade_date").orderBy("close")
+    days = Window.partitionBy("asset").orderBy("trade_date")
+    tails = seq.groupBy("asset", "trade_date").agg(F.max("close").alias("tail"))
+    tails = tails.select("asset", "trade_date", F.lag("tail").over(days).alias("carried"))
     rows = (
         seq.withColumn("prev", F.lag("close").over(local))
         .withColumn("rn", F.row_number().over(local))
-        .join(tails, ["asset", "blk"])
+        .join(tails, ["asset", "trade_date"])
         .withColumn("prev", F.when(F.col("rn") == 1, F.col("carried")).otherwise(F.col("prev")))
         .withColumn("same", F.coalesce(F.col("close") == F.col("prev"), F.lit(False)))
     )
@@ -147,28 +140,32 @@ def outlier_checks(feed: DataFrame, assets: DataFrame, rules: QualityRules = Qua
     move = F.abs(ln(F.col("close")) - ln(F.col("prev")))
     big = F.coalesce(move > rules.outlier, F.lit(False))
     priced = assets.where(F.col("asset_type") != "volatility_index").select("asset")
+    # A number of partitions keeps tasks small where adaptive execution would join many compressible ones.
+    parts = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    closes = feed.select("asset", "trade_date", "close").repartition(parts, "asset", "trade_date")
     totals = (
-        _close_sequence(feed.join(priced, "asset", "left_semi"))
+        _with_previous(closes)  # equal closes of a day are adjacent and don't move
         .groupBy("asset")
         .agg(F.count_if(big).alias("n"), first_dates(F.when(big, F.col("trade_date"))).alias("where"))
+        .join(priced, "asset", "left_semi")
     )
     return _rows(totals, "asset", [_check("return_outliers", "warn", F.col("n"), F.col("where"))])
 
 
 def stale_checks(feed: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Longest run of identical consecutive closes; ``n`` is that length."""
-    rows = _close_sequence(feed)
-    local = Window.partitionBy("asset", "blk").orderBy("trade_date", "close")
-    so_far = Window.partitionBy("asset").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _with_previous(feed.groupBy("asset", "trade_date", "close").agg(F.count("*").alias("rows")))
+    local = Window.partitionBy("asset", "trade_date").orderBy("close")
+    so_far = Window.partitionBy("asset").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
     begins = F.when(~F.col("same"), F.struct("trade_date", "close"))
     tails = (
-        rows.groupBy("asset", "blk")
+        rows.groupBy("asset", "trade_date")
         .agg(F.max(begins).alias("tail"))
-        .select("asset", "blk", F.max("tail").over(so_far).alias("open_run"))
+        .select("asset", "trade_date", F.max("tail").over(so_far).alias("open_run"))
     )
     runs = (
         rows.withColumn("begin", F.last(begins, True).over(local))
-        .join(tails, ["asset", "blk"])
+        .join(tails, ["asset", "trade_date"])
         .groupBy("asset", F.coalesce("begin", "open_run").alias("begin"))
         .agg(F.sum(F.when(F.col("close").isNull(), 1).otherwise(F.col("rows"))).alias("length"))
     )

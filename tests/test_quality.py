@@ -8,6 +8,7 @@ import pytest
 
 from panelvar.operators import ledger
 from panelvar.operators import quality as dq
+from panelvar.settings import QualityRules
 from panelvar.sources import readers, sinks
 
 from .conftest import price_frame
@@ -179,3 +180,21 @@ def test_ledger_fingerprint_and_diff(spark, base):
     )
     diff = {str(r.trade_date): r.change for r in ledger.snapshot_diff(df, other, ["asset", "trade_date"]).collect()}
     assert diff == {"2020-01-02": "removed", "2020-01-03": "modified"}
+
+
+def test_outliers_of_a_feed_reduce_before_they_meet_the_dimension(spark):
+    """Rows joined by asset would put a feed of few assets into few tasks; the day blocks follow the sorted closes."""
+    rng = np.random.default_rng(5)
+    days = [pd.Timestamp("2020-01-30") + pd.Timedelta(days=k) for k in range(8)]
+    raw = [(a, d.date(), float(c)) for a in ("A", "V") for d in days for c in rng.choice([50.0, 60.0, 90.0, 95.0], 6)]
+    raw += [("A", days[3].date(), None), ("A", pd.Timestamp("2020-03-02").date(), None), ("A", pd.Timestamp("2020-03-03").date(), 10.0)]
+    feed = spark.createDataFrame(raw, "asset string, trade_date date, close double")
+    assets = spark.createDataFrame([("A", "etf"), ("V", "volatility_index")], "asset string, asset_type string")
+    out = dq.outlier_checks(feed, assets, QualityRules(outlier=0.3))
+    closes = sorted(((d, c) for a, d, c in raw if a == "A"), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+    moved = [d for (_, p), (d, c) in zip(closes, closes[1:]) if p and c and abs(np.log(c / p)) > 0.3]
+    (got,) = out.collect()
+    assert (got.entity, got.n) == ("A", len(moved)) and got.sample == ",".join(sorted({str(d) for d in moved})[:10])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Window") and "month(" not in plan
+    assert "close" not in "".join(line.split("[", 2)[1] for line in plan.splitlines() if "Aggregate [" in line)  # no near-unique keys in a map
