@@ -11,8 +11,9 @@
    likely similarity given how many registers are larger, smaller and equal), then verified on full
    sets; links form components by label propagation.
 4. What still spans several components is settled exactly, in one of two ways. Keys of few members get
-   all pairs across components. In larger ones every member x is compared with the centre M on full
-   sets. A pair without a shared shingle outside M has at most min(|x & M|, |c & M|) shingles in
+   all pairs across components. In larger ones every member x is compared with a centre M on full
+   sets: keys whose largest part is of the same component share its hub, so that a member of many such
+   keys is compared and indexed once (M need not hold the key for what follows). A pair without a shared shingle outside M has at most min(|x & M|, |c & M|) shingles in
    common, which for an x that M isn't linked with is too few unless c is smaller than M and x almost
    linked; such pairs are found by size. All other links share shingles outside M: these are indexed,
    pairs are counted on them, and verified if |x & M| and the count can reach the limit together.
@@ -192,6 +193,17 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(check, "a bigint, b bigint, shared bigint, rest array<bigint>")
 
 
+def _joined(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) of a saved table with ``columns`` of ``table`` (by key) for a and b, named c_a and c_b.
+
+    Up to BROADCAST_KEYS pairs go to the rows, so that only rows with a partner move, and only once.
+    """
+    a, b = (table.select(F.col("key").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns]) for k in ("a", "b"))
+    if pairs.count() <= BROADCAST_KEYS:
+        return a.join(F.broadcast(pairs), "a").join(b.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi"), "b")
+    return pairs.join(a, "a").join(b, "b")
+
+
 def _reaches(shared: Column | str, n_a: str = "n_a", n_b: str = "n_b") -> Column:
     """Whether so many shingles in common link two sets."""
     shared = F.col(shared) if isinstance(shared, str) else shared
@@ -264,7 +276,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     scratch = Scratch(spark, "near", codec="zstd")
     table = scratch.save(_sketched(docs, doc_id, text).withColumn("key", F.monotonically_increasing_id()))
-    classes = table.where("n > 0").groupBy("same").agg(F.min("key").alias("key"), F.min("id").alias("low"), F.first("n").alias("n"))
+    classes = table.where("n > 0").groupBy("same").agg(F.min("key").alias("key"), F.min("id").alias("low"), F.first("n").alias("n"), F.count("*").alias("rows"))
     classes = scratch.save(classes)
     banded = table.join(classes.select(F.col("key").alias("c")), F.col("key") == F.col("c"), "left_semi").select("key", "n", F.explode("bands").alias("band"))
     shared = scratch.save(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"))
@@ -281,13 +293,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """a, b, linked for the likely ones of ``pairs`` (a, b)."""
-        r = texts.select("key", "n", "registers")
         pairs = pairs.join(tags.toDF("a", "u"), "a").join(tags.toDF("b", "v"), "b").where(_close("u", "v")).select("a", "b")
         pairs = scratch.save(pairs, free=False)
-        pairs = pairs.join(r.toDF("a", "n_a", "r_a"), "a").join(r.toDF("b", "n_b", "r_b"), "b")
-        likely = scratch.save(_likely(pairs), free=False)
-        t = texts.select("key", "text")
-        return scratch.save(_verified(likely.join(t.toDF("a", "t_a"), "a").join(t.toDF("b", "t_b"), "b")))
+        likely = scratch.save(_likely(_joined(pairs, texts.withColumnRenamed("registers", "r"), "n", "r")), free=False)
+        return scratch.save(_verified(_joined(likely, texts.withColumnRenamed("text", "t"), "t")))
 
     links, tried, done_with = None, None, members_table
     for turn in range(CENTRES):
@@ -313,11 +322,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if links is None:  # no key is shared
         links = tried = spark.createDataFrame([], "a bigint, b bigint")
     here = scratch.save(_labelled(members, links, scratch), free=False)
-    sizes = here.groupBy("band", "comp").agg(F.count("*").alias("size"), F.max(F.struct("weight", "key")).alias("hub"))
-    mixed = sizes.groupBy("band").agg(
-        F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("size").alias("size"), F.max("hub")["key"].alias("hub")
-    )
+    sizes = here.groupBy("band", "comp").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("size").alias("size"))
     left = scratch.save(here.join(mixed.where("comps > 1").drop("comps"), "band"), free=False)
+    hubs = left.where((F.col("size") > FEW) & (F.col("comp") == F.col("top"))).groupBy("top").agg(F.max(F.struct("weight", "key"))["key"].alias("hub"))
     again = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     few = left.where(F.col("size") <= FEW).join(tags, "key")
@@ -327,9 +335,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sized = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
     rest = some.join(every, (some["band"] == every["band"]) & across & sized & _close("u", "v")).select("a", "b").distinct()
 
-    spokes = left.where((F.col("size") > FEW) & (F.col("key") != F.col("hub"))).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    t = texts.select("key", "text")
-    compared = scratch.save(_compared(spokes.join(t.toDF("a", "t_a"), "a").join(t.toDF("b", "t_b"), "b")))
+    spokes = left.where(F.col("size") > FEW).select("key", "top").distinct().join(hubs, "top").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    compared = scratch.save(_compared(_joined(scratch.save(spokes, free=False), texts.withColumnRenamed("text", "t"), "t")))
     n = texts.select("key", "n")
     compared = compared.join(n.toDF("a", "n_a"), "a").join(n.toDF("b", "n_b"), "b")
     links = links.unionByName(scratch.save(compared.where(_reaches("shared")).select("a", "b"), free=False))
@@ -340,9 +347,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     named = _labelled(classes, links, scratch)
     lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = scratch.save(named.join(lows, "comp").select(F.col("same").alias("word"), "component_id"))
-    out = table.join(named, (F.col("same") == F.col("word")) & (F.col("n") > 0), "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
+    # A text without copies and links is its own component: only the others are looked up, so that texts mostly stay where they are.
+    named = named.join(lows, "comp").where((F.col("rows") > 1) | ~F.col("low").eqNullSafe(F.col("component_id")))
+    named = scratch.save(named.select(F.col("same").alias("word"), "component_id", F.lit(True).alias("found")))
+    few = named.count() <= BROADCAST_KEYS
+    out = table.join(F.broadcast(named) if few else named, (F.col("same") == F.col("word")) & (F.col("n") > 0), "left")
+    component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id"))
     return out.select("doc", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 

@@ -43,3 +43,21 @@ def test_components_equal_those_of_all_pairs(spark, monkeypatch, few, centres):
     want = brute(rows)
     assert len({r[2] for r in want}) > 20
     assert got == want
+
+
+def test_members_of_many_keys_meet_one_centre_and_texts_stay(spark, monkeypatch):
+    """Keys of one component share a centre, and the last join sends the numbers to the texts."""
+    seen = []
+    plain = near._open_pairs
+    monkeypatch.setattr(near, "_open_pairs", lambda spokes: seen.append(spokes.select("a", "b").collect()) or plain(spokes))
+    rng = random.Random(4)
+    docs = spark.createDataFrame(list(enumerate(group(rng, 300))), "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = near.near_duplicates(docs)
+        assert out.count() == 301 and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    (pairs,) = seen
+    assert len({p.a for p in pairs}) > 50 and len(pairs) <= 1.5 * len({p.a for p in pairs})
