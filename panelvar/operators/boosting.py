@@ -4,14 +4,15 @@ Feature values become bins shared by all fits. Rows lie in packed blocks; for ea
 one job adds up gradients and hessians by (fit, node, feature, bin) in every block, then over blocks, and
 returns one best split per node. So a fit never gathers its rows, and all fits advance together: the
 number of jobs is rounds times depth, whatever the number of windows and settings. The driver holds the
-trees alone. Scores are written into the blocks every few rounds, so a block applies few trees per job.
+trees alone. Scores are written into the blocks every few rounds, so a block applies few trees per job,
+and a job is sent these trees only. Blocks are small enough for every core to have one.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import pin
 
-BINS, BLOCK_ROWS, REFRESH = 64, 20_000, 10
+BINS, BLOCK_ROWS, LEAST_ROWS, REFRESH = 64, 20_000, 1_000, 10
 MIN_LEAF, PENALTY, LEAST_HESSIAN = 50, 1.0, 1e-3
 
 
@@ -82,19 +83,28 @@ def _blocks(rows: DataFrame, keys: Sequence[str], features: Sequence[str], edges
     known = F.coalesce(F.datediff("label_known_date", F.lit(date(1970, 1, 1))), F.lit(2**31 - 1))
     slim = rows.select(*keys, "y", known.alias("known"), *features)
     types = ", ".join(f"{k} array<{slim.schema[k].dataType.simpleString()}>" for k in keys)
-    parts = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+    n = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, math.ceil(n / BLOCK_ROWS), min(cores, n // LEAST_ROWS))
     return pin(slim.repartition(parts).mapInPandas(pack, f"{types}, known binary, y binary, bins binary, scores binary"))
 
 
-def _opened(block, fits: list[Fit], since: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(fit, bins, y, mask of training rows, score with all trees) of one block."""
+def _recent(fits: list[Fit], since: int) -> list[Fit]:
+    """The fits with the trees that the blocks' scores lack: all that a job needs, however long the fits are."""
+    return [replace(f, trees=f.trees[since:]) for f in fits]
+
+
+def _opened(block, fits: list[Fit], deeper: int = -1) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(fit, bins, y, mask of training rows, score with all trees) of one block, for fits deeper than ``deeper``."""
     y = np.frombuffer(block.y, np.int8)
     known = np.frombuffer(block.known, np.int32)
     bins = np.frombuffer(block.bins, np.uint8).reshape(-1, len(y))
     scores = np.frombuffer(block.scores, float).reshape(len(fits), len(y))
     for k, fit in enumerate(fits):
+        if fit.depth <= deeper:
+            continue
         score = scores[k].copy()
-        for tree in fit.trees[since:]:
+        for tree in fit.trees:
             score += tree.value[tree.places(bins)]
         yield k, bins, y, known < (fit.cutoff - date(1970, 1, 1)).days, score
 
@@ -102,15 +112,15 @@ def _opened(block, fits: list[Fit], since: int) -> Iterator[tuple[int, np.ndarra
 _SPLIT = "fit int, node int, feature int, cut int, g double, h double, n double, g_left double, h_left double"
 
 
-def _splits(blocks: DataFrame, fits: list[Fit], growing: list[Tree], level: int, since: int, bins: int, min_leaf: int, penalty: float) -> DataFrame:
+def _splits(blocks: DataFrame, fits: list[Fit], growing: list[Tree], level: int, bins: int, min_leaf: int, penalty: float) -> DataFrame:
     """The best split of every node of one level (feature -1 where none gains), with the node's sums."""
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for frame in frames:
             for block in frame.itertuples(index=False):
-                for k, x, y, train, score in _opened(block, fits, since):
-                    if level >= fits[k].depth or not train.any():
+                for k, x, y, train, score in _opened(block, fits, level):
+                    if not train.any():
                         continue
                     x = x[:, train]
                     p = 1 / (1 + np.exp(-(score[train] + fits[k].start)))
@@ -118,9 +128,8 @@ def _splits(blocks: DataFrame, fits: list[Fit], growing: list[Tree], level: int,
                     for one in np.unique(node[node >= 2**level - 1]).tolist():
                         mine = node == one
                         g, h = (p - y[train])[mine], (p * (1 - p))[mine]
-                        sums = np.stack([
-                            np.stack([np.bincount(f[mine], w, minlength=bins) for f in x]) for w in (g, h, np.ones(len(g)))
-                        ])
+                        at = (x[:, mine] + bins * np.arange(len(x))[:, None]).ravel()
+                        sums = np.stack([np.bincount(at, np.tile(w, len(x)), bins * len(x)).reshape(len(x), bins) for w in (g, h, np.ones(len(g)))])
                         key = (k, one)
                         total[key] = total[key] + sums if key in total else sums
         rows = [(k, one, sums.tobytes()) for (k, one), sums in total.items()]
@@ -143,10 +152,10 @@ def _splits(blocks: DataFrame, fits: list[Fit], growing: list[Tree], level: int,
     return blocks.mapInPandas(add, "fit int, node int, sums binary").groupBy("fit", "node").applyInPandas(best, _SPLIT)
 
 
-def _refreshed(blocks: DataFrame, fits: list[Fit], since: int) -> DataFrame:
+def _refreshed(blocks: DataFrame, fits: list[Fit]) -> DataFrame:
     def refresh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            scores = [np.stack([s for *_, s in _opened(block, fits, since)]).tobytes() for block in frame.itertuples(index=False)]
+            scores = [np.stack([s for *_, s in _opened(block, fits)]).tobytes() for block in frame.itertuples(index=False)]
             yield frame.assign(scores=scores)
 
     return pin(blocks.mapInPandas(refresh, blocks.schema))
@@ -171,7 +180,7 @@ def boost(
     for turn in range(iterations):
         growing = [Tree.empty(f.depth) for f in fits]
         for level in range(max(f.depth for f in fits)):
-            for r in _splits(blocks, fits, growing, level, since, bins, min_leaf, penalty).collect():  # a row per node
+            for r in _splits(blocks, _recent(fits, since), growing, level, bins, min_leaf, penalty).collect():  # a row per node
                 tree, rate = growing[r["fit"]], fits[r["fit"]].rate
                 tree.value[r["node"]] = -rate * r["g"] / (r["h"] + penalty)
                 if r["feature"] >= 0:
@@ -181,16 +190,18 @@ def boost(
         for fit, tree in zip(fits, growing):
             fit.trees.append(tree)
         if (turn + 1) % REFRESH == 0 or turn + 1 == iterations:
-            blocks = _refreshed(blocks, fits, since)
+            blocks = _refreshed(blocks, _recent(fits, since))
             since = turn + 1
 
+    bare = _recent(fits, since)
+
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for block in frame.itertuples(index=False):
                 own = {k: list(getattr(block, k)) for k in keys}
                 known = np.frombuffer(block.known, np.int32)
-                for k, _, y, _, score in _opened(block, fits, since):
-                    yield pd.DataFrame({"fit": k, **own, "y": y.astype(np.int32), "known": known, "prob": 1 / (1 + np.exp(-(score + fits[k].start)))})
+                for k, _, y, _, score in _opened(block, bare):
+                    yield pd.DataFrame({"fit": k, **own, "y": y.astype(np.int32), "known": known, "prob": 1 / (1 + np.exp(-(score + bare[k].start)))})
 
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     return blocks.mapInPandas(scored, f"fit int, {types}, y int, known int, prob double")

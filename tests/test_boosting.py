@@ -95,3 +95,15 @@ def test_places_follow_the_cuts(depth):
     tree = boosting.Tree.empty(depth)
     tree.feature[0], tree.cut[0] = 1, 4
     assert tree.places(np.array([[9, 9, 0], [4, 5, 0]])).tolist() == [1, 2, 1]
+
+
+def test_jobs_carry_recent_trees_and_every_core_has_a_block(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    monkeypatch.setattr(boosting, "LEAST_ROWS", 100, raising=False)
+    sent, parts = [], []
+    plain, packed = boosting._splits, boosting._blocks
+    monkeypatch.setattr(boosting, "_splits", lambda blocks, fits, *more: sent.append(max(len(f.trees) for f in fits)) or plain(blocks, fits, *more))
+    monkeypatch.setattr(boosting, "_blocks", lambda *all: parts.append(packed(*all)) or parts[-1])
+    boosting.boost(spark.createDataFrame(frame()), FEATURES, [Fit(date(2015, 1, 1), 1, 0.3)], iterations=6, min_leaf=30)
+    assert max(sent) == 1  # those since the last refresh
+    assert parts[0].count() >= spark.sparkContext.defaultParallelism
