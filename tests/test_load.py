@@ -95,3 +95,13 @@ def test_checks_carry_limit_and_share(spark, frames, dims):
     hit = got["A", "close_outside_range"]
     assert (hit.n, hit.rows_judged, hit.fraction, hit.limit) == (2, len(frame), 2 / len(frame), 1e-6)
     assert got["X", "unknown_asset"].fraction is None and result.accepted.count() == 0
+
+
+def test_no_task_runs_all_checks(spark, frames, dims, monkeypatch):
+    cal, assets, wanted = dims
+    pinned, plain = [], load.pin
+    monkeypatch.setattr(load, "pin", lambda df: pinned.append(df) or plain(df))
+    load.gate(spark.createDataFrame(frames["A"]), wanted, assets, cal, spark.createDataFrame(frames["A"]))
+    (checks,) = [df for df in pinned if "limit" in df.columns]
+    plan = checks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "Window" not in plan
