@@ -278,11 +278,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     table = scratch.save(_sketched(docs, doc_id, text).withColumn("key", F.monotonically_increasing_id()))
     classes = table.where("n > 0").groupBy("same").agg(F.min("key").alias("key"), F.min("id").alias("low"), F.first("n").alias("n"), F.count("*").alias("rows"))
     classes = scratch.save(classes)
-    banded = table.join(classes.select(F.col("key").alias("c")), F.col("key") == F.col("c"), "left_semi").select("key", "n", F.explode("bands").alias("band"))
+    # One text of each class. Only classes with copies are looked up, so that band keys stay where they are;
+    # with too many of those the band keys move, once for both of their readers.
+    repeated = classes.where("rows > 1").select(F.col("same").alias("word"), F.col("key").alias("c"))
+    moved = ()
+    if repeated.count() <= BROADCAST_KEYS:
+        ones = table.where("n > 0").join(F.broadcast(repeated), F.col("same") == F.col("word"), "left").where("c IS NULL OR c = key")
+    else:
+        ones = scratch.save(table.join(classes.select(F.col("key").alias("c")), F.col("key") == F.col("c"), "left_semi").select("key", "n", "bands"))
+        moved = (ones,)
+    banded = ones.select("key", "n", F.explode("bands").alias("band"))
     shared = scratch.save(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"))
     # Members of keys that several classes share.
     few = shared.count() <= BROADCAST_KEYS
-    members = members_table = scratch.save(banded.join(F.broadcast(shared) if few else shared, "band"), drop=(shared,))
+    members = members_table = scratch.save(banded.join(F.broadcast(shared) if few else shared, "band"), drop=(shared, *moved))
     wanted = scratch.save(members.groupBy("key").agg(F.sum("members").alias("weight")), free=False)
     small = wanted.count() <= BROADCAST_ROWS
     members = members.drop("members").join(F.broadcast(wanted) if small else wanted, "key")

@@ -61,3 +61,29 @@ def test_members_of_many_keys_meet_one_centre_and_texts_stay(spark, monkeypatch)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     (pairs,) = seen
     assert len({p.a for p in pairs}) > 50 and len(pairs) <= 1.5 * len({p.a for p in pairs})
+
+
+@pytest.mark.parametrize("keys", [near.BROADCAST_KEYS, -1])
+def test_band_keys_move_once_at_most(spark, monkeypatch, keys):
+    """The copies' numbers go to the texts; where they are too many, band keys are dealt once for both readers."""
+    monkeypatch.setattr(near, "BROADCAST_KEYS", keys)
+    dealt = []
+    plain = near.Scratch.save
+
+    def save(self, df, *args, **kwargs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt.append("bands" in plan and any("SortMergeJoin [key" in line and "LeftSemi" in line for line in plan.splitlines()))
+        return plain(self, df, *args, **kwargs)
+
+    monkeypatch.setattr(near.Scratch, "save", save)
+    texts = group(random.Random(6), 60)
+    rows = list(enumerate(texts + texts[:20] + texts[:3] * 5 + [None, "", "one two"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = near.near_duplicates(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert Counter((r["doc"]["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out) == brute(rows)
+    assert sum(dealt) == (0 if keys > 0 else 1)
