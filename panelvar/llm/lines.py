@@ -47,7 +47,6 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     often = scratch.save(
         often.join(contents, F.col("host").eqNullSafe(F.col("h"))).where(F.col("rows") * 100 > F.col("pages") * ratio)
         .select("h", F.col("key").alias("k"), "pages"),
-        free=False,
     )
     small = often.count() <= BROADCAST_HOSTS
     named = F.broadcast(often) if small else often

@@ -69,7 +69,7 @@ def thresholds(sizes: DataFrame, scratch: Scratch, **how) -> DataFrame:
         F.lit(True).alias("open"),
         F.lit(-1).cast("bigint").alias("cut"),
     )
-    state = scratch.save(state, free=False)
+    state = scratch.save(state)
     for used in range(STEP_BITS, ALL_BITS + 1, STEP_BITS):
         left = ALL_BITS - used
         bucket = F.shiftright("number", left)
@@ -108,7 +108,6 @@ def thresholds(sizes: DataFrame, scratch: Scratch, **how) -> DataFrame:
                 (F.col("open") & F.col("end").isNotNull() & ~fits & ~single).alias("open"),
                 cut.alias("cut"),
             ),
-            free=False,
         )
         if state.where("open").isEmpty():
             break

@@ -52,6 +52,8 @@ SIZES = 64
 BROADCAST_KEYS = 2_000_000
 #: Rows of the candidates' numbers up to which they are sent to every task; beyond, texts are shuffled.
 BROADCAST_ROWS = 4_000_000
+#: Links (and labels of earlier ones) up to which their nodes' labels are sent to every task; beyond, they are shuffled.
+BROADCAST_LINKS = 250_000
 
 
 @functools.cache
@@ -241,28 +243,32 @@ def _open_pairs(spokes: DataFrame) -> DataFrame:
     return pairs.select(F.least("key", "key_c").alias("a"), F.greatest("key", "key_c").alias("b")).distinct()
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, comp (its component's smallest node) for all nodes of ``links`` (a, b)."""
+def components(links: DataFrame, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
+    """node, comp (its component's smallest node) for all nodes of ``links`` (a, b) and of ``known``, the result for earlier links.
+
+    Few labels are sent to every task, so that a round deals rows once, where nodes and their neighbours' labels meet.
+    """
+    if known is not None:
+        links = links.select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+    small = links.count() <= BROADCAST_LINKS
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    both = scratch.save(both.distinct(), free=False)
-    labels = last = scratch.save(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("comp")), free=False)
+    labels = last = scratch.save(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("comp")))
     while True:
-        near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("comp").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("x"), "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("low"))
+        sent = F.broadcast(labels) if small else labels
+        near = both.join(sent, F.col("y") == F.col("node")).select(F.col("x").alias("node"), "comp", F.lit(None).cast("bigint").alias("old"))
+        step = labels.select("node", "comp", F.col("comp").alias("old")).unionByName(near).groupBy("node").agg(F.min("comp").alias("low"), F.max("old").alias("old"))
         # Jump: the label of the label.
-        jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("lower"))
-        step = step.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("comp"), F.col("comp").alias("old"))
-        last = step = scratch.save(step, drop=(last,), free=False)
+        jump = sent.select(F.col("node").alias("low"), F.col("comp").alias("lower"))
+        step = step.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("comp"), "old")
+        last = step = scratch.save(step, drop=(last,))
         labels = step.select("node", "comp")
         if step.where("comp <> old").isEmpty():
-            scratch.drop(both)
-            return labels
+            return F.broadcast(labels) if small else labels
 
 
-def _labelled(rows: DataFrame, links: DataFrame | None, scratch: Scratch) -> DataFrame:
-    if links is None:
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
         return rows.withColumn("comp", F.col("key"))
-    labels = components(links, scratch)
     return rows.join(labels, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "key")).drop("node")
 
 
@@ -292,7 +298,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # Members of keys that several classes share.
     few = shared.count() <= BROADCAST_KEYS
     members = members_table = scratch.save(banded.join(F.broadcast(shared) if few else shared, "band"), drop=(shared, *moved))
-    wanted = scratch.save(members.groupBy("key").agg(F.sum("members").alias("weight")), free=False)
+    wanted = scratch.save(members.groupBy("key").agg(F.sum("members").alias("weight")))
     small = wanted.count() <= BROADCAST_ROWS
     members = members.drop("members").join(F.broadcast(wanted) if small else wanted, "key")
     texts = table.join(F.broadcast(wanted.select("key")) if small else wanted.select("key"), "key", "left_semi").select("key", "n", F.coalesce(F.col(f"doc.`{text}`"), F.lit("")).cast("binary").alias("text"))
@@ -303,14 +309,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def confirm(pairs: DataFrame) -> DataFrame:
         """a, b, linked for the likely ones of ``pairs`` (a, b)."""
         pairs = pairs.join(tags.toDF("a", "u"), "a").join(tags.toDF("b", "v"), "b").where(_close("u", "v")).select("a", "b")
-        pairs = scratch.save(pairs, free=False)
-        likely = scratch.save(_likely(_joined(pairs, texts.withColumnRenamed("registers", "r"), "n", "r")), free=False)
+        pairs = scratch.save(pairs)
+        likely = scratch.save(_likely(_joined(pairs, texts.withColumnRenamed("registers", "r"), "n", "r")))
         return scratch.save(_verified(_joined(likely, texts.withColumnRenamed("text", "t"), "t")))
 
-    links, tried, done_with = None, None, members_table
+    labels, tried, done_with = None, None, members_table
     for turn in range(CENTRES):
         # The nearest thing to a hub: of the centres of a member's keys, the one that comes most often.
-        here = _labelled(members, links, scratch)
+        here = _labelled(members, labels)
         order = F.xxhash64("key", F.lit(turn)) if turn else F.col("weight")
         first = F.max_by(F.struct("key", "comp"), F.struct(order.alias("o"), "key")).alias("centre")
         mixed = here.groupBy("band").agg(first, F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
@@ -321,19 +327,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         stars = stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
         if tried is not None:
             stars = stars.join(tried, ["a", "b"], "left_anti")
-        stars = scratch.save(stars, free=False)
+        stars = scratch.save(stars)
         if stars.isEmpty():
             break
         done = confirm(stars)
         found = done.where("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
+        if not found.isEmpty():
+            labels = components(found, scratch, labels)
         tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
-    if links is None:  # no key is shared
-        links = tried = spark.createDataFrame([], "a bigint, b bigint")
-    here = scratch.save(_labelled(members, links, scratch), free=False)
+    if tried is None:  # no key is shared
+        tried = spark.createDataFrame([], "a bigint, b bigint")
+    here = scratch.save(_labelled(members, labels))
     sizes = here.groupBy("band", "comp").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("size").alias("size"))
-    left = scratch.save(here.join(mixed.where("comps > 1").drop("comps"), "band"), free=False)
+    left = scratch.save(here.join(mixed.where("comps > 1").drop("comps"), "band"))
     hubs = left.where((F.col("size") > FEW) & (F.col("comp") == F.col("top"))).groupBy("top").agg(F.max(F.struct("weight", "key"))["key"].alias("hub"))
     again = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -345,16 +352,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rest = some.join(every, (some["band"] == every["band"]) & across & sized & _close("u", "v")).select("a", "b").distinct()
 
     spokes = left.where(F.col("size") > FEW).select("key", "top").distinct().join(hubs, "top").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    compared = scratch.save(_compared(_joined(scratch.save(spokes, free=False), texts.withColumnRenamed("text", "t"), "t")))
+    compared = scratch.save(_compared(_joined(scratch.save(spokes), texts.withColumnRenamed("text", "t"), "t")))
     n = texts.select("key", "n")
     compared = compared.join(n.toDF("a", "n_a"), "a").join(n.toDF("b", "n_b"), "b")
-    links = links.unionByName(scratch.save(compared.where(_reaches("shared")).select("a", "b"), free=False))
-    placed = _labelled(compared.withColumnRenamed("a", "key"), links, scratch).withColumnRenamed("key", "a")
-    rest = rest.unionByName(_open_pairs(scratch.save(placed, free=False))).distinct()
+    found = scratch.save(compared.where(_reaches("shared")).select("a", "b"))
+    if not found.isEmpty():
+        labels = components(found, scratch, labels)
+    placed = _labelled(compared.withColumnRenamed("a", "key"), labels).withColumnRenamed("key", "a")
+    rest = rest.unionByName(_open_pairs(scratch.save(placed))).distinct()
     done = confirm(rest.join(again, ["a", "b"], "left_anti"))
-    links = links.unionByName(done.where("linked").select("a", "b"))
+    found = done.where("linked").select("a", "b")
+    if not found.isEmpty():
+        labels = components(found, scratch, labels)
 
-    named = _labelled(classes, links, scratch)
+    named = _labelled(classes, labels)
     lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     # A text without copies and links is its own component: only the others are looked up, so that texts mostly stay where they are.
     named = named.join(lows, "comp").where((F.col("rows") > 1) | ~F.col("low").eqNullSafe(F.col("component_id")))

@@ -213,7 +213,7 @@ def _sorted(scratch: Scratch, things: DataFrame, capacity: int):
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "block", "row", "run"])
 
     fields = "load bigint, gap bigint, is_bin boolean, members array<struct<item: bigint, load: bigint>>"
-    table = scratch.save(ordered.mapInArrow(running, fields + ", block int, row bigint, run bigint"), free=False)
+    table = scratch.save(ordered.mapInArrow(running, fields + ", block int, row bigint, run bigint"))
     return table, _levels(table, capacity, scratch.count)
 
 

@@ -148,7 +148,7 @@ def estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
         for j in range(i + 1):
             spread = (F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) / 1.349
             start = start.withColumn(f"c{i}{j}", F.pow(spread, 2) + (FLOORS[i] * UNIT) ** 2 if i == j else F.lit(0.0))
-    found = scratch.save(_cholesky(start), free=False)
+    found = scratch.save(_cholesky(start))
     factor = _consistency(CORE_PERCENT / 100)
     for _ in range(STEPS):
         # Bins of equal ratio: about 3 % of distance each.
@@ -174,7 +174,7 @@ def estimate(rows: DataFrame, scratch: Scratch) -> DataFrame:
             for j in range(i + 1):
                 c = (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * factor
                 core = core.withColumn(f"c{i}{j}", c + (FLOORS[i] * UNIT) ** 2 if i == j else c)
-        found = scratch.save(_cholesky(core), free=False)
+        found = scratch.save(_cholesky(core))
     return found
 
 

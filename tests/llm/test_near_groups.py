@@ -87,3 +87,30 @@ def test_band_keys_move_once_at_most(spark, monkeypatch, keys):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert Counter((r["doc"]["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out) == brute(rows)
     assert sum(dealt) == (0 if keys > 0 else 1)
+
+
+@pytest.mark.parametrize("sent", [10**6, -1])
+def test_rounds_of_labels_deal_rows_once(spark, monkeypatch, sent):
+    """Few labels go to every task: a table of a round has one exchange by key; the driver keeps less. Earlier labels hold."""
+    monkeypatch.setattr(near, "BROADCAST_LINKS", sent, raising=False)
+    dealt = []
+    plain = near.Scratch.save
+
+    def save(self, df, *args, **kwargs):
+        dealt.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return plain(self, df, *args, **kwargs)
+
+    monkeypatch.setattr(near.Scratch, "save", save)
+    chain = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(201, 200)]
+    scratch = near.Scratch(spark, "labels")
+    links = lambda rows: scratch.save(spark.createDataFrame(rows, "a bigint, b bigint"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = near.components(links(chain), scratch)
+        assert {r["node"]: r["comp"] for r in found.collect()} == {k: 0 if k < 41 else 100 if k < 130 else 200 for k in [*range(41), *range(100, 130), 200, 201]}
+        more = {r["node"]: r["comp"] for r in near.components(links([(129, 7), (300, 201)]), scratch, found).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(more.values()) == {0, 200} and more[120] == 0 and more[300] == 200 and len(more) == 74
+    assert max(dealt) == (1 if sent > 0 else 5)
