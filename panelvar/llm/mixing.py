@@ -9,6 +9,8 @@ combined before the shuffle, so a source that holds most of the corpus costs no
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ SHARE_PERCENT = 150
 MOST_TIMES = 2
 #: Bits of the number that one histogram resolves, and bits in all.
 STEP_BITS, ALL_BITS = 10, 60
+#: Sources, one row each: so many are broadcast at most, and so many are written by one task.
+FEW_SOURCES = 100_000
 
 
 def number(doc_id: Column, size: Column) -> Column:
@@ -70,21 +74,23 @@ def thresholds(sizes: DataFrame, scratch: Scratch, **how) -> DataFrame:
         F.lit(-1).cast("bigint").alias("cut"),
     )
     state = scratch.save(state)
+    n_sources = state.count()
+    # One row per source needs few files, whatever the session's shuffle partitions: each costs a write task.
+    n_files = max(1, math.ceil(n_sources / FEW_SOURCES))
     for used in range(STEP_BITS, ALL_BITS + 1, STEP_BITS):
         left = ALL_BITS - used
         bucket = F.shiftright("number", left)
         inside = (
             sizes.select(F.col("source").alias("s"), "size", "number")
-            .join(F.broadcast(state.where("open")) if state.count() < 100_000 else state.where("open"), F.col("s").eqNullSafe(F.col("source")))
+            .join(F.broadcast(state.where("open")) if n_sources < FEW_SOURCES else state.where("open"), F.col("s").eqNullSafe(F.col("source")))
             .where(F.shiftright(bucket, STEP_BITS) == F.col("prefix"))
-            .groupBy("s", bucket.alias("bucket"))
+            .groupBy("s", "budget", bucket.alias("bucket"))
             .agg(F.sum("size").alias("words"), F.max("number").alias("last"), F.min("number").alias("one"))
         )
         upto = F.sum("words").over(Window.partitionBy("s").orderBy("bucket"))
         inside = inside.withColumn("before", upto - F.col("words"))
         ends = (
-            inside.join(state.select("source", "budget"), F.col("s").eqNullSafe(F.col("source")))
-            .where(F.col("before") <= F.col("budget"))
+            inside.where(F.col("before") <= F.col("budget"))
             .groupBy("s")
             .agg(F.max_by(F.struct("bucket", "before", "words", "one", "last"), "bucket").alias("end"))
         )
@@ -107,7 +113,7 @@ def thresholds(sizes: DataFrame, scratch: Scratch, **how) -> DataFrame:
                 F.when(F.col("open") & F.col("end").isNotNull(), F.col("end.bucket")).otherwise(F.col("prefix")).alias("prefix"),
                 (F.col("open") & F.col("end").isNotNull() & ~fits & ~single).alias("open"),
                 cut.alias("cut"),
-            ),
+            ).repartition(n_files),
         )
         if state.where("open").isEmpty():
             break

@@ -7,6 +7,7 @@ from fractions import Fraction
 import pytest
 
 from panelvar.llm import mixing
+from panelvar.llm.shared import Scratch, word_count
 
 
 def target_by_resharing(sizes, weights=(5, 2, 1)):
@@ -61,3 +62,35 @@ def test_no_documents_and_no_words(spark, no_docs):
     assert mixing.mix(no_docs).collect() == []
     rows = mixing.mix(spark.createDataFrame([(1, "a", None), (None, None, "")], "doc_id long, source string, text string")).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in rows] == [(0, 0.0, 0)] * 2
+
+
+def test_word_count(spark):
+    space = "\x20\x09\x0a\x0b\x0c\x0d"
+    texts = [None, "", space, "a", " a", "a ", f"{space}a{space}{space}b{space}", "a\x1cb\u3000c\x85d e", "ü\x00 \\ $1 x\n\nx", *(f"a{x}{y}b" for x in space for y in space)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", word_count("text").alias("n")).collect()
+    assert [r["n"] for r in rows] == [len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows]
+
+
+def test_a_row_per_source_is_one_file(spark, monkeypatch):
+    """The plan has 20 rows; with many shuffle partitions it was written by 20 tasks in every step."""
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, *a, **k: saved.append(save(self, *a, **k)) or saved[-1])
+    held = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [(k, f"s{k % 20}", "w " * (1 + k % 13)) for k in range(2000)]
+        out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(out) == 2000 and len(saved) > 2
+    assert [len(t.inputFiles()) for t in saved[1:]] == [1] * (len(saved) - 1)
+
+
+def test_many_sources_without_broadcast(spark, docs, monkeypatch):
+    key = lambda r: (r["doc"]["doc_id"], r["size"], r["source_size"], r["target"], r["taken"])
+    few = sorted(map(key, mixing.mix(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 2)
+    assert sorted(map(key, mixing.mix(docs).collect()), key=str) == few
